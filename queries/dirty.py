@@ -44,6 +44,8 @@ UNION ALL SELECT 100 + n_nationkey, CASE WHEN n_nationkey = 7 THEN 107 WHEN n_na
       WHEN n_nationkey = 11 THEN 999 ELSE n_regionkey END, CASE WHEN n_nationkey = 13 THEN 'NATN' ELSE 'NATION' END, n_name FROM {nation}
 UNION ALL SELECT 10000 + s_suppkey, CASE WHEN s_suppkey % 10 = 3 THEN s_nationkey % 5 WHEN s_suppkey % 10 = 4 THEN NULL ELSE 100 + s_nationkey END,
       'SITE', s_name FROM {supplier}""",
+    "geo_tree": """
+SELECT node_id, CASE WHEN node_level = 'NATN' THEN 999 ELSE parent_id END AS parent_id, node_level, node_name FROM {geo_nodes}""",
     "reviews": """
 SELECT user_id AS rule_id, event_id AS seq, ts AS decided_at,
  CASE event_type WHEN 'purchase' THEN 'approved' WHEN 'error' THEN 'rejected' ELSE 'modified' END AS decision,
@@ -85,6 +87,8 @@ def pick(tables: Tables, *names: str) -> dict[str, DataFrame]:
 
 def with_views(*names: str, recursive: bool = False) -> str:
     """WITH clause that defines dirty views for DuckDB."""
+    if "geo_tree" in names and "geo_nodes" not in names:
+        names = ("geo_nodes", *names)
     parts = [f"{n} AS ({VIEWS[n].format_map(_Bare())})" for n in names]
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts)
 
@@ -99,7 +103,7 @@ CONSTRAINTS = Constraints(
                   "supplier": ("s_suppkey",), "part": ("p_partkey",), "orders": ("o_orderkey",),
                   "events": ("event_id",), "documents": ("doc_id",), "embeddings": ("vec_id",),
                   "pages": ("page_id",), "benchmark": ("item_id",),
-                  "orders_dirty": ("o_orderkey",), "customer_dirty": ("c_custkey",), "geo_nodes": ("node_id",)},
+                  "orders_dirty": ("o_orderkey",), "customer_dirty": ("c_custkey",), "geo_nodes": ("node_id",), "geo_tree": ("node_id",)},
     foreign_keys=(
         ("orders_dirty", ("o_custkey",), "customer_dirty", ("c_custkey",)),
         ("customer_dirty", ("c_nationkey",), "nation", ("n_nationkey",)),

@@ -3,7 +3,7 @@ from pyspark.sql import SparkSession
 
 def make_session(cpus: str = "8") -> SparkSession:
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("plumbline")
-             .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
+             .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC")
              .config("spark.sql.adaptive.enabled", "true").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
