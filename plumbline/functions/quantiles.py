@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from plumbline.functions.text import ident, missing_nan
+
 DIRECT_VALUES = 2_000_000     # up to this many values the built-in percentile holds them in one task
 _ACCURACY = 10_000
 
@@ -33,9 +35,9 @@ def exact_quantiles(df: DataFrame, columns: list[str], shares: tuple[float, ...]
     """
     if not columns:
         return {}
-    values = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
-    head = values.agg(*[x for i, c in enumerate(columns) for x in (
-        F.count(F.col(f"`{c}`")).alias(f"n{i}"), F.min(f"`{c}`").alias(f"lo{i}"), F.max(f"`{c}`").alias(f"hi{i}"))]).first()
+    values = df.selectExpr(*[f"{missing_nan(ident(c))} AS {ident(c)}" for c in columns])
+    head = values.selectExpr(*[f"{fn}({ident(c)}) AS {n}{i}" for i, c in enumerate(columns)
+                               for fn, n in (("count", "n"), ("min", "lo"), ("max", "hi"))]).first()
     sizes = {c: head[f"n{i}"] for i, c in enumerate(columns)}
     out: dict[str, list[float] | None] = {c: None for c in columns if sizes[c] == 0}
     todo = sorted((c for c in columns if sizes[c]), key=lambda c: sizes[c])
@@ -45,9 +47,9 @@ def exact_quantiles(df: DataFrame, columns: list[str], shares: tuple[float, ...]
             direct.append(c)
             held += sizes[c]
     if direct:
-        row = values.agg(*[F.percentile(f"`{c}`", [float(p) for p in shares]).alias(f"q{i}")
-                           for i, c in enumerate(direct)]).first()
-        out.update({c: list(row[f"q{i}"]) for i, c in enumerate(direct)})
+        wanted = ", ".join(f"{p!r}D" for p in shares)
+        row = values.selectExpr(*[f"percentile({ident(c)}, array({wanted}))" for c in direct]).first()
+        out.update({c: list(found) for c, found in zip(direct, row)})
     large = [c for c in todo if c not in direct]
     if large:
         at = {c: i for i, c in enumerate(columns)}

@@ -1,205 +1,189 @@
-"""What columns mean: evidence scoring over profile rows, valid codes, patterns, PII."""
+"""What columns mean: evidence scoring over profile rows, valid codes, patterns, PII.
+
+Inputs are schema-sized (one row per column), the expressions are large; so they are SQL text that reaches
+Spark in a few calls.
+"""
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from plumbline import vocab
 from plumbline.functions import text
+from plumbline.functions.text import array_of, one_of, q
 
-_EVIDENCE = "array<struct<type:string,weight:double,reason:string>>"
-
+_NAMED = f"concat({q("name '")}, column, {q("'")})"
 
-def _ev(kind, weight, reason) -> Column:
-    def lit(x):
-        return x if isinstance(x, Column) else F.lit(x)
-    return F.struct(lit(kind).cast("string").alias("type"), lit(weight).cast("double").alias("weight"),
-                    lit(reason).cast("string").alias("reason"))
 
-
-def name_hint(name: Column, group: str) -> Column:
+def name_hint(name: str, group: str) -> str:
     """First hint of a group that the snake_case name matches: struct(type, weight), else NULL."""
-    out = None
-    for g, rx, kind, weight in vocab.NAME_HINTS:
-        if g == group:
-            hit = F.struct(F.lit(kind).alias("type"), F.lit(weight).alias("weight"))
-            out = F.when(name.rlike(rx), hit) if out is None else out.when(name.rlike(rx), hit)
-    return out
+    cases = " ".join(f"WHEN {name} RLIKE {q(rx)} THEN struct({q(kind)} AS type, {weight!r}D AS weight)"
+                     for g, rx, kind, weight in vocab.NAME_HINTS if g == group)
+    return f"CASE {cases} END"
 
 
 def name_hints(columns: DataFrame, name: str = "bare_name") -> DataFrame:
     """(table, column, group, semantic_type, weight) for every hint a column name gives."""
-    hints = F.array(*[F.struct(F.lit(g).alias("group"), name_hint(text.snake(F.col(name)), g).alias("hint"))
-                      for g in vocab.NAME_HINT_GROUPS])
-    return (columns.select("table", "column", F.inline(hints)).where(F.col("hint").isNotNull())
-            .select("table", "column", "group", F.col("hint.type").alias("semantic_type"), "hint.weight"))
+    hints = ", ".join(f"struct({q(g)} AS group, {name_hint('_name', g)} AS hint)" for g in vocab.NAME_HINT_GROUPS)
+    return (columns.withColumn("_name", F.expr(text.snake(name))).selectExpr("table", "column", f"inline(array({hints}))")
+            .where("hint IS NOT NULL").selectExpr("table", "column", "group", "hint.type AS semantic_type", "hint.weight"))
+
 
+def _ev(kind: str, weight, reason: str) -> str:
+    return f"struct({kind} AS type, CAST({weight} AS DOUBLE) AS weight, {reason} AS reason)"
 
-def _score(evidence: Column, kind) -> Column:
-    return F.aggregate(F.filter(evidence, lambda e: e["type"] == kind), F.lit(0.0), lambda s, e: s + e["weight"])
 
+def _total(evidence: str, kind: str | None = None) -> str:
+    chosen = evidence if kind is None else f"filter({evidence}, e -> e.type = {kind})"
+    return f"aggregate({chosen}, 0D, (s, e) -> s + e.weight)"
 
-def _credited(evidence: Column, family: Iterable[str], default) -> Column:
+
+def _credited(family: Iterable[str], default: str) -> str:
     """The type of a family the evidence already favours, else the default."""
-    scored = F.array(*[F.struct(_score(evidence, F.lit(t)).alias("s"), F.lit(-i).alias("i"), F.lit(t).alias("t"))
-                       for i, t in enumerate(family)])
-    best = F.array_max(F.filter(scored, lambda x: x["s"] > 0))
-    return F.coalesce(best["t"], default if isinstance(default, Column) else F.lit(default))
+    scored = ", ".join(f"struct({_total('_base', q(t))} AS s, {-i} AS i, {q(t)} AS t)" for i, t in enumerate(family))
+    return f"coalesce(array_max(filter(array({scored}), x -> x.s > 0)).t, {default})"
 
 
-def _allowed_types() -> Column:
-    def lits(values: Iterable[str]) -> Column:
-        return F.array(*[F.lit(v) for v in values])
-    kind, fmt = F.col("generic_type"), F.coalesce(F.col("detected_format.format"), F.lit(""))
+def _compatible() -> str:
+    """Types a column of this storage type and format can have."""
     plain = [t for t in vocab.SEMANTIC_TYPES if t not in vocab.NUMERIC_TYPES + vocab.DATE_TYPES]
-    return (F.when(kind.isin(*vocab.DATE_GENERIC), lits(vocab.DATE_TYPES + ("other",)))
-            .when(kind == "boolean", lits(("flag", "other")))
-            .when(kind.isin(*vocab.NUMERIC_GENERIC),
-                  lits(vocab.NUMERIC_TYPES + vocab.KEY_TYPES + vocab.CODE_TYPES + ("flag", "postal_code", "phone", "other")))
-            .when(fmt.isin("integer_text", "decimal_text"), lits(plain + list(vocab.NUMERIC_TYPES)))
-            .when(fmt.isin("iso_date", "iso_datetime"), lits(plain + list(vocab.DATE_TYPES)))
-            .otherwise(lits(plain)))
+    numbers = vocab.NUMERIC_TYPES + vocab.KEY_TYPES + vocab.CODE_TYPES + ("flag", "postal_code", "phone", "other")
+    return (f"CASE WHEN {one_of('generic_type', vocab.DATE_GENERIC)} THEN {array_of(vocab.DATE_TYPES + ('other',))} "
+            f"WHEN generic_type = 'boolean' THEN array('flag', 'other') "
+            f"WHEN {one_of('generic_type', vocab.NUMERIC_GENERIC)} THEN {array_of(numbers)} "
+            f"WHEN detected_format.format IN ('integer_text', 'decimal_text') THEN {array_of(plain + list(vocab.NUMERIC_TYPES))} "
+            f"WHEN detected_format.format IN ('iso_date', 'iso_datetime') THEN {array_of(plain + list(vocab.DATE_TYPES))} "
+            f"ELSE {array_of(plain)} END")
 
 
 def semantic_types(facts: DataFrame) -> DataFrame:
     """Adds semantic_type, confidence and reasons to profile rows.
 
     ``facts``: PROFILE columns plus bare_name, fk_target, is_self_fk, self_referencing (of the table).
+    Every signal adds its weight to a type; the winner's share of all weights is the confidence.
     """
-    name, label = text.snake(F.col("bare_name")), F.concat(F.lit("name '"), F.col("column"), F.lit("'"))
-    fmt = F.col("detected_format.format")
-    hints = [name_hint(name, g) for g in vocab.NAME_HINT_GROUPS]
-    formats = F.create_map(*[F.lit(x) for pair in vocab.FORMAT_HINTS.items() for x in pair])
-    base = F.array_compact(F.array(
-        F.when(F.col("is_primary_key"), _ev("identifier", 5, "primary key")),
-        F.when(F.col("is_self_fk"), _ev("parent_key", 5, "references its own table"))
-        .when(F.col("fk_target").isNotNull(), _ev("foreign_key", 5, F.concat(F.lit("references "), F.col("fk_target")))),
-        *[F.when(h.isNotNull(), _ev(h["type"], h["weight"], label)) for h in hints],
-        F.when(F.col("self_referencing") & (hints[vocab.NAME_HINT_GROUPS.index("code")]["type"] == "hierarchy_level"),
-               _ev("hierarchy_level", 2, "level column in a self-referencing table")),
-        F.when(fmt.isin(*vocab.FORMAT_HINTS),
-               _ev(formats[fmt], 3, F.concat(F.round(F.col("detected_format.match_rate") * 100).cast("int").cast("string"),
-                                             F.lit("% of values look like "), fmt)))))
-    facts = facts.withColumn("_base", base)
-
-    b, kind = F.col("_base"), F.col("generic_type")
-    uniq, few = F.coalesce(F.col("uniqueness"), F.lit(0.0)), F.col("distinct_count")
-    code_like = F.coalesce(fmt == "code", F.lit(False))
-    known = F.filter(F.transform("top_values", lambda v: v["value"]), lambda v: v.isNotNull())
-    only_01 = (few == 2) & F.coalesce(F.size(F.array_except(known, F.array(F.lit("0"), F.lit("1")))) == 0, F.lit(False))
-    text_named = F.exists(b, lambda e: e["type"].isin(*vocab.TEXT_TYPES))
-    is_key = F.col("is_primary_key") | F.col("fk_target").isNotNull()
-    numeric, word = kind.isin(*vocab.NUMERIC_GENERIC), kind == "string"
+    hinted = [f"CASE WHEN _h_{g} IS NOT NULL THEN {_ev(f'_h_{g}.type', f'_h_{g}.weight', _NAMED)} END" for g in vocab.NAME_HINT_GROUPS]
+    formats = "map(" + ", ".join(f"{q(k)}, {q(v)}" for k, v in vocab.FORMAT_HINTS.items()) + ")[detected_format.format]"
+    has_hint = f"coalesce({one_of('detected_format.format', vocab.FORMAT_HINTS)}, false)"
+    looks = "concat(CAST(round(detected_format.match_rate * 100) AS INT), '% of values look like ', detected_format.format)"
+    base = ", ".join([
+        f"CASE WHEN is_primary_key THEN {_ev(q('identifier'), 5, q('primary key'))} END",
+        f"CASE WHEN is_self_fk THEN {_ev(q('parent_key'), 5, q('references its own table'))} "
+        f"WHEN fk_target IS NOT NULL THEN {_ev(q('foreign_key'), 5, '''concat('references ', fk_target)''')} END",
+        *hinted,
+        f"CASE WHEN self_referencing AND _h_code.type = 'hierarchy_level' "
+        f"THEN {_ev(q('hierarchy_level'), 2, q('level column in a self-referencing table'))} END",
+        f"CASE WHEN {has_hint} THEN {_ev(formats, 3, looks)} END"])
+
+    numeric = one_of("generic_type", vocab.NUMERIC_GENERIC)
+    only_01 = ("distinct_count = 2 AND size(array_except(filter(transform(top_values, v -> v.value), v -> v IS NOT NULL), "
+               "array('0', '1'))) = 0")
+    code_like, unique = "coalesce(detected_format.format = 'code', false)", "coalesce(uniqueness, 0)"
+    text_named = f"exists(_base, e -> {one_of('e.type', vocab.TEXT_TYPES)})"
+    date_type = _credited(vocab.DATE_TYPES, "CASE WHEN generic_type = 'datetime' THEN 'event_timestamp' ELSE 'event_date' END")
+    number_type = _credited(vocab.NUMERIC_TYPES, "CASE WHEN generic_type = 'integer' THEN 'count' ELSE 'amount' END")
+    text_type = _credited(vocab.TEXT_TYPES, "CASE WHEN text.avg_length > 40 THEN 'free_text' ELSE 'label' END")
+    near_unique = f"concat('near-unique code (', format_number({unique} * 100, 1), '% distinct)')"
+    code_type = _credited(vocab.CODE_TYPES, "'category_code'")
+    distinct_values = "concat(distinct_count, ' distinct values')"
     shape = (
-        F.when(kind == "boolean", _ev("flag", 4, "boolean type"))
-        .when(kind.isin(*vocab.DATE_GENERIC),
-              _ev(_credited(b, vocab.DATE_TYPES, F.when(kind == "datetime", "event_timestamp").otherwise("event_date")), 3, "date type"))
-        .when(is_key, F.lit(None))
-        .when(numeric & only_01, _ev("flag", 2, "only 0/1 values"))
-        .when(numeric, _ev(_credited(b, vocab.NUMERIC_TYPES, F.when(kind == "integer", "count").otherwise("amount")), 2, "numeric"))
-        .when(word & ~F.coalesce(fmt.isin(*vocab.FORMAT_HINTS), F.lit(False)),
-              F.when(code_like & (uniq >= vocab.NEAR_UNIQUE) & (F.col("null_rate") < 0.05),
-                     _ev("business_key", 3, F.concat(F.lit("near-unique code ("), F.format_number(uniq * 100, 1), F.lit("% distinct)"))))
-              .when((few <= vocab.TOP_VALUES) & (uniq < 0.5) & ~text_named,
-                    _ev(_credited(b, vocab.CODE_TYPES, "category_code"), F.when(code_like, 2.5).otherwise(1.5),
-                        F.concat(few.cast("string"), F.lit(" distinct values"))))
-              .otherwise(_ev(_credited(b, vocab.TEXT_TYPES,
-                                       F.when(F.col("text.avg_length") > 40, "free_text").otherwise("label")), 1, "varied text"))))
-    allowed = _allowed_types()
-    evidence = F.filter(F.concat(b, F.array_compact(F.array(shape, _ev("other", 0.5, "baseline")))),
-                        lambda e: F.array_contains(allowed, e["type"]))
-    facts = facts.withColumn("_ev", evidence)
-    kinds = F.array_distinct(F.transform("_ev", lambda e: e["type"]))
-    scored = F.transform(kinds, lambda t, i: F.struct(_score(F.col("_ev"), t).alias("s"), (-i).alias("i"), t.alias("t")))
-    facts = facts.withColumn("_best", F.array_max(scored))
-    total = F.aggregate("_ev", F.lit(0.0), lambda s, e: s + e["weight"])
-    reasons = F.array_join(F.transform(F.filter("_ev", lambda e: e["type"] == F.col("_best.t")), lambda e: e["reason"]), "; ")
-    return (facts.withColumn("semantic_type", F.col("_best.t")).withColumn("confidence", F.round(F.col("_best.s") / total, 2))
-            .withColumn("reasons", reasons).drop("_base", "_ev", "_best"))
-
-
-def role(semantic_type: Column) -> Column:
-    return (F.when(semantic_type.isin("identifier", "business_key"), "key")
-            .when(semantic_type.isin("foreign_key", "parent_key"), "foreign_key")
-            .when(semantic_type.isin(*vocab.NUMERIC_TYPES), "measure")
-            .when(semantic_type.isin(*vocab.CODE_TYPES, "flag"), "dimension").otherwise("attribute"))
-
-
-def pii(semantic_type: Column, sensitive_hint: Column, column: Column) -> Column:
-    return (F.coalesce(semantic_type.isin(*vocab.PII_TYPES), F.lit(False)) | F.coalesce(sensitive_hint, F.lit(False))
-            | text.snake(column).rlike(vocab.PII_NAME))
-
-
-def expected_pattern() -> Column:
+        f"CASE WHEN generic_type = 'boolean' THEN {_ev(q('flag'), 4, q('boolean type'))} "
+        f"WHEN {one_of('generic_type', vocab.DATE_GENERIC)} THEN {_ev(date_type, 3, q('date type'))} "
+        f"WHEN is_primary_key OR fk_target IS NOT NULL THEN NULL "
+        f"WHEN {numeric} AND {only_01} THEN {_ev(q('flag'), 2, q('only 0/1 values'))} "
+        f"WHEN {numeric} THEN {_ev(number_type, 2, q('numeric'))} "
+        f"WHEN generic_type = 'string' AND NOT {has_hint} THEN CASE "
+        f"  WHEN {code_like} AND {unique} >= {vocab.NEAR_UNIQUE} AND null_rate < 0.05 THEN {_ev(q('business_key'), 3, near_unique)} "
+        f"  WHEN distinct_count <= {vocab.TOP_VALUES} AND {unique} < 0.5 AND NOT {text_named} "
+        f"    THEN {_ev(code_type, f'CASE WHEN {code_like} THEN 2.5 ELSE 1.5 END', distinct_values)} "
+        f"  ELSE {_ev(text_type, 1, q('varied text'))} END END")
+
+    hints = {f"_h_{g}": F.expr(name_hint("_name", g)) for g in vocab.NAME_HINT_GROUPS}
+    scored = f"transform(array_distinct(transform(_ev, e -> e.type)), (t, i) -> struct({_total('_ev', 't')} AS s, -i AS i, t AS t))"
+    return (facts.withColumn("_name", F.expr(text.snake("bare_name"))).withColumns(hints)
+            .withColumn("_base", F.expr(f"array_compact(array({base}))"))
+            .withColumn("_all", F.expr(f"concat(_base, array_compact(array({shape}, {_ev(q('other'), 0.5, q('baseline'))})))"))
+            .withColumn("_ev", F.expr(f"filter(_all, e -> array_contains({_compatible()}, e.type))"))
+            .withColumn("_best", F.expr(f"array_max({scored})"))
+            .withColumns({"semantic_type": F.expr("_best.t"), "confidence": F.expr(f"round(_best.s / {_total('_ev')}, 2)"),
+                          "reasons": F.expr("array_join(transform(filter(_ev, e -> e.type = _best.t), e -> e.reason), '; ')")})
+            .drop("_name", "_base", "_all", "_ev", "_best", *hints))
+
+
+def role(kind: str) -> str:
+    return (f"CASE WHEN {kind} IN ('identifier', 'business_key') THEN 'key' WHEN {kind} IN ('foreign_key', 'parent_key') THEN 'foreign_key' "
+            f"WHEN {one_of(kind, vocab.NUMERIC_TYPES)} THEN 'measure' WHEN {one_of(kind, vocab.CODE_TYPES + ('flag',))} THEN 'dimension' "
+            f"ELSE 'attribute' END")
+
+
+def pii(kind: str, sensitive_hint: str, column: str) -> str:
+    return (f"coalesce({one_of(kind, vocab.PII_TYPES)}, false) OR coalesce({sensitive_hint}, false) "
+            f"OR {text.snake(column)} RLIKE {q(vocab.PII_NAME)}")
+
+
+def expected_pattern() -> str:
     """Over profile rows with a semantic type: the regex values should follow, or NULL."""
-    top = F.get("patterns", F.lit(0))
-    return (F.when(F.col("semantic_type") == "email", F.lit(vocab.EMAIL_REGEX))
-            .when(F.col("semantic_type").isin("business_key", "phone", "postal_code") & (F.col("pattern_mode") == "exact")
-                  & (top["share"] >= vocab.DOMINANT_PATTERN), text.signature_regex(top["pattern"])))
+    return (f"CASE WHEN semantic_type = 'email' THEN {q(vocab.EMAIL_REGEX)} "
+            f"WHEN semantic_type IN ('business_key', 'phone', 'postal_code') AND pattern_mode = 'exact' "
+            f"AND patterns[0].share >= {vocab.DOMINANT_PATTERN} THEN {text.signature_regex('patterns[0].pattern')} END")
 
 
 # ---- valid codes and their look-alikes ------------------------------------------------------------
-def lookalike_reason(value: Column, valid: Column) -> Column:
+def lookalike_reason(value: str, valid: str) -> str:
     """Why a rare value looks like a valid one: misspelling, abbreviation, spelled-out or short form; else NULL."""
-    v, c = F.lower(value), F.lower(valid)
-    letters = F.array_join(F.transform(F.split(v, ""), lambda ch: F.regexp_replace(ch, r"([^\w\s])", r"\\$1")), ".*")
+    v, c = f"lower({value})", f"lower({valid})"
+    letters = f"array_join(transform(split({v}, ''), ch -> regexp_replace(ch, {q(r'([^\w\s])')}, {q(r'\\$1')})), '.*')"
+
+    def because(kind: str) -> str:
+        return f"concat({q(kind + " of '")}, {valid}, {q("'")})"
+    return (f"CASE WHEN length({v}) >= 4 AND levenshtein({v}, {c}) <= CASE WHEN length({c}) < 8 THEN 1 ELSE 2 END THEN {because('misspelling')} "
+            f"WHEN length({v}) >= 2 AND length({v}) < length({c}) AND {c} RLIKE concat('(?s)^', {letters}) THEN {because('abbreviation')} "
+            f"WHEN length({c}) <= 3 AND startswith({v}, {c}) AND length({v}) > length({c}) THEN {because('spelled-out form')} "
+            f"WHEN length({v}) >= 3 AND array_contains(split({c}, {q(r'[_\-\s]+')}), {v}) THEN {because('short form')} END")
+
 
-    def because(kind: str) -> Column:
-        return F.concat(F.lit(f"{kind} of '"), valid, F.lit("'"))
-    return (F.when((F.length(v) >= 4) & (F.levenshtein(v, c) <= F.when(F.length(c) < 8, 1).otherwise(2)), because("misspelling"))
-            .when((F.length(v) >= 2) & (F.length(v) < F.length(c)) & F.rlike(c, F.concat(F.lit("(?s)^"), letters)), because("abbreviation"))
-            .when((F.length(c) <= 3) & F.startswith(v, c) & (F.length(v) > F.length(c)), because("spelled-out form"))
-            .when((F.length(v) >= 3) & F.array_contains(F.split(c, r"[_\-\s]+"), v), because("short form")))
+def _style(value: str) -> str:
+    return (f"concat_ws('/', CASE WHEN NOT {value} RLIKE {q(r'\p{L}')} THEN 'none' "
+            f"WHEN NOT {value} RLIKE {q(r'[\p{L}&&[^\p{IsUppercase}]]')} THEN 'upper' "
+            f"WHEN NOT {value} RLIKE {q(r'[\p{L}&&[^\p{IsLowercase}]]')} THEN 'lower' ELSE 'mixed' END, "
+            f"CAST({value} RLIKE {q(r'\p{Nd}')} AS STRING), CAST({value} RLIKE {q(r'[^\w]')} AS STRING))")
 
 
-def _style(value: Column) -> Column:
-    case = (F.when(~value.rlike(r"\p{L}"), "none").when(~value.rlike(r"[\p{L}&&[^\p{IsUppercase}]]"), "upper")
-            .when(~value.rlike(r"[\p{L}&&[^\p{IsLowercase}]]"), "lower").otherwise("mixed"))
-    return F.concat_ws("/", case, value.rlike(r"\p{Nd}").cast("string"), value.rlike(r"[^\w]").cast("string"))
+def _once(value: str, name: str, use: str) -> str:
+    """``use`` with ``name`` bound to ``value``, computed one time however often it is mentioned."""
+    return f"transform(array({value}), {name} -> {use})[0]"
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with ``value`` computed one time, however often ``use`` mentions it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+_ANOMALIES = "array<struct<value:string,count:bigint,looks_like:string,reason:string>>"
 
 
-def classify_values(values: Column) -> Column:
+def classify_values(values: str) -> str:
     """Split a column's value frequencies (most frequent first) into struct(allowed, anomalies).
 
     A fold inside the JVM: the first value is valid; a case variant of a valid value never is; below 1 % a value
     that looks like a valid one is an anomaly, and so is one that also has an unfamiliar style.
     """
-    known = F.filter(values, lambda v: v["value"].isNotNull())
-    total = F.aggregate(known, F.lit(0).cast("bigint"), lambda s, v: s + v["count"]).cast("double")
-    start = F.struct(F.array().cast("array<string>").alias("allowed"), F.array().cast("array<string>").alias("styles"),
-                     F.array().cast("array<struct<value:string,count:bigint,looks_like:string,reason:string>>").alias("anomalies"))
-
-    def step(acc: Column, v: Column) -> Column:
-        value, share = v["value"], v["count"] / total
-        rare = share < vocab.CANONICAL_SHARE
-        near = F.get(F.filter(F.transform(acc["allowed"], lambda c: F.struct(c.alias("c"), lookalike_reason(value, c).alias("why"))),
-                              lambda x: x["why"].isNotNull()), F.lit(0))
-        seen = F.struct(_style(value).alias("style"), F.when(rare, near).alias("near"),
-                        F.get(F.filter(acc["allowed"], lambda c: F.lower(c) == F.lower(value)), F.lit(0)).alias("same"))
-
-        def judge(x: Column) -> Column:
-            looks = F.coalesce(x["same"], x["near"]["c"])
-            why = F.coalesce(F.concat(F.lit("case variant of '"), x["same"], F.lit("'")), x["near"]["why"],
-                             F.concat(F.lit("rare ("), F.format_number(share * 100, 2), F.lit("%) and unlike any valid value")))
-            ok = (F.size(acc["allowed"]) == 0) | (looks.isNull() & (~rare | (
-                (share >= vocab.STYLE_SHARE) & F.array_contains(acc["styles"], x["style"]))))
-            return F.struct(ok.alias("ok"), x["style"].alias("style"), F.struct(
-                value.alias("value"), v["count"].cast("bigint").alias("count"), looks.alias("looks_like"), why.alias("reason")).alias("bad"))
-
-        def grown(y: Column) -> Column:
-            return F.struct(
-                F.when(y["ok"], F.concat(acc["allowed"], F.array(value))).otherwise(acc["allowed"]).alias("allowed"),
-                F.when(y["ok"], F.concat(acc["styles"], F.array(y["style"]))).otherwise(acc["styles"]).alias("styles"),
-                F.when(y["ok"], acc["anomalies"]).otherwise(F.concat(acc["anomalies"], F.array(y["bad"]))).alias("anomalies"))
-        return _once(_once(seen, judge), grown)
-
-    return F.aggregate(known, start, step, lambda acc: F.struct(acc["allowed"].alias("allowed"), acc["anomalies"].alias("anomalies")))
+    known = f"filter({values}, v -> v.value IS NOT NULL)"
+    total = f"aggregate({known}, 0L, (s, v) -> s + v.count)"
+    near = (f"filter(transform(acc.allowed, c -> struct(c AS c, {lookalike_reason('v.value', 'c')} AS why)), "
+            f"n -> n.why IS NOT NULL)")
+    seen = (f"struct(v.share < {vocab.CANONICAL_SHARE} AS rare, {_style('v.value')} AS style, "
+            f"CASE WHEN v.share < {vocab.CANONICAL_SHARE} THEN get({near}, 0) END AS near, "
+            f"get(filter(acc.allowed, c -> lower(c) = lower(v.value)), 0) AS same)")
+    rare_text = "concat('rare (', format_number(v.share * 100, 2), '%) and unlike any valid value')"
+    looks = "coalesce(x.same, x.near.c)"
+    judged = (f"struct(size(acc.allowed) = 0 OR ({looks} IS NULL AND (NOT x.rare OR (v.share >= {vocab.STYLE_SHARE} "
+              f"AND array_contains(acc.styles, x.style)))) AS ok, x.style AS style, struct(v.value AS value, v.count AS count, "
+              f"{looks} AS looks_like, coalesce(concat({q("case variant of '")}, x.same, {q("'")}), x.near.why, {rare_text}) AS reason) AS bad)")
+    grown = ("struct(CASE WHEN y.ok THEN concat(acc.allowed, array(v.value)) ELSE acc.allowed END AS allowed, "
+             "CASE WHEN y.ok THEN concat(acc.styles, array(y.style)) ELSE acc.styles END AS styles, "
+             "CASE WHEN y.ok THEN acc.anomalies ELSE concat(acc.anomalies, array(y.bad)) END AS anomalies)")
+    step = _once(_once(seen, "x", judged), "y", grown)
+    start = (f"struct(CAST(array() AS array<string>) AS allowed, CAST(array() AS array<string>) AS styles, "
+             f"CAST(array() AS {_ANOMALIES}) AS anomalies)")
+    shares = _once(total, "rows", f"transform({known}, v -> struct(v.value AS value, v.count AS count, v.count / rows AS share))")
+    return (f"aggregate({shares}, {start}, (acc, v) -> {step}, acc -> struct(acc.allowed AS allowed, acc.anomalies AS anomalies))")
 
 
 def value_arrays(top: DataFrame) -> DataFrame:

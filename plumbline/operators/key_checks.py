@@ -11,7 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbline.functions.expressions import portable, rule_expression
+from plumbline.functions.expressions import rule_expression
+from plumbline.functions.text import q
 from plumbline.model import Model
 from plumbline.rules import Rule
 
@@ -178,8 +179,7 @@ def key_batches(rules: list[Rule], model: Model, tables) -> list[KeyBatch]:
             keys = {"k0": F.col(h.parent), "k1": F.col(h.level)}
             out.append(KeyBatch(rule.entity, keys, group, _parent_level(rule, "k0", "k1", model, tables)))
         elif rule.type == "hierarchy_attach_level":
-            col = F.expr(portable(rule.columns[0]))
-            out.append(KeyBatch(rule.entity, {"k0": col}, group, _attach_level(rule, "k0", model, tables)))
+            out.append(KeyBatch(rule.entity, {"k0": F.col(rule.columns[0])}, group, _attach_level(rule, "k0", model, tables)))
     return out
 
 
@@ -195,15 +195,11 @@ def count_keys(batch: KeyBatch, target: DataFrame, scopes: dict[str, Column | No
                                            *[F.count_if(f"in_{r}").alias(f"n_{r}") for r in scoped])
 
 
-def batch_totals(batch: KeyBatch, target: DataFrame, scopes: dict[str, Column | None]) -> DataFrame:
-    """(rule_id, total, failed) of every rule of the batch."""
-    decided = batch.decide(count_keys(batch, target, scopes))
-    sums = []
-    for r in batch.rules:
-        n = F.col("n_rows" if scopes[r.rule_id] is None else f"n_{r.rule_id}")
-        sums += [F.coalesce(F.sum(n), F.lit(0)).alias(f"t_{r.rule_id}"),
-                 F.coalesce(F.sum(F.when(F.col(f"bad_{r.rule_id}"), n)), F.lit(0)).alias(f"f_{r.rule_id}")]
-    one = decided.agg(*sums)
-    return one.select(F.inline(F.array(*[
-        F.struct(F.lit(r.rule_id).alias("rule_id"), F.col(f"t_{r.rule_id}").alias("total"),
-                 F.col(f"f_{r.rule_id}").alias("failed")) for r in batch.rules])))
+def batch_totals(batch: KeyBatch, decided: DataFrame, scopes: dict[str, Column | None]) -> DataFrame:
+    """(rule_id, total, failed) of every rule of the batch from its decided keys."""
+    sums, rows = [], []
+    for i, r in enumerate(batch.rules):
+        n = "n_rows" if scopes[r.rule_id] is None else f"`n_{r.rule_id}`"
+        sums += [f"sum({n}) AS t{i}", f"sum(CASE WHEN `bad_{r.rule_id}` THEN {n} END) AS f{i}"]
+        rows.append(f"struct({q(r.rule_id)} AS rule_id, coalesce(t{i}, 0L) AS total, coalesce(f{i}, 0L) AS failed)")
+    return decided.selectExpr(*sums).selectExpr(f"inline(array({', '.join(rows)}))")

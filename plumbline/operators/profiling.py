@@ -8,10 +8,11 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from plumbline import vocab
 from plumbline.functions import text
+from plumbline.functions.text import ident, q
 from plumbline.functions.quantiles import DIRECT_VALUES, exact_quantiles
 from plumbline.model import Constraints
 from plumbline.sources.inventory import generic_type
@@ -34,74 +35,67 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return columns_of_kind(df, *vocab.NUMERIC_GENERIC)
 
 
-def per_column(df: DataFrame, table: str, measures: dict[str, dict[str, Column]]) -> DataFrame:
+def per_column(df: DataFrame, table: str, measures: dict[str, dict[str, str]]) -> DataFrame:
     """One aggregate over the table, unfolded to one row (table, column, measures...) per column."""
-    one = df.agg(*[e.alias(f"{i}_{name}") for i, m in enumerate(measures.values()) for name, e in m.items()])
-    return one.select(F.inline(F.array(*[
-        F.struct(F.lit(table).alias("table"), F.lit(c).alias("column"), *[F.col(f"{i}_{name}").alias(name) for name in m])
-        for i, (c, m) in enumerate(measures.items())])))
+    one = df.selectExpr(*[f"{e} AS `{i}_{name}`" for i, m in enumerate(measures.values()) for name, e in m.items()])
+    rows = ", ".join(f"struct({q(table)} AS table, {q(c)} AS column, " + ", ".join(f"`{i}_{name}` AS {name}" for name in m) + ")"
+                     for i, (c, m) in enumerate(measures.items()))
+    return one.selectExpr(f"inline(array({rows}))")
 
 
-# ---- measures of one column -----------------------------------------------------------------------
-def _c(name: str) -> Column:
-    return F.col(f"`{name}`")
+# ---- measures of one column: name -> SQL aggregate ------------------------------------------------
+def null_measures(name: str) -> dict[str, str]:
+    return {"row_count": "count(1)", "null_count": f"count(1) - count({ident(name)})"}
 
 
-def null_measures(name: str) -> dict[str, Column]:
-    return {"row_count": F.count(F.lit(1)), "null_count": F.count(F.lit(1)) - F.count(_c(name))}
+def numeric_measures(name: str) -> dict[str, str]:
+    c = text.missing_nan(ident(name))
+    return {"min": f"min({c})", "max": f"max({c})", "zero_count": f"count_if({c} = 0)", "negative_count": f"count_if({c} < 0)"}
 
 
-def numeric_measures(name: str) -> dict[str, Column]:
-    c = text.missing_nan(_c(name).cast("double"))
-    return {"min": F.min(c), "max": F.max(c), "zero_count": F.count_if(c == 0), "negative_count": F.count_if(c < 0)}
+def spread_measures(name: str) -> dict[str, str]:
+    c = text.missing_nan(ident(name))
+    return {"mean": f"round(avg({c}), 4)", "std": f"round(stddev_samp({c}), 4)"}
 
 
-def spread_measures(name: str) -> dict[str, Column]:
-    c = text.missing_nan(_c(name).cast("double"))
-    return {"mean": F.round(F.avg(c), 4), "std": F.round(F.stddev_samp(c), 4)}
-
-
-def date_measures(df: DataFrame, name: str, as_of: dt.date) -> dict[str, Column]:
+def date_measures(df: DataFrame, name: str, as_of: dt.date) -> dict[str, str]:
     """Dates as text too: a text value counts as a date of the future only if it starts with a year."""
-    c = _c(name)
+    c = ident(name)
     if isinstance(df.schema[name].dataType, T.StringType):
-        day = F.substring(c, 1, 10)
-        future = (c > F.lit(as_of.isoformat())) & F.substring(c, 1, 4).between("0000", "9999")
-        broken = c.isNotNull() & ~iso_date(c)
-        shown = c
+        day = f"substring({c}, 1, 10)"
+        future = f"{c} > '{as_of}' AND substring({c}, 1, 4) BETWEEN '0000' AND '9999'"
+        broken = f"{c} IS NOT NULL AND NOT ({iso_date(c)})"
     else:
-        day = c.cast("date").cast("string")
-        future, broken = c > F.lit(as_of), F.lit(False)
-        shown = c
-    return {"min": F.min(shown).cast("string"), "max": F.max(shown).cast("string"), "future_count": F.count_if(future),
-            "placeholder_count": F.count_if(day.isin(*vocab.PLACEHOLDER_DATES)), "unparseable_count": F.count_if(broken)}
+        day = f"CAST(CAST({c} AS DATE) AS STRING)"
+        future, broken = f"{c} > DATE '{as_of}'", "false"
+    return {"min": f"CAST(min({c}) AS STRING)", "max": f"CAST(max({c}) AS STRING)", "future_count": f"count_if({future})",
+            "placeholder_count": f"count_if({text.one_of(day, vocab.PLACEHOLDER_DATES)})", "unparseable_count": f"count_if({broken})"}
 
 
-def iso_date(c: Column) -> Column:
+def iso_date(c: str) -> str:
     """TRUE for text that is an existing ISO-8601 day, with or without a time."""
-    shaped = c.rlike(r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$")
-    return shaped & F.try_to_timestamp(c).isNotNull()
+    shape = q(r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$")
+    return f"{c} RLIKE {shape} AND try_to_timestamp({c}) IS NOT NULL"
 
 
-def text_measures(name: str) -> dict[str, Column]:
-    c = _c(name)
-    letters = c.rlike("[A-Za-z]")
-    upper = letters & ~c.rlike(r"[\p{IsLowercase}\p{Lt}]")
-    lower = letters & ~c.rlike(r"[\p{IsUppercase}\p{Lt}]")
+def text_measures(name: str) -> dict[str, str]:
+    c = ident(name)
     bare = text.strip(c)
-    return {"min_length": F.min(F.length(c)), "avg_length": F.round(F.avg(F.length(c)), 2),
-            "max_length": F.max(F.length(c)), "blank_count": F.count_if(bare == ""), "untrimmed_count": F.count_if(c != bare),
-            "upper_count": F.count_if(upper), "lower_count": F.count_if(lower),
-            "mixed_case_count": F.count_if(letters) - F.count_if(upper) - F.count_if(lower)}
+    letters = f"{c} RLIKE '[A-Za-z]'"
+    upper = f"{letters} AND NOT {c} RLIKE {q(r'[\p{IsLowercase}\p{Lt}]')}"
+    lower = f"{letters} AND NOT {c} RLIKE {q(r'[\p{IsUppercase}\p{Lt}]')}"
+    return {"min_length": f"min(length({c}))", "avg_length": f"round(avg(length({c})), 2)", "max_length": f"max(length({c}))",
+            "blank_count": f"count_if({bare} = '')", "untrimmed_count": f"count_if({c} <> {bare})",
+            "upper_count": f"count_if({upper})", "lower_count": f"count_if({lower})",
+            "mixed_case_count": f"count_if({letters}) - count_if({upper}) - count_if({lower})"}
 
 
-def format_measures(name: str) -> dict[str, Column]:
+def format_measures(name: str) -> dict[str, str]:
     """Best matching format at 80 % or more; an earlier format wins a tie."""
-    c = _c(name)
-    rates = [F.struct(F.avg(c.rlike(rx).cast("int")).alias("rate"), F.lit(-i).alias("place"), F.lit(f).alias("format"))
-             for i, (f, rx) in enumerate(vocab.FORMATS)]
-    best = F.array_max(F.filter(F.array(*rates), lambda r: r["rate"] >= vocab.FORMAT_MIN_RATE))
-    return {"format": best["format"], "match_rate": F.round(best["rate"], 6)}
+    rates = ", ".join(f"struct(avg(CAST({ident(name)} RLIKE {q(rx)} AS INT)) AS rate, {-i} AS place, {q(f)} AS format)"
+                      for i, (f, rx) in enumerate(vocab.FORMATS))
+    best = f"array_max(filter(array({rates}), r -> r.rate >= {vocab.FORMAT_MIN_RATE}))"
+    return {"format": f"{best}.format", "match_rate": f"round({best}.rate, 6)"}
 
 
 # ---- families as tables ---------------------------------------------------------------------------
@@ -114,7 +108,7 @@ def distinct_counts(df: DataFrame, table: str, columns: list[str] | None = None)
     """(table, column, row_count, non_null, distinct_count): exact, the values shuffled once."""
     todo = [c for c in columns or df.columns if not isinstance(df.schema[c].dataType, (T.MapType, T.VariantType))]
     return union(per_column(df, table, {
-        c: {"row_count": F.count(F.lit(1)), "non_null": F.count(_c(c)), "distinct_count": F.count_distinct(_c(c))}
+        c: {"row_count": "count(1)", "non_null": f"count({ident(c)})", "distinct_count": f"count(DISTINCT {ident(c)})"}
         for c in todo[i:i + DISTINCTS_PER_SCAN]}) for i in range(0, len(todo), DISTINCTS_PER_SCAN))
 
 
@@ -127,21 +121,22 @@ def uniqueness(df: DataFrame, table: str, columns: list[str] | None = None) -> D
 def low_cardinality(df: DataFrame, columns: list[str], limit: int = vocab.TOP_VALUES) -> list[str]:
     """Columns that may have at most ``limit`` distinct values.
 
-    The sketch never overestimates so few values by more than rounding (each value sets one register), so no
+    The sketch cannot overestimate so few values by more than a few (each value sets one of its registers), so no
     such column is lost; a column let through by mistake is dropped by the exact count later.
     """
     if not columns:
         return []
-    row = df.agg(*[F.approx_count_distinct(_c(c), 0.02).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    return [c for i, c in enumerate(columns) if row[f"n{i}"] <= 2 * limit]
+    row = df.selectExpr(*[f"approx_count_distinct({ident(c)})" for c in columns]).first()
+    return [c for c, n in zip(columns, row) if n <= 2 * limit]
+
+
+def _stacked(columns: list[str]) -> str:
+    return "inline(array(" + ", ".join(f"struct({q(c)} AS column, CAST({ident(c)} AS STRING) AS value)" for c in columns) + "))"
 
 
 def value_counts(df: DataFrame, table: str, columns: list[str]) -> DataFrame:
     """(table, column, value, n) of several columns in one shuffle; the NULL group is kept."""
-    def shown(c: str) -> Column:
-        return _c(c).cast("string")
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), shown(c).alias("value")) for c in columns])
-    return (df.select(F.inline(pairs)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return (df.selectExpr(_stacked(columns)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
             .select(F.lit(table).alias("table"), "column", "value", "n"))
 
 
@@ -162,8 +157,7 @@ def top_values(df: DataFrame, table: str, columns: list[str], limit: int = vocab
 
 def boolean_stats(values: DataFrame) -> DataFrame:
     """(table, column, true_count, false_count, invalid_values) from value counts (``count`` column)."""
-    word = text.mode_bool_word(F.col("value"))
-    known = values.where(F.col("value").isNotNull()).withColumn("word", word)
+    known = values.where(F.col("value").isNotNull()).withColumn("word", F.expr(text.bool_word("value")))
     return known.groupBy("table", "column").agg(
         F.coalesce(F.sum(F.when(F.col("word") == "true", F.col("count"))), F.lit(0)).alias("true_count"),
         F.coalesce(F.sum(F.when(F.col("word") == "false", F.col("count"))), F.lit(0)).alias("false_count"),
@@ -172,11 +166,10 @@ def boolean_stats(values: DataFrame) -> DataFrame:
 
 def shapes(df: DataFrame, table: str, columns: list[str], with_example: bool = False) -> DataFrame:
     """(table, column, pattern, collapsed, n[, example]): how often each value shape occurs."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), _c(c).cast("string").alias("value")) for c in columns])
-    values = df.select(F.inline(pairs)).where(F.col("value").isNotNull())
+    values = df.selectExpr(_stacked(columns)).where(F.col("value").isNotNull())
     measures = [F.count(F.lit(1)).alias("n")] + ([F.min("value").alias("example")] if with_example else [])
-    return (values.groupBy("column", text.signature(F.col("value")).alias("pattern")).agg(*measures)
-            .withColumn("collapsed", text.collapse(F.col("pattern"))).withColumn("table", F.lit(table)))
+    return (values.groupBy("column", F.expr(text.signature("value")).alias("pattern")).agg(*measures)
+            .withColumn("collapsed", F.expr(text.collapse("pattern"))).withColumn("table", F.lit(table)))
 
 
 def _ranked_patterns(found: DataFrame, pattern: str, mode: str, limit: int) -> DataFrame:
@@ -213,18 +206,16 @@ def numeric_shape(df: DataFrame, table: str, columns: list[str], direct_values:
     quantiles = exact_quantiles(df, columns, vocab.PERCENTILES, direct_values)
     measures = {}
     for c in columns:
-        q = quantiles[c]
-        named = {k: F.lit(None).cast("double") for k in ("p01", "p05", "median", "p95", "p99", "outlier_lo", "outlier_hi")}
-        outside = F.lit(None).cast("boolean")
-        if q is not None:
-            p01, p05, q1, mid, q3, p95, p99 = q
-            named |= {k: F.round(F.lit(v), 4) for k, v in (("p01", p01), ("p05", p05), ("median", mid), ("p95", p95), ("p99", p99))}
+        shown = dict.fromkeys(("p01", "p05", "median", "p95", "p99", "outlier_lo", "outlier_hi"))
+        outside = "CAST(NULL AS BOOLEAN)"
+        if quantiles[c] is not None:
+            shown["p01"], shown["p05"], q1, shown["median"], q3, shown["p95"], shown["p99"] = quantiles[c]
             if q3 > q1:
-                lo, hi = q1 - vocab.FENCE * (q3 - q1), q3 + vocab.FENCE * (q3 - q1)
-                named |= {"outlier_lo": F.round(F.lit(lo), 4), "outlier_hi": F.round(F.lit(hi), 4)}
-                value = text.missing_nan(_c(c).cast("double"))
-                outside = (value < lo) | (value > hi)
-        measures[c] = spread_measures(c) | {k: F.any_value(v) for k, v in named.items()} | {"outlier_count": F.count_if(outside)}
+                shown["outlier_lo"], shown["outlier_hi"] = lo, hi = q1 - vocab.FENCE * (q3 - q1), q3 + vocab.FENCE * (q3 - q1)
+                value = text.missing_nan(ident(c))
+                outside = f"{value} < {lo!r}D OR {value} > {hi!r}D"
+        numbers = {k: "CAST(NULL AS DOUBLE)" if v is None else f"round({v!r}D, 4)" for k, v in shown.items()}
+        measures[c] = spread_measures(c) | numbers | {"outlier_count": f"count_if({outside})"}
     return per_column(df, table, measures)
 
 

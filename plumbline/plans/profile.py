@@ -5,7 +5,7 @@ import datetime as dt
 import re
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline import vocab
 from plumbline.functions import text
@@ -50,7 +50,7 @@ def profile_table(df: DataFrame, table: str, as_of: dt.date, constraints: Constr
     numbers = [c for c, k in kinds.items() if k in vocab.NUMERIC_GENERIC]
     words = [c for c, k in kinds.items() if k == "string"]
 
-    basic = df.agg(*[e.alias(f"{i}.{name}") for i, c in enumerate(df.columns) for name, e in (
+    basic = df.selectExpr(*[f"{e} AS `{i}.{name}`" for i, c in enumerate(df.columns) for name, e in (
         p.null_measures(c) | (p.numeric_measures(c) if c in numbers else {})
         | (p.date_measures(df, c, as_of) if c in dates else {})
         | (p.text_measures(c) | p.format_measures(c) if c in words else {})).items()]).first().asDict()
@@ -67,7 +67,7 @@ def profile_table(df: DataFrame, table: str, as_of: dt.date, constraints: Constr
     seen: dict[str, list] = {}
     if words:
         found = p.shapes(df, table, words, with_example=True)
-        for r in p.patterns(found).withColumn("masked", text.mask(F.col("example"))).orderBy("column", "rank").collect():
+        for r in p.patterns(found).withColumn("masked", F.expr(text.mask("example"))).orderBy("column", "rank").collect():
             seen.setdefault(r["column"], []).append(r)
 
     rows = []
@@ -106,27 +106,24 @@ def profile_tables(tables: dict[str, DataFrame], as_of: dt.date, constraints: Co
 
 def signals(profiles: DataFrame, orphans: DataFrame | None = None) -> DataFrame:
     """(table, column, signal, detail) for everything suspicious a profile shows."""
-    top, share = F.col("top_values"), vocab.RARE_SHARE
-    rare = F.filter(top, lambda v: v["value"].isNotNull() & (v["share"] < share))
-    dominant = F.aggregate(F.filter(top, lambda v: v["share"] >= share), F.lit(0.0), lambda s, v: s + v["share"])
-    minority = F.filter(F.slice("patterns", 2, vocab.TOP_PATTERNS), lambda v: v["share"] < share)
-
-    def sign(name: str, when: Column, detail: Column) -> Column:
-        return F.when(when, F.struct(F.lit(name).alias("signal"), detail.cast("string").alias("detail")))
-
-    found = F.array_compact(F.array(
-        sign("nulls", F.col("null_count") > 0, F.col("null_count")),
-        sign("near_unique", (F.col("uniqueness") >= vocab.NEAR_UNIQUE) & (F.col("uniqueness") < 1), F.col("uniqueness")),
-        sign("rare_values", (F.size(top) > 1) & (F.size(rare) > 0) & (dominant >= vocab.DOMINANT_SHARE),
-             F.array_join(F.transform(F.slice(rare, 1, 6), lambda v: v["value"]), ",")),
-        sign("minority_patterns", (F.size("patterns") > 1) & (F.size(minority) > 0),
-             F.array_join(F.transform(F.slice(minority, 1, 4), lambda v: v["pattern"]), ",")),
-        sign("format_mismatch", F.col("detected_format.match_rate") < 1, F.col("detected_format.match_rate")),
-        sign("negatives", F.col("numeric.negative_count") > 0, F.col("numeric.negative_count")),
-        sign("zeros", F.col("numeric.zero_count") > 0, F.col("numeric.zero_count")),
-        sign("outliers", F.col("numeric.outlier_count") > 0, F.col("numeric.outlier_count")),
-        sign("placeholders", F.col("date.placeholder_count") > 0, F.col("date.placeholder_count")),
-        sign("future_dates", F.col("date.future_count") > 0, F.col("date.future_count"))))
+    rare = f"filter(top_values, v -> v.value IS NOT NULL AND v.share < {vocab.RARE_SHARE})"
+    dominant = f"aggregate(filter(top_values, v -> v.share >= {vocab.RARE_SHARE}), 0D, (s, v) -> s + v.share)"
+    minority = f"filter(slice(patterns, 2, {vocab.TOP_PATTERNS}), p -> p.share < {vocab.RARE_SHARE})"
+    signs = (
+        ("nulls", "null_count > 0", "null_count"),
+        ("near_unique", f"uniqueness >= {vocab.NEAR_UNIQUE} AND uniqueness < 1", "uniqueness"),
+        ("rare_values", f"size(top_values) > 1 AND size({rare}) > 0 AND {dominant} >= {vocab.DOMINANT_SHARE}",
+         f"array_join(transform(slice({rare}, 1, 6), v -> v.value), ',')"),
+        ("minority_patterns", f"size(patterns) > 1 AND size({minority}) > 0",
+         f"array_join(transform(slice({minority}, 1, 4), p -> p.pattern), ',')"),
+        ("format_mismatch", "detected_format.match_rate < 1", "detected_format.match_rate"),
+        ("negatives", "numeric.negative_count > 0", "numeric.negative_count"),
+        ("zeros", "numeric.zero_count > 0", "numeric.zero_count"),
+        ("outliers", "numeric.outlier_count > 0", "numeric.outlier_count"),
+        ("placeholders", "date.placeholder_count > 0", "date.placeholder_count"),
+        ("future_dates", "date.future_count > 0", "date.future_count"))
+    found = F.expr("array_compact(array(" + ", ".join(
+        f"CASE WHEN {when} THEN struct('{name}' AS signal, CAST({detail} AS STRING) AS detail) END" for name, when, detail in signs) + "))")
     out = profiles.select("table", "column", F.inline(found))
     if orphans is None:
         return out

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline import vocab
+from plumbline.functions.text import one_of
 from plumbline.model import Attachment, Constraints, Entity, Hierarchy, Model, bare_names, entity_id
 from plumbline.operators import inference as inf
 from plumbline.operators import links as lk
@@ -59,24 +60,19 @@ def attribute_facts(profiles: DataFrame, tables, links: list[lk.Link]) -> DataFr
 
 def attributes(facts: DataFrame) -> DataFrame:
     """One row per column: semantic type, role, pii, expected pattern, valid codes, observed range."""
-    ids = F.col("entity_id")
     typed = pinned(inf.semantic_types(facts))
-    kind = F.col("semantic_type")
-    split = inf.classify_values(F.col("top_values"))
-    coded = kind.isin(*vocab.CODE_TYPES) & F.col("top_values").isNotNull()
-    ranged = kind.isin(*vocab.NUMERIC_TYPES)
-    typed = typed.withColumn("_split", F.when(coded, split))
-    return typed.select(
-        ids, "table", "column", "ordinal", "generic_type",
-        F.initcap(F.regexp_replace("column", "_", " ")).alias("title"),
-        F.concat(F.upper(F.substring("column", 1, 1)), F.lower(F.regexp_replace(F.expr("substring(column, 2)"), "_", " "))).alias("name"),
-        "semantic_type", inf.role(kind).alias("role"), "confidence", "reasons",
-        inf.pii(kind, F.col("sensitive_hint"), F.col("column")).alias("pii"), inf.expected_pattern().alias("expected_pattern"),
-        F.when(F.size("_split.allowed") > 0, F.col("_split.allowed")).alias("allowed_values"),
-        F.coalesce("_split.anomalies", F.array().cast("array<struct<value:string,count:bigint,looks_like:string,reason:string>>"))
-        .alias("value_anomalies"),
-        F.when(ranged, F.col("numeric.p01")).alias("range_min"), F.when(ranged, F.col("numeric.p99")).alias("range_max"),
-        F.lit("heuristic").alias("source"), F.lit(False).alias("locked")).drop("title")
+    coded = one_of("semantic_type", vocab.CODE_TYPES)
+    ranged = one_of("semantic_type", vocab.NUMERIC_TYPES)
+    split = typed.withColumn("_split", F.expr(f"CASE WHEN {coded} AND top_values IS NOT NULL THEN {inf.classify_values('top_values')} END"))
+    return split.selectExpr(
+        "entity_id", "table", "column", "ordinal", "generic_type",
+        "concat(upper(left(column, 1)), lower(replace(substring(column, 2), '_', ' '))) AS name",
+        "semantic_type", f"{inf.role('semantic_type')} AS role", "confidence", "reasons",
+        f"{inf.pii('semantic_type', 'sensitive_hint', 'column')} AS pii", f"{inf.expected_pattern()} AS expected_pattern",
+        "CASE WHEN size(_split.allowed) > 0 THEN _split.allowed END AS allowed_values",
+        f"coalesce(_split.anomalies, CAST(array() AS {inf._ANOMALIES})) AS value_anomalies",
+        f"CASE WHEN {ranged} THEN numeric.p01 END AS range_min", f"CASE WHEN {ranged} THEN numeric.p99 END AS range_max",
+        "'heuristic' AS source", "false AS locked")
 
 
 def relationships(links: list[lk.Link], profiles: DataFrame) -> DataFrame:

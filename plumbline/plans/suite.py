@@ -33,23 +33,23 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _totals(one_row: DataFrame, triples: list[tuple[str, Column, Column]]) -> DataFrame:
-    return one_row.select(F.inline(F.array(*[
-        F.struct(F.lit(rid).alias("rule_id"), t.cast("bigint").alias("total"), f.cast("bigint").alias("failed"))
-        for rid, t, f in triples])))
+def _totals(one_row: DataFrame, triples: list[tuple[str, str, str]]) -> DataFrame:
+    rows = ", ".join(f"struct({text.q(rid)} AS rule_id, CAST({t} AS BIGINT) AS total, CAST({f} AS BIGINT) AS failed)"
+                     for rid, t, f in triples)
+    return one_row.selectExpr(f"inline(array({rows}))")
 
 
 def _row_check_totals(target: DataFrame, checks: list[tuple[Rule, Column | None, Column]]) -> DataFrame:
     """One aggregate for all row checks of an entity."""
     measures, triples = [F.count(F.lit(1)).alias("n_rows")], []
     for rule, scope, bad in checks:
-        total = F.col("n_rows")
+        total = "n_rows"
         if scope is not None:
             measures.append(F.count_if(scope).alias(f"t_{rule.rule_id}"))
-            total = F.col(f"t_{rule.rule_id}")
+            total = f"`t_{rule.rule_id}`"
             bad = scope & bad
         measures.append(F.count_if(bad).alias(f"f_{rule.rule_id}"))
-        triples.append((rule.rule_id, total, F.col(f"f_{rule.rule_id}")))
+        triples.append((rule.rule_id, total, f"`f_{rule.rule_id}`"))
     return _totals(target.agg(*measures), triples)
 
 
@@ -78,23 +78,19 @@ class Prepared:
         self.tables, self.model, self.rules = tables, model, rules
         self.errors: dict[str, str] = {}
         self.row: dict[str, list[tuple[Rule, Column | None, Column]]] = {}
-        self.batches: list[tuple[KeyBatch, dict[str, Column | None]]] = []
+        self.batches: list[tuple[KeyBatch, dict[str, Column | None], DataFrame]] = []
         self.acyclic: list[Rule] = []
         self.custom: list[tuple[Rule, DataFrame]] = []
         keyed: list[Rule] = []
         for r in rules:
             try:
                 target = tables[model.entity(r.entity).table]
-                missing = [c for c in r.columns if c not in target.columns] if r.type != "hierarchy_attach_level" else []
+                missing = [c for c in r.columns if c not in target.columns]
                 if missing:
                     raise ValueError(f"target: unknown column(s) {missing} in '{r.entity}'")
                 if r.type in ROW_CHECKS:
-                    scope, bad = scope_of(r, target), fails(r, target, as_of)
-                    target.select(bad if scope is None else scope & bad)      # analysed here, not run
-                    self.row.setdefault(r.entity, []).append((r, scope, bad))
+                    self.row.setdefault(r.entity, []).append((r, scope_of(r, target), fails(r, target, as_of)))
                 elif r.type in KEY_CHECKS:
-                    for b in key_batches([r], model, tables):
-                        b.decide(count_keys(b, target, {r.rule_id: scope_of(r, target)}))
                     keyed.append(r)
                 elif r.type == "hierarchy_acyclic":
                     model.hierarchy(r.check["hierarchy"])
@@ -105,9 +101,43 @@ class Prepared:
                     raise ValueError(f"unknown check type '{r.type}'")
             except Exception as e:  # noqa: BLE001 - a broken rule must not stop the others
                 self.errors[r.rule_id] = _problem(e)
-        for b in key_batches(keyed, model, tables):
-            target = tables[model.entity(b.entity).table]
-            self.batches.append((b, {r.rule_id: scope_of(r, target) for r in b.rules}))
+        self.row = {entity: self._runnable(entity, checks) for entity, checks in self.row.items()}
+        self.row = {entity: checks for entity, checks in self.row.items() if checks}
+        try:
+            self.batches = self._batches(keyed)
+        except Exception:  # noqa: BLE001 - find the rules that cannot be planned
+            for r in keyed:
+                try:
+                    self._batches([r])
+                except Exception as e:  # noqa: BLE001
+                    self.errors[r.rule_id] = _problem(e)
+            self.batches = self._batches([r for r in keyed if r.rule_id not in self.errors])
+
+    def _runnable(self, entity: str, checks: list) -> list:
+        """Checks Spark can resolve: all of them in one analysis, one by one only if that fails."""
+        def analysed(some: list) -> None:
+            self.table(entity).select(*[bad if scope is None else scope & bad for _, scope, bad in some])
+        try:
+            analysed(checks)
+            return checks
+        except Exception:  # noqa: BLE001
+            good = []
+            for check in checks:
+                try:
+                    analysed([check])
+                    good.append(check)
+                except Exception as e:  # noqa: BLE001
+                    self.errors[check[0].rule_id] = _problem(e)
+            return good
+
+    def _batches(self, keyed: list[Rule]) -> list[tuple[KeyBatch, dict[str, Column | None], DataFrame]]:
+        """Batches with their scopes and the decided keys (planned, so that errors show here)."""
+        out = []
+        for b in key_batches(keyed, self.model, self.tables):
+            target = self.table(b.entity)
+            scopes = {r.rule_id: scope_of(r, target) for r in b.rules}
+            out.append((b, scopes, b.decide(count_keys(b, target, scopes))))
+        return out
 
     def table(self, entity: str) -> DataFrame:
         return self.tables[self.model.entity(entity).table]
@@ -123,14 +153,14 @@ def execute_rules(tables, rules: list[Rule], model: Model, as_of: dt.date) -> Da
         for entity, checks in p.row.items():
             for i in range(0, len(checks), RULES_PER_SCAN):
                 parts.append(_row_check_totals(p.table(entity), checks[i:i + RULES_PER_SCAN]))
-        for batch, scopes in p.batches:
-            parts.append(batch_totals(batch, p.table(batch.entity), scopes))
+        for batch, scopes, decided in p.batches:
+            parts.append(batch_totals(batch, decided, scopes))
         for r in p.acyclic:
             parts.append(_acyclic_totals(r, p))
         for r, failing in p.custom:
             counts = (p.table(r.entity).select(F.lit(1).alias("row"), F.lit(0).alias("bad"))
                       .unionAll(failing.select(F.lit(0), F.lit(1))).agg(F.sum("row").alias("t"), F.sum("bad").alias("f")))
-            parts.append(_totals(counts, [(r.rule_id, F.coalesce("t", F.lit(0)), F.coalesce("f", F.lit(0)))]))
+            parts.append(_totals(counts, [(r.rule_id, "coalesce(t, 0)", "coalesce(f, 0)")]))
         parts = [x.withColumn("error", F.lit(None).cast("string")) for x in parts]
         if p.errors:
             parts.append(spark.range(1).select(F.inline(F.array(*[
@@ -146,16 +176,16 @@ def _acyclic_totals(rule: Rule, p: Prepared) -> DataFrame:
     nodes = p.tables[node.table]
     key = node.primary_key[0]
     _, failed = cycle_nodes(nodes, key, h.parent)
-    return _totals(nodes.agg(F.count_distinct(key).alias("n")), [(rule.rule_id, F.col("n"), F.lit(failed))])
+    return _totals(nodes.agg(F.count_distinct(key).alias("n")), [(rule.rule_id, "n", str(failed))])
 
 
 def _with_verdict(totals: DataFrame, rules: list[Rule]) -> DataFrame:
     """Add what is known about the rule (literals, no join) and decide passed / failed."""
-    facts = F.create_map(*[x for r in rules for x in (F.lit(r.rule_id), F.struct(
-        F.lit(r.name).alias("name"), F.lit(r.entity).alias("entity"), F.lit(r.type).alias("check_type"),
-        F.lit(r.severity).alias("severity"), F.lit(float(r.limit)).alias("allowed")))])
+    facts = F.expr("map(" + ", ".join(
+        f"{text.q(r.rule_id)}, struct({text.q(r.name)} AS name, {text.q(r.entity)} AS entity, {text.q(r.type)} AS check_type, "
+        f"{text.q(r.severity)} AS severity, {float(r.limit)!r}D AS allowed)" for r in rules) + ")[rule_id]")
     rate = F.round(F.coalesce(F.try_divide(F.col("failed").cast("double"), F.col("total")), F.lit(0.0)), 6)
-    return (totals.withColumn("fact", facts[F.col("rule_id")]).withColumn("failure_rate", rate)
+    return (totals.withColumn("fact", facts).withColumn("failure_rate", rate)
             .select("rule_id", "fact.name", "fact.entity", "fact.check_type", "fact.severity", "total", "failed",
                     "failure_rate",
                     (F.col("error").isNull() & (F.col("failure_rate") <= F.col("fact.allowed"))).alias("passed"),
@@ -179,10 +209,14 @@ def _shown(rule: Rule, p: Prepared) -> Column:
     pairs = []
     for c in columns:
         value = as_text(df, c)
-        pairs += [F.lit(c), text.mask(value) if c in entity.pii else value]
+        pairs += [F.lit(c), masked(c) if c in entity.pii else value]
     return F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
 
 
+def masked(column: str) -> Column:
+    return F.expr(text.mask(f"CAST({text.ident(column)} AS STRING)"))
+
+
 def _hits(flags: list[tuple[Rule, Column]], p: Prepared) -> Column:
     found = F.array(*[F.when(bad, F.struct(F.lit(r.rule_id).alias("rule_id"), _shown(r, p).alias("shown")))
                       for r, bad in flags])
@@ -201,8 +235,8 @@ def violations(tables, rules: list[Rule], model: Model, as_of: dt.date) -> DataF
         for entity, checks in p.row.items():
             flags = [(r, bad if scope is None else scope & bad) for r, scope, bad in checks]
             parts.append(_listed(p.table(entity), entity, _hits(flags, p), p))
-        for batch, scopes in p.batches:
-            parts.append(_batch_rows(batch, scopes, p))
+        for batch, scopes, decided in p.batches:
+            parts.append(_batch_rows(batch, decided, scopes, p))
         for r in p.acyclic:
             h = model.hierarchy(r.check["hierarchy"])
             node = model.entity(h.entity)
@@ -225,9 +259,8 @@ def _listed(rows: DataFrame, entity: str, hits: Column, p: Prepared) -> DataFram
             .select("hit.rule_id", F.lit(entity).alias("entity"), "key", "hit.shown"))
 
 
-def _batch_rows(batch: KeyBatch, scopes: dict[str, Column | None], p: Prepared) -> DataFrame:
+def _batch_rows(batch: KeyBatch, decided: DataFrame, scopes: dict[str, Column | None], p: Prepared) -> DataFrame:
     target = p.table(batch.entity)
-    decided = batch.decide(count_keys(batch, target, scopes))
     bad = [f"bad_{r.rule_id}" for r in batch.rules]
     failing = decided.where(F.greatest(*[F.coalesce(F.col(b), F.lit(False)) for b in bad])
                             if len(bad) > 1 else F.col(bad[0])).select(*batch.keys, "n_rows", *bad)
@@ -253,7 +286,7 @@ def violation_examples(tables, rules: list[Rule], model: Model, as_of: dt.date,
                 continue
             pii = set(model.entity(r.entity).pii)
             pairs = [x for c in found.columns
-                     for x in (F.lit(c), text.mask(F.col(c).cast("string")) if c in pii else F.col(c).cast("string"))]
+                     for x in (F.lit(c), masked(c) if c in pii else F.col(c).cast("string"))]
             rows = rows.unionByName(found.select(
                 F.lit(r.rule_id).alias("rule_id"), F.lit(r.entity).alias("entity"),
                 F.lit(None).cast("string").alias("key"), F.create_map(*pairs).alias("shown")))

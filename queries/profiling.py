@@ -252,7 +252,7 @@ _MASK = ("CASE WHEN {c} IS NULL THEN NULL WHEN contains({c}, '@') THEN concat(su
  {_MASK.format(c='example')} ELSE example END AS example FROM ({_PATTERNS}) WHERE rank <= 3""")
 def pattern_examples(spark, sf_dir):
     top = p.patterns(_shapes(spark, sf_dir, with_example=True)).where("rank <= 3")
-    hidden = F.when(F.col("column").isin("email", "phone"), text.mask(F.col("example"))).otherwise(F.col("example"))
+    hidden = F.when(F.col("column").isin("email", "phone"), F.expr(text.mask("example"))).otherwise(F.col("example"))
     return top.select("table", "column", "rank", "pattern", hidden.alias("example"))
 
 
@@ -293,14 +293,14 @@ def text_stats(spark, sf_dir):
  {_MASK.format(c='c_name')} AS c_name, {_MASK.format(c='c_mktsegment')} AS c_mktsegment FROM customer_dirty""")
 def mask_values(spark, sf_dir):
     return Tables(spark, sf_dir)["customer_dirty"].select(
-        "c_custkey", *[text.mask(F.col(c)).alias(c) for c in (*_SENSITIVE_COLUMNS[1:], "c_name", "c_mktsegment")])
+        "c_custkey", *[F.expr(text.mask(c)).alias(c) for c in (*_SENSITIVE_COLUMNS[1:], "c_name", "c_mktsegment")])
 
 
 @register("sensitive_columns", _format_sql(TEXTS) + f"""SELECT k."table", k."column", regexp_matches(k."column", '{vocab.SENSITIVE_NAME}', 'i') AS by_name,
  coalesce(format IN ('email', 'phone'), false) AS by_format FROM keys k LEFT JOIN best b ON b."table" = k."table" AND b."column" = k."column" AND rn = 1""")
 def sensitive_columns(spark, sf_dir):
     found = detect_format(spark, sf_dir)
-    return found.select("table", "column", text.sensitive_name(F.col("column")).alias("by_name"),
+    return found.select("table", "column", F.expr(text.sensitive_name("column")).alias("by_name"),
                         F.coalesce(F.col("format").isin(*vocab.SENSITIVE_FORMATS), F.lit(False)).alias("by_format"))
 
 

@@ -147,7 +147,7 @@ _FOLDED = with_views("orders_dirty", "customer_dirty", "lineitem_dirty", recursi
 def _classified(spark, sf_dir):
     tables = Tables(spark, sf_dir)
     top = p.union(p.top_values(tables[t], t, list(cols)) for t, cols in _CODES.items())
-    return inf.value_arrays(top).withColumn("split", inf.classify_values(F.col("values")))
+    return inf.value_arrays(top).withColumn("split", F.expr(inf.classify_values("values")))
 
 
 @register("classify_values", _FOLDED + """ SELECT t AS "table", c AS "column", v AS value, valid,
