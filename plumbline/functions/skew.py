@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 HOT_ROWS = 200_000      # a key with fewer rows than this is never worth splitting
 HOT_KEYS = 512          # at most this many keys are split, so the broadcast list is bounded
@@ -45,6 +45,31 @@ def rows_of_keys(rows: DataFrame, keyed: DataFrame, keys: list[str], weight: str
     return left.join(right, cond, "inner").drop("_salt", "_r__salt", *[f"_r_{k}" for k in keys])
 
 
+def previous_in_key(df: DataFrame, key: str, order: str, values: list[str], run: int = 100_000) -> DataFrame:
+    """Adds ``previous`` = struct of ``values`` of the row before in its key (by the integer column ``order``).
+
+    A key is walked in runs of ``run`` order numbers, and the last row of a run is carried to the next one, so a
+    key with a third of all rows is many small windows instead of one.
+    """
+    cut = df.withColumn("_run", F.floor(F.col(order) / run))
+    inside = Window.partitionBy(key, "_run").orderBy(order)
+    ends = cut.groupBy(key, "_run").agg(F.max_by(F.struct(*values), order).alias("_last"))
+    carried = ends.select(key, "_run", F.lag("_last").over(Window.partitionBy(key).orderBy("_run")).alias("_carried"))
+    return (cut.withColumn("_before", F.lag(F.struct(*values)).over(inside)).join(carried, [key, "_run"])
+            .withColumn("previous", F.coalesce("_before", "_carried")).drop("_before", "_carried", "_run"))
+
+
+def running_sum(df: DataFrame, key: str, order: str, value: Column, name: str, run: int = 100_000) -> DataFrame:
+    """Adds the running sum of ``value`` within its key, in the same runs as ``previous_in_key``."""
+    cut = df.withColumn("_run", F.floor(F.col(order) / run)).withColumn("_v", value.cast("bigint"))
+    upto = Window.partitionBy(key, "_run").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(key).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut.groupBy(key, "_run").agg(F.sum("_v").alias("_s")).select(
+        key, "_run", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_start"))
+    return (cut.withColumn("_in", F.sum("_v").over(upto)).join(starts, [key, "_run"])
+            .withColumn(name, F.col("_in") + F.col("_start")).drop("_in", "_start", "_run", "_v"))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write an iteration's result to the shared checkpoint folder and go on from there."""
     spark = df.sparkSession

@@ -140,9 +140,10 @@ def value_counts(df: DataFrame, table: str, columns: list[str]) -> DataFrame:
             .select(F.lit(table).alias("table"), "column", "value", "n"))
 
 
-def top_values(df: DataFrame, table: str, columns: list[str], limit: int = vocab.TOP_VALUES) -> DataFrame:
+def top_values(df: DataFrame, table: str, columns: list[str], limit: int = vocab.TOP_VALUES,
+               known_few: bool = False) -> DataFrame:
     """(table, column, value, count, share, rank) for columns with at most ``limit`` distinct values."""
-    few = low_cardinality(df, columns, limit)
+    few = columns if known_few else low_cardinality(df, columns, limit)
     if not few:
         return df.sparkSession.createDataFrame(
             [], "table string, column string, value string, count bigint, share double, rank int")

@@ -62,7 +62,7 @@ def profile_table(df: DataFrame, table: str, as_of: dt.date, constraints: Constr
     top: dict[str, list] = {}
     few = [c for c in df.columns if not sensitive[c] and c in distinct and distinct[c]["distinct_count"] <= vocab.TOP_VALUES]
     if few:
-        for r in p.top_values(df, table, few).orderBy("column", "rank").collect():
+        for r in p.top_values(df, table, few, known_few=True).orderBy("column", "rank").collect():
             top.setdefault(r["column"], []).append((r["value"], r["count"], r["share"]))
     seen: dict[str, list] = {}
     if words:

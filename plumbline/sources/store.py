@@ -6,6 +6,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from plumbline.functions.skew import previous_in_key, running_sum
+
 
 def latest(df: DataFrame, keys: list[str], order: str, tie: str | None = None) -> DataFrame:
     """The newest row per key, as a partial aggregate: no window, so a busy key stays one row per task."""
@@ -55,11 +57,9 @@ def save_if_changed(model: DataFrame, path: str, source_id: str, created_by: str
 
 def version_history(changes: DataFrame) -> DataFrame:
     """Version of each save of (source_id, saved_at, content): equal content right after itself is no version."""
-    from pyspark.sql import Window
-    order = Window.partitionBy("source_id").orderBy("saved_at", "content")
-    changed = F.coalesce(F.lag("content").over(order) != F.col("content"), F.lit(True))
-    return (changes.withColumn("saved", changed)
-            .withColumn("version", F.sum(F.col("saved").cast("int")).over(order)))
+    seen = previous_in_key(changes, "source_id", "saved_at", ["content"])
+    saved = seen.withColumn("saved", F.coalesce(F.col("previous.content") != F.col("content"), F.lit(True))).drop("previous")
+    return running_sum(saved, "source_id", "saved_at", F.col("saved").cast("int"), "version")
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
