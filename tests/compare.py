@@ -41,9 +41,13 @@ def duck_rows(con, sql):
     return sorted(names), _rows(names, cur.fetchall())
 
 
+ROWS = {}
+
+
 def difference(spark, con, query, sql, sf_dir) -> str | None:
     names, got = spark_rows(query(spark, sf_dir))
     want_names, want = duck_rows(con, sql)
+    ROWS["last"] = len(got)
     if names != want_names:
         return f"columns {names} != {want_names}"
     if got != want:
@@ -67,7 +71,7 @@ def main() -> None:
         try:
             if key in oracle:
                 diff = difference(spark, con, queries[key], oracle[key], sf_dir)
-                note = "ok"
+                note = f"{ROWS['last']} rows"
             else:
                 diff, note = None, f"rows {len(queries[key](spark, sf_dir).collect())} (no SQL)"
         except Exception as ex:  # noqa: BLE001
