@@ -2,13 +2,13 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from plumbline.functions.text import ident, missing_nan
 
-DIRECT_VALUES = 2_000_000     # up to this many values the built-in percentile holds them in one task
+DIRECT_VALUES = 1_000_000     # up to this many distinct values the built-in percentile holds them in one task
 _ACCURACY = 10_000
 
 
@@ -30,22 +30,23 @@ def exact_quantiles(df: DataFrame, columns: list[str], shares: tuple[float, ...]
                     direct_values: int = DIRECT_VALUES) -> dict[str, list[float] | None]:
     """Column -> its quantiles, or None when it has no values. NaN and NULL are missing.
 
-    Few values: one aggregate. Many: percentile_approx gives a range that provably contains the wanted ranks,
+    Few distinct values: one aggregate, whatever the number of rows. Many: percentile_approx gives a range that provably contains the wanted ranks,
     an exact count checks it, and only the values inside a range that has become small are looked at.
     """
     if not columns:
         return {}
     values = df.selectExpr(*[f"{missing_nan(ident(c))} AS {ident(c)}" for c in columns])
     head = values.selectExpr(*[f"{fn}({ident(c)}) AS {n}{i}" for i, c in enumerate(columns)
-                               for fn, n in (("count", "n"), ("min", "lo"), ("max", "hi"))]).first()
+                               for fn, n in (("count", "n"), ("min", "lo"), ("max", "hi"), ("approx_count_distinct", "d"))]).first()
     sizes = {c: head[f"n{i}"] for i, c in enumerate(columns)}
     out: dict[str, list[float] | None] = {c: None for c in columns if sizes[c] == 0}
-    todo = sorted((c for c in columns if sizes[c]), key=lambda c: sizes[c])
+    distinct = {c: head[f"d{i}"] for i, c in enumerate(columns)}
+    todo = sorted((c for c in columns if sizes[c]), key=lambda c: distinct[c])
     direct, held = [], 0
     for c in todo:
-        if held + sizes[c] <= direct_values:
+        if held + distinct[c] <= direct_values:
             direct.append(c)
-            held += sizes[c]
+            held += distinct[c]
     if direct:
         wanted = ", ".join(f"{p!r}D" for p in shares)
         row = values.selectExpr(*[f"percentile({ident(c)}, array({wanted}))" for c in direct]).first()
@@ -68,48 +69,65 @@ def exact_quantiles(df: DataFrame, columns: list[str], shares: tuple[float, ...]
     return out
 
 
-def _within(b: _Bracket):
-    return F.col(f"`{b.column}`").between(b.lo, b.hi)
-
-
 def _narrow(values: DataFrame, brackets: list[_Bracket], enough: int) -> bool:
     """One round for every bracket that is still wide. False when none is left."""
     wide = [b for b in brackets if not b.done and b.inside > enough and b.lo < b.hi]
     if not wide:
         return False
     margin = 2.0 / _ACCURACY
-    guesses = values.agg(*[
-        F.percentile_approx(F.when(_within(b), F.col(f"`{b.column}`")),
-                            [max(0.0, (b.first - b.below) / b.inside - margin),
-                             min(1.0, (b.last + 1 - b.below) / b.inside + margin)], _ACCURACY).alias(f"g{i}")
-        for i, b in enumerate(wide)]).first()
-    ranges = [tuple(guesses[f"g{i}"]) for i in range(len(wide))]
-    counts = values.agg(*[x for i, (b, (lo, hi)) in enumerate(zip(wide, ranges)) for x in (
-        F.count_if(F.col(f"`{b.column}`") < lo).alias(f"b{i}"),
-        F.count_if(F.col(f"`{b.column}`").between(lo, hi)).alias(f"n{i}"))]).first()
+    shared: dict[tuple[str, float, float], list[_Bracket]] = {}
+    for b in wide:                                 # brackets over the same range share one sketch
+        shared.setdefault((b.column, b.lo, b.hi), []).append(b)
+    sketches = []
+    for (column, lo, hi), group in shared.items():
+        asked = ", ".join(f"{max(0.0, (b.first - b.below) / b.inside - margin)!r}D, {min(1.0, (b.last + 1 - b.below) / b.inside + margin)!r}D"
+                          for b in group)
+        inside = f"CASE WHEN {ident(column)} BETWEEN {lo!r}D AND {hi!r}D THEN {ident(column)} END"
+        sketches.append(f"percentile_approx({inside}, array({asked}), {_ACCURACY})")
+    wide = [b for group in shared.values() for b in group]
+    bounds = [v for sketch in values.selectExpr(*sketches).first() for v in sketch]
+    ranges = list(zip(bounds[::2], bounds[1::2]))
+    counts = values.selectExpr(*[x for b, (lo, hi) in zip(wide, ranges) for x in (
+        f"count_if({ident(b.column)} < {lo!r}D)", f"count_if({ident(b.column)} BETWEEN {lo!r}D AND {hi!r}D)")]).first()
     for i, (b, (lo, hi)) in enumerate(zip(wide, ranges)):
-        below, inside = counts[f"b{i}"], counts[f"n{i}"]
+        below, inside = counts[2 * i], counts[2 * i + 1]
         if not (below <= b.first and b.last < below + inside):
             b.done = True                          # keep the wider range: still exact, only more to look at
             continue
-        b.done = inside * 2 > b.inside             # heavy ties: few distinct values are left
+        b.done = (lo, hi) == (b.lo, b.hi)          # two heavy values with little between them
         b.lo, b.hi, b.below, b.inside = lo, hi, below, inside
     return True
 
 
 def _pick(values: DataFrame, brackets: list[_Bracket]) -> list[float]:
-    """Read the order statistics: values are counted first, so ties cost one row."""
-    tagged = values.select(F.explode(F.array_compact(F.array(*[
-        F.when(_within(b), F.struct(F.lit(i).alias("at"), F.col(f"`{b.column}`").alias("value")))
-        for i, b in enumerate(brackets)]))).alias("x")).groupBy("x.at", "x.value").agg(F.count(F.lit(1)).alias("n"))
+    """Read the order statistics: values are counted first, so ties cost one row.
+
+    Brackets of a column that overlap are merged, so a value belongs to one range at most.
+    """
+    merged: list[_Bracket] = []
+    home: dict[int, int] = {}
+    for i in sorted(range(len(brackets)), key=lambda i: (brackets[i].column, brackets[i].lo)):
+        b = brackets[i]
+        if merged and merged[-1].column == b.column and b.lo <= merged[-1].hi:
+            merged[-1].hi = max(merged[-1].hi, b.hi)
+        else:
+            merged.append(replace(b))
+        home[i] = len(merged) - 1
+    wanted: dict[int, set[int]] = {}
+    for i, b in enumerate(brackets):
+        wanted.setdefault(home[i], set()).update((b.first - merged[home[i]].below, b.last - merged[home[i]].below))
+    tag: dict[str, str] = {}
+    for r, m in enumerate(merged):
+        tag[m.column] = tag.get(m.column, "") + f" WHEN {ident(m.column)} BETWEEN {m.lo!r}D AND {m.hi!r}D THEN {r}"
+    pairs = ", ".join(f"struct(CASE {t} END AS at, {ident(c)} AS value)" for c, t in tag.items())
+    counted = values.selectExpr(f"inline(array({pairs}))").where("at IS NOT NULL").groupBy("at", "value").agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(Window.partitionBy("at").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    ranks = F.create_map(*[x for i, b in enumerate(brackets) for x in (
-        F.lit(i), F.array(F.lit(b.first - b.below), F.lit(b.last - b.below)))])
-    hit = tagged.withColumn("upto", upto).withColumn("rank", F.explode(ranks[F.col("at")])).where(
+    ranks = F.expr("map(" + ", ".join(f"{r}, array({', '.join(f'{k}L' for k in sorted(w))})" for r, w in wanted.items()) + ")[at]")
+    hit = counted.withColumn("upto", upto).withColumn("rank", F.explode(ranks)).where(
         (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
-    found = {(r["at"], r["rank"]): r["value"] for r in hit.select("at", "rank", "value").distinct().collect()}
+    found = {(r["at"], r["rank"]): r["value"] for r in hit.select("at", "rank", "value").collect()}
     out = []
     for i, b in enumerate(brackets):
-        low, high = found[(i, b.first - b.below)], found[(i, b.last - b.below)]
+        low, high = (found[(home[i], k - merged[home[i]].below)] for k in (b.first, b.last))
         out.append(low + b.share * (high - low))
     return out
