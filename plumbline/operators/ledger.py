@@ -188,7 +188,7 @@ def decision_patterns(history: DataFrame, entity_column: str | None = "entity")
 
 
 def active_context(items: DataFrame, retired: DataFrame) -> DataFrame:
-    """(source_id, entity, notes): active business facts; facts without an entity hold for the whole source."""
+    """Business facts that were not retired; facts without an entity hold for the whole source."""
     return items.join(retired.select("item_id").distinct(), "item_id", "left_anti")
 
 
@@ -282,7 +282,7 @@ def apply_edits(rules: DataFrame, edits: DataFrame) -> DataFrame:
 def clashes(edited: DataFrame, rules: DataFrame) -> DataFrame:
     """(rule_id, other_id): edited rules (with fingerprint) that are now identical to another rule."""
     taken = rules.groupBy("fingerprint").agg(F.min("rule_id").alias("first_id"), F.max("rule_id").alias("last_id"))
+    known = edited.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("_rows")).join(taken, "fingerprint")
     other = F.when(F.col("first_id") != F.col("rule_id"), F.col("first_id")).when(F.col("last_id") != F.col("rule_id"), F.col("last_id"))
-    return (edited.select("rule_id", "fingerprint").join(taken, "fingerprint").select("rule_id", other.alias("other_id"))
-            .where(F.col("other_id").isNotNull()))
-
+    return (rows_of_keys(edited.select("rule_id", "fingerprint"), known, ["fingerprint"], "_rows")
+            .select("rule_id", other.alias("other_id")).where(F.col("other_id").isNotNull()))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline import vocab
+from plumbline.functions.skew import rows_of_keys
 from plumbline.functions.text import one_of
 from plumbline.operators.inference import role
 
@@ -129,8 +130,9 @@ def dangling_references(entities: DataFrame, attributes: DataFrame, references:
     known = entities.select("entity_id").distinct().withColumn("entity_known", F.lit(True))
     have = attributes.select("entity_id", "column").distinct().withColumn("column_known", F.lit(True))
     wanted = references.distinct()
-    return (wanted.join(known, "entity_id", "left").join(have, ["entity_id", "column"], "left")
-            .select("place", "entity_id", "column",
-                    F.when(F.col("entity_known").isNull(), "unknown entity")
-                    .when(F.col("column").isNotNull() & F.col("column_known").isNull(), "unknown attribute").alias("problem"))
-            .where("problem IS NOT NULL"))
+    pairs = wanted.groupBy("entity_id", "column").agg(F.count(F.lit(1)).alias("_rows"))
+    problem = (F.when(F.col("entity_known").isNull(), "unknown entity")
+               .when(F.col("column").isNotNull() & F.col("column_known").isNull(), "unknown attribute"))
+    bad = (pairs.join(known, "entity_id", "left").join(have, ["entity_id", "column"], "left")
+           .select("entity_id", "column", "_rows", problem.alias("problem")).where("problem IS NOT NULL"))
+    return rows_of_keys(wanted, bad, ["entity_id", "column"], "_rows").select("place", "entity_id", "column", "problem")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from plumbline import vocab
 from plumbline.functions.expressions import expression_issue
+from plumbline.functions.skew import cut_lineage
 from plumbline.functions.text import array_of, one_of, q
 
 CANDIDATE = ("name string, category string, dimension string, scope string, target struct<entity:string,columns:array<string>>, "
@@ -155,3 +156,18 @@ def triage(candidates: DataFrame, columns: DataFrame, hierarchies: DataFrame, pr
                f"WHEN {primary_key_rule(primary_keys)} THEN 'key_check' ELSE 'valid' END")
     return judged.withColumn("outcome", F.expr(outcome)).withColumn(
         "problems", F.when(F.size("errors") > 0, F.col("errors")).otherwise(F.col("ref_errors")))
+
+
+def intake(candidates: DataFrame, columns: DataFrame, hierarchies: DataFrame) -> DataFrame:
+    """Rule rows of the candidates that are well-formed and name only what exists: origin steward, approved.
+
+    The judged rows are written once before they are filtered: a filter over the checks would be pushed into them and
+    every later use would check again.
+    """
+    judged = reference_errors(shape_errors(parsed(candidates)), columns, hierarchies)
+    kept = [c for c in candidates.columns if c != "rule"]
+    rows = judged.selectExpr(*kept, "r.name AS name", "r.target.entity AS entity", "r.target.columns AS columns",
+                             "get_json_object(rule, '$.check') AS check", "r.filter AS filter", "r.severity AS severity",
+                             "coalesce(r.tolerance, 0D) AS tolerance", "'steward' AS origin", "'approved' AS status",
+                             "size(errors) + size(ref_errors) AS problems")
+    return cut_lineage(rows).where("problems = 0").drop("problems")

@@ -199,11 +199,12 @@ _ITEMS = """SELECT event_id AS item_id, concat('src', CAST(user_id % 3 AS STRING
 _RETIRED = "SELECT event_id - 1 AS item_id FROM {events} WHERE event_type = 'error'"
 
 
-@register("active_context", f"""SELECT item_id, source_id, entity, note FROM {_sql(_ITEMS)} WHERE item_id NOT IN (SELECT item_id FROM {_sql(_RETIRED)})
- AND source_id = 'src1' AND (entity IS NULL OR entity = 'e7')""")
+@register("active_context", f"""SELECT item_id, source_id, coalesce(entity, 'whole source') AS scope, note FROM {_sql(_ITEMS)}
+ WHERE item_id NOT IN (SELECT item_id FROM {_sql(_RETIRED)})""")
 def active_context(spark, sf_dir):
     tables = Tables(spark, sf_dir)
-    return ledger.context_for(ledger.active_context(tables.sql(_ITEMS), tables.sql(_RETIRED)), "src1", "e7")
+    return ledger.active_context(tables.sql(_ITEMS), tables.sql(_RETIRED)).select(
+        "item_id", "source_id", F.coalesce("entity", F.lit("whole source")).alias("scope"), "note")
 
 
 _OUTCOMES = "SELECT user_id AS run_id, CASE event_type WHEN 'click' THEN 'duplicate' WHEN 'view' THEN 'similar' ELSE 'stored' END AS outcome FROM {events} WHERE event_type <> 'error'"
@@ -328,3 +329,20 @@ def candidate_triage(spark, sf_dir):
     return out.groupBy("outcome").agg(F.count(F.lit(1)).alias("candidates"))
 
 
+
+
+@register("steward_intake", f"""WITH c AS (SELECT seq, user_id, CASE seq % 19 WHEN 10 THEN 'key' WHEN 17 THEN 'filtered' ELSE 'plain' END AS kind FROM {_sql(CANDIDATES)}
+  JOIN (SELECT event_id, user_id FROM events) ON event_id = seq WHERE {_SHAPE} = '' AND {_REFS} = ''),
+ u AS (SELECT min(seq) AS seq, count(*) AS copies, kind = 'key' AS is_key FROM c GROUP BY kind, CASE WHEN kind <> 'key' THEN user_id END)
+SELECT CASE WHEN rn = 1 THEN 'stored' ELSE 'similar' END AS outcome, count(*) AS rules, CAST(sum(copies) AS BIGINT) AS documents
+FROM (SELECT *, row_number() OVER (PARTITION BY is_key ORDER BY seq) AS rn FROM u) GROUP BY 1""")
+def steward_intake(spark, sf_dir):
+    """Rule documents a steward brings: validated, stored as approved, duplicates and look-alikes told apart."""
+    documents = Tables(spark, sf_dir).sql(CANDIDATES)
+    accepted = validate.intake(documents, *_model_columns(spark, sf_dir))
+    nothing = ledger.canonical(accepted).select("seq", "fingerprint", F.col("fingerprint").alias("original_fingerprint"), "similarity_key",
+                                                F.lit(None).cast("timestamp").alias("created_at")).where(F.lit(False))
+    rules = ledger.canonical(accepted)
+    placed = ledger.classify(rules, nothing).select("seq", "outcome")
+    return (ledger.first_of_each(rules).select("seq", "copies").join(placed, "seq").groupBy("outcome")
+            .agg(F.count(F.lit(1)).alias("rules"), F.sum("copies").alias("documents")))

@@ -152,14 +152,16 @@ def profile_coverage(spark, sf_dir):
 
 
 
-@register("rule_coverage", f"""WITH d AS (SELECT * FROM ({DOCS.format_map(_Bare())})), lib AS (SELECT min(seq) AS rule_id, source_id, entity, event_type, CASE event_type WHEN 'click' THEN floor(value) END AS top,
-  CASE event_type WHEN 'purchase' THEN user_id % 5 WHEN 'error' THEN user_id % 7 END AS k, scope_filter FROM d WHERE source_id IN ('src0', 'src1') GROUP BY ALL)
-SELECT r.rule_id AS reference_id, count(*) AS covering FROM lib r JOIN lib g ON g.entity = r.entity AND r.source_id = 'src0' AND g.source_id = 'src1' WHERE CASE g.event_type
+@register("rule_coverage", f"""WITH d AS (SELECT *, created_at < TIMESTAMP '2024-01-16' AS early FROM ({DOCS.format_map(_Bare())})),
+ lib AS (SELECT min(seq) AS rule_id, early, entity, event_type, CASE event_type WHEN 'click' THEN floor(value) END AS top,
+  CASE event_type WHEN 'purchase' THEN user_id % 5 WHEN 'error' THEN user_id % 7 END AS k, scope_filter FROM d GROUP BY ALL)
+SELECT r.rule_id AS reference_id, count(*) AS covering FROM lib r JOIN lib g ON g.entity = r.entity AND r.early AND NOT g.early WHERE CASE g.event_type
  WHEN 'error' THEN (r.event_type = 'error' OR r.event_type = 'click') AND (r.scope_filter IS NULL OR g.scope_filter IS NOT NULL)
  WHEN 'click' THEN r.event_type = 'click' AND g.top <= r.top WHEN 'purchase' THEN r.event_type = 'purchase' AND r.k = g.k
  ELSE r.event_type = g.event_type END GROUP BY 1""")
 def rule_coverage(spark, sf_dir):
-    """How far the rules of one source cover the rules of another; a library holds each fingerprint once."""
+    """How far later rules cover the earlier ones; a library holds each fingerprint once."""
     every = ledger.canonical(docs(spark, sf_dir))
-    sides = [ledger.first_of_each(every.where(F.col("source_id") == s)).select("rule_id", "entity", "columns", "check", "filter") for s in ("src1", "src0")]
+    early = F.col("created_at") < F.lit("2024-01-16").cast("timestamp_ntz")
+    sides = [ledger.first_of_each(every.where(when)).select("rule_id", "entity", "columns", "check", "filter") for when in (~early, early)]
     return score.rule_coverage(*sides).groupBy("reference_id").agg(F.count(F.lit(1)).alias("covering"))
