@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline import vocab
-from plumbline.functions.skew import previous_in_key, rows_of_keys
+from plumbline.functions.skew import cut_lineage, previous_in_key, rows_of_keys
 from plumbline.functions.text import ident, one_of, q
 from plumbline.sources.store import latest
 
@@ -73,7 +73,7 @@ def classify(candidates: DataFrame, history: DataFrame) -> DataFrame:
     known = (history.select(F.explode(F.array("fingerprint", "original_fingerprint")).alias("fingerprint"))
              .where(F.col("fingerprint").isNotNull()).distinct().withColumn("_known", F.lit(True)))
     unique = first_of_each(candidates)
-    judged = unique.join(known, "fingerprint", "left")
+    judged = cut_lineage(unique.join(known, "fingerprint", "left"))      # used by both outcomes and the key counts
     fresh = previous_in_key(judged.where(F.col("_known").isNull()), "similarity_key", "seq", ["seq"])
     newest = history.groupBy("similarity_key").agg(F.max_by("seq", F.struct("created_at", "seq")).alias("on_file"))
     keys = fresh.groupBy("similarity_key").agg(F.count(F.lit(1)).alias("_rows")).join(newest, "similarity_key", "left")

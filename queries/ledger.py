@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.functions.skew import cut_lineage
 from plumbline.operators import ledger, validate
 from queries.dirty import Tables, _Bare, with_views
 
@@ -275,7 +276,7 @@ SELECT f.rule_id, CASE WHEN min(d.rule_id) <> f.rule_id THEN min(d.rule_id) ELSE
 def edit_clashes(spark, sf_dir):
     library = docs(spark, sf_dir)
     edited = ledger.apply_edits(library, Tables(spark, sf_dir).sql(EDITS))
-    return ledger.clashes(ledger.canonical(edited.drop("errors")), ledger.canonical(library))
+    return ledger.clashes(*[cut_lineage(ledger.canonical(x).select("rule_id", "fingerprint")) for x in (edited.drop("errors"), library)])
 
 
 # ---- candidates: one JSON rule per event, damaged by its number ------------------------------------
@@ -339,10 +340,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY is_key ORDER BY seq) AS rn FROM
 def steward_intake(spark, sf_dir):
     """Rule documents a steward brings: validated, stored as approved, duplicates and look-alikes told apart."""
     documents = Tables(spark, sf_dir).sql(CANDIDATES)
-    accepted = validate.intake(documents, *_model_columns(spark, sf_dir))
-    nothing = ledger.canonical(accepted).select("seq", "fingerprint", F.col("fingerprint").alias("original_fingerprint"), "similarity_key",
-                                                F.lit(None).cast("timestamp").alias("created_at")).where(F.lit(False))
-    rules = ledger.canonical(accepted)
+    rules = cut_lineage(ledger.canonical(validate.intake(documents, *_model_columns(spark, sf_dir))))
+    nothing = rules.where(F.lit(False)).withColumn("original_fingerprint", F.col("fingerprint")).withColumn("created_at", F.lit(None).cast("timestamp"))
     placed = ledger.classify(rules, nothing).select("seq", "outcome")
     return (ledger.first_of_each(rules).select("seq", "copies").join(placed, "seq").groupBy("outcome")
             .agg(F.count(F.lit(1)).alias("rules"), F.sum("copies").alias("documents")))
