@@ -1,7 +1,7 @@
 """Sources, exact and shape profiling."""
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from plumbline import Constraints, vocab
 from plumbline.functions import text
@@ -324,8 +324,15 @@ def numeric_outliers(spark, sf_dir):
 
 
 # ---- whole profiles -------------------------------------------------------------------------------
+_BUILT: dict[tuple, DataFrame] = {}
+
+
 def profiles(spark, sf_dir, names=DIRTY):
-    return plan.profile_tables(pick(Tables(spark, sf_dir), *names), AS_OF, CONSTRAINTS)
+    """Profile rows of some tables. Built once per session and folder, as a stored snapshot would be."""
+    at = (spark.sparkContext.applicationId, sf_dir, tuple(names))
+    if at not in _BUILT:
+        _BUILT[at] = plan.profile_tables(pick(Tables(spark, sf_dir), *names), AS_OF, CONSTRAINTS)
+    return _BUILT[at]
 
 
 @register("profile_tables", _views(COLUMNS) + _each(COLUMNS, """SELECT '{t}' AS "table", '{c}' AS "column", count(*) AS row_count,

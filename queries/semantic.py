@@ -102,12 +102,17 @@ def observed_ranges(spark, sf_dir):
     return model(spark, sf_dir).attributes.where(F.col("range_min").isNotNull()).select("table", "column", "range_min", "range_max")
 
 
-@register("business_keys")
+@register("business_keys", """SELECT * FROM (VALUES ('nation', 'nation', 'n_name'), ('orders_dirty', 'orders_dirty', 'order_number'), ('region', 'region', 'r_name'))
+ k(entity_id, "table", business_key)""")
 def business_keys(spark, sf_dir):
     return model(spark, sf_dir).entities.where(F.col("business_key").isNotNull()).select("entity_id", "table", "business_key")
 
 
-@register("entity_types")
+@register("entity_types", " UNION ALL ".join(
+    f"""SELECT '{t}' AS entity_id, '{t}' AS "table", (SELECT count(*) FROM {src}) AS row_count, '{kind}' AS entity_type"""
+    for t, src, kind in (("customer_dirty", "customer", "master"), ("orders_dirty", "orders", "transaction"), ("lineitem_dirty", "lineitem", "transaction_line"),
+                         ("geo_tree", "(SELECT 1 FROM region UNION ALL SELECT 1 FROM nation UNION ALL SELECT 1 FROM supplier)", "hierarchy"),
+                         ("nation", "nation", "master"), ("region", "region", "reference"))))
 def entity_types(spark, sf_dir):
     return model(spark, sf_dir).entities.select("entity_id", "table", "row_count", "entity_type")
 
