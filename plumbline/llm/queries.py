@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, hyperminhash, mixing, quality
+from . import fingerprint, hyperminhash, mixing, quality, toxicity
 
 QUERIES, ORACLE = {}, {}
 
@@ -40,3 +40,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(_table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.fit(*toxicity.training_sample(docs.select("doc_id", "text"), labels.where(fold != 0), "doc_id", "text", "toxic"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", "predicted")

@@ -55,14 +55,24 @@ def chunks(offsets: np.ndarray, size: int = CHUNK_BYTES):
         first = min(last, n)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every word in rows ``offsets``: 64-bit hash, row, first byte, end byte (relative to the first row's start)."""
-    data = data[offsets[0]:offsets[-1]]
-    offsets = offsets - offsets[0]
+class Spans:
+    """Hashes of any byte ranges of rows ``offsets`` of ``data``, from running totals; ASCII letters in lower case if asked."""
+
+    def __init__(self, data: np.ndarray, lower: bool = True):
+        power, self._inverse = _powers(len(data) + 1)
+        self._total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE_CODES[_LOWER[data] if lower else data] * power[:-1], dtype=np.uint64, out=self._total[1:])
+
+    def __call__(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self._total[end] - self._total[first]) * self._inverse[first])
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every word of rows ``offsets`` (that begin at 0): row, first byte, end byte."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), none, none, none
+        return none, none, none
     inside = ~_IS_SPACE[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -72,8 +82,12 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
     begins[cuts] = inside[cuts]
     ends[cuts - 1] = inside[cuts - 1]
     first, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    power, inverse = _powers(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_CODES[_LOWER[data] if lower else data] * power, dtype=np.uint64, out=total[1:])
-    hashed = mix((total[end] - total[first]) * inverse[first])
-    return hashed, np.searchsorted(offsets, first, "right") - 1, first, end
+    return np.searchsorted(offsets, first, "right") - 1, first, end
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every word in rows ``offsets``: 64-bit hash, row, first byte, end byte (relative to the first row's start)."""
+    data = data[offsets[0]:offsets[-1]]
+    offsets = offsets - offsets[0]
+    row, first, end = word_spans(data, offsets)
+    return Spans(data, lower)(first, end), row, first, end
