@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, hyperminhash, mixing, quality, toxicity
+from . import fingerprint, hyperminhash, mixing, quality, sentencepieces, toxicity
 
 QUERIES, ORACLE = {}, {}
 
@@ -49,3 +49,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(*toxicity.training_sample(docs.select("doc_id", "text"), labels.where(fold != 0), "doc_id", "text", "toxic"))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = sentencepieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), round_trip="round_trip")
+    return coded.select("doc_id", F.size("ids").alias("n_tokens"), "round_trip", "ids")
