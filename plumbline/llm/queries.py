@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, hyperminhash, mixing, quality, sentencepieces, toxicity
+from . import fingerprint, htmlcut, hyperminhash, mixing, pii, quality, sentencepieces, toxicity
 
 QUERIES, ORACLE = {}, {}
 
@@ -55,3 +55,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = sentencepieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), round_trip="round_trip")
     return coded.select("doc_id", F.size("ids").alias("n_tokens"), "round_trip", "ids")
+
+
+@query
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = htmlcut.extract(_table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.all_spans(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", *[pii.count_of(k).alias(f"n_{k}") for k in pii.KINDS], F.sha2(pii.written(F.col("spans")), 256).alias("base_sha256"),
+                       pii.written(F.concat("spans", "terms")).alias("spans"), F.size("terms").cast("long").alias("n_term"))
