@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import stored
+from .storage import rows_with, stored
 from .text import chunks, mix, texts_of, word_hashes
 
 REGISTERS, BAND = 128, 4
@@ -147,8 +147,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: st
     likely = (F.least("na", "nb") < SURE_SIZE) | (estimate(F.col("ra"), F.col("rb")) >= percent / 100 - MARGIN)
     left = stored(judged.where(able & likely).select("a", "b"), "near-pairs")
     nodes = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
-    wanted = docs.join(nodes, docs[doc_id] == nodes["node"], "left_semi")
-    sets = stored(_sets(wanted, doc_id, text, size).dropDuplicates(["node"]), "near-sets")
+    sets = stored(_sets(rows_with(docs, doc_id, nodes), doc_id, text, size).dropDuplicates(["node"]), "near-sets")
     sa, sb = sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return left.join(sa, "a").join(sb, "b").withColumn("both", both).where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, htmlcut, hyperminhash, mixing, pii, quality, sentencepieces, toxicity
+from . import fingerprint, htmlcut, hyperminhash, line_dedup, mixing, pii, quality, sentencepieces, toxicity
 
 QUERIES, ORACLE = {}, {}
 
@@ -68,3 +68,18 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pii.all_spans(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", *[pii.count_of(k).alias(f"n_{k}") for k in pii.KINDS], F.sha2(pii.written(F.col("spans")), 256).alias("base_sha256"),
                        pii.written(F.concat("spans", "terms")).alias("spans"), F.size("terms").cast("long").alias("n_term"))
+
+
+@query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its lines with a word, how many of them go (as equal to a line before, or as near it), and for each that goes
+    the line that stays."""
+    docs = _table(spark, sf_dir, "documents")
+    gone = line_dedup.duplicate_lines(docs)
+    went = gone.groupBy(F.col("doc_id").alias("id")).agg(F.count(F.when(F.col("equal"), 1)).alias("n_equal"), F.count(F.when(~F.col("equal"), 1)).alias("n_near"),
+                                                         F.sort_array(F.collect_list(F.struct("line_no", "first_doc", "first_line"))).alias("removed"))
+    has_word = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    counted = docs.select("doc_id", F.size(has_word).cast("long").alias("n_lines"))
+    zero = F.lit(0).cast("long")
+    return (counted.join(went, counted["doc_id"] == went["id"], "left")
+            .select("doc_id", "n_lines", F.coalesce("n_equal", zero).alias("n_equal"), F.coalesce("n_near", zero).alias("n_near"), "removed"))

@@ -5,6 +5,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,3 +33,17 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted += "_"
     return wanted
+
+
+#: Most ids that are sent to every executor: 16 MB of longs.
+IDS_SENT = 2_000_000
+
+
+def rows_with(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is in ``ids`` (one column of distinct longs). Up to IDS_SENT ids are counted and broadcast, so that the
+    wide rows stay in place; beyond, both sides are shuffled."""
+    name = "__wanted"
+    ids = stored(ids.toDF(name), "ids")
+    if ids.count() <= IDS_SENT:
+        ids = broadcast(ids)
+    return df.join(ids, df[key] == ids[name], "left_semi")
