@@ -2,8 +2,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import hyperminhash, mixing, quality
+from plumbline.llm import hyperminhash, line_dedup, mixing, quality, sentencepieces
 from plumbline.llm.storage import stored
 
 
@@ -12,6 +13,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.apply_policy(docs)
 
 
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal lines and of lines one edit apart the first in the corpus stays; a document left without words goes. ``n_chars`` follows the text."""
+    return line_dedup.deduplicate(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest id stays."""
     return hyperminhash.deduplicate(docs)
@@ -22,7 +28,13 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return mixing.mix(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("near dedup", near_dedup), ("mixing", mixing_sources)]
+def sentencepiece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their token ids, and whether decoding gives the text again."""
+    return sentencepieces.encode(docs, round_trip="round_trip").withColumn("n_tokens", F.size("ids"))
+
+
+STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup_stage), ("MinHash near-dedup", near_dedup),
+          ("mixing sources", mixing_sources), ("SentencePiece", sentencepiece_ids)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

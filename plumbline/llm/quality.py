@@ -5,8 +5,8 @@ when none of the policy's bits is set; ``ablation`` tells for each policy and ru
 policy version reads the stored bits and no text. Only built-in functions run; there is no shuffle.
 
 NULL and empty texts have no words (they fail ``few_words``); words are runs of other characters than space and U+0009 to U+000D,
-whatever their length; repeated rows are judged each for itself; other columns pass through untouched, and a column whose name the
-ledger uses is refused. An empty table gives an empty ledger.
+whatever their length; repeated rows are judged each for itself. Other columns pass through; one with a name of the ledger's own columns
+is replaced in the ledger, and kept by ``apply_policy``. An empty table gives an empty ledger.
 """
 from __future__ import annotations
 
@@ -61,11 +61,9 @@ def _doubled(hashes: str, step: int) -> Column:
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the measurements. A window of eight words stands for its 64-bit hash, built from word hashes by doubling, so a
     text of n words costs a few passes over n numbers; only texts with a window twice are sorted."""
-    clash = {c.lower() for c in docs.columns} & {*MEASURES, "bits"}
-    if clash:
-        raise ValueError(f"the ledger writes these columns itself: {sorted(clash)}")
     t = F.coalesce(F.col("__text"), F.lit(""))
-    df = docs.withColumn("__text", F.col(text))
+    own = {*MEASURES, "bits"}
+    df = docs.withColumn("__text", F.col(text)).select(*[f"`{c}`" for c in docs.columns if c.lower() not in own], "__text")
     df = df.withColumn("__words", F.filter(F.split(t, r"[\x20\x09-\x0D]+", -1), lambda w: w != ""))
     df = df.withColumn("__lines", F.filter(F.split(t, "\n", -1), lambda x: F.translate(x, SPACES, "") != ""))
     letters = F.regexp_replace(t, r"[^A-Za-z]", "")
@@ -104,7 +102,8 @@ def passes(policy: Policy) -> Column:
 
 def apply_policy(docs: DataFrame, policy: Policy = POLICIES[-1], text: str = "text") -> DataFrame:
     """The documents that ``policy`` keeps, with their own columns."""
-    return ledger(docs, text).where(passes(policy)).select(*docs.columns)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
+    return ledger(whole, "text").where(passes(policy)).select("row.*")
 
 
 def ablation(ledger_rows: DataFrame, policies: tuple[Policy, ...] = POLICIES) -> DataFrame:

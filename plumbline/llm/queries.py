@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, htmlcut, hyperminhash, line_dedup, mixing, pii, quality, sentencepieces, toxicity
+from . import fingerprint, htmlcut, hyperminhash, licenses, line_dedup, mixing, pii, quality, sentencepieces, toxicity
 
 QUERIES, ORACLE = {}, {}
 
@@ -83,3 +83,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero = F.lit(0).cast("long")
     return (counted.join(went, counted["doc_id"] == went["id"], "left")
             .select("doc_id", "n_lines", F.coalesce("n_equal", zero).alias("n_equal"), F.coalesce("n_near", zero).alias("n_near"), "removed"))
+
+
+@query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licences(_table(spark, sf_dir, "documents"))

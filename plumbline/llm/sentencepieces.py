@@ -252,14 +252,12 @@ def read_model(path: str | None = None) -> bytes:
 
 def encode(docs: DataFrame, text: str = "text", model: bytes | None = None, ids: str = "ids", round_trip: str | None = None) -> DataFrame:
     """``docs`` with the ids of its texts, and with ``round_trip``, whether decoding them gives the text again. No shuffle; the model's
-    tables (about 10 MB, fixed by the model) are built on the driver and broadcast."""
+    tables (about 10 MB, fixed by the model) are built on the driver and broadcast. Columns called like the new ones are replaced."""
     import uuid
 
     shared, key = docs.sparkSession.sparkContext.broadcast(Pieces(model or read_model())), uuid.uuid4().hex
     names = [ids, *([round_trip] if round_trip else [])]
-    clash = {c.lower() for c in docs.columns} & {n.lower() for n in names}
-    if clash:
-        raise ValueError(f"columns exist already: {sorted(clash)}")
+    docs = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in {n.lower() for n in names}])
     at = docs.columns.index(text)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
