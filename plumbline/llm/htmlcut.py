@@ -140,7 +140,7 @@ def blocks(page: str | None) -> list[Block]:
 
 FEATURES = ("one", "boiler", "content", "comment", "link_share", "length", "marks", "item", "heading", "any_content", "in_content_page")
 #: Mean of the weights before any page is seen.
-PRIOR = np.array([-0.4, -6.0, 3.0, -4.0, -2.5, 0.5, 0.8, -0.5, 0.2, 0.0, -3.0])
+PRIOR = np.array([0.6, -6.0, 3.0, -4.0, -2.5, 0.5, 0.8, -0.5, 0.2, 0.0, -3.0])
 STRUCTURE = [FEATURES.index(x) for x in ("boiler", "content", "comment", "any_content", "in_content_page")]
 
 
@@ -162,7 +162,7 @@ def fit(x: np.ndarray, y: np.ndarray, strength: float = 1.0) -> np.ndarray:
     plain = x.copy()
     plain[:, STRUCTURE] = 0
     x, y = np.concatenate([x, plain]), np.concatenate([y, y])
-    weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) * (1000.0 / len(y))
+    weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) * min(1000.0 / len(y), 1.0)
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (weight * (p - y)) + strength * (w - PRIOR)

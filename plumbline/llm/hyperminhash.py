@@ -6,10 +6,10 @@ order. Four registers make one 64-bit band; documents that share a band are cand
 chance collisions, drops hopeless pairs, and every link that is left is confirmed on the full sets.
 
 Documents with equal sets are one class from the start and only its smallest id goes on. In a band bucket members are compared with
-a hub, never all with all: first with the smallest id, then, in the buckets whose members are not yet in one component, with a
-member drawn anew for each bucket, until QUIET_ROUNDS rounds in a row find no link. Two documents with similarity 0.8 meet in
-13 of 32 buckets on average (in none with chance 5e-8); a bucket that they share with few others compares them at once, so a link is
-lost only if all their buckets are crowded, with others of other components, and no draw picks either of them.
+a hub, never all with all: first with the smallest id, then, in the buckets whose members are not yet in one component, with 4, 16, 64
+and more members drawn by hash, each only with members of other components. Buckets of up to SURE_HUBS members are compared whole in
+this way; in larger ones the rounds go on until one with that many hubs finds no link. Two documents with similarity 0.8 meet in 13 of
+32 buckets on average (in none with chance 5e-8), and one that they share with few others compares them.
 
 NULL texts and texts without words have an empty set and no link. Fewer words than a shingle has: the whole sequence is the only
 shingle. Rows that share an id are one document with the union of their links. An empty table gives an empty result.
@@ -35,7 +35,7 @@ SURE_SIZE = 512
 MARGIN = 0.2
 #: Chance that registers of unrelated elements are equal: same leading zeros (1/3) and same mantissa (2^-10).
 COLLISION = 2.0 ** -MANTISSA_BITS / 3
-QUIET_ROUNDS = 2
+SURE_HUBS = 64
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _ORDER = np.argsort(mix(np.arange(REGISTERS * REGISTERS, dtype=np.uint64) + np.uint64(1)).reshape(REGISTERS, REGISTERS), axis=1)
 
@@ -157,26 +157,34 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable over links of at least ``percent``), kept."""
     sketch = stored(sketches(docs, doc_id, text, size), "near-sketch")
     classes = stored(sketch.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands")), "near-classes")
-    keys = classes.select("rep", F.posexplode("bands").alias("band", "registers")).select("rep", F.xxhash64("band", "registers").alias("key"))
-    crowded = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
+    keys = classes.select("rep", "n", F.posexplode("bands").alias("band", "registers")).select("rep", "n", F.xxhash64("band", "registers").alias("key"))
+    draw = F.xxhash64("rep", "key")
+    crowded = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("members"), F.min(draw).alias("least")).where("members > 1")
     shared = stored(keys.join(crowded, "key"), "near-shared")
     tried = stored(shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "near-tried")
     links = stored(_confirmed(tried, classes, docs, doc_id, text, size, percent), "near-links")
-    label, quiet, turn = components(links), 0, 0
-    while quiet < QUIET_ROUNDS:
-        turn += 1
-        placed = shared.join(label, shared["rep"] == label["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-        draw = F.struct(F.xxhash64("rep", "key", F.lit(turn)).alias("draw"), F.col("rep").alias("hub"), F.col("c").alias("hub_c"))
-        torn = placed.groupBy("key").agg(F.min(draw).alias("h"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key", "h.hub", "h.hub_c")
-        cross = placed.join(torn, "key").where("c <> hub_c").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-        fresh = stored(cross.join(tried, ["a", "b"], "left_anti"), "near-tried")
-        if not fresh.limit(1).count():
+    label, hubs = components(links), 4
+    while True:
+        # of each key still torn, the members whose draw is in the first ``hubs`` of them
+        placed = shared.join(label, shared["rep"] == label["node"], "left").select("key", "rep", "n", "members", "least", F.coalesce("component", "rep").alias("c"))
+        torn = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+        placed = stored(placed.join(torn, "key"), "near-placed")
+        most = placed.agg(F.max("members").alias("m")).first()["m"]
+        if not most:
             break
+        drawn = (draw == F.col("least")) | (F.pmod(draw, F.lit(1 << 30)) * F.col("members") < F.lit(float(hubs) * (1 << 30)))
+        chosen = placed.where(drawn).select("key", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("c").alias("hub_c"))
+        able = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
+        cross = placed.join(chosen, "key").where((F.col("c") != F.col("hub_c")) & able).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+        fresh = stored(cross.join(tried, ["a", "b"], "left_anti"), "near-tried")
         found = stored(_confirmed(fresh, classes, docs, doc_id, text, size, percent), "near-links")
-        tried, quiet = tried.union(fresh), quiet + 1
-        if found.limit(1).count():
-            links, quiet = links.union(found), 0
+        tried, new = tried.union(fresh), found.limit(1).count()
+        if new:
+            links = links.union(found)
             label = components(links)
+        if hubs >= most or hubs >= SURE_HUBS and not new:
+            break
+        hubs *= 4
     class_of = sketch.where("n > 0").join(classes.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"]).select("doc_id", "n", "rep")
     in_class = class_of.join(label, class_of["rep"] == label["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     empty = sketch.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))

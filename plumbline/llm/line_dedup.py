@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import rows_with, stored
+from .storage import filtered, rows_with, stored
 
 EDITS = 1
 SHORT = 24
@@ -126,7 +126,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
     shorter = F.length("la") < F.length("lb")
     both = both.select("a", "b", F.when(shorter, F.col("lb")).otherwise(F.col("la")).alias("x"), F.when(shorter, F.col("la")).otherwise(F.col("lb")).alias("y"))
-    return with_distance(both.where(F.length("x") - F.length("y") <= edits), "x", "y", edits).where(F.col("distance") <= edits).select("a", "b")
+    return filtered(with_distance(both.where(F.length("x") - F.length("y") <= edits), "x", "y", edits), F.col("distance") <= edits).select("a", "b")
 
 
 def similar_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -194,4 +194,4 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edi
     left = left.withColumn("__left", F.transform(F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), "__gone"), lambda i: F.get("__parts", i)))
     stays = F.col("__gone").isNull() | F.exists("__left", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     new = F.when(F.col("__gone").isNull(), F.col(f"`{text}`")).otherwise(F.array_join("__left", "\n"))
-    return left.where(stays).select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    return filtered(left, stays).select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])

@@ -88,7 +88,8 @@ def queue_cuts(sized: DataFrame, weights=rotating_weights, most_epochs: int = EP
     running = F.sum("size").over(Window.partitionBy("part").orderBy(*line).rowsBetween(Window.unboundedPreceding, 0))
     total = placed.withColumn("running", running).join(F.broadcast(part_sums.select("part", "before")), "part")
     spent = float(budget.first()["budget"])
-    taken = F.col("before") + F.col("running") <= F.lit(spent * (1 + 1e-12))
+    # up to time 1 the running total cannot pass the budget; later copies would fill the room that a long document leaves with another source's words
+    taken = (F.col("before") + F.col("running") <= F.lit(spent * (1 + 1e-12))) & (F.col("finish") <= F.lit(1 + 1e-12))
     copy = F.struct("epoch", "__key", "size")
     ends = total.groupBy("source").agg(F.max(F.when(taken, copy)).alias("last"), F.min(F.when(~taken, copy)).alias("next"), F.coalesce(F.sum(F.when(taken, F.col("size"))), F.lit(0)).alias("sent"))
     # a source whose next copy would bring it nearer to its target gets it: no source is further off than half a document

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import filtered
 from .text import SPACES
 
 WINDOW = 8
@@ -103,7 +104,7 @@ def passes(policy: Policy) -> Column:
 def apply_policy(docs: DataFrame, policy: Policy = POLICIES[-1], text: str = "text") -> DataFrame:
     """The documents that ``policy`` keeps, with their own columns."""
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
-    return ledger(whole, "text").where(passes(policy)).select("row.*")
+    return filtered(ledger(whole, "text"), passes(policy)).select("row.*")
 
 
 def ablation(ledger_rows: DataFrame, policies: tuple[Policy, ...] = POLICIES) -> DataFrame:

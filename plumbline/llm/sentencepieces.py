@@ -19,10 +19,12 @@ and changes no result.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -253,8 +255,6 @@ def read_model(path: str | None = None) -> bytes:
 def encode(docs: DataFrame, text: str = "text", model: bytes | None = None, ids: str = "ids", round_trip: str | None = None) -> DataFrame:
     """``docs`` with the ids of its texts, and with ``round_trip``, whether decoding them gives the text again. No shuffle; the model's
     tables (about 10 MB, fixed by the model) are built on the driver and broadcast. Columns called like the new ones are replaced."""
-    import uuid
-
     shared, key = docs.sparkSession.sparkContext.broadcast(Pieces(model or read_model())), uuid.uuid4().hex
     names = [ids, *([round_trip] if round_trip else [])]
     docs = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in {n.lower() for n in names}])
@@ -284,8 +284,6 @@ def encode(docs: DataFrame, text: str = "text", model: bytes | None = None, ids:
 
 def decode(rows: DataFrame, ids: str = "ids", out: str = "decoded", model: bytes | None = None) -> DataFrame:
     """``rows`` with the texts of its ids (NULL and empty lists: the empty text). Bytes that are not UTF-8 become U+FFFD."""
-    import pandas as pd
-
     shared = rows.sparkSession.sparkContext.broadcast(Pieces(model or read_model()))
 
     @F.pandas_udf("string")

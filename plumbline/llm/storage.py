@@ -4,8 +4,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.functions import broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,5 +45,12 @@ def rows_with(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     name = "__wanted"
     ids = stored(ids.toDF(name), "ids")
     if ids.count() <= IDS_SENT:
-        ids = broadcast(ids)
+        ids = F.broadcast(ids)
     return df.join(ids, df[key] == ids[name], "left_semi")
+
+
+def filtered(df: DataFrame, condition: Column) -> DataFrame:
+    """``df.where(condition)`` judged on the finished columns. A plain filter would be pushed below the projections that make them, with
+    every array expression copied into the lambdas that read it; a row number in the same projection keeps the filter above."""
+    number = free_name(df, "__number")
+    return df.withColumn(number, F.monotonically_increasing_id()).where(condition & (F.col(number) >= 0)).drop(number)
