@@ -249,6 +249,8 @@ def main_text(page: str | None, weights: np.ndarray) -> str:
     found = blocks(page)
     if not found:
         return ""
+    if len(found) == 1 and not found[0].boiler and not found[0].linked:
+        return found[0].text                 # nothing to tell it from
     value = features(found) @ weights
     kept = minimum_cut(np.logaddexp(0, value), np.logaddexp(0, -value), smooth_edges(found))
     return " ".join(b.text for b, k in zip(found, kept) if k)

@@ -6,7 +6,8 @@ up the substrings of its own that a line of its length or up to EDITS shorter co
 2 + 4 narrow rows for one edit, 3 + 12 for two). Candidates are verified by a banded bit-parallel edit distance (a band of 2 * EDITS + 1 bits moves
 along the diagonal).
 
-Keys with few lines are joined outright. In a crowded key lines are compared with hubs, twice as many in each round, until its lines are
+Keys with few lines are joined outright. For one edit the lines of crowded keys get finer keys, which leave out a 32nd of the line, so that
+lines with a common half alone do not meet. In a key that is crowded still (or for more edits) lines are compared with hubs, twice as many in each round, until its lines are
 one component or all have been hubs, so no link between components is lost and a group of similar lines costs one comparison each.
 
 Lines are the parts of a text between newlines. White space lines are never duplicates. Lines under SHORT code points are
@@ -25,6 +26,7 @@ from .storage import filtered, rows_with, stored
 EDITS = 1
 SHORT = 24
 CROWDED = 16
+PIECES = 32
 
 
 def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -137,11 +139,12 @@ def similar_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     marked = F.concat(F.transform(F.array_distinct("index"), lambda k: F.struct(k.alias("key"), (F.lit(2) + F.when(F.array_contains("probe", k), 1).otherwise(0)).cast("byte").alias("role"))),
                       F.transform(F.array_except("probe", "index"), lambda k: F.struct(k.alias("key"), F.lit(1).cast("byte").alias("role"))))
     rows = keyed.select("id", F.explode(marked).alias("m")).select("id", "m.key", "m.role")
-    spread = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(spread, "key")
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.max("role").alias("highest"), F.min(F.xxhash64("id", "key")).alias("least")).where("members > 1 AND highest > 1")
-    shared = stored(rows.join(sizes.drop("highest"), "key"), "line-shared")
+    shared = _shared(rows)
     few, crowded = shared.where(F.col("members") <= CROWDED), shared.where(F.col("members") > CROWDED)
+    if edits == 1:
+        texts = rows_with(lines.select("h1", "line"), "h1", crowded.select("id").distinct()).groupBy(F.col("h1").alias("id")).agg(F.min("line").alias("line"))
+        finer = _shared(texts.select("id", F.explode(around_an_edit(F.col("line"))).alias("m")).select("id", "m.key", "m.role").distinct())
+        few, crowded = few.union(finer.where(F.col("members") <= CROWDED)), finer.where(F.col("members") > CROWDED)
     tried = stored(_pairs(few, few), "line-pairs")
     links = stored(_verified(tried, lines, edits), "line-links")
     label, hubs = components(links), 1
@@ -163,6 +166,26 @@ def similar_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
         hubs *= 4
 
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """The (id, key, role) whose key holds an indexed line and another one, with the key's ``members`` and smallest draw (``least``)."""
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.max("role").alias("highest"), F.min(F.xxhash64("id", "key")).alias("least")).where("members > 1 AND highest > 1")
+    return stored(rows.join(sizes.drop("highest"), "key"), "line-shared")
+
+
+def around_an_edit(line: Column) -> Column:
+    """Keys for one edit that leave out one of PIECES pieces of the line: two lines one edit apart are equal before and behind the piece that
+    holds it. A line has them as indexed (for its own length) and looks up those for a length one less."""
+    n = F.length(line)
+    found = []
+    for length, role in ((n, 3), (n - 1, 1)):
+        for j in range(PIECES):
+            first, last = F.floor(length * j / PIECES).cast("int"), F.floor(length * (j + 1) / PIECES).cast("int")
+            key = F.xxhash64(length, F.lit(j), F.substring(line, F.lit(1), first), F.substring(line, n - (length - last) + 1, length - last))
+            found.append(F.struct(key.alias("key"), F.lit(role).cast("byte").alias("role")))
+    return F.array(*found)
+
+
 def _pairs(members: DataFrame, hubs: DataFrame, apart: str | None = None) -> DataFrame:
     """Pairs of lines that share a key, at least one of them as indexed and the other as looking up; each pair once, smaller hash first."""
     other = hubs.select("key", F.col("id").alias("hub"), F.col("role").alias("hub_role"), *([F.col(apart).alias("hub_c")] if apart else []))
