@@ -94,7 +94,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with its measurements and ``bits``: bit k is set when rule k fails."""
     bits = sum((F.when(F.expr(test), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, (_, test) in enumerate(RULES)), F.lit(0).cast("long"))
-    return measured(docs, text).withColumn("bits", bits)
+    return filtered(measured(docs, text), F.lit(True)).withColumn("bits", bits)
 
 
 def passes(policy: Policy) -> Column:
