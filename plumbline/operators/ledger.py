@@ -37,7 +37,7 @@ def canonical(rules: DataFrame) -> DataFrame:
     value = (f"CASE WHEN p.key = 'values' THEN {sorted_values} "
              f"WHEN p.key = 'ref_columns' THEN array_join(transform(pairs, x -> x.ref), ',') "
              f"WHEN {one_of('p.key', vocab.EXPRESSION_PARAMETERS)} THEN {normal_expression('p.value')} "
-             f"WHEN {one_of('p.key', _NUMBERS)} THEN CAST(CAST(p.value AS DOUBLE) AS STRING) ELSE p.value END")
+             f"WHEN {one_of('p.key', _NUMBERS)} THEN coalesce(CAST(try_cast(p.value AS DOUBLE) AS STRING), p.value) ELSE p.value END")
     pairs = ("CASE WHEN type = 'foreign_key' THEN array_sort(transform(arrays_zip(transform(columns, c -> lower(c)), "
              "transform(from_json(params['ref_columns'], 'array<string>'), c -> lower(c))), z -> struct(z['0'] AS col, z['1'] AS ref))) "
              "ELSE array_sort(transform(columns, c -> struct(lower(c) AS col, CAST(NULL AS STRING) AS ref))) END")
