@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumbline import vocab
+from plumbline.functions.skew import cut_lineage
 from plumbline.model import Constraints, bare_names, singular
 from plumbline.sources.inventory import generic_type
 
@@ -126,21 +127,14 @@ def level_counts(nodes: DataFrame, key: str, parent: str, level: str) -> DataFra
     return joined.groupBy("level", above.alias("parent_level")).agg(F.sum("n").alias("n"))
 
 
-MOST_LEVELS = 50
-
-
 def level_chain(counts: DataFrame) -> list[str] | None:
-    """Top-to-leaf levels, or None if the table is no hierarchy. Reads a table of levels, never of nodes."""
-    rows = counts.limit(MOST_LEVELS * (MOST_LEVELS + 2) + 1).collect()
-    if len({r["level"] for r in rows}) > MOST_LEVELS:
-        return None
-    total: dict[str, int] = {}
-    for r in rows:
-        total[r["level"]] = total.get(r["level"], 0) + r["n"]
+    """Top-to-leaf levels, or None if the table is no hierarchy. Each step is a lookup that returns two rows at most, so the
+    number of levels is not limited and the driver holds only the chain."""
+    total = counts.groupBy("level").agg(F.sum("n").alias("total"))
+    mostly = cut_lineage(counts.join(total, "level").where(F.col("n") / F.col("total") >= vocab.LEVEL_LINK_SHARE).select("level", "parent_level"))
 
     def mostly_under(above: str, taken: list[str]) -> list[str]:
-        return [r["level"] for r in rows if r["parent_level"] == above and r["level"] not in taken
-                and r["n"] / total[r["level"]] >= vocab.LEVEL_LINK_SHARE]
+        return [r["level"] for r in mostly.where((F.col("parent_level") == above) & ~F.col("level").isin(taken)).limit(2).collect()]
 
     chain: list[str] = []
     found = mostly_under(vocab.ROOT, chain)
@@ -150,9 +144,10 @@ def level_chain(counts: DataFrame) -> list[str] | None:
     return chain if len(chain) > 1 else None
 
 
-def level_evidence(counts: DataFrame, levels: list[str]) -> DataFrame:
-    """(level, parent_level, n, problem): what the rows say against the chain of levels."""
-    above = F.create_map(*[F.lit(x) for i, lv in enumerate(levels) for x in (lv, vocab.ROOT if i == 0 else levels[i - 1])])
+def level_evidence(counts: DataFrame, levels: list[str] | None) -> DataFrame:
+    """(level, parent_level, n, problem): what the rows say against the chain of levels. Without a chain every level is outside."""
+    levels = levels or []
+    above = F.create_map(*[F.lit(x) for i, lv in enumerate(levels) for x in (lv, vocab.ROOT if i == 0 else levels[i - 1])]).cast("map<string,string>")
     wanted = above[F.col("level")]
     problem = (F.when(wanted.isNull(), "level outside the hierarchy")
                .when(F.col("parent_level") == vocab.ROOT, "have no parent")

@@ -5,6 +5,7 @@ the row are counted per decision key, and rules with the same key share that cou
 """
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
 import re
 
@@ -19,6 +20,8 @@ from plumbline.operators.key_checks import KEY_CHECKS, KeyBatch, batch_totals, c
 from plumbline.operators.row_checks import ROW_CHECKS, as_text, fails, scope_of
 from plumbline.rules import Rule
 
+RESULTS = ("rule_id string, name string, entity string, check_type string, severity string, total bigint, failed bigint, failure_rate double, "
+           "passed boolean, error string")
 RULES_PER_SCAN = 100     # keeps generated code below the JVM's method limit
 
 
@@ -26,6 +29,12 @@ def _problem(e: Exception) -> str:
     return f"{type(e).__name__}: {str(e).splitlines()[0][:300]}"
 
 
+def _numbered(rules: list[Rule]) -> list[Rule]:
+    """The rules under their place in the list: column names and lookups inside a plan must not depend on what an id looks like or on
+    its being unique."""
+    return [dataclasses.replace(r, rule_id=f"rule{i}") for i, r in enumerate(rules)]
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -79,7 +88,7 @@ class Prepared:
         self.errors: dict[str, str] = {}
         self.row: dict[str, list[tuple[Rule, Column | None, Column]]] = {}
         self.batches: list[tuple[KeyBatch, dict[str, Column | None], DataFrame]] = []
-        self.acyclic: list[Rule] = []
+        self.acyclic: list[tuple[Rule, str, str, DataFrame, DataFrame, int]] = []
         self.custom: list[tuple[Rule, DataFrame]] = []
         keyed: list[Rule] = []
         for r in rules:
@@ -93,8 +102,7 @@ class Prepared:
                 elif r.type in KEY_CHECKS:
                     keyed.append(r)
                 elif r.type == "hierarchy_acyclic":
-                    model.hierarchy(r.check["hierarchy"])
-                    self.acyclic.append(r)
+                    self.acyclic.append((r, *self._cycles(r)))
                 elif r.type == "custom_sql":
                     self.custom.append((r, custom_sql_rows(r.check["sql"], tables, target.sparkSession)))
                 else:
@@ -113,6 +121,16 @@ class Prepared:
                     self.errors[r.rule_id] = _problem(e)
             self.batches = self._batches([r for r in keyed if r.rule_id not in self.errors])
 
+    def _cycles(self, rule: Rule) -> tuple[str, str, DataFrame, DataFrame, int]:
+        """(key, parent column, nodes, nodes on a cycle, how many)."""
+        h = self.model.hierarchy(rule.check["hierarchy"])
+        node = self.model.entity(h.entity)
+        nodes = self.tables[node.table]
+        if len(node.primary_key) != 1:
+            raise ValueError(f"hierarchy '{rule.check['hierarchy']}': '{h.entity}' needs a primary key of one column")
+        key = node.primary_key[0]
+        return key, h.parent, nodes, *cycle_nodes(nodes, key, h.parent)
+
     def _runnable(self, entity: str, checks: list) -> list:
         """Checks Spark can resolve: all of them in one analysis, one by one only if that fails."""
         def analysed(some: list) -> None:
@@ -147,16 +165,18 @@ class Prepared:
 def execute_rules(tables, rules: list[Rule], model: Model, as_of: dt.date) -> DataFrame:
     """(rule_id, name, entity, check_type, severity, total, failed, failure_rate, passed, error) per rule."""
     spark = SparkSession.active()
+    if not rules:
+        return spark.createDataFrame([], RESULTS)
     with null_on_error(spark):
-        p = Prepared(tables, rules, model, as_of)
+        p = Prepared(tables, _numbered(rules), model, as_of)
         parts = []
         for entity, checks in p.row.items():
             for i in range(0, len(checks), RULES_PER_SCAN):
                 parts.append(_row_check_totals(p.table(entity), checks[i:i + RULES_PER_SCAN]))
         for batch, scopes, decided in p.batches:
             parts.append(batch_totals(batch, decided, scopes))
-        for r in p.acyclic:
-            parts.append(_acyclic_totals(r, p))
+        for r, key, _, nodes, _, failed in p.acyclic:
+            parts.append(_totals(nodes.agg(F.count_distinct(key).alias("n")), [(r.rule_id, "n", str(failed))]))
         for r, failing in p.custom:
             counts = (p.table(r.entity).select(F.lit(1).alias("row"), F.lit(0).alias("bad"))
                       .unionAll(failing.select(F.lit(0), F.lit(1))).agg(F.sum("row").alias("t"), F.sum("bad").alias("f")))
@@ -170,23 +190,14 @@ def execute_rules(tables, rules: list[Rule], model: Model, as_of: dt.date) -> Da
         return _with_verdict(_union(parts), rules)
 
 
-def _acyclic_totals(rule: Rule, p: Prepared) -> DataFrame:
-    h = p.model.hierarchy(rule.check["hierarchy"])
-    node = p.model.entity(h.entity)
-    nodes = p.tables[node.table]
-    key = node.primary_key[0]
-    _, failed = cycle_nodes(nodes, key, h.parent)
-    return _totals(nodes.agg(F.count_distinct(key).alias("n")), [(rule.rule_id, "n", str(failed))])
-
-
 def _with_verdict(totals: DataFrame, rules: list[Rule]) -> DataFrame:
     """Add what is known about the rule (literals, no join) and decide passed / failed."""
     facts = F.expr("map(" + ", ".join(
-        f"{text.q(r.rule_id)}, struct({text.q(r.name)} AS name, {text.q(r.entity)} AS entity, {text.q(r.type)} AS check_type, "
-        f"{text.q(r.severity)} AS severity, {float(r.limit)!r}D AS allowed)" for r in rules) + ")[rule_id]")
+        f"{text.q(n.rule_id)}, struct({text.q(r.rule_id)} AS rule_id, {text.q(r.name)} AS name, {text.q(r.entity)} AS entity, {text.q(r.type)} AS check_type, "
+        f"{text.q(r.severity)} AS severity, {float(r.limit)!r}D AS allowed)" for n, r in zip(_numbered(rules), rules)) + ")[rule_id]")
     rate = F.round(F.coalesce(F.try_divide(F.col("failed").cast("double"), F.col("total")), F.lit(0.0)), 6)
     return (totals.withColumn("fact", facts).withColumn("failure_rate", rate)
-            .select("rule_id", "fact.name", "fact.entity", "fact.check_type", "fact.severity", "total", "failed",
+            .select("fact.rule_id", "fact.name", "fact.entity", "fact.check_type", "fact.severity", "total", "failed",
                     "failure_rate",
                     (F.col("error").isNull() & (F.col("failure_rate") <= F.col("fact.allowed"))).alias("passed"),
                     "error"))
@@ -230,27 +241,23 @@ def violations(tables, rules: list[Rule], model: Model, as_of: dt.date) -> DataF
     """
     spark = SparkSession.active()
     with null_on_error(spark):
-        p = Prepared(tables, rules, model, as_of)
+        p = Prepared(tables, _numbered(rules), model, as_of)
         parts = []
         for entity, checks in p.row.items():
             flags = [(r, bad if scope is None else scope & bad) for r, scope, bad in checks]
             parts.append(_listed(p.table(entity), entity, _hits(flags, p), p))
         for batch, scopes, decided in p.batches:
             parts.append(_batch_rows(batch, decided, scopes, p))
-        for r in p.acyclic:
-            h = model.hierarchy(r.check["hierarchy"])
-            node = model.entity(h.entity)
-            key = node.primary_key[0]
-            on_cycle, _ = cycle_nodes(tables[node.table], key, h.parent)
-            rows = tables[node.table].join(on_cycle.withColumnRenamed("node", key), key, "left_semi")
-            rows = rows.groupBy(key).agg(F.min(h.parent).alias(h.parent))
+        for r, key, parent, nodes, on_cycle, _ in p.acyclic:
+            rows = nodes.join(on_cycle.withColumnRenamed("node", key), key, "left_semi").groupBy(key).agg(F.min(parent).alias(parent))
             parts.append(rows.select(
                 F.lit(r.rule_id).alias("rule_id"), F.lit(r.entity).alias("entity"), F.col(key).cast("string").alias("key"),
-                F.create_map(F.lit(key), F.col(key).cast("string"), F.lit(h.parent), F.col(h.parent).cast("string"))
+                F.create_map(F.lit(key), F.col(key).cast("string"), F.lit(parent), F.col(parent).cast("string"))
                 .alias("shown")))
         if not parts:
             return spark.createDataFrame([], "rule_id string, entity string, key string, shown map<string,string>")
-        return _union(parts)
+        own = F.expr("map(" + ", ".join(f"{text.q(n.rule_id)}, {text.q(r.rule_id)}" for n, r in zip(p.rules, rules)) + ")[rule_id]")
+        return _union(parts).withColumn("rule_id", own)
 
 
 def _listed(rows: DataFrame, entity: str, hits: Column, p: Prepared) -> DataFrame:
