@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import smallest
+
 TRAINING_PAGES, TRAINING_BLOCKS = 300, 20_000
 NEXT, SIBLING = 0.6, 0.5
 #: How elements and class names of the web's common layouts read.
@@ -258,7 +260,7 @@ def main_text(page: str | None, weights: np.ndarray) -> str:
 
 def train(pages: DataFrame, page_id: str = "page_id", page: str = "html") -> np.ndarray:
     """Weights from the TRAINING_PAGES pages with the smallest hash of their id; at most TRAINING_BLOCKS blocks come to the driver."""
-    some = pages.select(F.col(page_id).cast("string").alias("id"), F.col(page).alias("page")).orderBy(F.xxhash64("id"), "id").limit(TRAINING_PAGES)
+    some = smallest(pages.select(F.col(page_id).cast("string").alias("id"), F.col(page).alias("page")), F.xxhash64("id"), TRAINING_PAGES, "id")
 
     def labelled(batches):
         for batch in batches:

@@ -22,6 +22,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import smallest
+
 UNKNOWN = "unknown"
 NEGATIVES, NEGATIVE_CHARS = 3000, 2000
 COMMON = 0.01                 # a feature in more than this share of the corpus paragraphs is none
@@ -144,8 +146,9 @@ def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
     """Fitted with the NEGATIVES paragraphs of up to NEGATIVE_CHARS code points that have the smallest hashes."""
-    some = paragraphs(docs, doc_id, text).where(F.length("line").between(1, NEGATIVE_CHARS)).select("line").orderBy(F.xxhash64("line", "doc_id", "line_no"), "line").limit(NEGATIVES)
-    return fit([r["line"] for r in some.collect()])
+    usable = paragraphs(docs, doc_id, text).where(F.length("line").between(1, NEGATIVE_CHARS))
+    some = smallest(usable, F.xxhash64("line", "doc_id", "line_no"), NEGATIVES, "line")
+    return fit([r["line"] for r in some.select("line").collect()])
 
 
 def scan(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
