@@ -8,7 +8,8 @@ chance collisions, drops hopeless pairs, and every link that is left is confirme
 Documents with equal sets are one class from the start and only its smallest id goes on. In a band bucket members are compared with
 a hub, never all with all: first with the smallest id, then, in the buckets whose members are not yet in one component, with 4, 16, 64
 and more members drawn by hash, each only with members of other components. Buckets of up to SURE_HUBS members are compared whole in
-this way; in larger ones the rounds go on until one with that many hubs finds no link. Before these rounds the shingles of the members
+this way; in larger ones the rounds go on until one with that many hubs finds no link. A pair that meets in several buckets or
+rounds leaves their joins once. Before these rounds the shingles of the members
 still open are counted: one that nobody else has cannot be common to two sets, which bounds what two sets can have in common. Members and
 pairs that this bound excludes are left out; no link is lost by it. Two documents with similarity 0.8 meet in 13 of
 32 buckets on average (in none with chance 5e-8), and one that they share with few others compares them.
@@ -37,7 +38,7 @@ SURE_SIZE = 512
 MARGIN = 0.2
 #: Chance that registers of unrelated elements are equal: same leading zeros (1/3) and same mantissa (2^-10).
 COLLISION = 2.0 ** -MANTISSA_BITS / 3
-SURE_HUBS = 64
+FIRST_HUBS, SURE_HUBS = 4, 64
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _ORDER = np.argsort(mix(np.arange(REGISTERS * REGISTERS, dtype=np.uint64) + np.uint64(1)).reshape(REGISTERS, REGISTERS), axis=1)
 
@@ -164,6 +165,10 @@ def _matched(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, size: in
     return sizes.groupBy("node").agg(F.sum("part").alias("matched"))
 
 
+def _keys(spots: Column) -> Column:
+    return F.transform(spots, lambda s: s["key"])
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable over links of at least ``percent``), kept."""
     sketch = stored(sketches(docs, doc_id, text, size), "near-sketch")
@@ -174,7 +179,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shared = stored(keys.join(crowded, "key"), "near-shared")
     tried = stored(shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "near-tried")
     links = stored(_confirmed(tried, classes, docs, doc_id, text, size, percent), "near-links")
-    label, hubs = components(links), 4
+    label, hubs = components(links), FIRST_HUBS
 
     def torn(rows: DataFrame) -> DataFrame:
         """``rows`` with their component c, those whose key holds more than one component."""
@@ -182,24 +187,31 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         open_keys = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
         return placed.join(open_keys, "key")
 
-    left = stored(torn(shared.select("key", "rep", "n")).select("key", "rep", "n"), "near-left")
+    left = stored(torn(shared.select("key", "rep", "n", (F.col("rep") == F.col("hub")).alias("first"))).drop("c"), "near-left")
     matched = _matched(docs, left.select("rep").distinct(), doc_id, text, size)
-    left = stored(left.join(matched, left["rep"] == matched["node"]).select("key", "rep", "n", F.least("n", "matched").alias("matched")).where(100 * F.col("matched") >= percent * F.col("n")), "near-left")
-    left = left.join(left.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(draw).alias("least")).where("members > 1"), "key")
+    left = stored(left.join(matched, left["rep"] == matched["node"]).select("key", "rep", "n", "first", F.least("n", "matched").alias("matched")).where(100 * F.col("matched") >= percent * F.col("n")), "near-left")
+    left = stored(left.join(left.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(draw).alias("least")).where("members > 1"), "key"), "near-open")
     while True:
-        # of each key still torn, the members whose draw is in the first ``hubs`` of them
-        placed = stored(torn(left), "near-placed")
-        most = placed.agg(F.max("members").alias("m")).first()["m"]
+        # one row for each node with its keys still torn; in each it is a hub if its draw is in the first ``hubs`` of the key's members. The
+        # hubs of a round stay hubs, so a pair with a hub of an earlier round (or of the first comparison) in a common key has been tried
+        drawn = [(draw == F.col("least")) | (F.pmod(draw, F.lit(1 << 30)) * F.col("members") < F.lit(float(h) * (1 << 30))) for h in (hubs, hubs // 4)]
+        before = F.col("first") if hubs == FIRST_HUBS else F.col("first") | drawn[1]
+        nodes = torn(left).groupBy("rep", "n", "matched", "c").agg(F.max("members").alias("most"), F.collect_list(F.struct("key", (drawn[0] | before).alias("drawn"), before.alias("before"))).alias("spots"))
+        nodes = stored(nodes, "near-nodes")
+        most = nodes.agg(F.max("most").alias("m")).first()["m"]
         if not most:
             break
-        drawn = (draw == F.col("least")) | (F.pmod(draw, F.lit(1 << 30)) * F.col("members") < F.lit(float(hubs) * (1 << 30)))
-        chosen = placed.where(drawn).select(F.col("key").alias("hub_key"), F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("matched").alias("hub_matched"), F.col("c").alias("hub_c"))
+        placed = nodes.select("rep", "n", "matched", "c", _keys(F.col("spots")).alias("keys"), _keys(F.filter("spots", lambda s: s["drawn"])).alias("in"),
+                              _keys(F.filter("spots", lambda s: s["before"])).alias("before_in"), F.inline("spots"))
+        chosen = placed.where("drawn AND NOT before").select(*[F.col(c).alias(f"hub_{c}") for c in ("key", "rep", "n", "matched", "c", "keys", "in", "before_in")])
         able = (100 + percent) * F.least("matched", "hub_matched") >= percent * (F.col("n") + F.col("hub_n"))
-        met = (F.col("key") == F.col("hub_key")) & (F.col("c") != F.col("hub_c")) & able
-        cross = placed.join(chosen, met).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-        fresh = stored(cross.join(tried, ["a", "b"], "left_anti"), "near-tried")
-        found = stored(_confirmed(fresh, classes, docs, doc_id, text, size, percent), "near-links")
-        tried, new = tried.union(fresh), found.limit(1).count()
+        # a pair leaves the join once: in the smallest key in which one of the two is a hub for the other, and of two hubs from the larger id
+        once = (~F.col("drawn") | (F.col("rep") > F.col("hub_rep"))) & (F.array_min(F.concat(F.array_intersect("keys", "hub_in"), F.array_intersect("in", "hub_keys"))) == F.col("key"))
+        untried = ~F.arrays_overlap("keys", "hub_before_in") & ~F.arrays_overlap("before_in", "hub_keys")
+        met = (F.col("key") == F.col("hub_key")) & (F.col("c") != F.col("hub_c")) & able & untried & once
+        pairs = stored(placed.join(chosen, met).select(F.least("rep", "hub_rep").alias("a"), F.greatest("rep", "hub_rep").alias("b")), "near-tried")
+        found = stored(_confirmed(pairs, classes, docs, doc_id, text, size, percent), "near-links")
+        new = found.limit(1).count()
         if new:
             links = links.union(found)
             label = components(links)
