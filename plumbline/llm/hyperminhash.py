@@ -143,12 +143,13 @@ def estimate(a: Column, b: Column) -> Column:
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets are similar enough. Only the texts of candidates are read into sets."""
-    a, b = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("bands").alias("ra")), classes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bands").alias("rb"))
-    judged = pairs.join(a, "a").join(b, "b")
-    able = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    likely = (F.least("na", "nb") < SURE_SIZE) | (estimate(F.col("ra"), F.col("rb")) >= percent / 100 - MARGIN)
-    left = stored(judged.where(able & likely).select("a", "b"), "near-pairs")
+    """Those of ``pairs`` (a, na, b, nb: two classes and their set sizes) whose full sets are similar enough. The sketches are compared where both sets
+    are large, and only the texts of candidates are read into sets."""
+    able = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    large = F.least("na", "nb") >= SURE_SIZE
+    a, b = (classes.where(F.col("n") >= SURE_SIZE).select(F.col("rep").alias(x), F.col("bands").alias(f"r{x}")) for x in "ab")
+    likely = able.where(large).join(a, "a").join(b, "b").where(estimate(F.col("ra"), F.col("rb")) >= percent / 100 - MARGIN)
+    left = stored(able.where(~large).select("a", "b").union(likely.select("a", "b")), "near-pairs")
     nodes = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
     sets = stored(_sets(rows_with(docs, doc_id, nodes), doc_id, text, size).dropDuplicates(["node"]), "near-sets")
     sa, sb = sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
@@ -175,9 +176,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = stored(sketch.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands")), "near-classes")
     keys = classes.select("rep", "n", F.posexplode("bands").alias("band", "registers")).select("rep", "n", F.xxhash64("band", "registers").alias("key"))
     draw = F.xxhash64("rep", "key")
-    crowded = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("members"), F.min(draw).alias("least")).where("members > 1")
-    shared = stored(keys.join(crowded, "key"), "near-shared")
-    tried = stored(shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "near-tried")
+    crowded = keys.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count(F.lit(1)).alias("members"), F.min(draw).alias("least")).where("members > 1")
+    shared = stored(keys.join(crowded, "key").withColumns({"hub": F.col("hub.rep"), "hub_n": F.col("hub.n")}), "near-shared")
+    tried = stored(shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("hub_n").alias("na"), F.col("rep").alias("b"), F.col("n").alias("nb")).distinct(), "near-tried")
     links = stored(_confirmed(tried, classes, docs, doc_id, text, size, percent), "near-links")
     label, hubs = components(links), FIRST_HUBS
 
@@ -209,7 +210,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         once = (~F.col("drawn") | (F.col("rep") > F.col("hub_rep"))) & (F.array_min(F.concat(F.array_intersect("keys", "hub_in"), F.array_intersect("in", "hub_keys"))) == F.col("key"))
         untried = ~F.arrays_overlap("keys", "hub_before_in") & ~F.arrays_overlap("before_in", "hub_keys")
         met = (F.col("key") == F.col("hub_key")) & (F.col("c") != F.col("hub_c")) & able & untried & once
-        pairs = stored(placed.join(chosen, met).select(F.least("rep", "hub_rep").alias("a"), F.greatest("rep", "hub_rep").alias("b")), "near-tried")
+        pairs = stored(placed.join(chosen, met).select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("hub_rep").alias("b"), F.col("hub_n").alias("nb")), "near-tried")
         found = stored(_confirmed(pairs, classes, docs, doc_id, text, size, percent), "near-links")
         new = found.limit(1).count()
         if new:
