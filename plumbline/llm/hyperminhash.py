@@ -151,7 +151,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: st
     likely = able.where(large).join(a, "a").join(b, "b").where(estimate(F.col("ra"), F.col("rb")) >= percent / 100 - MARGIN)
     left = stored(able.where(~large).select("a", "b").union(likely.select("a", "b")), "near-pairs")
     nodes = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
-    sets = stored(_sets(rows_with(docs, doc_id, nodes), doc_id, text, size).dropDuplicates(["node"]), "near-sets")
+    sets = stored(_sets(rows_with(docs, doc_id, nodes), doc_id, text, size).withColumn("digest", F.xxhash64("set")).dropDuplicates(["node", "digest"]), "near-sets")
     sa, sb = sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return left.join(sa, "a").join(sb, "b").withColumn("both", both).where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")

@@ -245,3 +245,10 @@ def test_repeated_rows(awkward):
     twice = awkward.where('doc_id < 30').union(awkward.where('doc_id < 30'))
     assert quality.ledger(twice).count() == fingerprint.edited_pairs(twice).count() == sentencepieces.encode(twice).count() == 60
     assert pii.all_spans(twice).count() == mixing.mix_counts(twice).count() == hyperminhash.near_duplicates(twice).count() == 60
+
+
+def test_rows_that_share_an_id_but_not_a_text(spark):
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(300))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, "a b")]
+    found = hyperminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=4).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in found} == {(1, 1), (2, 1), (3, 1), (4, 4)}
