@@ -6,13 +6,14 @@ order. Four registers make one 64-bit band; documents that share a band are cand
 chance collisions, drops hopeless pairs, and every link that is left is confirmed on the full sets.
 
 Documents with equal sets are one class from the start and only its smallest id goes on. In a band bucket members are compared with
-a hub, never all with all: first with the smallest id, then, in the buckets whose members are not yet in one component, with 4, 16, 64
-and more members drawn by hash, each only with members of other components. Buckets of up to SURE_HUBS members are compared whole in
-this way; in larger ones the rounds go on until one with that many hubs finds no link. A pair that meets in several buckets or
+a hub: first with the smallest id, then, in the buckets whose members are not yet in one component, with 4, 16 and 64
+members drawn by hash, each only with members of other components, which compares buckets of up to SURE_HUBS members whole. Larger ones
+take part in the first of these rounds only; the members of those that are torn after the rounds are compared whole in blocks of sets
+(``_block_links``), where a pair is a number in a matrix and no row. A pair that meets in several buckets or
 rounds leaves their joins once. Before these rounds the shingles of the members
-still open are counted: one that nobody else has cannot be common to two sets, which bounds what two sets can have in common. Members and
-pairs that this bound excludes are left out; no link is lost by it. Two documents with similarity 0.8 meet in 13 of
-32 buckets on average (in none with chance 5e-8), and one that they share with few others compares them.
+still open are counted: one that nobody else has cannot be common to two sets, which bounds what two sets can have in common. Members,
+pairs and blocks that this bound excludes are left out; no link is lost by it. Two documents with similarity 0.8 meet in 13 of
+32 buckets on average (in none with chance 5e-8), and one bucket compares them, however many members it has.
 
 NULL texts and texts without words have an empty set and no link. Fewer words than a shingle has: the whole sequence is the only
 shingle. Rows that share an id are one document with the union of their links. An empty table gives an empty result.
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -39,6 +40,10 @@ MARGIN = 0.2
 #: Chance that registers of unrelated elements are equal: same leading zeros (1/3) and same mantissa (2^-10).
 COLLISION = 2.0 ** -MANTISSA_BITS / 3
 FIRST_HUBS, SURE_HUBS = 4, 64
+#: A block of crowded buckets' sets ends after so many sets or shingles (a larger set is a block of its own).
+BLOCK_SETS, BLOCK_SHINGLES = 1 << 10, 1 << 20
+#: Shingles counted in one matrix product, and pairs of holders counted at once.
+COLUMNS, HOLDERS = 1 << 12, 1 << 22
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _ORDER = np.argsort(mix(np.arange(REGISTERS * REGISTERS, dtype=np.uint64) + np.uint64(1)).reshape(REGISTERS, REGISTERS), axis=1)
 
@@ -166,6 +171,79 @@ def _matched(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, size: in
     return sizes.groupBy("node").agg(F.sum("part").alias("matched"))
 
 
+def common(own_a: np.ndarray, of_a: np.ndarray, n_a: int, own_b: np.ndarray, of_b: np.ndarray, n_b: int, values: int) -> np.ndarray:
+    """(n_a, n_b): how many values each set of one side has in common with each of the other. A side is given by its (set, value) entries with
+    values from 0 to ``values`` - 1. A value with few holders is counted by pairs of holders, the others by matrix products."""
+    times_a, times_b = np.bincount(of_a, minlength=values), np.bincount(of_b, minlength=values)
+    many = times_a * times_b > n_a * n_b // 100
+    both = np.zeros(n_a * n_b, np.int64)
+    few_a, few_b = ~many[of_a] & (times_b[of_a] > 0), ~many[of_b]
+    x, v = own_a[few_a], of_a[few_a]
+    order = np.argsort(of_b[few_b], kind="stable")
+    y = own_b[few_b][order]
+    held = np.where(many, 0, times_b)
+    first = np.cumsum(held) - held
+    ends = np.cumsum(held[v])
+    at = 0
+    while at < len(v):
+        last = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HOLDERS, "right")))
+        n = held[v[at:last]]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[v[at:last]], n)
+        both += np.bincount(np.repeat(x[at:last], n) * n_b + y[place], minlength=n_a * n_b)
+        at = last
+    both = both.reshape(n_a, n_b)
+    column = np.where(many, np.cumsum(many) - 1, -1)
+    for start in range(0, int(many.sum()), COLUMNS):
+        sides = []
+        for own, of, n in ((own_a, of_a, n_a), (own_b, of_b, n_b)):
+            here = (column[of] >= start) & (column[of] < start + COLUMNS)
+            side = np.zeros((n, COLUMNS), np.float32)
+            side[own[here], column[of[here]] - start] = 1
+            sides.append(side)
+        both += (sides[0] @ sides[1].T).astype(np.int64)
+    return both
+
+
+def _block_links(nodes: DataFrame, docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
+    """(a, b) of similar sets of different components among ``nodes`` (rep, n, matched, c, keys) that share a key: for two components that
+    meet in a pair of blocks one link of theirs. Nodes with the same smallest key are cut into blocks by size; two blocks are compared if they
+    share a key and their sizes allow a link there. Only blocks are paired in a join; a set is sent once for each block that its own meets."""
+    before = F.sum(F.col("n") + BLOCK_SHINGLES // BLOCK_SETS).over(Window.partitionBy("home").orderBy("n", "rep").rowsBetween(Window.unboundedPreceding, -1))
+    placed = nodes.withColumn("home", F.array_min("keys")).withColumn("block", F.xxhash64("home", F.floor(F.coalesce(before, F.lit(0)) / BLOCK_SHINGLES)))
+    placed = stored(placed.drop("home"), "near-blocks")
+    held = placed.select(F.explode("keys").alias("key"), "block", "n", "matched", "c").groupBy("key", "block")
+    held = stored(held.agg(F.min("n").alias("n"), F.max("matched").alias("m"), F.min("c").alias("low"), F.max("c").alias("high")), "near-block-keys")
+    a, b = (held.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("block", "n", "m", "low", "high")]) for x in "ab")
+    able = (100 + percent) * F.least("m_a", "m_b") >= percent * (F.col("n_a") + F.col("n_b"))
+    apart = F.least("low_a", "low_b") != F.greatest("high_a", "high_b")
+    met = stored(a.join(b, "key").where((F.col("block_a") <= F.col("block_b")) & able & apart).select("block_a", "block_b").distinct(), "near-block-pairs")
+    sets = _sets(rows_with(docs, doc_id, placed.select("rep").distinct()), doc_id, text, size).withColumn("digest", F.xxhash64("set")).dropDuplicates(["node", "digest"])
+    rows = placed.join(sets, (placed["rep"] == sets["node"]) & (placed["n"] == F.size("set"))).select("block", "rep", "c", "set")
+    sides = met.select(F.col("block_a").alias("block"), "block_a", "block_b").union(met.where("block_a <> block_b").select("block_b", "block_a", "block_b"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        block, rep, c = (table[x].to_numpy() for x in ("block", "rep", "c"))
+        n = table["set"].combine_chunks().value_lengths().to_numpy().astype(np.int64)
+        of = np.unique(table["set"].combine_chunks().flatten().to_numpy(), return_inverse=True)[1]
+        own = np.repeat(np.arange(len(n)), n)
+        pair = table["block_a"][0].as_py(), table["block_b"][0].as_py()
+        side, entries = [], []
+        for x in pair:
+            inside = block == x
+            side.append(np.flatnonzero(inside))
+            number = np.cumsum(inside) - 1
+            entries += [number[own[inside[own]]], of[inside[own]], len(side[-1])]
+        both = common(*entries, int(of.max()) + 1 if len(of) else 0)
+        near = 100 * both >= percent * (n[side[0]][:, None] + n[side[1]][None, :] - both)
+        i, j = np.nonzero(near & (c[side[0]][:, None] != c[side[1]][None, :]))
+        i, j = side[0][i], side[1][j]
+        once = np.unique(np.stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j])]), axis=1, return_index=True)[1] if len(i) else i
+        return pa.table({"a": pa.array(rep[i[once]], pa.int64()), "b": pa.array(rep[j[once]], pa.int64())})
+
+    return sides.join(rows, "block").groupBy("block_a", "block_b").applyInArrow(compare, "a long, b long")
+
+
 def _keys(spots: Column) -> Column:
     return F.transform(spots, lambda s: s["key"])
 
@@ -197,7 +275,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         # hubs of a round stay hubs, so a pair with a hub of an earlier round (or of the first comparison) in a common key has been tried
         drawn = [(draw == F.col("least")) | (F.pmod(draw, F.lit(1 << 30)) * F.col("members") < F.lit(float(h) * (1 << 30))) for h in (hubs, hubs // 4)]
         before = F.col("first") if hubs == FIRST_HUBS else F.col("first") | drawn[1]
-        nodes = torn(left).groupBy("rep", "n", "matched", "c").agg(F.max("members").alias("most"), F.collect_list(F.struct("key", (drawn[0] | before).alias("drawn"), before.alias("before"))).alias("spots"))
+        here = left if hubs == FIRST_HUBS else left.where(F.col("members") <= SURE_HUBS)
+        nodes = torn(here).groupBy("rep", "n", "matched", "c").agg(F.max("members").alias("most"), F.collect_list(F.struct("key", (drawn[0] | before).alias("drawn"), before.alias("before"))).alias("spots"))
         nodes = stored(nodes, "near-nodes")
         most = nodes.agg(F.max("most").alias("m")).first()["m"]
         if not most:
@@ -216,9 +295,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if new:
             links = links.union(found)
             label = components(links)
-        if hubs >= most or hubs >= SURE_HUBS and not new:
+        if hubs >= min(most, SURE_HUBS):
             break
         hubs *= 4
+    crowded = stored(torn(left.where(F.col("members") > SURE_HUBS)).groupBy("rep", "n", "matched", "c").agg(F.collect_list("key").alias("keys")), "near-crowded")
+    if crowded.limit(1).count():
+        links = links.union(stored(_block_links(crowded, docs, doc_id, text, size, percent), "near-links"))
+        label = components(links)
     class_of = sketch.where("n > 0").join(classes.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"]).select("doc_id", "n", "rep")
     in_class = class_of.join(label, class_of["rep"] == label["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     empty = sketch.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
