@@ -7,8 +7,9 @@ page order. The classifier is fitted here: on pages with an ``article`` or ``mai
 the structural features hidden in a second copy so that the words' own features are learned as well. Its weights are drawn to fixed
 ones (``PRIOR``), which it equals when no page can teach it.
 
-Scripts, styles, templates, the head, comments and markup are never text. NULL and empty pages give an empty text, pages without tags
-are one block. Broken markup (open paragraphs, cut ends) is read to the end. Pages are read whole; rows are independent, repeated
+Scripts, styles, templates, the head, comments and markup are never text; formulas are text, but for their hidden annotations. NULL and empty
+pages give an empty text, pages without tags are one block. Broken markup (open paragraphs, cut ends) is read to the end: only a script,
+style, title or text field that is never closed takes the rest of the page; of other elements without text the start tag alone is skipped. Pages are read whole; rows are independent, repeated
 rows are handled each for itself, other columns pass through.
 """
 from __future__ import annotations
@@ -28,9 +29,13 @@ from .storage import smallest
 TRAINING_PAGES, TRAINING_BLOCKS = 300, 20_000
 NEXT, SIBLING = 0.6, 0.5
 #: How elements and class names of the web's common layouts read.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img "
+                   "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts "
+                   "mprescripts none maction mtable mtr mlabeledtr mtd semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "noscript", "template", "svg", "textarea", "iframe", "head", "title", "object", "canvas", "math", "select", "button")
+RAW = ("script", "style", "noscript", "template", "svg", "textarea", "iframe", "head", "title", "object", "canvas", "annotation", "annotation-xml", "select", "button")
+#: Those that a browser reads to the end of the page when they are not closed.
+TO_THE_END = frozenset("script style textarea title".split())
 BOILER_TAGS = frozenset("nav footer aside form menu dialog header".split())
 CONTENT_TAGS = frozenset("article main".split())
 BOILER_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|side-?bar|nav\w*|menu\w*|footer|header|cookies?|consent|notice\w*|gdpr|comments?|respond|repl(?:y|ies)|disqus|"
@@ -56,6 +61,19 @@ class Block:
     linked: int
 
 
+def _closings(page: str, tag: str) -> dict[int, int]:
+    """Place behind the end tag of each element ``tag`` that has one, by the place of its start tag; a start tag within belongs to an element within."""
+    found: dict[int, int] = {}
+    begun: list[int] = []
+    for m in re.finditer(rf"<(/?){tag}(?=[\s/>])[^>]*>", page, re.I):
+        if not m[1]:
+            if not m[0].endswith("/>"):
+                begun.append(m.start())
+        elif begun:
+            found[begun.pop()] = m.end()
+    return found
+
+
 def blocks(page: str | None) -> list[Block]:
     """The page's text blocks in order; white space inside a block is one space."""
     page = page or ""
@@ -64,6 +82,7 @@ def blocks(page: str | None) -> list[Block]:
     found: list[Block] = []
     text: list[str] = []
     linked, links, number, at, end = 0, 0, 0, 0, len(page)
+    closings: dict[str, dict[int, int]] = {}
 
     def close() -> None:
         nonlocal linked
@@ -101,16 +120,21 @@ def blocks(page: str | None) -> list[Block]:
                     break
             continue
         if tag in RAW:
-            if tag == "title" or not m[0].endswith("/>"):
-                stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                if stop:
-                    at = stop.end()
-                elif tag == "head":          # an unclosed head ends where the body begins
-                    body = re.compile(r"<body\b", re.I).search(page, at)
-                    at = body.start() if body else at
-                else:
-                    at = end
-            if tag not in ("button", "select", "svg", "math"):
+            if tag in TO_THE_END or tag == "head":
+                if tag == "title" or not m[0].endswith("/>"):
+                    stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                    if stop:
+                        at = stop.end()
+                    elif tag == "head":      # an unclosed head ends where the body begins
+                        body = re.compile(r"<body\b", re.I).search(page, at)
+                        at = body.start() if body else at
+                    else:
+                        at = end
+            elif not m[0].endswith("/>"):
+                if tag not in closings:
+                    closings[tag] = _closings(page, tag)
+                at = closings[tag].get(m.start(), at)
+            if tag not in ("button", "select", "svg", "annotation", "annotation-xml"):
                 close()
             continue
         if tag in INLINE:
