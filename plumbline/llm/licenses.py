@@ -2,7 +2,7 @@
 
 A paragraph (a line of the text) is a sparse set of hashed words and word pairs. A softmax regression over licence families and an
 ``unknown`` class is fitted on the driver from variants of the templates below and at most NEGATIVES paragraphs of the corpus;
-pairs and words that are common in those paragraphs are no features. Its temperature and its acceptance threshold are set on
+pairs and words that are common in those of them that share no word triple with a template are no features. Its temperature and its acceptance threshold are set on
 variants and paragraphs kept apart. A prediction is confirmed when the paragraph shares word triples with a template of its family.
 
 The scan uses built-in functions only: paragraphs without any feature are ``unknown`` by the model itself and end in the scan; the
@@ -26,7 +26,7 @@ from .storage import smallest
 
 UNKNOWN = "unknown"
 NEGATIVES, NEGATIVE_CHARS = 3000, 2000
-COMMON = 0.01                 # a feature in more than this share of the corpus paragraphs is none
+COMMON = 0.01                 # a feature in more than this share of the corpus paragraphs without a template's triple is none
 LEAST_OVERLAP = 0.6
 #: Notices and characteristic paragraphs of public licences, by family.
 TEMPLATES = {
@@ -73,6 +73,10 @@ def grams_of(words: list[str]) -> set[str]:
     return set(words) | {f"{a} {b}" for a, b in zip(words, words[1:])}
 
 
+def triples_of(words: list[str]) -> set[str]:
+    return {" ".join(t) for t in zip(words, words[1:], words[2:])} or {" ".join(words)}
+
+
 def _variants(template: str, rng: random.Random, n: int = 12) -> list[list[str]]:
     """The template, parts of it, and the template with words lost or strange words put in."""
     words = words_of(template)
@@ -85,16 +89,20 @@ def _variants(template: str, rng: random.Random, n: int = 12) -> list[list[str]]
 
 
 def fit(paragraphs: list[str], strength: float = 0.02) -> Model:
-    """From templates and corpus paragraphs; paragraphs that hold most of a template are left out (they are licences)."""
+    """From templates and corpus paragraphs; paragraphs that hold most of a template are left out (they are licences). What is common is
+    counted in paragraphs without a word triple of a template: a frequent notice does not make its own words common."""
     rng = random.Random(11)
-    corpus = [grams_of(words_of(p)) for p in paragraphs]
+    split = [words_of(p) for p in paragraphs]
+    corpus = [grams_of(w) for w in split]
     whole = [grams_of(words_of(t)) for group in TEMPLATES.values() for t in group]
+    told = set().union(*(triples_of(words_of(t)) for group in TEMPLATES.values() for t in group))
+    plain = [grams for grams, w in zip(corpus, split) if told.isdisjoint(triples_of(w))]
     counts: dict[str, int] = {}
-    for grams in corpus:
+    for grams in plain:
         for g in grams:
             counts[g] = counts.get(g, 0) + 1
     corpus = [g for g in corpus if not any(len(g & t) > 0.5 * len(t) for t in whole)]
-    vocabulary = sorted(g for g in set().union(*whole) if counts.get(g, 0) <= COMMON * max(len(paragraphs), 100))
+    vocabulary = sorted(g for g in set().union(*whole) if counts.get(g, 0) <= COMMON * max(len(plain), 100))
     single = {g for g in vocabulary if " " not in g}
     vocabulary = [g for g in vocabulary if single.intersection(g.split(" "))]
     place = {g: k for k, g in enumerate(vocabulary)}
@@ -172,7 +180,7 @@ def scan(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "tex
     family = F.coalesce(*[F.when(z == top, F.lit(f)) for z, f in zip(logits, FAMILIES)])
     probability = 1 / sum((F.exp(F.least(z - top, F.lit(700.0))) for z in logits), F.lit(0.0))
     scored = scored.select("grams", family.alias("family"), probability.alias("probability")).where((F.col("probability") > model.threshold))
-    templates = [(family, sorted({" ".join(t) for t in zip(w, w[1:], w[2:])} or {" ".join(w)})) for family, group in TEMPLATES.items() for w in map(words_of, group)]
+    templates = [(family, sorted(triples_of(w))) for family, group in TEMPLATES.items() for w in map(words_of, group)]
     table = spark.createDataFrame(templates, "family string, template array<string>").groupBy("family").agg(F.collect_list("template").alias("templates"))
     found = rows.join(scored, "grams").join(F.broadcast(table), "family")
     shared = F.transform("templates", lambda t: F.size(F.array_intersect("triples", t)) / F.least(F.size(t), F.greatest(F.size("triples"), F.lit(1))))
