@@ -12,7 +12,8 @@ one component or all have been hubs, so no link between components is lost and a
 
 Lines are the parts of a text between newlines. White space lines are never duplicates. Lines under SHORT code points are
 duplicates only when equal: two edits change their meaning. NULL and empty texts pass unchanged. "First" is by (doc_id, line
-number); rows that share an id are one document for this order (each keeps the line). Very long lines and texts are read whole.
+number, hash of the text). A row is known by its id, which may be NULL, and its text's hash (``copy``), so rows that share an id lose only lines of
+their own; rows with equal id and text are one document (each keeps the line). Very long lines and texts are read whole.
 Only built-in functions run.
 """
 from __future__ import annotations
@@ -29,9 +30,14 @@ CROWDED = 16
 PIECES = 32
 
 
+def copy_of(text: Column) -> Column:
+    """What tells rows with one id apart: the hash of the text."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, line_no, line, and its two hashes; lines of white space are left out."""
-    parts = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("line_no", "line"))
+    """doc_id, copy, line_no, line, and its two hashes; lines of white space are left out."""
+    parts = docs.select(F.col(doc_id).alias("doc_id"), copy_of(F.col(text)).alias("copy"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("line_no", "line"))
     return parts.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
@@ -195,23 +201,23 @@ def _pairs(members: DataFrame, hubs: DataFrame, apart: str | None = None) -> Dat
 
 
 def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS) -> DataFrame:
-    """One row per line that goes: doc_id, line_no, the line that stays for it (first_doc, first_line), and whether they are equal."""
+    """One row per line that goes: doc_id, copy, line_no, the line that stays for it (first_doc, first_line), and whether they are equal."""
     lines = lines_of(docs, doc_id, text)
-    seen = stored(lines.select("doc_id", "line_no", "h1", "h2"), "line-hashes")
+    seen = stored(lines.select("doc_id", "copy", "line_no", "h1", "h2"), "line-hashes")
     label = similar_lines(lines, edits)
-    classed = seen.join(label, seen["h1"] == label["node"], "left").select("doc_id", "line_no", "h2", F.coalesce("component", "h1").alias("c"), F.when(F.col("node").isNull(), F.col("h2")).alias("c2"), "h1")
-    place = F.struct("doc_id", "line_no", "h1", "h2")
+    classed = seen.join(label, seen["h1"] == label["node"], "left").select("doc_id", "copy", "line_no", "h2", F.coalesce("component", "h1").alias("c"), F.when(F.col("node").isNull(), F.col("h2")).alias("c2"), "h1")
+    place = F.struct("doc_id", "line_no", "copy", "h1", "h2")
     firsts = classed.groupBy("c", "c2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("c").alias("fc"), F.col("c2").alias("fc2"), "first")
     joined = classed.join(firsts, (classed["c"] == firsts["fc"]) & classed["c2"].eqNullSafe(firsts["fc2"]))
-    gone = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no")))
-    return joined.where(gone).select("doc_id", "line_no", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"),
+    gone = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no")) & (F.col("copy") == F.col("first.copy")))
+    return joined.where(gone).select("doc_id", "copy", "line_no", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"),
                                      ((F.col("h1") == F.col("first.h1")) & (F.col("h2") == F.col("first.h2"))).alias("equal"))
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS) -> DataFrame:
     """``docs`` without the lines that go. A document that loses every line with a word goes too; one that had none stays."""
-    gone = duplicate_lines(docs, doc_id, text, edits).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
-    joined = docs.join(gone, docs[doc_id].eqNullSafe(gone["__id"]), "left")
+    gone = duplicate_lines(docs, doc_id, text, edits).groupBy(F.col("doc_id").alias("__id"), F.col("copy").alias("__copy")).agg(F.collect_set("line_no").alias("__gone"))
+    joined = docs.join(gone, docs[doc_id].eqNullSafe(gone["__id"]) & (copy_of(docs[text]) == gone["__copy"]), "left")
     parts = F.split(F.col(f"`{text}`"), "\n", -1)
     left = joined.withColumn("__parts", F.when(F.col("__gone").isNotNull(), parts))
     left = left.withColumn("__left", F.transform(F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), "__gone"), lambda i: F.get("__parts", i)))

@@ -76,12 +76,15 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     the line that stays."""
     docs = _table(spark, sf_dir, "documents")
     gone = line_dedup.duplicate_lines(docs)
-    went = gone.groupBy(F.col("doc_id").alias("id")).agg(F.count(F.when(F.col("equal"), 1)).alias("n_equal"), F.count(F.when(~F.col("equal"), 1)).alias("n_near"),
-                                                         F.sort_array(F.collect_list(F.struct("line_no", "first_doc", "first_line"))).alias("removed"))
+    # a set: rows with equal id and text have each line twice
+    went = gone.groupBy(F.col("doc_id").alias("id"), F.col("copy").alias("c")).agg(F.collect_set(F.struct("line_no", "first_doc", "first_line", "equal")).alias("lines"))
+    n_equal = F.size(F.filter("lines", lambda x: x["equal"])).cast("long")
+    removed = F.sort_array(F.transform("lines", lambda x: F.struct(x["line_no"].alias("line_no"), x["first_doc"].alias("first_doc"), x["first_line"].alias("first_line"))))
+    went = went.select("id", "c", n_equal.alias("n_equal"), (F.size("lines") - n_equal).alias("n_near"), removed.alias("removed"))
     has_word = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    counted = docs.select("doc_id", F.size(has_word).cast("long").alias("n_lines"))
+    counted = docs.select("doc_id", line_dedup.copy_of(F.col("text")).alias("copy"), F.size(has_word).cast("long").alias("n_lines"))
     zero = F.lit(0).cast("long")
-    return (counted.join(went, counted["doc_id"] == went["id"], "left")
+    return (counted.join(went, counted["doc_id"].eqNullSafe(went["id"]) & (counted["copy"] == went["c"]), "left")
             .select("doc_id", "n_lines", F.coalesce("n_equal", zero).alias("n_equal"), F.coalesce("n_near", zero).alias("n_near"), "removed"))
 
 
