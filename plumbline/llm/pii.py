@@ -1,13 +1,14 @@
 """Personal data by patterns and by what the corpus tells about them.
 
 Four kinds of protected entities are found by patterns (leftmost, not overlapping within a kind; a match that fails its test is dropped).
-Terms beside an entity are then judged by information content: with D(x) the documents that hold x, a term t tells
+Terms in the same documents are then judged by information content: with D(x) the documents that hold x, a term t tells
 ``PMI(t; e) / IC(e) = 1 - log(D(t) / D(t, e)) / log(N / D(e))`` of what there is to know about entity e: 1 when e always follows from t,
-0 when t says nothing. Terms at or above ``DISCLOSURE`` that stand beside the same entity in at least ``SUPPORT`` different texts become
-spans of kind ``term`` in the documents that hold the entity; ``sanitised`` removes entities and generalises terms.
+0 when t says nothing. Documents are whole texts, however far apart t and e stand in them. Terms at or above ``DISCLOSURE`` that share at least
+``SUPPORT`` different texts with the entity become spans of kind ``term`` wherever they stand, also in documents without the entity;
+``sanitised`` removes entities and generalises terms. As D(t, e) is at most D(e), D(t) bounds which terms can disclose e, and only those are paired.
 
 Only built-in functions run. NULL and empty texts hold nothing. Positions are code points, ends are exclusive. Repeated rows each get
-their spans; a term beside copies of one text is no evidence. A clashing column of ``docs`` does not matter: only id and text are read.
+their spans; a term in copies of one text is no evidence. A clashing column of ``docs`` does not matter: only id and text are read.
 """
 from __future__ import annotations
 
@@ -29,7 +30,6 @@ PATTERNS = {
 SIGN = {"email": "@", "ip": ".", "phone": "+"}
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 TERM = r"(?<=[\x20\x09-\x0D])\p{L}{4,}(?=[\x20\x09-\x0D.,;:!?])"
-REACH = 60                      # code points on each side of an entity
 SUPPORT, DISCLOSURE = 2, 0.9
 _SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
 
@@ -96,45 +96,59 @@ def _term(word: Column) -> Column:
     return F.xxhash64(F.lower(word))
 
 
-def found(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, copy (hash of the text), spans, and for each span the entity with the terms within REACH of it."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("spans", spans(F.col("text")))
+def _words(text: Column) -> Column:
+    """Hashes of the distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.concat(F.lit(" "), text, F.lit(" ")), F.lit(TERM), F.lit(0)), _term))
+
+
+def _terms(text: Column, spans: Column) -> Column:
+    """All terms of a text with their places, without those that overlap a span."""
+    padded = F.concat(F.lit(" "), text, F.lit(" "))
+    return F.filter(_located(padded, TERM, F.lit(len(KINDS)), F.lit(-1)), lambda w: ~F.exists(spans, lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
 
-    def around(s: Column) -> Column:
-        first = F.greatest(s["start"] - REACH, F.lit(0))
-        window = F.substring(F.col("text"), first + 1, s["end"] + REACH - first)
-        words = F.filter(_located(window, TERM, F.lit(len(KINDS)), first), lambda w: ~F.exists(F.col("spans"), lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-        return F.struct(_entity(s).alias("entity"), words.alias("terms"))
 
-    return rows.select("doc_id", F.xxhash64("text").alias("copy"), "spans", F.when(F.size("spans") > 0, F.transform("spans", around)).alias("around"))
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("copy", F.xxhash64("text"))
+
+
+def found(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, copy (hash of the text), spans, and of texts with spans the distinct entities and terms."""
+    rows = _rows(docs, doc_id, text).withColumn("spans", spans(F.col("text")))
+    some = F.size("spans") > 0
+    words = F.array_distinct(F.transform(_terms(F.col("text"), F.col("spans")), lambda w: _term(w["value"])))
+    return rows.select("doc_id", "copy", "spans", F.when(some, F.array_distinct(F.transform("spans", _entity))).alias("entities"), F.when(some, words).alias("words"))
 
 
 def disclosing(docs: DataFrame, base: DataFrame, text: str = "text") -> DataFrame:
     """(entity, term) pairs in which the term discloses the entity, with ``told`` (0 to 1)."""
-    beside = (base.where("around IS NOT NULL").select("doc_id", "copy", F.explode("around").alias("a")).select("doc_id", "copy", "a.entity", F.explode("a.terms").alias("t"))
-              .select("doc_id", "copy", "entity", _term(F.col("t.value")).alias("term")).distinct())
-    pairs = beside.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.count_distinct("copy").alias("texts")).where(F.col("texts") >= SUPPORT)
-    pairs = stored(pairs.drop("texts"), "pii-pairs")
-    holders = (base.where("around IS NOT NULL").select("doc_id", "copy", F.explode(F.array_distinct(F.transform("around", lambda a: a["entity"]))).alias("entity"))
-               .groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity")))
-    words = F.array_distinct(F.transform(F.regexp_extract_all(F.concat(F.lit(" "), F.lower(F.col(text)), F.lit(" ")), F.lit(TERM), F.lit(0)), lambda w: F.xxhash64(w)))
-    used = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
-    n = base.count()
-    told = 1 - F.log(F.col("with_term") / F.least("both", "with_term")) / F.greatest(F.log(F.lit(float(max(n, 2))) / F.col("with_entity")), F.lit(1e-9))
-    return pairs.join(used, "term").join(holders, "entity").withColumn("told", told).where(F.col("told") >= DISCLOSURE).select("entity", "term", "told")
+    held = base.where("entities IS NOT NULL")
+    of_copy = stored(held.select("copy", F.explode("entities").alias("entity")).groupBy("copy", "entity").agg(F.count(F.lit(1)).alias("times")), "pii-entities")
+    holders = of_copy.groupBy("entity").agg(F.sum("times").alias("with_entity"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= SUPPORT)
+    holders = stored(holders.drop("texts"), "pii-holders")
+    n = float(max(base.count(), 2))
+    # D(t) of a term that can disclose an entity, from D(t, e) <= D(e); a little more for rounding
+    most = F.col("with_entity") * F.pow(F.lit(n) / F.col("with_entity"), F.lit(1 - DISCLOSURE)) * 1.000001
+    cap = holders.agg(F.max(most).alias("m")).first()["m"] or 0.0
+    used = docs.select(F.explode(_words(F.coalesce(F.col(text), F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
+    used = stored(used.where(F.col("with_term").between(SUPPORT, F.lit(cap))), "pii-terms")
+    words = held.select("copy", F.explode("words").alias("term")).join(used, "term").distinct()
+    both = words.join(of_copy.join(holders, "entity"), "copy").where(F.col("with_term") <= most)
+    pairs = both.groupBy("entity", "term", "with_entity", "with_term").agg(F.sum("times").alias("both"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= SUPPORT)
+    told = 1 - F.log(F.col("with_term") / F.least("both", "with_term")) / F.greatest(F.log(F.lit(n) / F.col("with_entity")), F.lit(1e-9))
+    return stored(pairs.withColumn("told", told).where(F.col("told") >= DISCLOSURE).select("entity", "term", "told"), "pii-told")
 
 
 def all_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, copy, spans (patterns), terms (the method's spans by place)."""
     base = stored(found(docs, doc_id, text), "pii-found")
-    told = disclosing(docs, base, text)
-    near = base.where("around IS NOT NULL").select("doc_id", "copy", F.explode("around").alias("a")).select("doc_id", "copy", "a.entity", F.explode("a.terms").alias("t")).withColumn("term", _term(F.col("t.value")))
-    hit = near.join(told.select("entity", "term"), ["entity", "term"]).select("doc_id", "copy", "t").distinct()
-    terms = hit.groupBy(F.col("doc_id").alias("i"), F.col("copy").alias("c")).agg(F.array_sort(F.collect_list("t")).alias("terms"))
+    told = disclosing(docs, base, text).select("term").distinct()
+    rows = _rows(docs, doc_id, text).select("copy", "text")
+    hit = rows.select("copy", F.explode(_words(F.col("text"))).alias("term")).join(told, "term").groupBy("copy").agg(F.collect_set("term").alias("told"))
+    hit = stored(hit.select(F.col("copy").alias("c"), "told"), "pii-hits")
+    located = rows.join(hit, rows["copy"] == hit["c"]).select("c", F.filter(_terms(F.col("text"), spans(F.col("text"))), lambda w: F.array_contains("told", _term(w["value"]))).alias("terms"))
+    terms = located.groupBy("c").agg(F.first("terms").alias("terms"))
     none = F.expr(f"cast(array() as {_SPAN})")
-    same = base["doc_id"].eqNullSafe(terms["i"]) & (base["copy"] == terms["c"])
-    return base.join(terms, same, "left").select("doc_id", "copy", "spans", F.coalesce("terms", none).alias("terms"))
+    return base.join(terms, base["copy"] == terms["c"], "left").select("doc_id", "copy", "spans", F.coalesce("terms", none).alias("terms"))
 
 
 def written(some: Column) -> Column:
