@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, htmlcut, hyperminhash, lexical, licenses, line_dedup, mixing, pii, quality, sentencepieces, toxicity
+from . import collocations, fingerprint, htmlcut, hyperminhash, lexical, licenses, line_dedup, mixing, pii, quality, sentencepieces, toxicity
 
 QUERIES, ORACLE = {}, {}
 
@@ -93,7 +93,8 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licences(_table(spark, sf_dir, "documents"))
 
 
-_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 ORACLE["op13_lexical_search"] = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents),
  h AS (SELECT r, doc_id, len(t)::BIGINT AS n, t FROM d WHERE len(t) > 0), size AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM h),
  tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM h) GROUP BY ALL),
@@ -109,3 +110,23 @@ SELECT * FROM ranked WHERE rank <= 10"""
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("item_id", "rank", "doc_id", "score")
+
+
+ORACLE["op11_collocations"] = rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+ w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+ f AS (SELECT lang, len(g) AS words, array_to_string(g, ' ') AS phrase, count(*) AS f FROM (SELECT lang, unnest(flatten(list_transform([1, 2, 3, 4, 5], lambda size:
+  list_transform(range(1, len(w) - size + 2), lambda i: w[i:i + size - 1])))) AS g FROM w) GROUP BY ALL),
+ n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE words = 1 GROUP BY 1), c AS (SELECT *, string_split(phrase, ' ') AS g FROM f WHERE words > 1 AND f >= 100),
+ inside AS (SELECT lang, array_to_string(sub, ' ') AS phrase, max(f) AS longer FROM (SELECT lang, f, unnest(flatten(list_transform(range(2, words), lambda size:
+  list_transform(range(1, words - size + 2), lambda i: g[i:i + size - 1])))) AS sub FROM c) GROUP BY ALL),
+ kept AS (SELECT lang, phrase, f AS a, g, unnest(range(1, words)) AS k FROM c LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * f),
+ cut AS (SELECT lang, kept.phrase, a, k, x.f AS l, y.f AS r, n, ((1000 * a::HUGEINT * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM kept JOIN f x USING (lang) JOIN f y USING (lang) JOIN n USING (lang) WHERE x.phrase = array_to_string(g[:k], ' ') AND y.phrase = array_to_string(g[k + 1:], ' ')),
+ lowest AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM lowest)
+SELECT * FROM ranked WHERE rank <= 2000"""
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
