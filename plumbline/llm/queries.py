@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, fingerprint, htmlcut, hyperminhash, lexical, licenses, line_dedup, mixing, pii, quality, sentencepieces, toxicity
+from . import collocations, fingerprint, htmlcut, hyperminhash, lexical, licenses, line_dedup, mixing, pii, quality, sentencepieces, toxicity, vectorgraph
 
 QUERIES, ORACLE = {}, {}
 
@@ -130,3 +130,8 @@ SELECT * FROM ranked WHERE rank <= 2000"""
 @query
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorgraph.neighbours(_table(spark, sf_dir, "embeddings"))
