@@ -6,9 +6,11 @@ task holds ENTRIES phrases, its largest subtrees are spilled as sorted runs of (
 written to the shared folder and merged by ranges of the sorted phrases, so a partition holds a range of prefixes and a prefix that many phrases
 share is divided further down by itself; a phrase has one row per run, however often it occurs.
 
-Phrases are counted length by length. A phrase of j words can only be frequent if its first and its last j - 1 words are, so the frequent phrases
-of the length before become a bitmap of BITMAP hashed slots (its size does not grow with the corpus; a shared slot lets a phrase through
-that is then counted for nothing, and never hides one). All counts are exact sums over all occurrences.
+Words are counted first (their container is the vocabulary itself), then phrases of all lengths together, and only those that can be frequent reach a trie: all their words are frequent,
+and so are the slots that the phrase and its parts are hashed to. For that a pass before sums SLOTS counters for each length over the corpus, held
+at the support, 127 at most (a sum of held counts reaches it exactly if the sum of the counts does), a byte each. A slot that several phrases share lets
+them through, to be counted for nothing; it never hides one. The bitmaps have a fixed size, whatever the corpus. All counts are exact sums
+over all occurrences.
 
 Rules: A-Z lower-cased; ``. , ; : ! ?`` and U+000A to U+000D end a piece; words are runs without space and tab inside a piece; occurrences may
 overlap. Score of the cut after k words: floor(1000 a n / (l r)) with a, l, r the counts of the phrase and its two parts and n all words of the
@@ -30,11 +32,15 @@ from .text import mix, texts_of
 
 LENGTHS = (2, 3, 4, 5)
 SUPPORT, TOP = 100, 2000
-BURST, DEPTH, ENTRIES = 2048, 2, 400_000
-#: Slots of the bitmap of frequent phrases (one MB), two for each phrase.
+BURST, DEPTH, ENTRIES = 2048, 2, 200_000
+#: Slots of the bitmap of frequent words (one MB), two for each word.
 BITMAP = 1 << 23
+#: Counters for each length, and how many of them make a row.
+SLOTS, BLOCK = 1 << 23, 1 << 18
+#: Blocks summed up by one task at a time.
+FAN = 64
 #: Bytes of text counted at once.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 WORDS = 300_000
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -42,12 +48,14 @@ _AS_SPACE = bytes(32 if c in _BREAKS or c == 9 else c + 32 if 65 <= c <= 90 else
 _KIND = np.zeros(256, np.uint8)                     # 0 part of a word, 1 space, 2 end of a piece
 _KIND[[32, 9]] = 1
 _KIND[list(_BREAKS)] = 2
-_RUN = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
+_RUN = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())])
+_COUNTERS = pa.schema([("part", pa.int32()), ("length", pa.int32()), ("block", pa.int32()), ("counts", pa.binary())])
+_COUNTERS_SQL = "part int, length int, block int, counts binary"
 _MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
 
 
 class HatTrie:
-    """Counts of id tuples. A node is a dict from word id to a node or to a container; a container is a dict from the remaining ids to a count."""
+    """Counts of id tuples (those that burst are longer than ``depth``). A node is a dict from word id to a node or to a container; a container is a dict from the remaining ids to a count."""
 
     class Node(dict):
         __slots__ = ()
@@ -71,7 +79,7 @@ class HatTrie:
         else:
             below[rest] = count
             self.size += 1
-            if len(below) > self.burst and at <= self.depth and rest:
+            if len(below) > self.burst and at <= self.depth and len(rest) > 1:
                 node[path[at - 1]] = self._burst(below)
 
     def _burst(self, container: dict) -> Node:
@@ -165,55 +173,160 @@ def _dense(key: np.ndarray) -> np.ndarray:
     return np.unique(key, return_inverse=True)[1].reshape(-1).astype(np.int64)
 
 
-def _runs(length: int, bitmap: bytes | None, entries: int, burst: int):
-    """The counting pass for phrases of ``length`` words: sorted runs of (lang, phrase, count)."""
-    def batch_of(run, vocabulary, names):
-        rows = sorted((names[path[0]], b" ".join([vocabulary.words[i] for i in path[1:]]).decode(), count) for path, count in run)
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], schema=_RUN)
+class _Text:
+    """Walks a task's texts: languages and words numbered, pieces numbered within a chunk."""
 
-    def run(batches):
-        bits = None if bitmap is None else np.unpackbits(np.frombuffer(bitmap, np.uint8)).astype(bool)
-        trie, vocabulary, lang_names, lang_ids = HatTrie(burst), _Words(), [], {}
+    def __init__(self):
+        self.vocabulary, self.langs, self.number = _Words(), [], {}
+
+    def chunks(self, batches):
         for names, lang_of_row, data, starts in _chunks(batches):
-            if not data:
-                continue
             for x in names:
-                if x not in lang_ids:
-                    lang_ids[x] = len(lang_names)
-                    lang_names.append(x)
-            words, lang, pieces = _found(data, starts, np.array([lang_ids[x] for x in names])[lang_of_row])
-            if not words:
-                continue
-            ids = vocabulary.numbered(words)
-            keep = np.arange(max(0, len(ids) - length + 1))
-            if length > 1:
-                h = mix(vocabulary.hashes[ids] ^ np.array([_lang_hash(x) for x in lang_names], np.uint64)[lang])
-                part = h
-                for j in range(1, length - 1):
-                    part = _grow(part[:-1], vocabulary.hashes[ids[j:]])
-                one, two = _slots(part)
-                frequent = bits[one] & bits[two]
-                keep = keep[(pieces[keep] == pieces[keep + length - 1]) & frequent[keep] & frequent[keep + 1]]
-            # equal phrases of the chunk become one number, a word at a time
-            number = lang[keep]
-            for j in range(length):
-                number = _dense(number * np.int64(len(vocabulary.words)) + ids[keep + j])
-            _, at, count = np.unique(number, return_index=True, return_counts=True)
-            at = keep[at]
-            columns = [lang[at].tolist()] + [ids[at + j].tolist() for j in range(length)]
-            for path, n in zip(zip(*columns), count.tolist()):
-                trie.add(path, n)
-            for spilled in trie.spill(0 if len(vocabulary.words) > WORDS else entries // 2 if trie.size > entries else trie.size):
-                yield batch_of(spilled, vocabulary, lang_names)
-            if len(vocabulary.words) > WORDS:
-                vocabulary = _Words()
+                if x not in self.number:
+                    self.number[x] = len(self.langs)
+                    self.langs.append(x)
+            words, lang, pieces = _found(data, starts, np.array([self.number[x] for x in names])[lang_of_row]) if data else ([], None, None)
+            if words:
+                yield self.vocabulary.numbered(words), lang, pieces
+
+    def hashes(self, ids: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        return mix(self.vocabulary.hashes[ids] ^ np.array([_lang_hash(x) for x in self.langs], np.uint64)[lang])
+
+    def written(self, run: list) -> pa.RecordBatch:
+        phrases = [b" ".join([self.vocabulary.words[i] for i in path[1:]]) for path, _ in run]
+        batch = pa.RecordBatch.from_arrays([pa.array([self.langs[path[0]] for path, _ in run], pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()),
+                                            pa.array([len(path) - 1 for path, _ in run], pa.int32()), pa.array([n for _, n in run], pa.int64())], schema=_RUN)
+        return batch.sort_by([("lang", "ascending"), ("phrase", "ascending")])
+
+
+def _bits(bitmap: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bitmap, np.uint8)).view(bool)
+
+
+def _frequent(text: _Text, ids: np.ndarray, lang: np.ndarray, pieces: np.ndarray, words: np.ndarray, lengths):
+    """For each length: places of the phrases within a piece and without a rare word, and the hashes at all places."""
+    h = text.hashes(ids, lang)
+    one, two = _slots(h)
+    good = words[one] & words[two]
+    # the last place up to which words are frequent and in the same piece
+    stop = np.flatnonzero(np.r_[~good[1:] | (pieces[1:] != pieces[:-1]), True])
+    last = stop[np.searchsorted(stop, np.arange(len(ids)))]
+    for length in range(2, max(lengths) + 1):
+        if length > len(ids):
+            return
+        h = _grow(h[:-1], text.vocabulary.hashes[ids[length - 1:]])
+        at = np.arange(len(h))
+        yield length, at[good[:len(h)] & (last[:len(h)] >= at + length - 1)], h
+
+
+def _counters(words: bytes, lengths, support: int):
+    """The pass that sums held counters: (part, length, block, counts)."""
+    def run(batches):
+        from pyspark import TaskContext
+        frequent, held, text = _bits(words), {j: np.zeros(SLOTS, np.uint8) for j in range(2, max(lengths) + 1)}, _Text()
+        for ids, lang, pieces in text.chunks(batches):
+            for length, at, h in _frequent(text, ids, lang, pieces, frequent, lengths):
+                slots, n = np.unique((h[at] >> np.uint64(20)) & np.uint64(SLOTS - 1), return_counts=True)
+                held[length][slots] = np.minimum(held[length][slots] + np.minimum(n, support), support)
+            if len(text.vocabulary.words) > WORDS:
+                text.vocabulary = _Words()
+        part = TaskContext.get().partitionId()
+        for length, counts in held.items():
+            for block in range(SLOTS // BLOCK):
+                some = counts[block * BLOCK:(block + 1) * BLOCK]
+                if some.any():
+                    yield pa.RecordBatch.from_pylist([{"part": part, "length": length, "block": block, "counts": some.tobytes()}], _COUNTERS)
+    return run
+
+
+def _summed(support: int):
+    def run(rows: pa.Table) -> pa.Table:
+        total = np.zeros(BLOCK, np.uint8)
+        for some in rows.column("counts"):
+            total = np.minimum(total + np.frombuffer(some.as_buffer(), np.uint8), support).astype(np.uint8)
+        first = rows.slice(0, 1).to_pylist()[0]
+        return pa.Table.from_pylist([first | {"part": first["part"] // FAN, "counts": total.tobytes()}], _COUNTERS)
+    return run
+
+
+def _phrase_bitmaps(own: DataFrame, words: bytes, lengths, support: int) -> dict[int, bytes]:
+    """Bitmaps of the slots that hold ``support`` occurrences or more, by length; SLOTS / 8 bytes each reach the driver."""
+    rows = stored(own.mapInArrow(_counters(words, lengths, support), _COUNTERS_SQL), "phrase-counters")
+    parts = (rows.agg(F.max("part")).first()[0] or 0) + 1
+    while True:
+        # FAN blocks at a time, so that a task's share does not grow with the number of tasks before it
+        rows = rows.groupBy("length", "block", F.floor(F.col("part") / FAN).alias("group")).applyInArrow(_summed(support), _COUNTERS_SQL)
+        parts = -(-parts // FAN)
+        if parts <= 1:
+            break
+        rows = stored(rows, "phrase-counters")
+    out = {j: np.zeros(SLOTS, bool) for j in range(2, max(lengths) + 1)}
+
+    def packed(batches):
+        for batch in batches:
+            bits = [np.packbits(np.frombuffer(c.as_buffer(), np.uint8) >= support).tobytes() for c in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(bits, pa.binary())], ["length", "block", "bits"])
+
+    for r in rows.mapInArrow(packed, "length int, block int, bits binary").collect():
+        out[r["length"]][r["block"] * BLOCK:(r["block"] + 1) * BLOCK] = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8))
+    return {j: np.packbits(bits).tobytes() for j, bits in out.items()}
+
+
+def _word_runs(batches):
+    """Counts of single words: the vocabulary is their container, spilled whole once it holds WORDS words."""
+    text, counts = _Text(), {}
+
+    def spilled():
+        for lang, n in sorted(counts.items()):
+            used = np.flatnonzero(n)
+            yield text.written([((lang, i), c) for i, c in zip(used.tolist(), n[used].tolist())])
+
+    for ids, lang, _ in text.chunks(batches):
+        size = len(text.vocabulary.words)
+        for x in np.unique(lang).tolist():
+            n = np.bincount(ids[lang == x], minlength=size)
+            before = counts.get(x, np.zeros(0, np.int64))
+            n[:len(before)] += before
+            counts[x] = n
+        if size > WORDS:
+            yield from spilled()
+            text.vocabulary, counts = _Words(), {}
+    yield from spilled()
+
+
+def _phrase_runs(words: bytes, bitmaps: dict[int, bytes], lengths, entries: int, burst: int):
+    """The counting pass: sorted runs of (lang, phrase, words, count)."""
+    def run(batches):
+        trie, text = HatTrie(burst), _Text()
+        frequent, bits = _bits(words), {j: _bits(b) for j, b in bitmaps.items()}
+        for ids, lang, pieces in text.chunks(batches):
+            vocabulary, before = text.vocabulary, None
+            for length, at, h in _frequent(text, ids, lang, pieces, frequent, lengths):
+                slot = bits[length][((h >> np.uint64(20)) & np.uint64(SLOTS - 1)).astype(np.int64)]
+                at = at[slot[at] if before is None else slot[at] & before[at] & before[at + 1]]
+                before = slot
+                # equal phrases of the chunk become one number, a word at a time
+                number = lang[at]
+                for j in range(length):
+                    number = _dense(number * np.int64(len(vocabulary.words)) + ids[at + j])
+                _, first, count = np.unique(number, return_index=True, return_counts=True)
+                first = at[first]
+                columns = [lang[first].tolist()] + [ids[first + j].tolist() for j in range(length)]
+                for path, n in zip(zip(*columns), count.tolist()):
+                    trie.add(path, n)
+            full = len(vocabulary.words) > WORDS
+            if full or trie.size > entries:
+                for spilled in trie.spill(0 if full else entries // 2):
+                    yield text.written(spilled)
+            if full:
+                text.vocabulary = _Words()
         for spilled in trie.spill(0):
-            yield batch_of(spilled, vocabulary, lang_names)
+            yield text.written(spilled)
     return run
 
 
 def _slot_rows(batches):
-    """Bytes of the bitmap that a batch of frequent phrases sets: (slot byte, bits)."""
+    """Bytes of the bitmap that a batch of frequent words sets: (slot byte, bits)."""
     for batch in batches:
         langs, phrases = batch.column(0).to_pylist(), [p.split(" ") for p in batch.column(1).to_pylist()]
         if not langs:
@@ -229,7 +342,7 @@ def _slot_rows(batches):
 
 
 def _bitmap(frequent: DataFrame) -> bytes:
-    """The bitmap of a length's frequent phrases; at most BITMAP / 8 rows reach the driver, whatever the number of phrases."""
+    """The bitmap of the frequent words; at most BITMAP / 8 rows reach the driver, whatever the number of words."""
     rows = frequent.select("lang", "phrase").mapInArrow(_slot_rows, "at long, bit int").groupBy("at").agg(F.bit_or("bit").alias("bits"))
     out = np.zeros(BITMAP // 8, np.uint8)
     table = rows.toArrow()
@@ -241,23 +354,19 @@ def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text", suppo
                   entries: int = ENTRIES, burst: int = BURST) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f) of all words and phrases with f >= ``support``, and (lang, n) with all word occurrences."""
     own = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    found, bitmap, sizes = [], None, None
-    for length in range(1, max(lengths) + 1):
-        runs = stored(own.mapInArrow(_runs(length, bitmap, entries, burst), "lang string, phrase string, n long"), f"phrase-runs-{length}")
-        if length == 1:
-            sizes = stored(runs.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-words")
+
+    def merged(counting, label):
+        runs = stored(own.mapInArrow(counting, "lang string, phrase string, words int, n long"), f"{label}-runs")
         # a partition is a range of sorted phrases; a phrase has one row per run
-        merged = runs.repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= support)
-        merged = stored(merged.withColumn("words", F.lit(length)), f"phrase-frequent-{length}")
-        found.append(merged)
-        if length < max(lengths):
-            if not merged.limit(1).count():
-                break
-            bitmap = _bitmap(merged)
-    every = found[0]
-    for part in found[1:]:
-        every = every.unionByName(part)
-    return every, sizes
+        counted = runs.repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("f"), F.first("words").alias("words"))
+        return runs, stored(counted.where(F.col("f") >= support), f"{label}-frequent")
+
+    runs, single = merged(_word_runs, "word")
+    sizes = stored(runs.groupBy("lang").agg(F.sum("n").alias("n")), "word-sizes")
+    words = _bitmap(single)
+    bitmaps = _phrase_bitmaps(own, words, lengths, min(support, 127))
+    _, several = merged(_phrase_runs(words, bitmaps, lengths, entries, burst), "phrase")
+    return single.unionByName(several), sizes
 
 
 def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", support: int = SUPPORT, top: int = TOP,
