@@ -2,28 +2,39 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 HOT_ROWS = 200_000      # a key with fewer rows than this is never worth splitting
-HOT_KEYS = 512          # at most this many keys are split, so the broadcast list is bounded
-SALTS = 64
+HOT_KEYS = 16_384       # so many keys are listed for splitting; any other key has less than this share of the rows
 
 
 def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
-def rows_of_keys(rows: DataFrame, keyed: DataFrame, keys: list[str], weight: str,
-                 hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
-    """Inner join of many ``rows`` with ``keyed`` (one row per key, ``weight`` = rows behind that key).
+def row_hash(df: DataFrame) -> Column:
+    """A number for a row that is the same when a lost task runs again: its content and its partition (equal rows of different partitions differ)."""
+    plain = [F.col(f"`{f.name}`") for f in df.schema.fields if not _holds_map(f.dataType)]
+    return F.xxhash64(*plain, F.spark_partition_id())
 
-    NULL keys match. The heaviest keys, at most HOT_KEYS of them, are spread over ``salts`` tasks on the row
-    side and copied to each salt on the keyed side; every other key takes the plain shuffled join. No row is
-    dropped and the broadcast list cannot outgrow HOT_KEYS.
+
+def _holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_holds_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.MapType, T.VariantType)) or isinstance(kind, T.ArrayType) and _holds_map(kind.elementType)
+
+
+def rows_of_keys(rows: DataFrame, keyed: DataFrame, keys: list[str], weight: str, hot_rows: int = HOT_ROWS, how: str = "inner") -> DataFrame:
+    """Join of many ``rows`` with ``keyed`` (one row per key, ``weight`` = rows behind that key); ``how`` is inner or left.
+
+    NULL keys match. A key of ``hot_rows`` rows or more is cut into ceil(weight / hot_rows) pieces: a row's piece comes from its hash, and the
+    key's row is copied to each piece. The HOT_KEYS heaviest keys can be cut, so the list that is sent to every task is bounded, and a key outside of it
+    holds less than 1 / HOT_KEYS of all rows. No row is dropped.
     """
     hot = (keyed.where(F.col(weight) >= hot_rows).orderBy(F.col(weight).desc(), *keys).limit(HOT_KEYS)
-           .select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias("_hot")))
+           .select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.ceil(F.col(weight) / hot_rows).cast("bigint").alias("_pieces")))
 
     def flagged(df: DataFrame) -> DataFrame:
         cond = None
@@ -32,17 +43,15 @@ def rows_of_keys(rows: DataFrame, keyed: DataFrame, keys: list[str], weight: str
             cond = part if cond is None else cond & part
         return df.join(F.broadcast(hot), cond, "left").drop(*[f"_hot_{k}" for k in keys])
 
-    left = flagged(rows).withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(F.lit(0))
-        .cast("int")).drop("_hot")
+    left = flagged(rows.withColumn("_row", row_hash(rows)))
+    left = left.withColumn("_salt", F.when(F.col("_pieces").isNotNull(), F.pmod("_row", "_pieces")).otherwise(F.lit(0))).drop("_pieces", "_row")
     right = flagged(keyed).withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
-                           .otherwise(F.array(F.lit(0))))).drop("_hot")
+        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_pieces", F.lit(1)) - 1))).drop("_pieces")
     right = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys or c == "_salt" else F.col(c) for c in right.columns])
     cond = left["_salt"] == right["_r__salt"]
     for k in keys:
         cond = cond & same(left[k], right[f"_r_{k}"])
-    return left.join(right, cond, "inner").drop("_salt", "_r__salt", *[f"_r_{k}" for k in keys])
+    return left.join(right, cond, how).drop("_salt", "_r__salt", *[f"_r_{k}" for k in keys])
 
 
 def previous_in_key(df: DataFrame, key: str, order: str, values: list[str], run: int = 100_000) -> DataFrame:
@@ -86,3 +95,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as Parquet in the shared checkpoint folder, read back: what is read several times is computed once and outlives executors."""
+    path = f"{checkpoint_dir(df.sparkSession)}/plumbline-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.expressions import rule_expression
+from plumbline.functions.skew import rows_of_keys
 from plumbline.functions.text import q
 from plumbline.model import Model
 from plumbline.rules import Rule
@@ -66,9 +67,12 @@ def _reference(rule: Rule, names: list[str], model: Model, tables) -> Callable[[
     return decide
 
 
-def _children(rules: list[Rule], names: list[str], parents: dict[str, str], model: Model,
-              tables) -> Callable[[DataFrame], DataFrame]:
-    """has_children and aggregate_compare over one child table: one aggregate of it answers them all."""
+def _children(rules: list[Rule], names: list[str], parents: dict[str, str], model: Model, tables,
+              split: bool) -> Callable[[DataFrame], DataFrame]:
+    """has_children and aggregate_compare over one child table: one aggregate of it answers them all.
+
+    ``split``: a join key can come with many parent values (it is not the primary key), so heavy join keys are cut by weight.
+    """
     first = rules[0].check
     child = tables[model.entity(first["child_entity"]).table]
     child_cols = list(first["child_join_columns"])
@@ -81,8 +85,13 @@ def _children(rules: list[Rule], names: list[str], parents: dict[str, str], mode
 
     def decide(groups: DataFrame) -> DataFrame:
         agg = child.groupBy(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(child_cols)]).agg(*measures)
-        cond = _join_on(groups, agg, [(n, f"_c{i}") for i, n in enumerate(names)])
-        out = groups.join(agg, cond, "left")
+        pairs = [(n, f"_c{i}") for i, n in enumerate(names)]
+        if split:
+            keyed = groups.groupBy(*names).agg(F.count(F.lit(1)).alias("_weight"))
+            keyed = keyed.join(agg, _join_on(keyed, agg, pairs), "left").drop(*[c for _, c in pairs])
+            out = rows_of_keys(groups, keyed, names, "_weight").drop("_weight")
+        else:
+            out = groups.join(agg, _join_on(groups, agg, pairs), "left")
         for r in rules:
             if r.type == "has_children":
                 bad = F.coalesce(F.col("_n"), F.lit(0)) < r.param("min_children", 1)
@@ -166,8 +175,9 @@ def key_batches(rules: list[Rule], model: Model, tables) -> list[KeyBatch]:
                     parents[r.rule_id] = f"p_{r.rule_id}"
                     keys[f"p_{r.rule_id}"] = rule_expression(target.sparkSession, r.check["parent_expression"],
                                                              set(target.columns))
-            out.append(KeyBatch(rule.entity, keys, group, _children(group, names, parents, model, tables),
-                                one_row_per_key=bool(pk) and pk <= set(cols)))
+            covered = bool(pk) and pk <= set(cols)
+            out.append(KeyBatch(rule.entity, keys, group, _children(group, names, parents, model, tables, bool(parents) and not covered),
+                                one_row_per_key=covered))
         elif rule.type == "foreign_key":
             if len(rule.check["ref_columns"]) != len(rule.columns):
                 raise ValueError("foreign_key: ref_columns must pair 1:1 with target columns")
@@ -183,6 +193,30 @@ def key_batches(rules: list[Rule], model: Model, tables) -> list[KeyBatch]:
     return out
 
 
+def count_keys_together(batches: list[KeyBatch], target: DataFrame, scopes: list[dict[str, Column | None]]) -> DataFrame:
+    """The decision keys of several batches of one entity, counted in one scan: a grouping set for each batch.
+
+    Columns: ``batch`` (its place in the list), ``b<i>_<key>`` for every key of every batch, ``n_rows`` and ``n_<rule>`` for rules with a scope.
+    """
+    names = [[f"b{i}_{n}" for n in b.keys] for i, b in enumerate(batches)]
+    scoped = {r: s for some in scopes for r, s in some.items() if s is not None}
+    picked = target.select(*[e.alias(name) for b, own in zip(batches, names) for name, e in zip(own, b.keys.values())],
+                           *[s.alias(f"in_{r}") for r, s in scoped.items()])
+    every = [name for own in names for name in own]
+    # grouping_id() has a 1 for each column outside the set, the first column as the highest bit
+    ids = [sum(1 << (len(every) - 1 - at) for at, name in enumerate(every) if name not in own) for own in names]
+    batch = F.coalesce(*[F.when(F.col("_set") == i, F.lit(n)) for n, i in enumerate(ids)])
+    counted = picked.groupingSets(names, *every).agg(F.grouping_id().alias("_set"), F.count(F.lit(1)).alias("n_rows"),
+                                                     *[F.count_if(f"in_{r}").alias(f"n_{r}") for r in scoped])
+    return counted.withColumn("batch", batch).drop("_set")
+
+
+def keys_of_batch(counted: DataFrame, place: int, batch: KeyBatch, scopes: dict[str, Column | None]) -> DataFrame:
+    """The rows of one batch as ``count_keys`` gives them."""
+    return counted.where(F.col("batch") == place).select(*[F.col(f"b{place}_{n}").alias(n) for n in batch.keys], "n_rows",
+                                                         *[f"n_{r}" for r, s in scopes.items() if s is not None])
+
+
 def count_keys(batch: KeyBatch, target: DataFrame, scopes: dict[str, Column | None]) -> DataFrame:
     """Decision keys with n_rows and, for rules with a scope, n_<rule>."""
     scoped = {r: s for r, s in scopes.items() if s is not None}

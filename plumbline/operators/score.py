@@ -33,6 +33,11 @@ def execution_coverage(issues: DataFrame, results: DataFrame, violations: DataFr
     issues: issue_id, dimension, entity, key (one row per planted key). Only rules that fail overall raise an alert.
     """
     alarms = violations.join(results.where(~F.col("passed")).select("rule_id"), "rule_id", "left_semi").select("entity", "key").distinct()
+    return coverage_of_alarms(issues, alarms)
+
+
+def coverage_of_alarms(issues: DataFrame, alarms: DataFrame) -> DataFrame:
+    """The same from the distinct (entity, key) that failing rules flag."""
     met = (issues.select("issue_id", "dimension", "entity", "key").distinct()
            .join(alarms.withColumn("hit", F.lit(True)), ["entity", "key"], "left"))
     share = F.try_divide("flagged", "affected")

@@ -29,13 +29,13 @@ def _problem(e: Exception) -> str:
     return f"{type(e).__name__}: {str(e).splitlines()[0][:300]}"
 
 
-def _numbered(rules: list[Rule]) -> list[Rule]:
+def numbered(rules: list[Rule]) -> list[Rule]:
     """The rules under their place in the list: column names and lookups inside a plan must not depend on what an id looks like or on
     its being unique."""
     return [dataclasses.replace(r, rule_id=f"rule{i}") for i, r in enumerate(rules)]
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
+def union_of(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -162,39 +162,48 @@ class Prepared:
 
 
 
+def tree_totals(p: Prepared) -> list[DataFrame]:
+    """(rule_id, total, failed) of each check for cycles."""
+    return [_totals(nodes.agg(F.count_distinct(key).alias("n")), [(r.rule_id, "n", str(failed))]) for r, key, _, nodes, _, failed in p.acyclic]
+
+
+def custom_totals(p: Prepared) -> list[DataFrame]:
+    """(rule_id, total, failed) of each custom SQL rule."""
+    parts = []
+    for r, failing in p.custom:
+        counts = (p.table(r.entity).select(F.lit(1).alias("row"), F.lit(0).alias("bad"))
+                  .unionAll(failing.select(F.lit(0), F.lit(1))).agg(F.sum("row").alias("t"), F.sum("bad").alias("f")))
+        parts.append(_totals(counts, [(r.rule_id, "coalesce(t, 0)", "coalesce(f, 0)")]))
+    return parts
+
+
 def execute_rules(tables, rules: list[Rule], model: Model, as_of: dt.date) -> DataFrame:
     """(rule_id, name, entity, check_type, severity, total, failed, failure_rate, passed, error) per rule."""
     spark = SparkSession.active()
     if not rules:
         return spark.createDataFrame([], RESULTS)
     with null_on_error(spark):
-        p = Prepared(tables, _numbered(rules), model, as_of)
+        p = Prepared(tables, numbered(rules), model, as_of)
         parts = []
         for entity, checks in p.row.items():
             for i in range(0, len(checks), RULES_PER_SCAN):
                 parts.append(_row_check_totals(p.table(entity), checks[i:i + RULES_PER_SCAN]))
         for batch, scopes, decided in p.batches:
             parts.append(batch_totals(batch, decided, scopes))
-        for r, key, _, nodes, _, failed in p.acyclic:
-            parts.append(_totals(nodes.agg(F.count_distinct(key).alias("n")), [(r.rule_id, "n", str(failed))]))
-        for r, failing in p.custom:
-            counts = (p.table(r.entity).select(F.lit(1).alias("row"), F.lit(0).alias("bad"))
-                      .unionAll(failing.select(F.lit(0), F.lit(1))).agg(F.sum("row").alias("t"), F.sum("bad").alias("f")))
-            parts.append(_totals(counts, [(r.rule_id, "coalesce(t, 0)", "coalesce(f, 0)")]))
-        parts = [x.withColumn("error", F.lit(None).cast("string")) for x in parts]
+        parts = [x.withColumn("error", F.lit(None).cast("string")) for x in parts + tree_totals(p) + custom_totals(p)]
         if p.errors:
             parts.append(spark.range(1).select(F.inline(F.array(*[
                 F.struct(F.lit(k).alias("rule_id"), F.lit(0).cast("bigint").alias("total"),
                          F.lit(0).cast("bigint").alias("failed"), F.lit(v).alias("error"))
                 for k, v in p.errors.items()]))))
-        return _with_verdict(_union(parts), rules)
+        return with_verdict(union_of(parts), rules)
 
 
-def _with_verdict(totals: DataFrame, rules: list[Rule]) -> DataFrame:
+def with_verdict(totals: DataFrame, rules: list[Rule]) -> DataFrame:
     """Add what is known about the rule (literals, no join) and decide passed / failed."""
     facts = F.expr("map(" + ", ".join(
         f"{text.q(n.rule_id)}, struct({text.q(r.rule_id)} AS rule_id, {text.q(r.name)} AS name, {text.q(r.entity)} AS entity, {text.q(r.type)} AS check_type, "
-        f"{text.q(r.severity)} AS severity, {float(r.limit)!r}D AS allowed)" for n, r in zip(_numbered(rules), rules)) + ")[rule_id]")
+        f"{text.q(r.severity)} AS severity, {float(r.limit)!r}D AS allowed)" for n, r in zip(numbered(rules), rules)) + ")[rule_id]")
     rate = F.round(F.coalesce(F.try_divide(F.col("failed").cast("double"), F.col("total")), F.lit(0.0)), 6)
     return (totals.withColumn("fact", facts).withColumn("failure_rate", rate)
             .select("fact.rule_id", "fact.name", "fact.entity", "fact.check_type", "fact.severity", "total", "failed",
@@ -204,7 +213,7 @@ def _with_verdict(totals: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 # ---- failing rows -------------------------------------------------------------------------------
-def _key_text(primary_key: tuple[str, ...]) -> Column:
+def key_text(primary_key: tuple[str, ...]) -> Column:
     """One column: its text. Several: a JSON object. None declared: NULL."""
     if not primary_key:
         return F.lit(None).cast("string")
@@ -241,7 +250,7 @@ def violations(tables, rules: list[Rule], model: Model, as_of: dt.date) -> DataF
     """
     spark = SparkSession.active()
     with null_on_error(spark):
-        p = Prepared(tables, _numbered(rules), model, as_of)
+        p = Prepared(tables, numbered(rules), model, as_of)
         parts = []
         for entity, checks in p.row.items():
             flags = [(r, bad if scope is None else scope & bad) for r, scope, bad in checks]
@@ -257,12 +266,12 @@ def violations(tables, rules: list[Rule], model: Model, as_of: dt.date) -> DataF
         if not parts:
             return spark.createDataFrame([], "rule_id string, entity string, key string, shown map<string,string>")
         own = F.expr("map(" + ", ".join(f"{text.q(n.rule_id)}, {text.q(r.rule_id)}" for n, r in zip(p.rules, rules)) + ")[rule_id]")
-        return _union(parts).withColumn("rule_id", own)
+        return union_of(parts).withColumn("rule_id", own)
 
 
 def _listed(rows: DataFrame, entity: str, hits: Column, p: Prepared) -> DataFrame:
     pk = p.model.entity(entity).primary_key
-    return (rows.select(_key_text(pk).alias("key"), F.explode(hits).alias("hit"))
+    return (rows.select(key_text(pk).alias("key"), F.explode(hits).alias("hit"))
             .select("hit.rule_id", F.lit(entity).alias("entity"), "key", "hit.shown"))
 
 
@@ -282,7 +291,11 @@ def _batch_rows(batch: KeyBatch, decided: DataFrame, scopes: dict[str, Column |
 
 def violation_examples(tables, rules: list[Rule], model: Model, as_of: dt.date, per_rule: int = 5) -> DataFrame:
     """(rule_id, entity, example_no, key, shown): the first failing rows of each rule by key."""
-    rows = violations(tables, rules, model, as_of)
+    return examples_of(violations(tables, rules, model, as_of), tables, rules, model, per_rule)
+
+
+def examples_of(rows: DataFrame, tables, rules: list[Rule], model: Model, per_rule: int = 5) -> DataFrame:
+    """The first of the listed rows of each rule, and of what its custom SQL returns."""
     spark = rows.sparkSession
     custom = [r for r in rules if r.type == "custom_sql"]
     with null_on_error(spark):

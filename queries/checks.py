@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline import Entity, Model, Rule
-from plumbline.plans.suite import execute_rules, violation_examples, violations
+from plumbline.plans.bitmap import run_rules
+from plumbline.plans.suite import execute_rules
 from queries.dirty import AS_OF, MODEL, Tables, pick, with_views
 
 EMAIL = r"^[^@\s]+@[^@\s]+\.[A-Za-z]{2,}$"
@@ -210,7 +211,7 @@ RULES = [CHECKS[k][0] for k in SUITE]
 
 
 def rule_suite_results(spark, sf_dir):
-    out = execute_rules(pick(Tables(spark, sf_dir), *ALL_VIEWS), RULES, MODEL, AS_OF)
+    out = run_rules(pick(Tables(spark, sf_dir), *ALL_VIEWS), RULES, MODEL, AS_OF).results()
     return out.select("rule_id", "entity", "check_type", "severity", "total", "failed", "failure_rate", "passed", "error")
 
 
@@ -221,7 +222,7 @@ def _suite_sql() -> str:
 
 
 def rule_violations(spark, sf_dir):
-    out = violations(pick(Tables(spark, sf_dir), *ALL_VIEWS), [CHECKS[k][0] for k in LISTED], LISTING, AS_OF)
+    out = run_rules(pick(Tables(spark, sf_dir), *ALL_VIEWS), [CHECKS[k][0] for k in LISTED], LISTING, AS_OF).violations()
     return out.select("rule_id", "entity", "key")
 
 
@@ -236,7 +237,7 @@ def _violations_sql() -> str:
 
 def violation_examples_query(spark, sf_dir):
     rules = [CHECKS[k][0] for k in LISTED + ["chk_custom_sql"]]
-    out = violation_examples(pick(Tables(spark, sf_dir), *ALL_VIEWS), rules, LISTING, AS_OF)
+    out = run_rules(pick(Tables(spark, sf_dir), *ALL_VIEWS), rules, LISTING, AS_OF).examples()
     return out.select("rule_id", "entity", F.col("example_no").cast("bigint").alias("example_no"), "key",
                       F.array_join(F.transform(F.array_sort(F.map_entries("shown")),
                                                lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("-")))),

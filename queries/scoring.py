@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import ledger, profiling as p, score
 from plumbline.plans import profile as plan, recommend
-from plumbline.plans.suite import execute_rules, violations
+from plumbline.plans.bitmap import RuleRun, run_rules
+from plumbline.plans.suite import execute_rules
 from plumbline import Constraints, Rule
 from queries import checks
 from queries.dirty import AS_OF, CONSTRAINTS, MODEL, Tables, _Bare, pick, with_views
@@ -87,7 +88,7 @@ ISSUES = {
     "PI16": ("referential_integrity", "customer", "customer_dirty", "c_nationkey", "c_custkey", "c_custkey % 71 = 0"),
     "PI17": ("validity", "customer", "customer_dirty", "c_mktsegment", "c_custkey", "c_custkey % 131 = 0"),
     "PI18": ("validity", "customer", "customer_dirty", "c_mktsegment", "c_custkey", "c_custkey % 137 = 1 AND c_custkey % 131 <> 0"),
-    "PI19": ("business_rule", "order", "orders_dirty", "o_orderkey", "o_orderkey", "o_orderkey NOT IN (SELECT l_orderkey FROM {lineitem})"),
+    "PI19": ("business_rule", "order", "orders_dirty", "o_orderkey", "o_orderkey", "NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT l_orderkey FROM {lineitem}) l WHERE l_orderkey = o_orderkey)"),
 }
 SOURCE = {"orders_dirty": "orders", "customer_dirty": "customer"}
 KEYS = " UNION ALL ".join(f"SELECT '{i}' AS issue_id, '{d}' AS dimension, '{e}' AS entity, '{t}' AS table_name, '{c}' AS column_name, CAST({k} AS STRING) AS key "
@@ -96,7 +97,18 @@ _KEYS_SQL = "(" + KEYS.format_map(_Bare()) + ")"
 
 
 def issue_keys(spark, sf_dir):
-    return Tables(spark, sf_dir).sql(KEYS)
+    """The planted keys: one scan of a table for all issues that a row shows by itself, and one for each that needs another table."""
+    tables, parts = Tables(spark, sf_dir), []
+    for source in sorted(set(SOURCE.values())):
+        own = {i: x for i, x in ISSUES.items() if SOURCE[x[2]] == source}
+        hits = [F.when(F.expr(w), F.struct(*[F.lit(v).alias(n) for n, v in (("issue_id", i), ("dimension", d), ("entity", e), ("table_name", t), ("column_name", c))],
+                                           F.col(k).cast("string").alias("key"))) for i, (d, e, t, c, k, w) in own.items() if "{" not in w]
+        parts.append(tables[source].select(F.inline(F.filter(F.array(*hits), lambda x: x.isNotNull()))))
+        parts += [tables.sql(text) for text in KEYS.split(" UNION ALL ") if "FROM {" + source + "}" in text and "EXISTS" in text]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 _COVERED_RULES = ["chk_not_null", "chk_foreign_key", "chk_allowed_values", "chk_range", "chk_date_not_future", "chk_not_placeholder", "chk_unique",
@@ -111,21 +123,21 @@ _EXECUTION = (_WITH + f", keys AS {_KEYS_SQL}, alarms AS ({_ALARMS}), scored AS
               "status AS (SELECT *, CASE WHEN flagged / affected >= 0.5 THEN 'caught' WHEN flagged > 0 THEN 'partial' ELSE 'missed' END AS status FROM scored)\n")
 
 
-def _executed(spark, sf_dir):
+def _executed(spark, sf_dir) -> RuleRun:
     rules = [checks.CHECKS[k][0] for k in _COVERED_RULES]
     tables = pick(Tables(spark, sf_dir), "orders_dirty", "customer_dirty", "lineitem_dirty")
-    return execute_rules(tables, rules, MODEL, AS_OF), violations(tables, rules, MODEL, AS_OF)
+    return run_rules(tables, rules, MODEL, AS_OF)
 
 
 @register("execution_coverage", _EXECUTION + "SELECT issue_id, dimension, affected, flagged, status FROM status")
 def execution_coverage(spark, sf_dir):
-    return score.execution_coverage(issue_keys(spark, sf_dir), *_executed(spark, sf_dir))
+    return score.coverage_of_alarms(issue_keys(spark, sf_dir), _executed(spark, sf_dir).alarms())
 
 
 @register("unexplained_failures", _EXECUTION + f"""SELECT rule_id, (SELECT count(*) FROM alarms a WHERE a.rule_id = r.rule_id AND (entity, key) NOT IN (SELECT (entity, key) FROM keys)) AS unexplained
  FROM (VALUES {", ".join(f"('{k}')" for k in _COVERED_RULES)}) r(rule_id)""")
 def unexplained_failures(spark, sf_dir):
-    return score.unexplained(issue_keys(spark, sf_dir), *_executed(spark, sf_dir))
+    return _executed(spark, sf_dir).unexplained(issue_keys(spark, sf_dir).select("entity", "key"))
 
 
 @register("coverage_by_dimension", _EXECUTION + """SELECT coalesce(dimension, 'all') AS dimension, count(*) FILTER (status = 'caught') AS hit, count(*) AS total

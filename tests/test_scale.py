@@ -57,7 +57,7 @@ def test_cycles(spark, seed, hot_rows):
 def test_rows_of_hot_keys(spark):
     rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 3 == 1, F.lit(None)).otherwise(F.col("id")).alias("k"))
     keyed = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR k < 100")
-    got = rows_of_keys(rows, keyed, ["k"], "n", hot_rows=100, salts=4)
+    got = rows_of_keys(rows, keyed, ["k"], "n", hot_rows=100)
     assert got.count() == rows.join(keyed.withColumnRenamed("k", "k2"), F.col("k").eqNullSafe(F.col("k2"))).count() > 2000
     assert got.select("id").distinct().count() == got.count()
 
