@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import rows_with, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns of the four kinds. ``\\G`` (the end of the match before) or a look behind says where a match can begin, so that a long
@@ -61,8 +61,9 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _located(text: Column, pattern: str, kind: Column, base: Column) -> Column:
-    """All matches with their places, from the lengths of what lies between them; ``base`` is added to the places."""
+def _located(text: Column, pattern: str, kind: Column, base: Column, keep=None) -> Column:
+    """All matches (those that ``keep``, a test of the match, lets through) with their places, from the lengths of what lies between them; ``base``
+    is added to the places. Only what is kept is appended, so a text with many matches of which few are kept takes time in proportion."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     steps = F.zip_with(hits, F.slice(gaps, F.lit(1), F.greatest(F.size(hits), F.lit(1))), lambda h, g: F.struct(h.alias("h"), F.length(g).alias("g")))
@@ -71,7 +72,8 @@ def _located(text: Column, pattern: str, kind: Column, base: Column) -> Column:
     def step(done: Column, x: Column) -> Column:
         first = done["at"] + x["g"]
         last = first + F.length(x["h"])
-        return F.struct(last.alias("at"), F.concat(done["found"], F.array(F.struct(kind.cast("int").alias("kind"), first.alias("start"), last.alias("end"), x["h"].alias("value")))).alias("found"))
+        longer = F.concat(done["found"], F.array(F.struct(kind.cast("int").alias("kind"), first.alias("start"), last.alias("end"), x["h"].alias("value"))))
+        return F.struct(last.alias("at"), (longer if keep is None else F.when(keep(x["h"]), longer).otherwise(done["found"])).alias("found"))
 
     return F.when(F.size(hits) > 0, F.aggregate(F.filter(steps, lambda x: x["h"].isNotNull()), start, step, lambda done: done["found"])).otherwise(F.expr(f"cast(array() as {_SPAN})"))
 
@@ -101,10 +103,10 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(F.concat(F.lit(" "), text, F.lit(" ")), F.lit(TERM), F.lit(0)), _term))
 
 
-def _terms(text: Column, spans: Column) -> Column:
-    """All terms of a text with their places, without those that overlap a span."""
+def _terms(text: Column, spans: Column, keep=None) -> Column:
+    """All terms of a text (that ``keep`` lets through) with their places, without those that overlap a span."""
     padded = F.concat(F.lit(" "), text, F.lit(" "))
-    return F.filter(_located(padded, TERM, F.lit(len(KINDS)), F.lit(-1)), lambda w: ~F.exists(spans, lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
+    return F.filter(_located(padded, TERM, F.lit(len(KINDS)), F.lit(-1), keep), lambda w: ~F.exists(spans, lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -145,9 +147,12 @@ def all_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     rows = _rows(docs, doc_id, text).select("copy", "text")
     hit = rows.select("copy", F.explode(_words(F.col("text"))).alias("term")).join(told, "term").groupBy("copy").agg(F.collect_set("term").alias("told"))
     hit = stored(hit.select(F.col("copy").alias("c"), "told"), "pii-hits")
-    located = rows.join(hit, rows["copy"] == hit["c"]).select("c", F.filter(_terms(F.col("text"), spans(F.col("text"))), lambda w: F.array_contains("told", _term(w["value"]))).alias("terms"))
-    terms = located.groupBy("c").agg(F.first("terms").alias("terms"))
+    # one row per text; its spans come from the stored table: as an expression they would be searched again for every word
+    once = rows_with(rows, "copy", hit.select("c")).groupBy("copy").agg(F.min("text").alias("text"))
+    known = base.where(F.size("spans") > 0).groupBy(F.col("copy").alias("k")).agg(F.first("spans").alias("known"))
     none = F.expr(f"cast(array() as {_SPAN})")
+    met = once.join(hit, once["copy"] == hit["c"]).join(known, once["copy"] == known["k"], "left")
+    terms = met.select("c", _terms(F.col("text"), F.coalesce("known", none), lambda word: F.array_contains("told", _term(word))).alias("terms"))
     return base.join(terms, base["copy"] == terms["c"], "left").select("doc_id", "copy", "spans", F.coalesce("terms", none).alias("terms"))
 
 

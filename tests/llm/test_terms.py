@@ -1,6 +1,8 @@
 """Terms that disclose an entity, far from it and in texts without it."""
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from plumbline.llm import pii
@@ -17,3 +19,15 @@ def test_terms_are_marked_wherever_they_stand(spark):
         assert [at for value, at in got[i] if value.lower() == "quixotal"] == places[i]
     assert not any(value.lower() in ("writer", "plain", "report") for found in got.values() for value, _ in found)
     assert pii.sanitised(docs).where(F.lower("text").contains("quixotal")).count() == 0
+
+
+def test_a_long_text_takes_time_in_proportion(spark):
+    """Spans are not searched again for every word, and only disclosing terms are put together."""
+    import time
+    rng = random.Random(1)
+    rows = [(k, " ".join(rng.choice(["quixotal", "plain", "house", "river"]) + rng.choice([",", ""]) for _ in range(5000)) + f" ann@example.org {k}") for k in range(4)]
+    rows += [(10 + k, f"the writer of text {k} is at the plain house by the river") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    start = time.time()
+    got = {r["doc_id"]: len(r["terms"]) for r in pii.all_spans(docs).collect()}
+    assert all(got[i] == t.count("quixotal") for i, t in rows) and time.time() - start < 120
