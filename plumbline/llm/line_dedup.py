@@ -127,10 +127,10 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+def _verified(pairs: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
     """Those of ``pairs`` (a, b: line hashes) whose lines are within ``edits``; only candidates' lines are read again."""
     ids = pairs.select("a").union(pairs.select("b")).distinct()
-    texts = stored(rows_with(lines.select("h1", "line"), "h1", ids).groupBy(F.col("h1").alias("id")).agg(F.min("line").alias("line")), "line-texts")
+    texts = stored(rows_with(distinct, "id", ids), "line-texts")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
     shorter = F.length("la") < F.length("lb")
     both = both.select("a", "b", F.when(shorter, F.col("lb")).otherwise(F.col("la")).alias("x"), F.when(shorter, F.col("la")).otherwise(F.col("lb")).alias("y"))
@@ -139,8 +139,10 @@ def _verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
 
 def similar_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """(node, component) of the distinct lines that are within ``edits`` of another line, by hash; ``lines`` comes from lines_of."""
-    keyed = lines.where(F.length("line") >= SHORT).select(F.col("h1").alias("id"), indexed(F.col("line"), edits).alias("index"), probed(F.col("line"), edits).alias("probe"))
-    keyed = keyed.groupBy("id").agg(F.first("index").alias("index"), F.first("probe").alias("probe"))
+    # equal lines are merged before any key is made; what follows reads this table, not the documents
+    distinct = lines.where(F.length("line") >= SHORT).groupBy(F.col("h1").alias("id")).agg(F.min("line").alias("line"))
+    distinct = stored(distinct, "line-distinct")
+    keyed = distinct.select("id", indexed(F.col("line"), edits).alias("index"), probed(F.col("line"), edits).alias("probe"))
     # a line is in a key once, as indexed (2), as looking up (1) or as both (3)
     marked = F.concat(F.transform(F.array_distinct("index"), lambda k: F.struct(k.alias("key"), (F.lit(2) + F.when(F.array_contains("probe", k), 1).otherwise(0)).cast("byte").alias("role"))),
                       F.transform(F.array_except("probe", "index"), lambda k: F.struct(k.alias("key"), F.lit(1).cast("byte").alias("role"))))
@@ -148,11 +150,11 @@ def similar_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     shared = _shared(rows)
     few, crowded = shared.where(F.col("members") <= CROWDED), shared.where(F.col("members") > CROWDED)
     if edits == 1:
-        texts = rows_with(lines.select("h1", "line"), "h1", crowded.select("id").distinct()).groupBy(F.col("h1").alias("id")).agg(F.min("line").alias("line"))
+        texts = rows_with(distinct, "id", crowded.select("id").distinct())
         finer = _shared(texts.select("id", F.explode(around_an_edit(F.col("line"))).alias("m")).select("id", "m.key", "m.role").distinct())
         few, crowded = few.union(finer.where(F.col("members") <= CROWDED)), finer.where(F.col("members") > CROWDED)
     tried = stored(_pairs(few, few), "line-pairs")
-    links = stored(_verified(tried, lines, edits), "line-links")
+    links = stored(_verified(tried, distinct, edits), "line-links")
     label, hubs = components(links), 1
     while True:
         # hubs of this round: of each key still torn, the lines whose draw is in the first ``hubs`` of its members
@@ -164,7 +166,7 @@ def similar_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
         draw = F.xxhash64("id", "key")
         chosen = placed.where((draw == F.col("least")) | (F.pmod(draw, F.lit(1 << 30)) * F.col("members") < F.lit(float(hubs) * (1 << 30))))
         pairs = stored(_pairs(placed, chosen, "c").join(tried, ["a", "b"], "left_anti"), "line-pairs")
-        found = _verified(pairs, lines, edits)
+        found = _verified(pairs, distinct, edits)
         tried, links = stored(tried.union(pairs), "line-pairs"), stored(links.union(found), "line-links")
         label = components(links)
         if hubs >= placed.agg(F.max("members").alias("m")).first()["m"]:
