@@ -252,3 +252,21 @@ def test_rows_that_share_an_id_but_not_a_text(spark):
     rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, "a b")]
     found = hyperminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=4).collect()
     assert {(r["doc_id"], r["component_id"]) for r in found} == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
+def test_toxicity_equals_a_plain_forward_pass():
+    texts = ["bad idiot words", "fine words and more of them", "", "one"] * 10
+    models = toxicity.fit(texts, np.array([1, 0, 0, 0] * 10, np.float32), 0.25)
+    data = [t.encode() for t in texts[:4]]
+    starts, ids, group = toxicity.features(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0] + [len(d) for d in data]))
+    for model in models:
+        for d, got in enumerate(toxicity.logits(model, starts, ids)):
+            words = [sum(model.table[i] for i in row) for row in ids[starts[d]:starts[d + 1]]] + [np.zeros(toxicity.SIZE)] * (max(toxicity.WIDTHS) - 1)
+            total = float(model.shift)
+            for k, filters in enumerate(model.filters):
+                for f in range(toxicity.FILTERS):
+                    place = k * toxicity.FILTERS + f
+                    best = max(sum(float(words[at + w] @ filters[w][:, f]) for w in range(len(filters))) for at in range(starts[d + 1] - starts[d]))
+                    total += max(best + float(model.bias[place]), 0) * float(model.out[place])
+            assert abs(total - got) < 1e-3 * max(1, abs(total))
+    assert len(toxicity.fit(["a", "b"], np.array([1, 0], np.float32), 0.5)) == len(toxicity.SEEDS)
