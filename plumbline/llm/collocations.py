@@ -124,20 +124,22 @@ def _slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h & np.uint64(BITMAP - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(BITMAP - 1)).astype(np.int64)
 
 
-class _Words:
-    """The ids of a task's words and their hashes."""
+class _Words(dict):
+    """The ids of a task's words and their hashes; a new word gets the next id when it is asked for."""
 
     def __init__(self):
-        self.words, self.ids, self.hashes = [], {}, np.zeros(0, np.uint64)
+        super().__init__()
+        self.words, self.hashes = [], np.zeros(0, np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = len(self.words)
+        self.words.append(word)
+        return place
 
     def numbered(self, words: list[bytes]) -> np.ndarray:
-        ids = self.ids
-        for w in set(words).difference(ids):
-            ids[w] = len(ids)
-            self.words.append(w)
-        new = self.words[len(self.hashes):]
-        self.hashes = np.concatenate([self.hashes, _word_hash(new)])
-        return np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+        ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        self.hashes = np.concatenate([self.hashes, _word_hash(self.words[len(self.hashes):])])
+        return ids
 
 
 def _chunks(batches):
@@ -158,8 +160,7 @@ def _chunks(batches):
 
 def _found(data: bytes, starts: np.ndarray, lang_of_row: np.ndarray):
     """Words, language and piece number of every word."""
-    words = data.translate(_AS_SPACE).split(b" ")
-    words = [w for w in words if w]
+    words = data.translate(_AS_SPACE).split()
     kind = _KIND[np.frombuffer(data, np.uint8)]
     inside = kind == 0
     begins = inside.copy()
