@@ -251,7 +251,8 @@ def _keys(spots: Column) -> Column:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable over links of at least ``percent``), kept."""
     sketch = stored(sketches(docs, doc_id, text, size), "near-sketch")
-    classes = stored(sketch.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands")), "near-classes")
+    named = sketch.where("n > 0 AND doc_id IS NOT NULL")
+    classes = stored(named.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands")), "near-classes")
     keys = classes.select("rep", "n", F.posexplode("bands").alias("band", "registers")).select("rep", "n", F.xxhash64("band", "registers").alias("key"))
     draw = F.xxhash64("rep", "key")
     crowded = keys.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count(F.lit(1)).alias("members"), F.min(draw).alias("least")).where("members > 1")
@@ -302,9 +303,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if crowded.limit(1).count():
         links = links.union(stored(_block_links(crowded, docs, doc_id, text, size, percent), "near-links"))
         label = components(links)
-    class_of = sketch.where("n > 0").join(classes.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"]).select("doc_id", "n", "rep")
+    class_of = named.join(classes.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"]).select("doc_id", "n", "rep")
     in_class = class_of.join(label, class_of["rep"] == label["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-    empty = sketch.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    empty = sketch.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return in_class.union(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

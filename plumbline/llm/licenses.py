@@ -9,8 +9,9 @@ The scan uses built-in functions only: paragraphs without any feature are ``unkn
 others are scored by a join with the weights (a table as large as the templates make it).
 A pair is a feature only if one of its words is, so looking for the words alone loses no paragraph.
 
-NULL and empty texts have no paragraph with words and no licence. Paragraphs are read whole, each place counts by itself, repeated
-rows are reported each for itself. Other columns are not read.
+NULL and empty texts have no paragraph with words and no licence, an empty table gives no rows. Paragraphs are read whole, however long,
+and each place counts by itself. Repeated rows are reported each for itself; rows that share an id (also NULL) with different texts each have
+only their own findings. Of families with equal scores the first in order is taken. Other columns, whatever their names, are not read.
 """
 from __future__ import annotations
 
@@ -148,8 +149,9 @@ def fit(paragraphs: list[str], strength: float = 0.02) -> Model:
 
 
 def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, line_no, line of every paragraph."""
-    return docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("line_no", "line"))
+    """doc_id, copy (hash of the whole text), line_no, line of every paragraph."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return rows.select("doc_id", F.xxhash64("text").alias("copy"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
@@ -160,16 +162,16 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
 
 
 def scan(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per paragraph that the model takes for a licence: doc_id, line_no, family, probability, overlap, confirmed. A document whose
+    """One row per paragraph that the model takes for a licence: doc_id, copy, line_no, family, probability, overlap, confirmed. A document whose
     row comes twice is reported twice."""
     spark = docs.sparkSession
     words = F.filter(F.split(F.lower("line"), SEPARATOR, -1), lambda w: w != "")
-    rows = paragraphs(docs, doc_id, text).select("doc_id", "line_no", words.alias("words"))
+    rows = paragraphs(docs, doc_id, text).select("doc_id", "copy", "line_no", words.alias("words"))
     known = F.array(*[F.lit(g) for g in model.grams])
     rows = rows.where(F.arrays_overlap("words", F.array(*[F.lit(g) for g in model.grams if " " not in g])))
     pairs = F.transform("words", lambda w, i: F.concat_ws(" ", w, F.get("words", i + 1)))
     triples = F.filter(F.transform("words", lambda w, i: F.concat_ws(" ", w, F.get("words", i + 1), F.get("words", i + 2))), lambda g: F.size(F.split(g, " ")) == 3)
-    rows = rows.select("doc_id", "line_no", F.array_intersect(F.array_union("words", pairs), known).alias("grams"), F.array_distinct(triples).alias("triples"), F.size("words").alias("n"))
+    rows = rows.select("doc_id", "copy", "line_no", F.array_intersect(F.array_union("words", pairs), known).alias("grams"), F.array_distinct(triples).alias("triples"), F.size("words").alias("n"))
     # equal paragraphs are scored once
     distinct = rows.select("grams").distinct().withColumn("key", F.xxhash64("grams"))
     names = [f"z{k}" for k in range(len(FAMILIES) + 1)]
@@ -185,13 +187,13 @@ def scan(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "tex
     found = rows.join(scored, "grams").join(F.broadcast(table), "family")
     shared = F.transform("templates", lambda t: F.size(F.array_intersect("triples", t)) / F.least(F.size(t), F.greatest(F.size("triples"), F.lit(1))))
     found = found.withColumn("overlap", F.array_max(shared))
-    return found.select("doc_id", "line_no", "family", "probability", "overlap", (F.col("overlap") >= LEAST_OVERLAP).alias("confirmed"))
+    return found.select("doc_id", "copy", "line_no", "family", "probability", "overlap", (F.col("overlap") >= LEAST_OVERLAP).alias("confirmed"))
 
 
 def licences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
     """One row per document: doc_id, families (confirmed, in order), findings (every paragraph taken for a licence, also unconfirmed)."""
     found = scan(docs, model or train(docs, doc_id, text), doc_id, text).distinct()
-    by_doc = found.groupBy(F.col("doc_id").alias("id")).agg(F.sort_array(F.collect_set(F.when(F.col("confirmed"), F.col("family")))).alias("families"),
+    by_doc = found.groupBy(F.col("doc_id").alias("id"), F.col("copy").alias("of")).agg(F.sort_array(F.collect_set(F.when(F.col("confirmed"), F.col("family")))).alias("families"),
                                                             F.sort_array(F.collect_list(F.struct("line_no", "family", "probability", "overlap", "confirmed"))).alias("findings"))
-    ids = docs.select(F.col(doc_id).alias("doc_id"))
-    return ids.join(by_doc, ids["doc_id"].eqNullSafe(by_doc["id"]), "left").select("doc_id", F.coalesce("families", F.expr("cast(array() as array<string>)")).alias("families"), "findings")
+    ids = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("copy"))
+    return ids.join(by_doc, ids["doc_id"].eqNullSafe(by_doc["id"]) & (ids["copy"] == by_doc["of"]), "left").select("doc_id", F.coalesce("families", F.expr("cast(array() as array<string>)")).alias("families"), "findings")

@@ -29,7 +29,8 @@ PATTERNS = {
 #: A text without this character has no match.
 SIGN = {"email": "@", "ip": ".", "phone": "+"}
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-TERM = r"(?<=[\x20\x09-\x0D])\p{L}{4,}(?=[\x20\x09-\x0D.,;:!?])"
+#: A run of letters with no letter, mark or digit beside it; brackets, quotes, hyphens and apostrophes end it as white space does.
+TERM = r"(?<![\p{L}\p{M}\p{N}])\p{L}{4,}+(?![\p{M}\p{N}])"
 SUPPORT, DISCLOSURE = 2, 0.9
 _SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
 

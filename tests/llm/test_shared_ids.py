@@ -1,7 +1,7 @@
 """Line dedup of rows without an id and of rows that share one."""
 from __future__ import annotations
 
-from plumbline.llm import line_dedup, queries
+from plumbline.llm import hyperminhash, licenses, line_dedup, queries
 
 
 def test_rows_lose_only_their_own_lines(spark, tmp_path):
@@ -14,3 +14,21 @@ def test_rows_lose_only_their_own_lines(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((r["doc_id"] or 0, r["n_lines"], r["n_equal"], r["n_near"], len(r["removed"] or ())) for r in queries.op8_line_dedup(spark, str(tmp_path)).collect())
     assert got == [(0, 1, 0, 0, 0), (0, 2, 0, 0, 0), (0, 2, 1, 0, 1), (7, 2, 0, 0, 0), (7, 2, 0, 0, 0), (7, 2, 1, 0, 1)]
+
+
+def test_licences_of_rows_that_share_an_id(spark):
+    notice = " ".join(licenses.TEMPLATES["MIT"][0].split())
+    plain = "a report of the house by the river, which nobody has read for a year"
+    rows = [(1, f"{plain}\n{notice}"), (1, plain), (None, plain), (None, notice), (None, None), (2, f"{plain} 2"), (2, f"{plain} 2"), (3, notice), (3, notice)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"] or 0, r["families"], len(r["findings"] or ())) for r in licenses.licences(docs).collect())
+    assert got == [(0, [], 0), (0, [], 0), (0, ["MIT"], 1), (1, [], 0), (1, ["MIT"], 1), (2, [], 0), (2, [], 0), (3, ["MIT"], 1), (3, ["MIT"], 1)]
+
+
+def test_near_duplicates_of_rows_without_an_id(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(None, text), (None, text), (4, text), (5, text), (None, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in hyperminhash.near_duplicates(docs).collect())
+    assert got == [(0, 0, True), (0, 0, True), (0, 0, True), (4, 4, True), (5, 4, False), (6, 6, True)]
+    assert sorted(r["doc_id"] or 0 for r in hyperminhash.deduplicate(docs).collect()) == [0, 0, 0, 4, 6]

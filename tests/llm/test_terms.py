@@ -21,6 +21,16 @@ def test_terms_are_marked_wherever_they_stand(spark):
     assert pii.sanitised(docs).where(F.lower("text").contains("quixotal")).count() == 0
 
 
+def test_terms_end_at_brackets_quotes_and_apostrophes(spark):
+    filler = "and so on, as it is written in the plain report of this day, "
+    forms = ["(Quixotal", '"quixotal"', "quixotal's", "[quixotal]", "quixotal-like", "\u201cquixotal\u201d", "quixotal"]
+    rows = [(k, f"{form} wrote to ann@example.org, number {k}; {filler}") for k, form in enumerate(forms)]
+    rows += [(50, "xquixotal and quixotal7 and quixotal\u0301 are other words")]
+    rows += [(100 + k, f"The writer of text {k} {filler}") for k in range(160)]
+    got = {r["doc_id"]: [x["value"].lower() for x in r["terms"]] for r in pii.all_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("quixotal" in got[k] for k in range(len(forms))) and "quixotal" not in got[50]
+
+
 def test_a_long_text_takes_time_in_proportion(spark):
     """Spans are not searched again for every word, and only disclosing terms are put together."""
     import time
