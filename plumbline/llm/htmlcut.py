@@ -9,8 +9,11 @@ ones (``PRIOR``), which it equals when no page can teach it.
 
 Scripts, styles, templates, the head, comments and markup are never text; formulas are text, but for their hidden annotations. NULL and empty
 pages give an empty text, pages without tags are one block. Broken markup (open paragraphs, cut ends) is read to the end: only a script,
-style, title or text field that is never closed takes the rest of the page; of other elements without text the start tag alone is skipped. Pages are read whole; rows are independent, repeated
-rows are handled each for itself, other columns pass through.
+style, title or text field that is never closed takes the rest of the page; of other elements without text the start tag alone is skipped. A quote
+opens a value only behind ``=``. A ``header`` element is left out wherever it stands, with the title of an article that it may hold. Class names
+that only touch on a topic ("related-work", "tag-news") do not make boilerplate, and what an element is wholly called ("post") counts for more
+than a part of another name. Equal costs go to boilerplate. Pages are read whole, very long ones too; rows are independent, repeated
+rows are handled each for itself, an empty table gives no rows, other columns pass through whatever their names.
 """
 from __future__ import annotations
 
@@ -38,11 +41,22 @@ RAW = ("script", "style", "noscript", "template", "svg", "textarea", "iframe", "
 TO_THE_END = frozenset("script style textarea title".split())
 BOILER_TAGS = frozenset("nav footer aside form menu dialog header".split())
 CONTENT_TAGS = frozenset("article main".split())
-BOILER_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|side-?bar|nav\w*|menu\w*|footer|header|cookies?|consent|notice\w*|gdpr|comments?|respond|repl(?:y|ies)|disqus|"
-                          r"share|social|related|recommend\w*|newsletter|subscribe|signup|sign-?in|log-?in|search\w*|breadcrumbs?|pagination|pager|popup|modal|widget\w*|toolbar|copyright|legal|skip\w*|author-?box|tags?|toc)(?:$|[\s_-])", re.I)
+#: Words of a class name or id that stand for boilerplate wherever they are in it ...
+BOILER_WORD = (r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|side-?bar|nav\w*|menu\w*|footer|header|cookies?|consent|gdpr|comments?|respond|repl(?:y|ies)|disqus|"
+               r"newsletter|subscribe|signup|sign-?in|log-?in|breadcrumbs?|pagination|pager|popup|modal|widget\w*|toolbar|copyright|skip\w*|author-?box|toc)")
+#: ... and those that do only as the whole name or beside a word of layout ("related-posts", but not "related-work" or "tag-news").
+TOPIC_WORD = r"(?:notice\w*|share|social|related|recommend\w*|search\w*|legal|tags?)"
+LAYOUT_WORD = (r"(?:list\w*|links?|box|bar|cloud|posts?|articles?|stor(?:y|ies)|entr(?:y|ies)|items?|blocks?|sections?|buttons?|btns?|icons?|form|area|wrap\w*|container|panel|module|rows?|group|"
+               r"this|it|reading|content|text|pages?|products?|videos?|tools?|counts?|media|line|meta|terms|inner|outer|top|bottom|left|right|info|message|grid|feed|carousel|strip|"
+               r"input|results?|field|label|title|heading|holder|region|zone|slot|view|column|col|follow|us)")
+BOILER_NAMES = re.compile(rf"(?:^|[\s_-]){BOILER_WORD}(?=$|[\s_-])|(?:^|\s){TOPIC_WORD}(?=$|\s)|(?:^|[\s_-])(?:{TOPIC_WORD}[_-]+{LAYOUT_WORD}|{LAYOUT_WORD}[_-]+{TOPIC_WORD})(?=$|[\s_-])"
+                          rf"|(?:^|[\s_-]){TOPIC_WORD}[_-]+{TOPIC_WORD}(?=$|[\s_-])", re.I)
+#: Whole names; what an element is wholly called counts for more than a part of another of its names.
+BOILER_WHOLE = re.compile(rf"(?:^|\s)(?:{BOILER_WORD}|{TOPIC_WORD})(?=$|\s)", re.I)
+CONTENT_WHOLE = re.compile(r"(?:^|\s)(?:h-?entry|(?:blog-?|news-?)?(?:article|post|entry|story)(?:[_-]?(?:body|content|text))?|body-?text|content|main)(?=$|\s)", re.I)
 CONTENT_NAMES = re.compile(r"(?:^|[\s_-])(?:article\w*|post|entry|story|body-?text|content|main|text)(?:$|[\s_-])", re.I)
 BOILER_ROLES = re.compile(r"navigation|banner|contentinfo|complementary|search|form|dialog|alert", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"'=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|[=\"'])*+)(?:>|\Z)|<", re.S)
 NAMES = re.compile(r"(?:^|\s)(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 ROLE = re.compile(r"(?:^|\s)role\s*=\s*[\"']?([\w-]+)", re.I)
 CLOSES_P = frozenset("p div ul ol li table section article aside nav footer header main form h1 h2 h3 h4 h5 h6 blockquote pre hr dl fieldset figure".split())
@@ -154,8 +168,10 @@ def blocks(page: str | None) -> list[Block]:
         _, _, boiler, content, comment = stack[-1]
         names = " ".join(x or y or z for x, y, z in NAMES.findall(m[3])) if m[3] else ""
         role = ROLE.search(m[3]) if m[3] else None
-        remark = bool(names and COMMENT_NAMES.search(names))
-        own = tag in BOILER_TAGS or bool(names and tag not in CONTENT_TAGS and tag not in ("body", "html") and BOILER_NAMES.search(names)) or bool(role and BOILER_ROLES.search(role[1]))
+        parts = bool(names) and (BOILER_WHOLE.search(names) is not None or CONTENT_WHOLE.search(names) is None)
+        remark = parts and bool(COMMENT_NAMES.search(names))
+        named = parts and tag not in CONTENT_TAGS and tag not in ("body", "html") and bool(BOILER_NAMES.search(names))
+        own = tag in BOILER_TAGS or named or bool(role and BOILER_ROLES.search(role[1]))
         number += 1
         comment = comment or remark
         nested = tag == "article" and comment
@@ -197,12 +213,47 @@ def fit(x: np.ndarray, y: np.ndarray, strength: float = 1.0) -> np.ndarray:
     return w
 
 
+def _saturate(flow: dict[int, dict[int, float]], source: int, sink: int) -> dict[int, int]:
+    """Raises the flow to its maximum in the residual capacities ``flow``, all shortest paths of one length at a time; the nodes that the source
+    still reaches."""
+    while True:
+        level, line = {source: 0}, [source]
+        for i in line:
+            for j, c in flow[i].items():
+                if c > 1e-9 and j not in level:
+                    level[j] = level[i] + 1
+                    line.append(j)
+        if sink not in level:
+            return level
+        arcs, tried, path = {i: list(flow[i]) for i in line}, dict.fromkeys(line, 0), [source]
+        while path:
+            i = path[-1]
+            if i == sink:
+                steps = list(zip(path, path[1:]))
+                least = min(flow[a][b] for a, b in steps)
+                for a, b in steps:
+                    flow[a][b] -= least
+                    flow[b][a] = flow[b].get(a, 0.0) + least
+                del path[1 + next(k for k, (a, b) in enumerate(steps) if flow[a][b] <= 1e-9):]
+                continue
+            while tried[i] < len(arcs[i]):
+                j = arcs[i][tried[i]]
+                if flow[i][j] > 1e-9 and level.get(j) == level[i] + 1:
+                    path.append(j)
+                    break
+                tried[i] += 1
+            else:
+                path.pop()
+                if path:
+                    tried[path[-1]] += 1
+
+
 def minimum_cut(to_content: np.ndarray, to_boiler: np.ndarray, edges: dict[tuple[int, int], float]) -> np.ndarray:
     """True for the blocks on the content side of the minimum cut; ties go to boilerplate. ``to_content[i]`` is paid when block i is cut off
     from content.
 
     A block whose terminals differ by more than its edges hold together keeps its label in every minimum cut, so such blocks are
-    taken out first, their edges turned into terminal capacity; augmenting paths settle the rest."""
+    taken out first, their edges turned into terminal capacity; blocking flows settle the rest."""
     n = len(to_content)
     gain = (to_content - to_boiler).tolist()
     near: list[dict[int, float]] = [{} for _ in range(n)]
@@ -233,27 +284,9 @@ def minimum_cut(to_content: np.ndarray, to_boiler: np.ndarray, edges: dict[tuple
             else:
                 flow[i][sink] = -gain[i]
                 flow[sink][i] = 0.0
-        while True:
-            before, line = {source: source}, [source]
-            for i in line:
-                if i == sink:
-                    break
-                for j, c in flow[i].items():
-                    if c > 1e-9 and j not in before:
-                        before[j] = i
-                        line.append(j)
-            if sink not in before:
-                break
-            path, i = [], sink
-            while i != source:
-                path.append((before[i], i))
-                i = before[i]
-            least = min(flow[a][b] for a, b in path)
-            for a, b in path:
-                flow[a][b] -= least
-                flow[b][a] = flow[b].get(a, 0.0) + least
+        held = _saturate(flow, source, sink)
         for i in rest:
-            label[i] = i in before
+            label[i] = i in held
     return np.array(label, bool)
 
 
