@@ -68,6 +68,17 @@ def previous_in_key(df: DataFrame, key: str, order: str, values: list[str], run:
             .withColumn("previous", F.coalesce("_before", "_carried")).drop("_before", "_carried", "_run"))
 
 
+def state_before(df: DataFrame, key: str, order: str, state: Column, name: str, run: int = 100_000) -> DataFrame:
+    """Adds the last ``state`` that is not NULL among the rows before in the key, in the same runs as ``previous_in_key``."""
+    cut = df.withColumn("_run", F.floor(F.col(order) / run)).withColumn("_s", state)
+    inside = Window.partitionBy(key, "_run").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    between = Window.partitionBy(key).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    ends = cut.groupBy(key, "_run").agg(F.max_by("_s", F.when(F.col("_s").isNotNull(), F.col(order))).alias("_last"))
+    carried = ends.select(key, "_run", F.last("_last", True).over(between).alias("_carried"))
+    return (cut.withColumn("_before", F.last("_s", True).over(inside)).join(carried, [key, "_run"])
+            .withColumn(name, F.coalesce("_before", "_carried")).drop("_before", "_carried", "_run", "_s"))
+
+
 def running_sum(df: DataFrame, key: str, order: str, value: Column, name: str, run: int = 100_000) -> DataFrame:
     """Adds the running sum of ``value`` within its key, in the same runs as ``previous_in_key``."""
     cut = df.withColumn("_run", F.floor(F.col(order) / run)).withColumn("_v", value.cast("bigint"))

@@ -66,14 +66,14 @@ def semantic_types(facts: DataFrame) -> DataFrame:
     hinted = [f"CASE WHEN _h_{g} IS NOT NULL THEN {_ev(f'_h_{g}.type', f'_h_{g}.weight', _NAMED)} END" for g in vocab.NAME_HINT_GROUPS]
     formats = "map(" + ", ".join(f"{q(k)}, {q(v)}" for k, v in vocab.FORMAT_HINTS.items()) + ")[detected_format.format]"
     has_hint = f"coalesce({one_of('detected_format.format', vocab.FORMAT_HINTS)}, false)"
-    looks = "concat(CAST(round(detected_format.match_rate * 100) AS INT), '% of values look like ', detected_format.format)"
+    looks = "concat(CAST(round(detected_format.match_rate * 100) AS INT), '% have the format ', detected_format.format)"
     base = ", ".join([
-        f"CASE WHEN is_primary_key THEN {_ev(q('identifier'), 5, q('primary key'))} END",
-        f"CASE WHEN is_self_fk THEN {_ev(q('parent_key'), 5, q('references its own table'))} "
-        f"WHEN fk_target IS NOT NULL THEN {_ev(q('foreign_key'), 5, '''concat('references ', fk_target)''')} END",
+        f"CASE WHEN is_primary_key THEN {_ev(q('identifier'), 5, q('declared as key'))} END",
+        f"CASE WHEN is_self_fk THEN {_ev(q('parent_key'), 5, q('points to its own table'))} "
+        f"WHEN fk_target IS NOT NULL THEN {_ev(q('foreign_key'), 5, '''concat('points to ', fk_target)''')} END",
         *hinted,
         f"CASE WHEN self_referencing AND _h_code.type = 'hierarchy_level' "
-        f"THEN {_ev(q('hierarchy_level'), 2, q('level column in a self-referencing table'))} END",
+        f"THEN {_ev(q('hierarchy_level'), 2, q('level of a table that points to itself'))} END",
         f"CASE WHEN {has_hint} THEN {_ev(formats, 3, looks)} END"])
 
     numeric = one_of("generic_type", vocab.NUMERIC_GENERIC)
@@ -84,26 +84,26 @@ def semantic_types(facts: DataFrame) -> DataFrame:
     date_type = _credited(vocab.DATE_TYPES, "CASE WHEN generic_type = 'datetime' THEN 'event_timestamp' ELSE 'event_date' END")
     number_type = _credited(vocab.NUMERIC_TYPES, "CASE WHEN generic_type = 'integer' THEN 'count' ELSE 'amount' END")
     text_type = _credited(vocab.TEXT_TYPES, "CASE WHEN text.avg_length > 40 THEN 'free_text' ELSE 'label' END")
-    near_unique = f"concat('near-unique code (', format_number({unique} * 100, 1), '% distinct)')"
+    near_unique = f"concat('codes that seldom repeat (', format_number({unique} * 100, 1), '% different)')"
     code_type = _credited(vocab.CODE_TYPES, "'category_code'")
-    distinct_values = "concat(distinct_count, ' distinct values')"
+    distinct_values = "concat(distinct_count, ' different values')"
     shape = (
-        f"CASE WHEN generic_type = 'boolean' THEN {_ev(q('flag'), 4, q('boolean type'))} "
-        f"WHEN {one_of('generic_type', vocab.DATE_GENERIC)} THEN {_ev(date_type, 3, q('date type'))} "
+        f"CASE WHEN generic_type = 'boolean' THEN {_ev(q('flag'), 4, q('stored as boolean'))} "
+        f"WHEN {one_of('generic_type', vocab.DATE_GENERIC)} THEN {_ev(date_type, 3, q('stored as date or time'))} "
         f"WHEN is_primary_key OR fk_target IS NOT NULL THEN NULL "
-        f"WHEN {numeric} AND {only_01} THEN {_ev(q('flag'), 2, q('only 0/1 values'))} "
-        f"WHEN {numeric} THEN {_ev(number_type, 2, q('numeric'))} "
+        f"WHEN {numeric} AND {only_01} THEN {_ev(q('flag'), 2, q('holds 0 and 1 only'))} "
+        f"WHEN {numeric} THEN {_ev(number_type, 2, q('stored as number'))} "
         f"WHEN generic_type = 'string' AND NOT {has_hint} THEN CASE "
         f"  WHEN {code_like} AND {unique} >= {vocab.NEAR_UNIQUE} AND null_rate < 0.05 THEN {_ev(q('business_key'), 3, near_unique)} "
         f"  WHEN distinct_count <= {vocab.TOP_VALUES} AND {unique} < 0.5 AND NOT {text_named} "
         f"    THEN {_ev(code_type, f'CASE WHEN {code_like} THEN 2.5 ELSE 1.5 END', distinct_values)} "
-        f"  ELSE {_ev(text_type, 1, q('varied text'))} END END")
+        f"  ELSE {_ev(text_type, 1, q('text of many forms'))} END END")
 
     hints = {f"_h_{g}": F.expr(name_hint("_name", g)) for g in vocab.NAME_HINT_GROUPS}
     scored = f"transform(array_distinct(transform(_ev, e -> e.type)), (t, i) -> struct({_total('_ev', 't')} AS s, -i AS i, t AS t))"
     return (facts.withColumn("_name", F.expr(text.snake("bare_name"))).withColumns(hints)
             .withColumn("_base", F.expr(f"array_compact(array({base}))"))
-            .withColumn("_all", F.expr(f"concat(_base, array_compact(array({shape}, {_ev(q('other'), 0.5, q('baseline'))})))"))
+            .withColumn("_all", F.expr(f"concat(_base, array_compact(array({shape}, {_ev(q('other'), 0.5, q('default'))})))"))
             .withColumn("_ev", F.expr(f"filter(_all, e -> array_contains({_compatible()}, e.type))"))
             .withColumn("_best", F.expr(f"array_max({scored})"))
             .withColumns({"semantic_type": F.expr("_best.t"), "confidence": F.expr(f"round(_best.s / {_total('_ev')}, 2)"),

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline import vocab
-from plumbline.functions.skew import cut_lineage, previous_in_key, rows_of_keys
+from plumbline.functions.skew import cut_lineage, previous_in_key, rows_of_keys, state_before
 from plumbline.functions.text import ident, one_of, q
+from plumbline.operators import validate
 from plumbline.sources.store import latest
 
 # ---- identity -------------------------------------------------------------------------------------
@@ -136,12 +137,12 @@ def review_queue(rules: DataFrame, similar: DataFrame, results: DataFrame) -> Da
     """
     joined = rules.where(F.col("status") == "proposed").join(similar, "rule_id", "left").join(results, "rule_id", "left")
     flags = ", ".join((
-        "CASE WHEN check_type = 'custom_sql' THEN 'custom SQL - check the query carefully' END",
+        "CASE WHEN check_type = 'custom_sql' THEN 'free SQL: read it before approving' END",
         "CASE WHEN similar_name IS NOT NULL THEN concat('similar to ', similar_status, ' rule \\'', similar_name, '\\'', "
         "CASE WHEN similar_status = 'rejected' AND similar_reason IS NOT NULL THEN concat(' (rejected: ', similar_reason, ')') ELSE '' END) END",
         "CASE WHEN error IS NOT NULL THEN concat('cannot run: ', error) "
-        f"WHEN failure_rate > {vocab.HIGH_FAILURE_RATE} THEN concat('fails ', CAST(round(failure_rate * 100) AS INT), '% of rows - is the rule itself wrong?') "
-        "WHEN failed > 0 AND passed THEN concat('flags ', failed, ' rows but passes (limit ', CAST(round(allowed * 100, 1) AS STRING), '%)') END"))
+        f"WHEN failure_rate > {vocab.HIGH_FAILURE_RATE} THEN concat('fails ', CAST(round(failure_rate * 100) AS INT), '% of rows: the rule may be wrong') "
+        "WHEN failed > 0 AND passed THEN concat('passes with ', failed, ' failing rows (limit ', CAST(round(allowed * 100, 1) AS STRING), '%)') END"))
     return joined.select("rule_id", "name", "entity", "check_type", F.expr(f"array_compact(array({flags}))").alias("flags"))
 
 
@@ -230,15 +231,19 @@ def rule_line(columns: str = "columns") -> str:
             f"p -> concat(p.key, '=', p.value)), ', ')) ELSE '' END, CASE WHEN filter IS NOT NULL THEN concat(' WHERE ', filter) ELSE '' END, ']')")
 
 
-def rules_digest(rules: DataFrame) -> DataFrame:
-    """(entity, section, line): covered rules once per fingerprint, rejected ones with their reason.
+def rules_digest(rules: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
+    """(entity, section, fingerprint, line): covered rules once per fingerprint, rejected ones with their reason, and what past decisions
+    prefer (``patterns``: entity, line, as ``decision_patterns`` gives them; these lines have no fingerprint).
 
     One row per line; a reader that wants text collects the lines of one entity.
     """
     shown = rules.withColumn("section", F.when(F.col("status") == "rejected", "rejected").otherwise("covered"))
     once = latest(shown, ["entity", "section", "fingerprint"], "rule_id")
     reason = F.expr(f"concat({rule_line()}, CASE WHEN section = 'rejected' AND reason IS NOT NULL THEN concat(' - steward\\'s reason: ', reason) ELSE '' END)")
-    return once.select("entity", "section", "fingerprint", reason.alias("line"))
+    out = once.select("entity", "section", "fingerprint", reason.alias("line"))
+    if patterns is None:
+        return out
+    return out.union(patterns.select("entity", F.lit("preference"), F.lit(None).cast("string"), "line"))
 
 
 def source_overview(sources: DataFrame, versions: DataFrame, rules: DataFrame, context: DataFrame) -> DataFrame:
@@ -254,22 +259,71 @@ def source_overview(sources: DataFrame, versions: DataFrame, rules: DataFrame, c
 EDITABLE = ("name", "description", "category", "dimension", "scope", "filter", "severity", "tolerance", "rationale")
 
 
+def _edit_problem() -> str:
+    """SQL: why an edit (path, value) is refused by itself; NULL if it is not."""
+    head = "substring_index(path, '.', 1)"
+    return (f"CASE WHEN {one_of(head, vocab.LOCKED_RULE_FIELDS)} THEN concat('\\'', {head}, '\\' cannot be edited') "
+            f"WHEN NOT ({one_of('path', EDITABLE)} OR path IN ('target.entity', 'target.columns') OR path RLIKE '^check\\\\.[a-z_]+$') "
+            f"THEN concat('unknown field \\'', path, '\\'') "
+            f"WHEN path = 'tolerance' AND value IS NOT NULL AND try_cast(value AS DOUBLE) IS NULL THEN 'tolerance: not a number' "
+            f"WHEN path = 'target.columns' AND from_json(value, 'array<string>') IS NULL THEN 'target.columns: not a list of names' END")
+
+
+def edit_history(rules: DataFrame, edits: DataFrame) -> DataFrame:
+    """(rule_id, seq, path, before, after, accepted, problem, line): every edit with the value that it met and the one it sets.
+
+    The edits of one rule with the same ``seq`` are one event, and an event with a problem is refused whole: its edits change nothing, so later
+    ones still meet the value before it. rules: rule_id and the fields as they were before the first edit. edits: rule_id, seq (integer), path, value.
+    """
+    fields = [c for c in EDITABLE if c in rules.columns]
+    original = ("CASE " + " ".join(f"WHEN path = {q(c)} THEN CAST(_r.{ident(c)} AS STRING)" for c in fields)
+                + " WHEN path = 'target.entity' THEN _r.entity WHEN path = 'target.columns' THEN to_json(_r.columns) "
+                "WHEN startswith(path, 'check.') THEN get_json_object(_r.check, concat('$.', substring(path, 7))) END")
+    known = rules.select("rule_id", F.struct(*fields, "entity", "columns", "check").alias("_r"))
+    judged = edits.select("rule_id", "seq", "path", "value").join(known, "rule_id", "left").withColumn(
+        "problem", F.expr(f"CASE WHEN _r IS NULL THEN 'unknown rule' ELSE {_edit_problem()} END"))
+    events = judged.groupBy("rule_id", "seq").agg(F.bool_and(F.col("problem").isNull()).alias("accepted"))
+    told = judged.join(events, ["rule_id", "seq"]).withColumn("_key", F.to_json(F.struct("rule_id", "path")))
+    seen = state_before(told, "_key", "seq", F.when(F.col("accepted"), F.struct("value")), "_state")
+    before = F.when(F.col("_state").isNotNull(), F.col("_state.value")).otherwise(F.expr(original))
+    return seen.select("rule_id", "seq", "path", before.alias("before"), F.col("value").alias("after"), "accepted", "problem").withColumn(
+        "line", F.expr("concat(path, ': ', coalesce(before, '(empty)'), ' -> ', coalesce(after, '(empty)'))"))
+
+
+def revalidated(edited: DataFrame, columns: DataFrame | None = None, hierarchies: DataFrame | None = None) -> DataFrame:
+    """Edited rules whose ``errors`` also name what is wrong with the rule that the edits made: its shape and, if ``columns`` (entity, column)
+    and ``hierarchies`` are given, what it refers to. Fields that the rules do not have count as the defaults of a rule."""
+    def own(c: str, default: str) -> str:
+        return ident(c) if c in edited.columns else default
+    kind = "from_json(check, 'map<string,string>')['type']"
+    scope = "map(" + ", ".join(f"{q(k)}, {q(v[0][0])}" for k, v in vocab.CHECKS.items()) + f")[{kind}]"
+    category = f"CASE WHEN startswith({kind}, 'hierarchy_') THEN 'hierarchy' ELSE 'data_quality' END"
+    whole = (f"named_struct('name', {own('name', q(''))}, 'category', {own('category', category)}, 'dimension', {own('dimension', q('validity'))}, "
+             f"'scope', {own('scope', scope)}, 'target', named_struct('entity', entity, 'columns', columns), 'check', from_json(check, 'map<string,string>'), "
+             f"'filter', {own('filter', 'CAST(NULL AS STRING)')}, 'severity', {own('severity', q('medium'))}, 'tolerance', CAST({own('tolerance', '0')} AS DOUBLE))")
+    judged = validate.shape_errors(edited.withColumnRenamed("errors", "_refused").withColumn("r", F.expr(whole)).withColumn("type", F.expr("r.check['type']")))
+    found = ["_refused", "errors"]
+    if columns is not None and hierarchies is not None:
+        judged = validate.reference_errors(judged, columns, hierarchies)
+        found.append("ref_errors")
+    return judged.withColumn("errors", F.concat(*found)).drop("_refused", "ref_errors", "r", "type")
+
+
 def apply_edits(rules: DataFrame, edits: DataFrame) -> DataFrame:
     """Edited rules with the problems of their edits: (rule columns..., errors).
 
     edits: rule_id, path (dotted, e.g. check.max_rate), value (JSON or plain text). An edit of identity or lineage is
-    refused, and so is an unknown field. ``check`` parameters are replaced in the JSON document.
+    refused, and so is an unknown field, a tolerance that is no number and columns that are no list. ``check`` parameters are
+    replaced in the JSON document; ``revalidated`` tells what is wrong with the rule that comes out.
     """
-    head = "substring_index(path, '.', 1)"
-    problem = (f"CASE WHEN {one_of(head, vocab.LOCKED_RULE_FIELDS)} THEN concat('\\'', {head}, '\\' cannot be edited') "
-               f"WHEN NOT ({one_of('path', EDITABLE)} OR path IN ('target.entity', 'target.columns') OR path RLIKE '^check\\\\.[a-z_]+$') "
-               f"THEN concat('unknown field \\'', path, '\\'') END")
     last = edits.groupBy("rule_id", "path").agg(F.max_by("value", "seq").alias("value"))
     per_rule = last.groupBy("rule_id").agg(
-        F.array_sort(F.array_compact(F.collect_list(F.expr(problem)))).alias("errors"),
+        F.array_sort(F.array_compact(F.collect_list(F.expr(_edit_problem())))).alias("errors"),
         F.map_from_entries(F.collect_list(F.struct("path", "value"))).alias("edit"))
     changed = rules.join(per_rule, "rule_id")
-    plain = {c: F.expr(f"CASE WHEN map_contains_key(edit, {q(c)}) THEN CAST(edit[{q(c)}] AS {dict(changed.dtypes)[c]}) ELSE {ident(c)} END")
+    kinds = dict(changed.dtypes)
+    plain = {c: F.expr(f"CASE WHEN map_contains_key(edit, {q(c)}) AND (edit[{q(c)}] IS NULL OR try_cast(edit[{q(c)}] AS {kinds[c]}) IS NOT NULL) "
+                       f"THEN try_cast(edit[{q(c)}] AS {kinds[c]}) ELSE {ident(c)} END")
              for c in EDITABLE if c in changed.columns}
     plain["entity"] = F.expr("coalesce(edit['target.entity'], entity)")
     plain["columns"] = F.expr("coalesce(from_json(edit['target.columns'], 'array<string>'), columns)")

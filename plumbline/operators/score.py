@@ -95,7 +95,7 @@ def rule_coverage(generated: DataFrame, reference: DataFrame) -> DataFrame:
         meets("g").format(row="transform(g.used, c -> concat('row|', c))"))))
 
     def num(side: str, p: str) -> str:
-        return f"CAST({side}.k['{p}'] AS DOUBLE)"
+        return f"try_cast({side}.k['{p}'] AS DOUBLE)"
 
     def closed(side: str) -> str:
         return f"coalesce({side}.k['inclusive'], 'true') = 'true'"

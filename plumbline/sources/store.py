@@ -4,7 +4,7 @@ All stores are append-only folders of parquet; the current state is an aggregate
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from plumbline.functions.skew import previous_in_key, running_sum
 
@@ -63,16 +63,24 @@ def version_history(changes: DataFrame) -> DataFrame:
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """(seq, rule) from JSON documents: a list, {"rules": [...]}, or {"rules": [{"rule": {...}}]}."""
-    docs = spark.read.text(path, wholetext=True)
-    items = F.coalesce(F.from_json("value", "struct<rules:array<string>>")["rules"], F.from_json("value", "array<string>"))
-    return (docs.select(F.posexplode(items).alias("seq", "item"))
-            .select("seq", F.coalesce(F.get_json_object("item", "$.rule"), F.col("item")).alias("rule")))
+    """(seq, rule) from JSON documents: a list, {"rules": [...]}, {"rules": [{"rule": {...}}]}, one rule, or one rule per line, which is
+    what ``write_rules`` writes. ``seq`` goes on from file to file, in the order of their names."""
+    docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("value"))
+    lines = F.filter(F.transform(F.split("value", "\\r?\\n"), lambda x: F.trim(x)), lambda x: x != "")
+    by_line = (F.size(lines) > 0) & F.forall(lines, lambda x: F.get_json_object(x, "$.check").isNotNull() | F.get_json_object(x, "$.rule").isNotNull())
+    one = F.when(F.get_json_object("value", "$.check").isNotNull() | F.get_json_object("value", "$.rule").isNotNull(), F.array("value"))
+    listed = F.coalesce(F.from_json("value", "struct<rules:array<string>>")["rules"], F.from_json("value", "array<string>"))
+    items = docs.select("file", F.when(by_line, lines).otherwise(F.coalesce(listed, one, F.expr("CAST(array() AS array<string>)"))).alias("items"))
+    # one row per file here, so this window holds a number for each file only
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = items.select("file", F.coalesce(F.sum(F.size("items")).over(before), F.lit(0)).alias("start"))
+    return (items.join(starts, "file").select("start", F.posexplode("items").alias("at", "item"))
+            .select((F.col("start") + F.col("at")).cast("int").alias("seq"), F.coalesce(F.get_json_object("item", "$.rule"), F.col("item")).alias("rule")))
 
 
 def write_rules(rules: DataFrame, path: str) -> None:
     """One JSON object per line; ``rules`` has a column ``rule`` with the JSON text."""
-    rules.select(F.col("rule").alias("value")).write.mode("append").text(path)
+    rules.select(F.regexp_replace("rule", "[\\r\\n]+", " ").alias("value")).write.mode("append").text(path)
 
 
 def write_profiles(profiles: DataFrame, path: str) -> None:

@@ -148,11 +148,11 @@ FROM {customer} WHERE c_custkey % 6 IN (2, 3, 4)"""
 
 
 @register("review_queue", _R + f""", res AS {_sql(_RESULTS)}, sim AS {_sql(_SIMILAR)}
-SELECT rule_id, name, entity, check_type, concat_ws('; ', CASE WHEN check_type = 'custom_sql' THEN 'custom SQL - check the query carefully' END,
+SELECT rule_id, name, entity, check_type, concat_ws('; ', CASE WHEN check_type = 'custom_sql' THEN 'free SQL: read it before approving' END,
  CASE WHEN similar_name IS NOT NULL THEN 'similar to ' || similar_status || ' rule ''' || similar_name || '''' ||
   CASE WHEN similar_status = 'rejected' AND similar_reason IS NOT NULL THEN ' (rejected: ' || similar_reason || ')' ELSE '' END END,
- CASE WHEN error IS NOT NULL THEN 'cannot run: ' || error WHEN failure_rate > 0.1 THEN 'fails ' || CAST(round(failure_rate * 100) AS INT) || '% of rows - is the rule itself wrong?'
-  WHEN failed > 0 AND failure_rate <= allowed THEN 'flags ' || failed || ' rows but passes (limit 5.0%)' END) AS flags
+ CASE WHEN error IS NOT NULL THEN 'cannot run: ' || error WHEN failure_rate > 0.1 THEN 'fails ' || CAST(round(failure_rate * 100) AS INT) || '% of rows: the rule may be wrong'
+  WHEN failed > 0 AND failure_rate <= allowed THEN 'passes with ' || failed || ' failing rows (limit 5.0%)' END) AS flags
 FROM rules LEFT JOIN res USING (rule_id) LEFT JOIN sim USING (rule_id) WHERE rule_id NOT IN (SELECT rule_id FROM status)""")
 def review_queue(spark, sf_dir):
     tables = Tables(spark, sf_dir)
@@ -233,10 +233,22 @@ def stale_rules(spark, sf_dir):
     return ledger.stale_rules(rules, inventory)
 
 
-@register("rules_digest")
+_LINES = f"""SELECT d.rule_id, d.entity, CASE WHEN event_type = 'error' THEN 'rejected' ELSE 'covered' END AS section, substr(sha256(canonical), 1, 16) AS fingerprint,
+ name || ' [' || CASE event_type WHEN 'click' THEN 'range' WHEN 'purchase' THEN 'allowed_values' WHEN 'error' THEN 'row_condition' WHEN 'signup' THEN 'foreign_key' ELSE 'not_null' END
+ || ' on ' || d.entity || '(' || CASE event_type WHEN 'signup' THEN 'Part,ID' ELSE 'Col_1' END || ')' ||
+ CASE event_type WHEN 'click' THEN ': ' || CASE WHEN d.rule_id % 2 = 0 THEN 'inclusive=true, ' ELSE '' END || 'max=' || CAST(floor(value) AS INT) || ', min=0'
+  WHEN 'purchase' THEN ': values=["b","a","' || (user_id % 5) || '","b"]' WHEN 'signup' THEN ': ref_columns=["Part_Ref","ID_Ref"], ref_entity=e1'
+  WHEN 'error' THEN ': expression=' || CASE d.rule_id % 3 WHEN 0 THEN 'Col_1>=' WHEN 1 THEN 'col_1  >= ' ELSE 'COL_1 >=' END || (user_id % 7) ELSE '' END ||
+ CASE WHEN scope_filter IS NULL THEN '' ELSE ' WHERE ' || scope_filter END || ']' || CASE WHEN event_type = 'error' AND d.rule_id % 2 = 0 THEN ' - steward''s reason: because ' || d.rule_id ELSE '' END AS line
+FROM {_sql(DOCS)} d JOIN ({_CANONICAL}) c ON c.seq = d.rule_id"""
+_PREFERRED = _R + _PATTERNS.format(history=_HISTORY, k="entity,", u="entity,", keep="rejected > 0 OR approved + rejected >= 2")
+
+
+@register("rules_digest", f"""SELECT entity, section, fingerprint, arg_max(line, rule_id) AS line FROM ({_LINES}) GROUP BY ALL
+UNION ALL SELECT entity, 'preference', NULL, line FROM ({_PREFERRED})""")
 def rules_digest(spark, sf_dir):
     library = ledger.canonical(docs(spark, sf_dir)).withColumn("status", F.expr("CASE WHEN event_type = 'error' THEN 'rejected' ELSE 'approved' END"))
-    return ledger.rules_digest(library.withColumn("reason", F.expr("CASE WHEN seq % 2 = 0 THEN concat('because ', seq) END")))
+    return ledger.rules_digest(library.withColumn("reason", F.expr("CASE WHEN seq % 2 = 0 THEN concat('because ', seq) END")), decision_patterns(spark, sf_dir))
 
 
 _SOURCES = "SELECT DISTINCT concat('src', CAST(c_custkey % 4 AS STRING)) AS source_id FROM {customer}"
@@ -268,6 +280,45 @@ def apply_edits(spark, sf_dir):
                       F.expr("get_json_object(check, '$.inclusive')").alias("inclusive"))
 
 
+REVISIONS = """SELECT event_id AS rule_id, 1 AS seq, CASE event_id % 8 WHEN 0 THEN 'check.max' WHEN 1 THEN 'check.max' WHEN 2 THEN 'check.color' WHEN 3 THEN 'tolerance' WHEN 4 THEN 'tolerance'
+  WHEN 5 THEN 'severity' WHEN 6 THEN 'target.columns' ELSE 'filter' END AS path,
+ CASE event_id % 8 WHEN 0 THEN 'lots' WHEN 1 THEN '-5' WHEN 2 THEN 'red' WHEN 3 THEN 'abc' WHEN 4 THEN '7' WHEN 5 THEN 'urgent' WHEN 6 THEN '["ghost"]' ELSE 'Col_1 > 0' END AS value
+FROM {events} WHERE event_type = 'click'"""
+
+
+@register("revalidated_edits", f"""SELECT rule_id, CASE rule_id % 8 WHEN 0 THEN 'check.max: not a number' WHEN 1 THEN 'range min > max' WHEN 2 THEN 'check: unknown color' WHEN 3 THEN 'tolerance: not a number'
+ WHEN 4 THEN 'tolerance: not between 0 and 1' WHEN 5 THEN 'severity: not one of critical/high/medium/low' WHEN 6 THEN 'target: unknown column(s) ghost in ''' || entity || '''' ELSE '' END AS errors
+FROM {_sql(DOCS)} WHERE event_type = 'click'""")
+def revalidated_edits(spark, sf_dir):
+    """What is wrong with rules after an edit: the edit itself, the shape of the rule, what it refers to."""
+    tables = Tables(spark, sf_dir)
+    library = docs(spark, sf_dir).withColumn("severity", F.lit("medium")).withColumn("tolerance", F.lit(0.0))
+    columns = library.select("entity").distinct().select("entity", F.explode(F.array(F.lit("Col_1"), F.lit("Col_2"))).alias("column"))
+    trees = _model_columns(spark, sf_dir)[1]
+    out = ledger.revalidated(ledger.apply_edits(library, tables.sql(REVISIONS)), columns, trees)
+    return out.select("rule_id", F.array_join("errors", "; ").alias("errors"))
+
+
+_EVENTS_OF_EDITS = """SELECT event_id AS rule_id, 1 AS seq, 'check.max' AS path, CAST(user_id AS STRING) AS value FROM {events} WHERE event_type = 'click'
+UNION ALL SELECT event_id, 2, CASE event_id % 3 WHEN 0 THEN 'status' WHEN 1 THEN 'check.max' ELSE 'name' END,
+ CASE event_id % 3 WHEN 0 THEN 'approved' WHEN 1 THEN CAST(event_id % 100 AS STRING) ELSE 'renamed' END FROM {events} WHERE event_type = 'click'
+UNION ALL SELECT event_id, 2, 'description', 'with its event' FROM {events} WHERE event_type = 'click' AND event_id % 3 = 0
+UNION ALL SELECT event_id, 3, CASE event_id % 2 WHEN 0 THEN 'check.max' ELSE 'name' END, CASE event_id % 2 WHEN 0 THEN '1000' ELSE concat('n', CAST(event_id AS STRING)) END
+ FROM {events} WHERE event_type = 'click'
+UNION ALL SELECT event_id, 4, 'description', 'after all' FROM {events} WHERE event_type = 'click' AND event_id % 3 = 0"""
+
+
+@register("edit_history", f"""WITH j AS (SELECT *, CASE WHEN path = 'status' THEN '''status'' cannot be edited' END AS problem FROM {_sql(_EVENTS_OF_EDITS)}),
+ k AS (SELECT *, NOT bool_or(problem IS NOT NULL) OVER (PARTITION BY rule_id, seq) AS accepted FROM j),
+ s AS (SELECT *, last_value(CASE WHEN accepted THEN value END IGNORE NULLS) OVER (PARTITION BY rule_id, path ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM k),
+ o AS (SELECT s.rule_id, s.seq, path, coalesce(was, CASE path WHEN 'name' THEN d.name WHEN 'check.max' THEN CAST(CAST(floor(d.value) AS INT) AS VARCHAR) END) AS b, s.value AS a, accepted, problem
+  FROM s JOIN {_sql(DOCS)} d ON d.rule_id = s.rule_id)
+SELECT rule_id, seq, path, b AS "before", a AS "after", accepted, problem, path || ': ' || coalesce(b, '(empty)') || ' -> ' || coalesce(a, '(empty)') AS line FROM o""")
+def edit_history(spark, sf_dir):
+    """Every edit with the value before and after it; an event with a refused edit changes nothing."""
+    return ledger.edit_history(docs(spark, sf_dir), Tables(spark, sf_dir).sql(_EVENTS_OF_EDITS))
+
+
 @register("edit_clashes", f"""WITH f AS (SELECT rule_id, CASE WHEN path = 'check.max' THEN CAST(e.value AS DOUBLE) ELSE floor(d.value) END AS m, entity, path,
   CASE WHEN path = 'check.inclusive' THEN 'false' ELSE 'true' END AS inc, scope_filter FROM {_sql(EDITS)} e JOIN {_sql(DOCS)} d USING (rule_id)),
  d AS (SELECT rule_id, floor(value) AS m, entity, 'true' AS inc, scope_filter FROM {_sql(DOCS)} WHERE event_type = 'click')

@@ -10,12 +10,12 @@ from plumbline.plans.suite import execute_rules, violation_examples, violations
 
 AS_OF = dt.date(2026, 1, 1)
 MODEL = Model({"node": Entity("node", "node", ("id",), pii=("code",))},
-              {"h": Hierarchy("h", "node", "parent", "lv", ("TOP", "MID"))})
+              {"h": Hierarchy("h", "node", "parent", "lv", ("HEAD", "UNIT"))})
 
 
 @pytest.fixture(scope="module")
 def tables(spark):
-    rows = [(1, None, "TOP", "AB", 10.0), (2, 1, "MID", "cd", None), (3, 4, "MID", "EF", -1.0), (4, 3, "MID", None, 5.0)]
+    rows = [(1, None, "HEAD", "QX", 10.0), (2, 1, "UNIT", "pq", None), (3, 4, "UNIT", "VW", -1.0), (4, 3, "UNIT", None, 5.0)]
     return {"node": spark.createDataFrame(rows, "id int, parent int, lv string, code string, amount double")}
 
 

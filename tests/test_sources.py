@@ -23,6 +23,24 @@ def test_rule_documents(spark):
         assert [json.loads(x.rule) for x in got] == [r, r]
 
 
+def test_rules_that_were_written_read_back(spark):
+    path = f"{folder()}/rules"
+    rules = [{"name": f"r{k}", "check": {"type": "range", "min": k}} for k in range(7)]
+    store.write_rules(spark.createDataFrame([(json.dumps(r, indent=2 if k == 3 else None),) for k, r in enumerate(rules)], "rule string").repartition(3), path)
+    store.write_rules(spark.createDataFrame([(json.dumps(rules[0]),)], "rule string"), path)
+    got = store.read_rules(spark, path).orderBy("seq").collect()
+    assert [x.seq for x in got] == list(range(8))
+    assert sorted(json.loads(x.rule)["name"] for x in got) == sorted([r["name"] for r in rules] + ["r0"])
+
+
+def test_one_rule_and_empty_documents(spark):
+    path = folder()
+    for name, text in (("a.json", json.dumps({"name": "a", "check": {"type": "unique"}}, indent=1)), ("b.json", ""), ("c.json", "[]"), ("d.json", "no rules")):
+        with open(f"{path}/{name}", "w") as f:
+            f.write(text)
+    assert [(x.seq, json.loads(x.rule)["name"]) for x in store.read_rules(spark, path).collect()] == [(0, "a")]
+
+
 def test_versions_are_kept_only_when_something_changed(spark):
     path = f"{folder()}/model"
     a, b = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string"), spark.createDataFrame([(2, "y"), (1, "z")], "k int, v string")
