@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import filtered, rows_with, stored
+from .storage import filtered, free_name, rows_with, stored
 
 EDITS = 1
 SHORT = 24
@@ -218,11 +218,11 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS) -> DataFrame:
     """``docs`` without the lines that go. A document that loses every line with a word goes too; one that had none stays."""
-    gone = duplicate_lines(docs, doc_id, text, edits).groupBy(F.col("doc_id").alias("__id"), F.col("copy").alias("__copy")).agg(F.collect_set("line_no").alias("__gone"))
-    joined = docs.join(gone, docs[doc_id].eqNullSafe(gone["__id"]) & (copy_of(docs[text]) == gone["__copy"]), "left")
-    parts = F.split(F.col(f"`{text}`"), "\n", -1)
-    left = joined.withColumn("__parts", F.when(F.col("__gone").isNotNull(), parts))
-    left = left.withColumn("__left", F.transform(F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), "__gone"), lambda i: F.get("__parts", i)))
-    stays = F.col("__gone").isNull() | F.exists("__left", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    new = F.when(F.col("__gone").isNull(), F.col(f"`{text}`")).otherwise(F.array_join("__left", "\n"))
-    return filtered(left, stays).select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    of, copy, lost, parts, left = (free_name(docs, name) for name in ("__id", "__copy", "__gone", "__parts", "__left"))
+    gone = duplicate_lines(docs, doc_id, text, edits).groupBy(F.col("doc_id").alias(of), F.col("copy").alias(copy)).agg(F.collect_set("line_no").alias(lost))
+    joined = docs.join(gone, docs[doc_id].eqNullSafe(gone[of]) & (copy_of(docs[text]) == gone[copy]), "left")
+    cut = joined.withColumn(parts, F.when(F.col(lost).isNotNull(), F.split(F.col(f"`{text}`"), "\n", -1)))
+    cut = cut.withColumn(left, F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), lost), lambda i: F.get(parts, i)))
+    stays = F.col(lost).isNull() | F.exists(left, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    new = F.when(F.col(lost).isNull(), F.col(f"`{text}`")).otherwise(F.array_join(left, "\n"))
+    return filtered(cut, stays).select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])

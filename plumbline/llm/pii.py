@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import rows_with, stored
+from .storage import free_name, rows_with, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns of the four kinds. ``\\G`` (the end of the match before) or a look behind says where a match can begin, so that a long
@@ -171,13 +171,14 @@ def sanitised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     """``docs`` with entities replaced by their kind in brackets and disclosing terms by ``[term]``; of overlapping spans the first counts.
     Documents without spans keep their text and are not shuffled with it when the table of spans is small."""
     marked = all_spans(docs, doc_id, text).select("doc_id", "copy", F.array_sort(F.transform(F.concat("spans", "terms"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("s"))
-    marked = marked.where(F.size("s") > 0).dropDuplicates(["doc_id", "copy"]).select(F.col("doc_id").alias("__id"), F.col("copy").alias("__copy"), F.col("s").alias("__s"))
+    of, copy, held = (free_name(docs, name) for name in ("__id", "__copy", "__s"))
+    marked = marked.where(F.size("s") > 0).dropDuplicates(["doc_id", "copy"]).select(F.col("doc_id").alias(of), F.col("copy").alias(copy), F.col("s").alias(held))
     empty = F.expr("cast(array() as array<struct<start:int,end:int,kind:int>>)")
-    apart = F.aggregate("__s", empty, lambda kept, s: F.when((F.size(kept) > 0) & (F.coalesce(F.get(kept, F.size(kept) - 1)["end"], F.lit(0)) > s["start"]), kept).otherwise(F.concat(kept, F.array(s))))
+    apart = F.aggregate(held, empty, lambda kept, s: F.when((F.size(kept) > 0) & (F.coalesce(F.get(kept, F.size(kept) - 1)["end"], F.lit(0)) > s["start"]), kept).otherwise(F.concat(kept, F.array(s))))
     names = F.array(*[F.lit(f"[{k}]") for k in (*KINDS, "term")])
     t = F.col(f"`{text}`")
-    joined = docs.join(marked, docs[doc_id].eqNullSafe(marked["__id"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == marked["__copy"]), "left").withColumn("__s", apart)
-    before = lambda i: F.coalesce(F.get("__s", i - 1)["end"], F.lit(0))
-    pieces = F.transform("__s", lambda s, i: F.concat(F.substring(t, before(i) + 1, s["start"] - before(i)), F.get(names, s["kind"])))
-    rest = F.substring(t, F.get("__s", F.size("__s") - 1)["end"] + 1, F.length(t))
-    return joined.select(*[(F.when(F.size("__s") > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(t).alias(c) if c == text else F.col(f"`{c}`")) for c in docs.columns])
+    joined = docs.join(marked, docs[doc_id].eqNullSafe(marked[of]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == marked[copy]), "left").withColumn(held, apart)
+    before = lambda i: F.coalesce(F.get(held, i - 1)["end"], F.lit(0))
+    pieces = F.transform(held, lambda s, i: F.concat(F.substring(t, before(i) + 1, s["start"] - before(i)), F.get(names, s["kind"])))
+    rest = F.substring(t, F.get(held, F.size(held) - 1)["end"] + 1, F.length(t))
+    return joined.select(*[(F.when(F.size(held) > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(t).alias(c) if c == text else F.col(f"`{c}`")) for c in docs.columns])

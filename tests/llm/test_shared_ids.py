@@ -1,7 +1,7 @@
 """Line dedup of rows without an id and of rows that share one."""
 from __future__ import annotations
 
-from plumbline.llm import hyperminhash, licenses, line_dedup, queries
+from plumbline.llm import hyperminhash, licenses, line_dedup, pii, queries
 
 
 def test_rows_lose_only_their_own_lines(spark, tmp_path):
@@ -32,3 +32,17 @@ def test_near_duplicates_of_rows_without_an_id(spark):
     got = sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in hyperminhash.near_duplicates(docs).collect())
     assert got == [(0, 0, True), (0, 0, True), (0, 0, True), (4, 4, True), (5, 4, False), (6, 6, True)]
     assert sorted(r["doc_id"] or 0 for r in hyperminhash.deduplicate(docs).collect()) == [0, 0, 0, 4, 6]
+
+
+def test_columns_with_clashing_names_pass_through(spark):
+    same = "a line that comes in all of the rows of this table"
+    own = ["write to {} about the house", "the boat that {} has sold in spring", "nobody but {} was at the river"]
+    rows = [(k, f"{same}\n{own[k].format(f'a{k}@example.org')}", f"x{k}", f"y{k}", f"z{k}", f"w{k}") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __gone string, __S string, __id string, __copy string")
+    others = sorted((r[0], *r[2:]) for r in rows)
+    kept = line_dedup.deduplicate(docs)
+    assert kept.columns == docs.columns and sorted((r[0], *r[2:]) for r in kept.collect()) == others
+    clean = pii.sanitised(docs)
+    assert clean.columns == docs.columns
+    got = clean.collect()
+    assert sorted((r[0], *r[2:]) for r in got) == others and all(r["text"] == f"{same}\n{own[r['doc_id']].format('[email]')}" for r in got)
