@@ -2,9 +2,9 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.text import ident, missing_nan
 
@@ -13,31 +13,46 @@ _ACCURACY = 10_000
 
 
 @dataclass
-class _Bracket:
-    """Closed value range that holds the wanted order statistics of one column."""
+class _Search:
+    """A wanted order statistic, and the open range (lo, hi) it lies in until its value is known."""
     column: str
-    share: float
-    first: int               # 0-based ranks to interpolate between
-    last: int
-    lo: float
-    hi: float
-    below: int               # values < lo
-    inside: int              # values in [lo, hi]
-    done: bool = False
+    rank: int                # 0-based
+    below: int               # values at or under lo
+    inside: int              # values in the range
+    lo: float | None = None  # None: no bound
+    hi: float | None = None
+    value: float | None = None
+
+    def narrow(self, a: float, b: float, counts: dict[tuple[str, float], tuple[int, int]]) -> None:
+        """a <= b are values of the range; counts: how many values of the column lie under each, and at or under it."""
+        under_a, upto_a = counts[self.column, a]
+        under_b, upto_b = counts[self.column, b]
+        if under_a <= self.rank < upto_a:
+            self.value = a
+        elif under_b <= self.rank < upto_b:
+            self.value = b
+        elif self.rank < under_a:
+            self.hi, self.inside = a, under_a - self.below
+        elif self.rank < under_b:
+            self.lo, self.hi, self.below, self.inside = a, b, upto_a, under_b - upto_a
+        else:
+            self.lo, self.below, self.inside = b, upto_b, self.inside - (upto_b - self.below)
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], shares: tuple[float, ...],
                     direct_values: int = DIRECT_VALUES) -> dict[str, list[float] | None]:
     """Column -> its quantiles, or None when it has no values. NaN and NULL are missing.
 
-    Few distinct values: one aggregate, whatever the number of rows. Many: percentile_approx gives a range that provably contains the wanted ranks,
-    an exact count checks it, and only the values inside a range that has become small are looked at.
+    Few distinct values: one aggregate, whatever the number of rows. Many: every wanted rank is searched for, all of them at once.
+    A round takes two values around each rank from a sketch and counts the rows under and at them. The rank is at one of the
+    two, or in the open range between them, which holds about 1/2500 of the rows before and leaves two values out in any case.
+    So heavy values end a search and the last round finds the rest; no values are sorted, collected or sent to one task.
     """
     if not columns:
         return {}
     values = df.selectExpr(*[f"{missing_nan(ident(c))} AS {ident(c)}" for c in columns])
     head = values.selectExpr(*[f"{fn}({ident(c)}) AS {n}{i}" for i, c in enumerate(columns)
-                               for fn, n in (("count", "n"), ("min", "lo"), ("max", "hi"), ("approx_count_distinct", "d"))]).first()
+                               for fn, n in (("count", "n"), ("approx_count_distinct", "d"))]).first()
     sizes = {c: head[f"n{i}"] for i, c in enumerate(columns)}
     out: dict[str, list[float] | None] = {c: None for c in columns if sizes[c] == 0}
     distinct = {c: head[f"d{i}"] for i, c in enumerate(columns)}
@@ -52,82 +67,38 @@ def exact_quantiles(df: DataFrame, columns: list[str], shares: tuple[float, ...]
         row = values.selectExpr(*[f"percentile({ident(c)}, array({wanted}))" for c in direct]).first()
         out.update({c: list(found) for c, found in zip(direct, row)})
     large = [c for c in todo if c not in direct]
-    if large:
-        at = {c: i for i, c in enumerate(columns)}
-        brackets = []
-        for c in large:
-            for p in shares:
-                pos = p * (sizes[c] - 1)
-                brackets.append(_Bracket(c, pos - math.floor(pos), math.floor(pos), math.ceil(pos),
-                                         head[f"lo{at[c]}"], head[f"hi{at[c]}"], 0, sizes[c]))
-        per_bracket = max(1, direct_values // len(brackets))
-        while _narrow(values, brackets, per_bracket):
-            pass
-        picked = _pick(values, brackets)
-        for c in large:
-            out[c] = [v for b, v in zip(brackets, picked) if b.column == c]
+    places = {(c, p): p * (sizes[c] - 1) for c in large for p in shares}
+    searches = {(c, rank): _Search(c, rank, 0, sizes[c]) for (c, _), at in places.items() for rank in (math.floor(at), math.ceil(at))}
+    while wide := [s for s in searches.values() if s.value is None]:
+        _round(values, wide)
+    for c in large:
+        out[c] = []
+        for p in shares:
+            at = places[c, p]
+            low, high = searches[c, math.floor(at)].value, searches[c, math.ceil(at)].value
+            out[c].append(low if low == high else low + (at - math.floor(at)) * (high - low))
     return out
 
 
-def _narrow(values: DataFrame, brackets: list[_Bracket], enough: int) -> bool:
-    """One round for every bracket that is still wide. False when none is left."""
-    wide = [b for b in brackets if not b.done and b.inside > enough and b.lo < b.hi]
-    if not wide:
-        return False
+def _round(values: DataFrame, wide: list[_Search]) -> None:
+    """Two scans: sketches of the ranges that are still open, then counts at the values that they name."""
     margin = 2.0 / _ACCURACY
-    shared: dict[tuple[str, float, float], list[_Bracket]] = {}
-    for b in wide:                                 # brackets over the same range share one sketch
-        shared.setdefault((b.column, b.lo, b.hi), []).append(b)
-    sketches = []
+    shared: dict[tuple[str, float | None, float | None], list[_Search]] = {}
+    for s in wide:                                 # ranks in the same range share one sketch
+        shared.setdefault((s.column, s.lo, s.hi), []).append(s)
+    sketches: list[Column] = []
     for (column, lo, hi), group in shared.items():
-        asked = ", ".join(f"{max(0.0, (b.first - b.below) / b.inside - margin)!r}D, {min(1.0, (b.last + 1 - b.below) / b.inside + margin)!r}D"
-                          for b in group)
-        inside = f"CASE WHEN {ident(column)} BETWEEN {lo!r}D AND {hi!r}D THEN {ident(column)} END"
-        sketches.append(f"percentile_approx({inside}, array({asked}), {_ACCURACY})")
-    wide = [b for group in shared.values() for b in group]
-    bounds = [v for sketch in values.selectExpr(*sketches).first() for v in sketch]
-    ranges = list(zip(bounds[::2], bounds[1::2]))
-    counts = values.selectExpr(*[x for b, (lo, hi) in zip(wide, ranges) for x in (
-        f"count_if({ident(b.column)} < {lo!r}D)", f"count_if({ident(b.column)} BETWEEN {lo!r}D AND {hi!r}D)")]).first()
-    for i, (b, (lo, hi)) in enumerate(zip(wide, ranges)):
-        below, inside = counts[2 * i], counts[2 * i + 1]
-        if not (below <= b.first and b.last < below + inside):
-            b.done = True                          # keep the wider range: still exact, only more to look at
-            continue
-        b.done = (lo, hi) == (b.lo, b.hi)          # two heavy values with little between them
-        b.lo, b.hi, b.below, b.inside = lo, hi, below, inside
-    return True
-
-
-def _pick(values: DataFrame, brackets: list[_Bracket]) -> list[float]:
-    """Read the order statistics: values are counted first, so ties cost one row.
-
-    Brackets of a column that overlap are merged, so a value belongs to one range at most.
-    """
-    merged: list[_Bracket] = []
-    home: dict[int, int] = {}
-    for i in sorted(range(len(brackets)), key=lambda i: (brackets[i].column, brackets[i].lo)):
-        b = brackets[i]
-        if merged and merged[-1].column == b.column and b.lo <= merged[-1].hi:
-            merged[-1].hi = max(merged[-1].hi, b.hi)
-        else:
-            merged.append(replace(b))
-        home[i] = len(merged) - 1
-    wanted: dict[int, set[int]] = {}
-    for i, b in enumerate(brackets):
-        wanted.setdefault(home[i], set()).update((b.first - merged[home[i]].below, b.last - merged[home[i]].below))
-    tag: dict[str, str] = {}
-    for r, m in enumerate(merged):
-        tag[m.column] = tag.get(m.column, "") + f" WHEN {ident(m.column)} BETWEEN {m.lo!r}D AND {m.hi!r}D THEN {r}"
-    pairs = ", ".join(f"struct(CASE {t} END AS at, {ident(c)} AS value)" for c, t in tag.items())
-    counted = values.selectExpr(f"inline(array({pairs}))").where("at IS NOT NULL").groupBy("at", "value").agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("at").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    ranks = F.expr("map(" + ", ".join(f"{r}, array({', '.join(f'{k}L' for k in sorted(w))})" for r, w in wanted.items()) + ")[at]")
-    hit = counted.withColumn("upto", upto).withColumn("rank", F.explode(ranks)).where(
-        (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
-    found = {(r["at"], r["rank"]): r["value"] for r in hit.select("at", "rank", "value").collect()}
-    out = []
-    for i, b in enumerate(brackets):
-        low, high = (found[(home[i], k - merged[home[i]].below)] for k in (b.first, b.last))
-        out.append(low + b.share * (high - low))
-    return out
+        c = F.col(ident(column))
+        inside = F.lit(True) if lo is None else c > F.lit(lo)
+        inside = inside if hi is None else inside & (c < F.lit(hi))
+        asked = [x for s in group for x in (max(0.0, (s.rank - s.below) / s.inside - margin), min(1.0, (s.rank + 1 - s.below) / s.inside + margin))]
+        sketches.append(F.percentile_approx(F.when(inside, c), asked, _ACCURACY))
+    named = [v for sketch in values.select(*sketches).first() for v in sketch]
+    order = [s for group in shared.values() for s in group]
+    bounds = list(zip(named[::2], named[1::2]))
+    at = list(dict.fromkeys((s.column, v) for s, pair in zip(order, bounds) for v in pair))
+    row = values.select(*[F.count_if(test) for column, v in at for test in (
+        F.col(ident(column)) < F.lit(v), F.col(ident(column)) <= F.lit(v))]).first()
+    counts = {key: (row[2 * i], row[2 * i + 1]) for i, key in enumerate(at)}
+    for s, (a, b) in zip(order, bounds):
+        s.narrow(a, b, counts)

@@ -110,12 +110,16 @@ def apply_proposals(attributes: DataFrame, proposals: DataFrame) -> DataFrame:
 def apply_verdicts(attributes: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Move values between allowed_values and anomalies (arrays) as judged: entity_id, column, value, verdict.
 
-    'valid' accepts an anomaly, 'variant' and 'invalid' reject an allowed value; a list is never emptied.
+    'valid' accepts an anomaly, 'variant' and 'invalid' reject an allowed value; a list is never emptied. Verdicts meet the
+    listed values one by one, so what is gathered for an attribute is never more than its own lists, however many values were judged.
     """
-    judged = verdicts.groupBy("entity_id", "column").agg(
+    keys = ["entity_id", "column"]
+    listed = (attributes.where(~F.col("locked") & F.col("allowed_values").isNotNull())
+              .select(*keys, F.explode(F.concat("allowed_values", F.coalesce("anomalies", F.array().cast("array<string>")))).alias("value")).distinct())
+    judged = verdicts.join(listed, [*keys, "value"], "left_semi").groupBy(*keys).agg(
         F.collect_set(F.when(F.col("verdict") == "valid", F.col("value"))).alias("good"),
         F.collect_set(F.when(F.col("verdict").isin("variant", "invalid"), F.col("value"))).alias("bad"))
-    out = attributes.join(judged, ["entity_id", "column"], "left")
+    out = attributes.join(judged, keys, "left")
     takes = "(good IS NOT NULL AND NOT locked AND allowed_values IS NOT NULL)"
     accepted, refused = "array_sort(array_intersect(good, anomalies))", "array_sort(array_intersect(bad, allowed_values))"
     left = f"concat(array_except(allowed_values, {refused}), {accepted})"

@@ -31,6 +31,26 @@ def test_quantiles(spark, limit):
     assert got["d"] is None
 
 
+@pytest.mark.parametrize("name,values", [
+    ("one heavy value", np.r_[np.full(9000, 0.5), np.linspace(0, 1, 1000)]),
+    ("two heavy values with a few between", np.r_[np.full(6000, 1.0), np.linspace(1.1, 1.9, 7), np.full(6000, 2.0)]),
+    ("equal values", np.full(3000, 7.0)),
+    ("far apart", np.r_[-np.inf, -1e300, np.arange(2000) * 1e-300, 1e300, np.inf]),
+    ("next to each other", 1 + np.arange(12000) * 2.0 ** -52),
+    ("one row", np.array([3.25])),
+    ("powers", 2.0 ** np.linspace(-900, 900, 11000))])
+def test_quantiles_of_hard_values(spark, name, values):
+    """Ranks are searched for without a window or a list of values, so no distribution needs one large task."""
+    df = spark.createDataFrame([(float(v),) for v in np.random.default_rng(2).permutation(values)], "`a b` double").repartition(5)
+    shares = (0.0, 0.001, 0.25, 0.5, 0.5003, 0.999, 1.0)
+    got = exact_quantiles(df, ["a b"], shares, direct_values=0)["a b"]
+    ordered = np.sort(values)
+    for p, found in zip(shares, got):
+        at = p * (len(values) - 1)
+        low, high = ordered[int(np.floor(at))], ordered[int(np.ceil(at))]
+        assert found == (low if low == high else low + (at - np.floor(at)) * (high - low)), (name, p)
+
+
 def walk(parents):
     on = set()
     for start in parents:
