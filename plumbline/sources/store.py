@@ -1,10 +1,18 @@
 """Sinks and the reads that belong to them: snapshots, model versions, rule documents.
 
-All stores are append-only folders of parquet; the current state is an aggregate over what was appended.
+All stores are append-only folders of parquet; the current state is an aggregate over what was appended. Model versions are committed
+by a manifest each, so that writers may meet.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import json
+import os
+import uuid
+from urllib.parse import quote
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F
 
 from plumbline.functions.skew import previous_in_key, running_sum
 
@@ -35,24 +43,94 @@ def content_hash(df: DataFrame) -> str:
     return f"{row['n']}-{row['x']}-{row['s']}"
 
 
+_MANIFEST = "source_id string, version int, content string, created_by string, files string"
+
+
+def versions(spark: SparkSession, path: str) -> DataFrame:
+    """(source_id, version, content, created_by, files): the committed versions of all sources, one small file each."""
+    try:
+        return spark.read.schema(_MANIFEST).json(f"{path}/manifests/*/")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _MANIFEST)
+
+
+def _head(spark: SparkSession, path: str, source_id: str) -> Row | None:
+    mine = versions(spark, path).where(F.col("source_id") == source_id)
+    return mine.agg(F.max_by(F.struct("version", "content", "files"), "version").alias("h")).first()["h"]
+
+
 def save_if_changed(model: DataFrame, path: str, source_id: str, created_by: str = "engine") -> tuple[int, bool]:
-    """Append a model as version max+1, unless the latest version has the same content. (version, saved)."""
+    """Store a model as the version after the last, unless that one has the same content. (version, saved).
+
+    The rows are written aside; a version exists once its manifest does, which is created whole and never replaced. A writer who
+    finds the number taken looks at what the other one wrote and goes on from there, so each number has one writer and readers
+    never see half a version. Files of a writer that died are in nobody's manifest.
+    """
     spark = model.sparkSession
     digest = content_hash(model)
-    try:
-        known = spark.read.parquet(path).where(F.col("source_id") == source_id)
-        head = known.agg(F.max_by(F.struct("version", "content"), "version").alias("h")).first()["h"]
-    except Exception as e:  # noqa: BLE001 - nothing was stored yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        head = None
+    head = _head(spark, path, source_id)
     if head is not None and head["content"] == digest:
         return head["version"], False
-    version = (head["version"] if head is not None else 0) + 1
-    (model.withColumns({"source_id": F.lit(source_id), "version": F.lit(version), "content": F.lit(digest),
-                        "created_by": F.lit(created_by)})
-     .write.mode("append").partitionBy("source_id", "version").parquet(path))
-    return version, True
+    files = f"files/{uuid.uuid4().hex}"
+    model.write.parquet(f"{path}/{files}")
+    while True:
+        version = (head["version"] if head is not None else 0) + 1
+        manifest = {"source_id": source_id, "version": version, "content": digest, "created_by": created_by, "files": files}
+        if _create(spark, f"{path}/manifests/{quote(source_id, safe='')}", f"{version:09d}.json", json.dumps(manifest)):
+            return version, True
+        head = _head(spark, path, source_id)
+        if head["content"] == digest:
+            return head["version"], False
+
+
+def read_model(spark: SparkSession, path: str, source_id: str, version: int | None = None) -> DataFrame | None:
+    """The rows of a version, the last one unless it is named; None where there is none."""
+    if version is None:
+        found = _head(spark, path, source_id)
+    else:
+        found = versions(spark, path).where((F.col("source_id") == source_id) & (F.col("version") == version)).first()
+    return None if found is None else spark.read.parquet(f"{path}/{found['files']}")
+
+
+def _create(spark: SparkSession, folder: str, name: str, content: str) -> bool:
+    """Make a file with all its content, or leave the one that has this name and say False.
+
+    Written under a hidden name first. On a cluster's file system a rename that may not replace decides who is first, on local disks a link.
+    Stores whose rename is a copy cannot decide it.
+    """
+    fs = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+    aside, target = fs.Path(f"{folder}/_{uuid.uuid4().hex}"), fs.Path(f"{folder}/{name}")
+    system = target.getFileSystem(conf)
+    system.mkdirs(fs.Path(folder))
+    out = system.create(aside, False)
+    out.write(bytearray(content.encode()))
+    out.close()
+    try:
+        if system.getScheme() == "file":
+            os.link(aside.toUri().getPath(), target.toUri().getPath())
+        else:
+            _rename_new(spark, aside, target)
+        return True
+    except FileExistsError:
+        return False
+    finally:
+        system.delete(aside, False)
+
+
+def _rename_new(spark: SparkSession, aside, target) -> None:
+    """FileExistsError where the target is there already."""
+    option = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+    plain = spark.sparkContext._gateway.new_array(option, 1)
+    plain[0] = option.NONE
+    try:
+        spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()).rename(aside, target, plain)
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" not in str(e.java_exception):
+            raise
+        raise FileExistsError(str(target)) from e
 
 
 def version_history(changes: DataFrame) -> DataFrame:

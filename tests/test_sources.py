@@ -1,5 +1,6 @@
 import json
 import tempfile
+from concurrent.futures import ThreadPoolExecutor
 from decimal import Decimal
 
 import pytest
@@ -50,6 +51,57 @@ def test_versions_are_kept_only_when_something_changed(spark):
     assert store.save_if_changed(a, path, "other") == (1, True)
 
 
+def test_two_writers_never_share_a_version(spark, monkeypatch):
+    path = f"{folder()}/model"
+    tables = [spark.createDataFrame([(k, "x")], "k int, v string") for k in range(3)]
+    create, meets = store._create, [(1, True)]
+
+    def other_first(*args):
+        if meets:
+            expected = meets.pop()
+            assert store.save_if_changed(tables[1], path, "a/b") == expected
+        return create(*args)
+
+    monkeypatch.setattr(store, "_create", other_first)
+    assert store.save_if_changed(tables[0], path, "a/b") == (2, True)
+    assert store.save_if_changed(tables[2], path, "c") == (1, True)
+    assert store.read_model(spark, path, "a/b", 1).first().k == 1 and store.read_model(spark, path, "a/b").first().k == 0
+    assert store.read_model(spark, path, "nobody") is None
+    meets.append((3, True))
+    other = spark.createDataFrame([(1, "x")], "k int, v string")
+    assert store.save_if_changed(other, path, "a/b") == (3, False), "the other writer stored the same rows"
+
+
+def test_writers_at_once(spark):
+    path = f"{folder()}/model"
+    tables = [spark.createDataFrame([(k, "x")], "k int, v string") for k in range(6)]
+    with ThreadPoolExecutor(6) as pool:
+        got = list(pool.map(lambda t: store.save_if_changed(t, path, "s"), tables))
+    assert sorted(got) == [(k, True) for k in range(1, 7)]
+    for table, (version, _) in zip(tables, got):
+        assert store.read_model(spark, path, "s", version).collect() == table.collect()
+
+
+def test_files_without_a_manifest_are_no_version(spark):
+    path = f"{folder()}/model"
+    store.save_if_changed(spark.range(3), path, "s")
+    spark.range(9).write.parquet(f"{path}/files/left-by-a-writer-that-died")
+    assert store.read_model(spark, path, "s").count() == 3 and store.versions(spark, path).count() == 1
+
+
+def test_rename_that_may_not_replace(spark):
+    at = folder()
+    for name in ("a", "b"):
+        with open(f"{at}/{name}", "w") as f:
+            f.write(name)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    store._rename_new(spark, hadoop(f"{at}/a"), hadoop(f"{at}/c"))
+    with pytest.raises(FileExistsError):
+        store._rename_new(spark, hadoop(f"{at}/b"), hadoop(f"{at}/c"))
+    with open(f"{at}/c") as f:
+        assert f.read() == "a"
+
+
 def test_snapshot(spark):
     path = f"{folder()}/snap"
     for day in ("2026-01-01", "2026-01-03", "2026-01-02"):
