@@ -236,17 +236,22 @@ def _counters(words: bytes, lengths, support: int):
             for block in range(SLOTS // BLOCK):
                 some = counts[block * BLOCK:(block + 1) * BLOCK]
                 if some.any():
-                    yield pa.RecordBatch.from_pylist([{"part": part, "length": length, "block": block, "counts": some.tobytes()}], _COUNTERS)
+                    yield pa.RecordBatch.from_pylist([{"part": part, "length": length, "block": block, "counts": pa.compress(some.tobytes(), "zstd", asbytes=True)}], _COUNTERS)
     return run
 
 
+def _unpacked(counts: pa.BinaryScalar) -> np.ndarray:
+    """Blocks travel packed, so that neither the JVM nor a worker holds many of them in full."""
+    return np.frombuffer(pa.decompress(counts.as_buffer(), BLOCK, "zstd"), np.uint8)
+
+
 def _summed(support: int):
     def run(rows: pa.Table) -> pa.Table:
         total = np.zeros(BLOCK, np.uint8)
         for some in rows.column("counts"):
-            total = np.minimum(total + np.frombuffer(some.as_buffer(), np.uint8), support).astype(np.uint8)
+            total = np.minimum(total + _unpacked(some), support).astype(np.uint8)
         first = rows.slice(0, 1).to_pylist()[0]
-        return pa.Table.from_pylist([first | {"part": first["part"] // FAN, "counts": total.tobytes()}], _COUNTERS)
+        return pa.Table.from_pylist([first | {"part": first["part"] // FAN, "counts": pa.compress(total.tobytes(), "zstd", asbytes=True)}], _COUNTERS)
     return run
 
 
@@ -265,7 +270,7 @@ def _phrase_bitmaps(own: DataFrame, words: bytes, lengths, support: int) -> dict
 
     def packed(batches):
         for batch in batches:
-            bits = [np.packbits(np.frombuffer(c.as_buffer(), np.uint8) >= support).tobytes() for c in batch.column(3)]
+            bits = [np.packbits(_unpacked(c) >= support).tobytes() for c in batch.column(3)]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(bits, pa.binary())], ["length", "block", "bits"])
 
     for r in rows.mapInArrow(packed, "length int, block int, bits binary").collect():
