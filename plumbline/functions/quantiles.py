@@ -2,14 +2,17 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from plumbline.functions.skew import written
 from plumbline.functions.text import ident, missing_nan
 
 DIRECT_VALUES = 1_000_000     # up to this many distinct values the built-in percentile holds them in one task
 _ACCURACY = 10_000
+_AT_ONCE = 4                  # columns whose jobs run side by side
 
 
 @dataclass
@@ -43,62 +46,99 @@ def exact_quantiles(df: DataFrame, columns: list[str], shares: tuple[float, ...]
                     direct_values: int = DIRECT_VALUES) -> dict[str, list[float] | None]:
     """Column -> its quantiles, or None when it has no values. NaN and NULL are missing.
 
-    Few distinct values: one aggregate, whatever the number of rows. Many: every wanted rank is searched for, all of them at once.
-    A round takes two values around each rank from a sketch and counts the rows under and at them. The rank is at one of the
-    two, or in the open range between them, which holds about 1/2500 of the rows before and leaves two values out in any case.
-    So heavy values end a search and the last round finds the rest; no values are sorted, collected or sent to one task.
+    Few distinct values: they are counted, and one aggregate reads values and counts. Many: every wanted rank is searched for, all
+    ranks of a column at once and columns side by side. A round takes two values around each rank from a sketch and counts the rows
+    under and at them. The rank is at one of the two, or in the open range between them, which holds about 1/2500 of the rows
+    before and leaves two values out in any case. Later rounds read only the rows of open ranges. So heavy values end a search and the
+    last round finds the rest; no values are sorted, collected or sent to one task.
     """
     if not columns:
         return {}
     values = df.selectExpr(*[f"{missing_nan(ident(c))} AS {ident(c)}" for c in columns])
-    head = values.selectExpr(*[f"{fn}({ident(c)}) AS {n}{i}" for i, c in enumerate(columns)
-                               for fn, n in (("count", "n"), ("approx_count_distinct", "d"))]).first()
-    sizes = {c: head[f"n{i}"] for i, c in enumerate(columns)}
-    out: dict[str, list[float] | None] = {c: None for c in columns if sizes[c] == 0}
-    distinct = {c: head[f"d{i}"] for i, c in enumerate(columns)}
-    todo = sorted((c for c in columns if sizes[c]), key=lambda c: distinct[c])
-    direct, held = [], 0
-    for c in todo:
-        if held + distinct[c] <= direct_values:
-            direct.append(c)
-            held += distinct[c]
-    if direct:
+
+    def sizes_of(c: str) -> tuple[int, int]:
+        return tuple(values.select(F.count(ident(c)), F.approx_count_distinct(ident(c))).first())
+
+    def direct_of(c: str) -> list[float]:
         wanted = ", ".join(f"{p!r}D" for p in shares)
-        row = values.selectExpr(*[f"percentile({ident(c)}, array({wanted}))" for c in direct]).first()
-        out.update({c: list(found) for c, found in zip(direct, row)})
-    large = [c for c in todo if c not in direct]
-    places = {(c, p): p * (sizes[c] - 1) for c in large for p in shares}
-    searches = {(c, rank): _Search(c, rank, 0, sizes[c]) for (c, _), at in places.items() for rank in (math.floor(at), math.ceil(at))}
-    while wide := [s for s in searches.values() if s.value is None]:
-        _round(values, wide)
-    for c in large:
-        out[c] = []
-        for p in shares:
-            at = places[c, p]
-            low, high = searches[c, math.floor(at)].value, searches[c, math.ceil(at)].value
-            out[c].append(low if low == high else low + (at - math.floor(at)) * (high - low))
+        counted = values.groupBy(F.col(ident(c)).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        return list(counted.selectExpr(f"percentile(v, array({wanted}), n)").first()[0])
+
+    def searched(c: str) -> list[float]:
+        places = [p * (sizes[c] - 1) for p in shares]
+        searches = {rank: _Search(c, rank, 0, sizes[c]) for at in places for rank in (math.floor(at), math.ceil(at))}
+        # stored, the value is a plain column; computed, its expression would be copied into every comparison
+        rows = written(values.select(F.col(ident(c)).alias("v")).where("v IS NOT NULL"), "values")
+        whole = True
+        while wide := [s for s in searches.values() if s.value is None]:
+            if not whole:
+                rows = rows.where(_open(wide))
+                rows = written(rows, "open")
+            _round(rows, wide)
+            whole = False
+        found = []
+        for at in places:
+            low, high = searches[math.floor(at)].value, searches[math.ceil(at)].value
+            found.append(low if low == high else low + (at - math.floor(at)) * (high - low))
+        return found
+
+    with ThreadPoolExecutor(_AT_ONCE) as pool:
+        heads = dict(zip(columns, pool.map(sizes_of, columns)))
+        sizes = {c: n for c, (n, _) in heads.items()}
+        out: dict[str, list[float] | None] = {c: None for c in columns if sizes[c] == 0}
+        direct, held = [], 0
+        for c in sorted((c for c in columns if sizes[c]), key=lambda c: heads[c][1]):
+            if held + heads[c][1] <= direct_values:
+                direct.append(c)
+                held += heads[c][1]
+        todo = [c for c in columns if sizes[c]]
+        out.update(zip(todo, pool.map(lambda c: direct_of(c) if c in direct else searched(c), todo)))
     return out
 
 
-def _round(values: DataFrame, wide: list[_Search]) -> None:
-    """Two scans: sketches of the ranges that are still open, then counts at the values that they name."""
+def _round(rows: DataFrame, wide: list[_Search]) -> None:
+    """Two scans of one column: sketches of the ranges that are still open, then counts at the values that they name."""
     margin = 2.0 / _ACCURACY
-    shared: dict[tuple[str, float | None, float | None], list[_Search]] = {}
+    shared: dict[tuple[float | None, float | None], list[_Search]] = {}
     for s in wide:                                 # ranks in the same range share one sketch
-        shared.setdefault((s.column, s.lo, s.hi), []).append(s)
+        shared.setdefault((s.lo, s.hi), []).append(s)
+    c = F.col("v")
     sketches: list[Column] = []
-    for (column, lo, hi), group in shared.items():
-        c = F.col(ident(column))
-        inside = F.lit(True) if lo is None else c > F.lit(lo)
-        inside = inside if hi is None else inside & (c < F.lit(hi))
+    for (lo, hi), group in shared.items():
         asked = [x for s in group for x in (max(0.0, (s.rank - s.below) / s.inside - margin), min(1.0, (s.rank + 1 - s.below) / s.inside + margin))]
-        sketches.append(F.percentile_approx(F.when(inside, c), asked, _ACCURACY))
-    named = [v for sketch in values.select(*sketches).first() for v in sketch]
+        sketches.append(F.percentile_approx(F.when(_inside(c, lo, hi), c), asked, _ACCURACY))
+    named = [v for sketch in rows.select(*sketches).first() for v in sketch]
     order = [s for group in shared.values() for s in group]
     bounds = list(zip(named[::2], named[1::2]))
-    at = list(dict.fromkeys((s.column, v) for s, pair in zip(order, bounds) for v in pair))
-    row = values.select(*[F.count_if(test) for column, v in at for test in (
-        F.col(ident(column)) < F.lit(v), F.col(ident(column)) <= F.lit(v))]).first()
-    counts = {key: (row[2 * i], row[2 * i + 1]) for i, key in enumerate(at)}
+    points = sorted({v for v in named} | {x for key in shared for x in key if x is not None})
+    place = {v: i for i, v in enumerate(points)}
+    found = {r["k"]: r["n"] for r in rows.groupBy(_bucket(c, points, 0, len(points)).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def around(s: _Search, v: float) -> tuple[int, int]:
+        first = 0 if s.lo is None else 2 * place[s.lo] + 2
+        under = s.below + sum(found.get(k, 0) for k in range(first, 2 * place[v] + 1))
+        return under, under + found.get(2 * place[v] + 1, 0)
+
     for s, (a, b) in zip(order, bounds):
-        s.narrow(a, b, counts)
+        s.narrow(a, b, {(s.column, v): around(s, v) for v in (a, b)})
+
+
+def _open(wide: list[_Search]) -> Column:
+    """TRUE for a value in one of the ranges."""
+    ends = sorted({x for s in wide for x in (s.lo, s.hi) if x is not None})
+    spans = [(0 if s.lo is None else 2 * ends.index(s.lo) + 2, 2 * len(ends) if s.hi is None else 2 * ends.index(s.hi)) for s in wide]
+    return _bucket(F.col("v"), ends, 0, len(ends)).isin(sorted({k for first, last in spans for k in range(first, last + 1)}))
+
+
+def _inside(c: Column, lo: float | None, hi: float | None) -> Column:
+    test = F.lit(True) if lo is None else c > F.lit(lo)
+    return test if hi is None else test & (c < F.lit(hi))
+
+
+def _bucket(c: Column, points: list[float], first: int, end: int) -> Column:
+    """2 i + 1 at points[i], 2 i between points[i - 1] and points[i]: a search by halves, so a row meets few of the points."""
+    if first == end:
+        return F.lit(2 * first)
+    mid = (first + end) // 2
+    return (F.when(c < F.lit(points[mid]), _bucket(c, points, first, mid))
+            .when(c > F.lit(points[mid]), _bucket(c, points, mid + 1, end)).otherwise(F.lit(2 * mid + 1)))

@@ -1,7 +1,7 @@
-"""Column statistics. Every family is a set of aggregate expressions, so families share a scan.
+"""Column statistics. Every family is a set of aggregate expressions over rows, or over (value, n) of one column.
 
-Distinct counts stay in an aggregate of their own: mixed with the others they would drag all buffers
-through the distinct shuffle.
+A column's values are counted first where its distinct count is wanted too: one shuffle of that column alone, and patterns are
+matched once per value. All columns in one distinct aggregate would copy every row once per column.
 """
 from __future__ import annotations
 
@@ -17,9 +17,6 @@ from plumbline.functions.quantiles import DIRECT_VALUES, exact_quantiles
 from plumbline.model import Constraints
 from plumbline.sources.inventory import generic_type
 
-DISTINCTS_PER_SCAN = 16     # copies of a row the distinct rewrite makes at most
-
-
 def union(parts: Iterable[DataFrame]) -> DataFrame:
     out = None
     for p in parts:
@@ -44,13 +41,24 @@ def per_column(df: DataFrame, table: str, measures: dict[str, dict[str, str]]) -
 
 
 # ---- measures of one column: name -> SQL aggregate ------------------------------------------------
-def null_measures(name: str) -> dict[str, str]:
-    return {"row_count": "count(1)", "null_count": f"count(1) - count({ident(name)})"}
+# ``n``: name of a column that says how often a row's value occurs; None when every row counts once.
+def _count_if(test: str, n: str | None) -> str:
+    return f"count_if({test})" if n is None else f"coalesce(sum(CASE WHEN {test} THEN {n} END), 0L)"
+
+
+def _mean(number: str, n: str | None) -> str:
+    return f"avg({number})" if n is None else f"try_divide(sum(CAST({number} AS BIGINT) * {n}), sum(CASE WHEN {number} IS NOT NULL THEN {n} END))"
 
 
-def numeric_measures(name: str) -> dict[str, str]:
+def null_measures(name: str, n: str | None = None) -> dict[str, str]:
+    if n is None:
+        return {"row_count": "count(1)", "null_count": f"count(1) - count({ident(name)})"}
+    return {"row_count": f"coalesce(sum({n}), 0L)", "null_count": _count_if(f"{ident(name)} IS NULL", n)}
+
+
+def numeric_measures(name: str, n: str | None = None) -> dict[str, str]:
     c = text.missing_nan(ident(name))
-    return {"min": f"min({c})", "max": f"max({c})", "zero_count": f"count_if({c} = 0)", "negative_count": f"count_if({c} < 0)"}
+    return {"min": f"min({c})", "max": f"max({c})", "zero_count": _count_if(f"{c} = 0", n), "negative_count": _count_if(f"{c} < 0", n)}
 
 
 def spread_measures(name: str) -> dict[str, str]:
@@ -58,7 +66,7 @@ def spread_measures(name: str) -> dict[str, str]:
     return {"mean": f"round(avg({c}), 4)", "std": f"round(stddev_samp({c}), 4)"}
 
 
-def date_measures(df: DataFrame, name: str, as_of: dt.date) -> dict[str, str]:
+def date_measures(df: DataFrame, name: str, as_of: dt.date, n: str | None = None) -> dict[str, str]:
     """Dates as text too: a text value counts as a date of the future only if it starts with a year."""
     c = ident(name)
     if isinstance(df.schema[name].dataType, T.StringType):
@@ -68,8 +76,8 @@ def date_measures(df: DataFrame, name: str, as_of: dt.date) -> dict[str, str]:
     else:
         day = f"CAST(CAST({c} AS DATE) AS STRING)"
         future, broken = f"{c} > DATE '{as_of}'", "false"
-    return {"min": f"CAST(min({c}) AS STRING)", "max": f"CAST(max({c}) AS STRING)", "future_count": f"count_if({future})",
-            "placeholder_count": f"count_if({text.one_of(day, vocab.PLACEHOLDER_DATES)})", "unparseable_count": f"count_if({broken})"}
+    return {"min": f"CAST(min({c}) AS STRING)", "max": f"CAST(max({c}) AS STRING)", "future_count": _count_if(future, n),
+            "placeholder_count": _count_if(text.one_of(day, vocab.PLACEHOLDER_DATES), n), "unparseable_count": _count_if(broken, n)}
 
 
 def iso_date(c: str) -> str:
@@ -78,21 +86,21 @@ def iso_date(c: str) -> str:
     return f"{c} RLIKE {shape} AND try_to_timestamp({c}) IS NOT NULL"
 
 
-def text_measures(name: str) -> dict[str, str]:
+def text_measures(name: str, n: str | None = None) -> dict[str, str]:
     c = ident(name)
     bare = text.strip(c)
     letters = f"{c} RLIKE '[A-Za-z]'"
     upper = f"{letters} AND NOT {c} RLIKE {q(r'[\p{IsLowercase}\p{Lt}]')}"
     lower = f"{letters} AND NOT {c} RLIKE {q(r'[\p{IsUppercase}\p{Lt}]')}"
-    return {"min_length": f"min(length({c}))", "avg_length": f"round(avg(length({c})), 2)", "max_length": f"max(length({c}))",
-            "blank_count": f"count_if({bare} = '')", "untrimmed_count": f"count_if({c} <> {bare})",
-            "upper_count": f"count_if({upper})", "lower_count": f"count_if({lower})",
-            "mixed_case_count": f"count_if({letters}) - count_if({upper}) - count_if({lower})"}
+    return {"min_length": f"min(length({c}))", "avg_length": f"round({_mean(f'length({c})', n)}, 2)", "max_length": f"max(length({c}))",
+            "blank_count": _count_if(f"{bare} = ''", n), "untrimmed_count": _count_if(f"{c} <> {bare}", n),
+            "upper_count": _count_if(upper, n), "lower_count": _count_if(lower, n),
+            "mixed_case_count": f"{_count_if(letters, n)} - {_count_if(upper, n)} - {_count_if(lower, n)}"}
 
 
-def format_measures(name: str) -> dict[str, str]:
+def format_measures(name: str, n: str | None = None) -> dict[str, str]:
     """Best matching format at 80 % or more; an earlier format wins a tie."""
-    rates = ", ".join(f"struct(avg(CAST({ident(name)} RLIKE {q(rx)} AS INT)) AS rate, {-i} AS place, {q(f)} AS format)"
+    rates = ", ".join(f"struct({_mean(f'CAST({ident(name)} RLIKE {q(rx)} AS INT)', n)} AS rate, {-i} AS place, {q(f)} AS format)"
                       for i, (f, rx) in enumerate(vocab.FORMATS))
     best = f"array_max(filter(array({rates}), r -> r.rate >= {vocab.FORMAT_MIN_RATE}))"
     return {"format": f"{best}.format", "match_rate": f"round({best}.rate, 6)"}
@@ -104,12 +112,29 @@ def null_counts(df: DataFrame, table: str, columns: list[str] | None = None) ->
     return out.withColumn("null_rate", F.round(F.coalesce(F.try_divide("null_count", "row_count"), F.lit(0.0)), 6))
 
 
+def counted_values(df: DataFrame, column: str) -> DataFrame:
+    """The column's values under its own name, each once, and how often it occurs."""
+    return df.groupBy(F.col(ident(column)).alias(column)).agg(F.count(F.lit(1)).alias(count_name(column)))
+
+
+def count_name(column: str) -> str:
+    return "n" if column.lower() != "n" else "n_"
+
+
+def can_be_grouped(df: DataFrame, column: str) -> bool:
+    return not isinstance(df.schema[column].dataType, (T.MapType, T.VariantType))
+
+
+def distinct_measures(name: str) -> dict[str, str]:
+    """Over ``counted_values``."""
+    return {"non_null": _count_if(f"{ident(name)} IS NOT NULL", count_name(name)), "distinct_count": f"count({ident(name)})"}
+
+
 def distinct_counts(df: DataFrame, table: str, columns: list[str] | None = None) -> DataFrame:
-    """(table, column, row_count, non_null, distinct_count): exact, the values shuffled once."""
-    todo = [c for c in columns or df.columns if not isinstance(df.schema[c].dataType, (T.MapType, T.VariantType))]
-    return union(per_column(df, table, {
-        c: {"row_count": "count(1)", "non_null": f"count({ident(c)})", "distinct_count": f"count(DISTINCT {ident(c)})"}
-        for c in todo[i:i + DISTINCTS_PER_SCAN]}) for i in range(0, len(todo), DISTINCTS_PER_SCAN))
+    """(table, column, row_count, non_null, distinct_count): exact, each column's values shuffled once and without the others."""
+    return union(per_column(counted_values(df, c), table, {
+        c: {"row_count": null_measures(c, count_name(c))["row_count"]} | distinct_measures(c)})
+        for c in columns or df.columns if can_be_grouped(df, c))
 
 
 def uniqueness(df: DataFrame, table: str, columns: list[str] | None = None) -> DataFrame:
@@ -166,9 +191,15 @@ def boolean_stats(values: DataFrame) -> DataFrame:
 
 
 def shapes(df: DataFrame, table: str, columns: list[str], with_example: bool = False) -> DataFrame:
-    """(table, column, pattern, collapsed, n[, example]): how often each value shape occurs."""
+    """(table, column, pattern, collapsed, n[, example]): how often each value shape occurs.
+
+    With examples equal values are merged first: the smallest text needs sorted rows, and so one row per value is sorted.
+    """
     values = df.selectExpr(_stacked(columns)).where(F.col("value").isNotNull())
-    measures = [F.count(F.lit(1)).alias("n")] + ([F.min("value").alias("example")] if with_example else [])
+    measures = [F.count(F.lit(1)).alias("n")]
+    if with_example:
+        values = values.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+        measures = [F.sum("n").alias("n"), F.min("value").alias("example")]
     return (values.groupBy("column", F.expr(text.signature("value")).alias("pattern")).agg(*measures)
             .withColumn("collapsed", F.expr(text.collapse("pattern"))).withColumn("table", F.lit(table)))
 

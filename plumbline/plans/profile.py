@@ -39,7 +39,7 @@ def _by_column(df: DataFrame) -> dict[str, dict]:
 
 
 def profile_table(df: DataFrame, table: str, as_of: dt.date, constraints: Constraints = Constraints(),
-                  text_dates: tuple[str, ...] = ()) -> list[tuple]:
+                  text_dates: tuple[str, ...] = (), at_once: int = 4) -> list[tuple]:
     """Rows of PROFILE for one table. ``text_dates`` are text columns that are meant to hold dates.
 
     Only numbers per column reach the driver: at most 50 values and 10 patterns of a column are kept.
@@ -50,12 +50,18 @@ def profile_table(df: DataFrame, table: str, as_of: dt.date, constraints: Constr
     numbers = [c for c, k in kinds.items() if k in vocab.NUMERIC_GENERIC]
     words = [c for c, k in kinds.items() if k == "string"]
 
-    basic = df.selectExpr(*[f"{e} AS `{i}.{name}`" for i, c in enumerate(df.columns) for name, e in (
-        p.null_measures(c) | (p.numeric_measures(c) if c in numbers else {})
-        | (p.date_measures(df, c, as_of) if c in dates else {})
-        | (p.text_measures(c) | p.format_measures(c) if c in words else {})).items()]).first().asDict()
-    facts = {c: {k.split(".", 1)[1]: v for k, v in basic.items() if k.startswith(f"{i}.")} for i, c in enumerate(df.columns)}
-    distinct = _by_column(p.distinct_counts(df, table))
+    def facts_of(c: str) -> dict:
+        grouped = p.can_be_grouped(df, c)
+        n = p.count_name(c) if grouped else None
+        measures = (p.null_measures(c, n) | (p.distinct_measures(c) if grouped else {})
+                    | (p.numeric_measures(c, n) if c in numbers else {}) | (p.date_measures(df, c, as_of, n) if c in dates else {})
+                    | (p.text_measures(c, n) | p.format_measures(c, n) if c in words else {}))
+        rows = p.counted_values(df, c) if grouped else df
+        return rows.selectExpr(*[f"{e} AS `{name}`" for name, e in measures.items()]).first().asDict()
+
+    with ThreadPoolExecutor(at_once) as pool:       # a column's job reads that column only
+        facts = dict(zip(df.columns, pool.map(facts_of, df.columns)))
+    distinct = {c: fact for c, fact in facts.items() if "distinct_count" in fact}
     shape = _by_column(p.numeric_shape(df, table, numbers)) if numbers else {}
 
     sensitive = {c: bool(_SENSITIVE.search(c)) or facts[c].get("format") in vocab.SENSITIVE_FORMATS for c in df.columns}

@@ -6,10 +6,12 @@ import numpy as np
 import pytest
 from pyspark.sql import Window, functions as F
 
+from plumbline.functions import quantiles
 from plumbline.functions.quantiles import exact_quantiles
 from plumbline.functions.skew import previous_in_key, rows_of_keys, running_sum
 from plumbline.operators.cycles import cycle_nodes
-from plumbline.operators.profiling import low_cardinality
+from plumbline.operators.profiling import (counted_values, distinct_counts, format_measures, low_cardinality, null_measures,
+                                            numeric_measures, text_measures)
 from plumbline.plans.suite import execute_rules, violation_examples
 from queries import checks
 from queries.dirty import MODEL, Tables, pick
@@ -124,3 +126,32 @@ def test_no_cartesian_product(spark, sf_dir):
     for key in ("rule_suite_results", "rule_violations", "infer_foreign_keys", "numeric_outliers", "rule_coverage", "name_hints"):
         _, physical = plan(e.queries()[key](spark, sf_dir))
         assert "CartesianProduct" not in physical and "BroadcastNestedLoopJoin" not in physical, key
+
+def test_profile_counts_copy_no_rows(spark):
+    """All columns in one distinct aggregate copied every row once per column; a column's values are counted alone."""
+    df = spark.range(300).selectExpr("id", "id % 7 AS n", "CAST(NULLIF(id % 3, 0) AS DOUBLE) AS f", "concat('v', id % 5) AS s", "map(1, id) AS m")
+    found = distinct_counts(df, "t")
+    assert "Expand" not in plan(found)[1]
+    assert {tuple(r) for r in found.collect()} == {("t", "id", 300, 300, 300), ("t", "n", 300, 300, 7), ("t", "f", 300, 200, 2), ("t", "s", 300, 300, 5)}
+
+
+def test_measures_of_counted_values(spark):
+    """Measures over (value, n) equal the measures over rows, NULL and NaN included."""
+    df = spark.createDataFrame([(t, f) for t, f in zip(["a ", "B", None, "Xy", "", "a@b.com"] * 5 + ["B"] * 7, [1.0, 0.0, None, -2.0, float("nan"), 3.0] * 6)],
+                               "t string, f double")
+    for c, row_wise in (("t", {**null_measures("t"), **text_measures("t"), **format_measures("t")}), ("f", {**null_measures("f"), **numeric_measures("f")})):
+        by_value = ({**null_measures(c, "n"), **text_measures(c, "n"), **format_measures(c, "n")} if c == "t"
+                    else {**null_measures(c, "n"), **numeric_measures(c, "n")})
+        want = df.selectExpr(*[f"{e} AS {k}" for k, e in row_wise.items()]).first()
+        assert counted_values(df, c).selectExpr(*[f"{e} AS {k}" for k, e in by_value.items()]).first() == want
+        assert counted_values(df.limit(0), c).selectExpr(*[f"{e} AS {k}" for k, e in by_value.items()]).first() == df.limit(0).selectExpr(
+            *[f"{e} AS {k}" for k, e in row_wise.items()]).first()
+
+
+def test_ranks_are_searched_in_stored_values(spark, monkeypatch):
+    """Rounds read a plain stored column, later ones the rows of open ranges alone: the computed column is scanned for its size and to store it."""
+    sizes = []
+    monkeypatch.setattr(quantiles, "_round", lambda rows, wide, real=quantiles._round: (sizes.append(rows.count()), real(rows, wide)))
+    df = spark.range(60_000).selectExpr("CASE WHEN id % 7 = 0 THEN NULL ELSE id * 37 % 60001 / 8 END AS v")
+    quantiles.exact_quantiles(df, ["v"], (0.25, 0.5), direct_values=10)
+    assert sizes[0] == 51_428 and all(n < 1000 for n in sizes[1:])
