@@ -26,54 +26,60 @@ class _Search:
     hi: float | None = None
     value: float | None = None
 
-    def narrow(self, a: float, b: float, counts: dict[tuple[str, float], tuple[int, int]]) -> None:
-        """a <= b are values of the range; counts: how many values of the column lie under each, and at or under it."""
-        under_a, upto_a = counts[self.column, a]
-        under_b, upto_b = counts[self.column, b]
-        if under_a <= self.rank < upto_a:
-            self.value = a
-        elif under_b <= self.rank < upto_b:
-            self.value = b
-        elif self.rank < under_a:
-            self.hi, self.inside = a, under_a - self.below
-        elif self.rank < under_b:
-            self.lo, self.hi, self.below, self.inside = a, b, upto_a, under_b - upto_a
-        else:
-            self.lo, self.below, self.inside = b, upto_b, self.inside - (upto_b - self.below)
-
-
-def exact_quantiles(df: DataFrame, columns: list[str], shares: tuple[float, ...],
-                    direct_values: int = DIRECT_VALUES) -> dict[str, list[float] | None]:
+    def narrow(self, points: list[float], counts: list[int]) -> None:
+        """``points``: ascending values of the range; ``counts``: how many values lie under, at, ... , and above them (one more gap than points)."""
+        under, before = self.below, self.lo
+        for i, point in enumerate(points):
+            under += counts[2 * i]
+            if self.rank < under:
+                self.lo, self.hi, self.below, self.inside = before, point, under - counts[2 * i], counts[2 * i]
+                return
+            if self.rank < under + counts[2 * i + 1]:
+                self.value = point
+                return
+            under, before = under + counts[2 * i + 1], point
+        self.lo, self.below, self.inside = before, under, counts[-1]
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], shares: tuple[float, ...], direct_values: int = DIRECT_VALUES,
+                    counted: dict[str, DataFrame] | None = None) -> dict[str, list[float] | None]:
     """Column -> its quantiles, or None when it has no values. NaN and NULL are missing.
 
-    Few distinct values: they are counted, and one aggregate reads values and counts. Many: every wanted rank is searched for, all
-    ranks of a column at once and columns side by side. A round takes two values around each rank from a sketch and counts the rows
-    under and at them. The rank is at one of the two, or in the open range between them, which holds about 1/2500 of the rows
-    before and leaves two values out in any case. Later rounds read only the rows of open ranges. So heavy values end a search and the
-    last round finds the rest; no values are sorted, collected or sent to one task.
+    A column's values are counted and stored once (``counted`` has what is there already: column -> stored (value, n)), everything after reads
+    values and counts. Few distinct values: one aggregate. Many: every wanted rank is searched for, all ranks of a column at once and
+    columns side by side. A round takes values around each rank and at the quarters of its open range from a sketch of the
+    distinct values and sums the counts under and at them. The rank is at one of them or in the open range between two neighbours, which has at
+    most about a quarter of the distinct values whatever their counts, and about 1/2500 where counts do not depend on values. Later rounds read only
+    the values of open ranges. No values are sorted, collected or sent to one task.
     """
     if not columns:
         return {}
-    values = df.selectExpr(*[f"{missing_nan(ident(c))} AS {ident(c)}" for c in columns])
 
-    def sizes_of(c: str) -> tuple[int, int]:
-        return tuple(values.select(F.count(ident(c)), F.approx_count_distinct(ident(c))).first())
+    def values_of(c: str) -> DataFrame:
+        number = F.expr(missing_nan(ident(c))).alias("v")
+        if counted and c in counted:
+            n = next(x for x in counted[c].columns if x != c)
+            return counted[c].select(number, F.col(ident(n)).alias("n")).where("v IS NOT NULL")
+        return written(df.select(number).where("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("n")), "values")
+
+    def head_of(c: str) -> tuple[DataFrame, int, int]:
+        rows = values_of(c)
+        return rows, *rows.select(F.coalesce(F.sum("n"), F.lit(0)), F.count("v")).first()
 
     def direct_of(c: str) -> list[float]:
         wanted = ", ".join(f"{p!r}D" for p in shares)
-        counted = values.groupBy(F.col(ident(c)).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        return list(counted.selectExpr(f"percentile(v, array({wanted}), n)").first()[0])
+        return list(heads[c][0].selectExpr(f"percentile(v, array({wanted}), n)").first()[0])
 
     def searched(c: str) -> list[float]:
-        places = [p * (sizes[c] - 1) for p in shares]
-        searches = {rank: _Search(c, rank, 0, sizes[c]) for at in places for rank in (math.floor(at), math.ceil(at))}
+        rows, size, _ = heads[c]
+        places = [p * (size - 1) for p in shares]
+        searches = {rank: _Search(c, rank, 0, size) for at in places for rank in (math.floor(at), math.ceil(at))}
         # stored, the value is a plain column; computed, its expression would be copied into every comparison
-        rows = written(values.select(F.col(ident(c)).alias("v")).where("v IS NOT NULL"), "values")
+        rows = written(rows, "values") if counted and c in counted else rows
         whole = True
         while wide := [s for s in searches.values() if s.value is None]:
             if not whole:
-                rows = rows.where(_open(wide))
-                rows = written(rows, "open")
+                rows = written(rows.where(_open(wide)), "open")
             _round(rows, wide)
             whole = False
         found = []
@@ -83,44 +89,46 @@ def exact_quantiles(df: DataFrame, columns: list[str], shares: tuple[float, ...]
         return found
 
     with ThreadPoolExecutor(_AT_ONCE) as pool:
-        heads = dict(zip(columns, pool.map(sizes_of, columns)))
-        sizes = {c: n for c, (n, _) in heads.items()}
-        out: dict[str, list[float] | None] = {c: None for c in columns if sizes[c] == 0}
+        heads = dict(zip(columns, pool.map(head_of, columns)))
+        out: dict[str, list[float] | None] = {c: None for c in columns if not heads[c][1]}
+        todo = [c for c in columns if heads[c][1]]
         direct, held = [], 0
-        for c in sorted((c for c in columns if sizes[c]), key=lambda c: heads[c][1]):
-            if held + heads[c][1] <= direct_values:
+        for c in sorted(todo, key=lambda c: heads[c][2]):
+            if held + heads[c][2] <= direct_values:
                 direct.append(c)
-                held += heads[c][1]
-        todo = [c for c in columns if sizes[c]]
+                held += heads[c][2]
         out.update(zip(todo, pool.map(lambda c: direct_of(c) if c in direct else searched(c), todo)))
     return out
 
 
 def _round(rows: DataFrame, wide: list[_Search]) -> None:
-    """Two scans of one column: sketches of the ranges that are still open, then counts at the values that they name."""
-    margin = 2.0 / _ACCURACY
+    """Two scans of one column's (v, n): sketches of the ranges that are still open, then counts at the values that they name."""
     shared: dict[tuple[float | None, float | None], list[_Search]] = {}
     for s in wide:                                 # ranks in the same range share one sketch
         shared.setdefault((s.lo, s.hi), []).append(s)
     c = F.col("v")
     sketches: list[Column] = []
     for (lo, hi), group in shared.items():
-        asked = [x for s in group for x in (max(0.0, (s.rank - s.below) / s.inside - margin), min(1.0, (s.rank + 1 - s.below) / s.inside + margin))]
-        sketches.append(F.percentile_approx(F.when(_inside(c, lo, hi), c), asked, _ACCURACY))
-    named = [v for sketch in rows.select(*sketches).first() for v in sketch]
-    order = [s for group in shared.values() for s in group]
-    bounds = list(zip(named[::2], named[1::2]))
-    points = sorted({v for v in named} | {x for key in shared for x in key if x is not None})
+        asked = {0.25, 0.5, 0.75}
+        for s in group:
+            near, far = 2.0 / _ACCURACY, 2.0 / _ACCURACY + 2.0 / math.sqrt(s.inside)
+            first, last = (s.rank - s.below) / s.inside, (s.rank + 1 - s.below) / s.inside
+            asked |= {min(1.0, max(0.0, x)) for x in (first - far, first - near, last + near, last + far)}
+        sketches.append(F.percentile_approx(F.when(_inside(c, lo, hi), c), sorted(asked), _ACCURACY))
+    named = [sorted(set(sketch)) for sketch in rows.select(*sketches).first()]
+    points = sorted({v for sketch in named for v in sketch} | {x for key in shared for x in key if x is not None})
     place = {v: i for i, v in enumerate(points)}
-    found = {r["k"]: r["n"] for r in rows.groupBy(_bucket(c, points, 0, len(points)).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
-
-    def around(s: _Search, v: float) -> tuple[int, int]:
-        first = 0 if s.lo is None else 2 * place[s.lo] + 2
-        under = s.below + sum(found.get(k, 0) for k in range(first, 2 * place[v] + 1))
-        return under, under + found.get(2 * place[v] + 1, 0)
-
-    for s, (a, b) in zip(order, bounds):
-        s.narrow(a, b, {(s.column, v): around(s, v) for v in (a, b)})
+    found = {r["k"]: r["n"] for r in rows.groupBy(_bucket(c, points, 0, len(points)).alias("k")).agg(F.sum("n").alias("n")).collect()}
+    for ((lo, hi), group), own in zip(shared.items(), named):
+        first = 0 if lo is None else 2 * place[lo] + 2
+        last = 2 * len(points) if hi is None else 2 * place[hi]
+        inner = [i for i in range(first, last + 1) if i % 2 and points[i // 2] in set(own)]
+        ends = [first - 1, *inner, last + 1]
+        counts = []
+        for a, b in zip(ends, ends[1:]):           # the gap before each point, then the point
+            counts += [sum(found.get(k, 0) for k in range(a + 1, b)), found.get(b, 0)]
+        for s in group:
+            s.narrow([points[i // 2] for i in inner], counts[:-1])
 
 
 def _open(wide: list[_Search]) -> Column:

@@ -14,6 +14,7 @@ from plumbline import vocab
 from plumbline.functions import text
 from plumbline.functions.text import ident, q
 from plumbline.functions.quantiles import DIRECT_VALUES, exact_quantiles
+from plumbline.functions.skew import written
 from plumbline.model import Constraints
 from plumbline.sources.inventory import generic_type
 
@@ -117,6 +118,13 @@ def counted_values(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(F.col(ident(column)).alias(column)).agg(F.count(F.lit(1)).alias(count_name(column)))
 
 
+def stored_values(df: DataFrame, column: str) -> DataFrame:
+    """``counted_values``, stored: whatever a profile asks of a column later reads each value once. Parquet has no NULL type and no intervals."""
+    found = counted_values(df, column)
+    kind = df.schema[column].dataType.simpleString()
+    return found if "void" in kind or "interval" in kind else written(found, "counted")
+
+
 def count_name(column: str) -> str:
     return "n" if column.lower() != "n" else "n_"
 
@@ -159,20 +167,27 @@ def _stacked(columns: list[str]) -> str:
     return "inline(array(" + ", ".join(f"struct({q(c)} AS column, CAST({ident(c)} AS STRING) AS value)" for c in columns) + "))"
 
 
-def value_counts(df: DataFrame, table: str, columns: list[str]) -> DataFrame:
+def _listed(counted: dict[str, DataFrame], columns: list[str]) -> DataFrame:
+    """(column, value, n) from the counted values of several columns."""
+    return union(counted[c].select(F.lit(c).alias("column"), F.col(ident(c)).cast("string").alias("value"), F.col(ident(count_name(c))).alias("n"))
+                 for c in columns)
+
+
+def value_counts(df: DataFrame, table: str, columns: list[str], counted: dict[str, DataFrame] | None = None) -> DataFrame:
     """(table, column, value, n) of several columns in one shuffle; the NULL group is kept."""
-    return (df.selectExpr(_stacked(columns)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    values = df.selectExpr(_stacked(columns)).withColumn("n", F.lit(1).cast("bigint")) if counted is None else _listed(counted, columns)
+    return (values.groupBy("column", "value").agg(F.sum("n").alias("n"))
             .select(F.lit(table).alias("table"), "column", "value", "n"))
 
 
 def top_values(df: DataFrame, table: str, columns: list[str], limit: int = vocab.TOP_VALUES,
-               known_few: bool = False) -> DataFrame:
+               known_few: bool = False, counted: dict[str, DataFrame] | None = None) -> DataFrame:
     """(table, column, value, count, share, rank) for columns with at most ``limit`` distinct values."""
     few = columns if known_few else low_cardinality(df, columns, limit)
     if not few:
         return df.sparkSession.createDataFrame(
             [], "table string, column string, value string, count bigint, share double, rank int")
-    counts = value_counts(df, table, few)
+    counts = value_counts(df, table, few, counted)
     sizes = counts.groupBy("column").agg(F.count("value").alias("distinct_count"), F.sum("n").alias("rows"))
     ranked = counts.join(F.broadcast(sizes.where(F.col("distinct_count") <= limit)), "column")
     rank = F.row_number().over(Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value").asc_nulls_last()))
@@ -190,14 +205,17 @@ def boolean_stats(values: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.when(F.col("word") == "invalid", F.col("value")))).alias("invalid_values"))
 
 
-def shapes(df: DataFrame, table: str, columns: list[str], with_example: bool = False) -> DataFrame:
+def shapes(df: DataFrame, table: str, columns: list[str], with_example: bool = False, counted: dict[str, DataFrame] | None = None) -> DataFrame:
     """(table, column, pattern, collapsed, n[, example]): how often each value shape occurs.
 
     With examples equal values are merged first: the smallest text needs sorted rows, and so one row per value is sorted.
+    ``counted`` holds the columns' values where they are merged already.
     """
-    values = df.selectExpr(_stacked(columns)).where(F.col("value").isNotNull())
-    measures = [F.count(F.lit(1)).alias("n")]
-    if with_example:
+    values = (df.selectExpr(_stacked(columns)) if counted is None else _listed(counted, columns)).where(F.col("value").isNotNull())
+    measures = [F.count(F.lit(1)).alias("n") if counted is None else F.sum("n").alias("n")]
+    if with_example and counted is not None:
+        measures.append(F.min("value").alias("example"))
+    elif with_example:
         values = values.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
         measures = [F.sum("n").alias("n"), F.min("value").alias("example")]
     return (values.groupBy("column", F.expr(text.signature("value")).alias("pattern")).agg(*measures)
@@ -230,12 +248,13 @@ def patterns(found: DataFrame, limit: int = vocab.TOP_PATTERNS) -> DataFrame:
                        *extra)
 
 
-def numeric_shape(df: DataFrame, table: str, columns: list[str], direct_values: int = DIRECT_VALUES) -> DataFrame:
+def numeric_shape(df: DataFrame, table: str, columns: list[str], direct_values: int = DIRECT_VALUES,
+                  counted: dict[str, DataFrame] | None = None) -> DataFrame:
     """(table, column, mean, std, p01, p05, median, p95, p99, outlier_lo, outlier_hi, outlier_count).
 
     Quantiles are schema-sized numbers, so they go into the outlier count as literals: no join, no shuffle.
     """
-    quantiles = exact_quantiles(df, columns, vocab.PERCENTILES, direct_values)
+    quantiles = exact_quantiles(df, columns, vocab.PERCENTILES, direct_values, counted)
     measures = {}
     for c in columns:
         shown = dict.fromkeys(("p01", "p05", "median", "p95", "p99", "outlier_lo", "outlier_hi"))
@@ -251,18 +270,26 @@ def numeric_shape(df: DataFrame, table: str, columns: list[str], direct_values:
     return per_column(df, table, measures)
 
 
-def fk_orphans(tables, constraints: Constraints) -> DataFrame:
+def fk_orphans(tables, constraints: Constraints, counted: dict[tuple[str, str], DataFrame] | None = None) -> DataFrame:
     """(table, columns, ref_table, checked, orphans, orphan_rate) per declared foreign key.
 
-    Child keys are counted first, so a hot key is one row when it meets the parent table.
+    Child keys are counted first, so a hot key is one row when it meets the parent table. ``counted``: (table, column) -> its counted values,
+    where a profile has stored them.
     """
+    stored = counted or {}
     parts = []
     for child, columns, parent, ref_columns in constraints.foreign_keys:
         keys = [f"k{i}" for i in range(len(columns))]
-        counted = (tables[child].select(*[F.col(c).alias(k) for c, k in zip(columns, keys)]).dropna()
+        if len(keys) == 1 and (child, columns[0]) in stored:
+            met = stored[child, columns[0]].select(F.col(ident(columns[0])).alias("k0"), F.col(ident(count_name(columns[0]))).alias("n")).dropna()
+        else:
+            met = (tables[child].select(*[F.col(c).alias(k) for c, k in zip(columns, keys)]).dropna()
                    .groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
-        known = tables[parent].select(*[F.col(c).alias(k) for c, k in zip(ref_columns, keys)]).dropna().distinct()
-        met = counted.join(known.withColumn("found", F.lit(True)), keys, "left")
+        if len(keys) == 1 and (parent, ref_columns[0]) in stored:
+            known = stored[parent, ref_columns[0]].select(F.col(ident(ref_columns[0])).alias("k0")).dropna()
+        else:
+            known = tables[parent].select(*[F.col(c).alias(k) for c, k in zip(ref_columns, keys)]).dropna().distinct()
+        met = met.join(known.withColumn("found", F.lit(True)), keys, "left")
         parts.append(met.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("checked"),
                              F.coalesce(F.sum(F.when(F.col("found").isNull(), F.col("n"))), F.lit(0)).alias("orphans"))
                      .select(F.lit(child).alias("table"), F.lit(",".join(columns)).alias("columns"),

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.plans.semantic import SemanticModel
+from plumbline.plans.semantic import SemanticModel, pinned
 
 
 def _share(c: str) -> str:
@@ -36,7 +36,7 @@ def entity_digest(model: SemanticModel) -> DataFrame:
         "entity_id", "0 AS section", "0 AS place",
         "concat('ENTITY ', entity_id, ' (table ', table, ', ', format_number(row_count, 0), ' rows, ', entity_type, '), business key: ', coalesce(business_key, '-')) AS line")
     attributes = attribute_lines(model).selectExpr("entity_id", "1 AS section", "ordinal AS place", "line")
-    orphans = model.orphans.selectExpr("table", "columns AS from_attribute", "orphans")
+    orphans = pinned(model.orphans).selectExpr("table", "columns AS from_attribute", "orphans")
     links = model.relationships.join(orphans, ["table", "from_attribute"], "left")
     outgoing = links.selectExpr(
         "from_entity AS entity_id", "2 AS section", "0 AS place",

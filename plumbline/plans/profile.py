@@ -39,10 +39,11 @@ def _by_column(df: DataFrame) -> dict[str, dict]:
 
 
 def profile_table(df: DataFrame, table: str, as_of: dt.date, constraints: Constraints = Constraints(),
-                  text_dates: tuple[str, ...] = (), at_once: int = 4) -> list[tuple]:
+                  text_dates: tuple[str, ...] = (), at_once: int = 4, kept: dict[tuple[str, str], DataFrame] | None = None) -> list[tuple]:
     """Rows of PROFILE for one table. ``text_dates`` are text columns that are meant to hold dates.
 
-    Only numbers per column reach the driver: at most 50 values and 10 patterns of a column are kept.
+    A column's values are counted and stored once; facts, quantiles, top values and patterns read these. ``kept`` collects them by
+    (table, column) for who comes after. Only numbers per column reach the driver: at most 50 values and 10 patterns of a column are kept.
     """
     kinds = {f.name: generic_type(f.dataType) for f in df.schema.fields}
     kinds |= {c: "date" for c in text_dates if c in kinds}
@@ -50,29 +51,35 @@ def profile_table(df: DataFrame, table: str, as_of: dt.date, constraints: Constr
     numbers = [c for c, k in kinds.items() if k in vocab.NUMERIC_GENERIC]
     words = [c for c, k in kinds.items() if k == "string"]
 
+    counted: dict[str, DataFrame] = {}
+
     def facts_of(c: str) -> dict:
         grouped = p.can_be_grouped(df, c)
         n = p.count_name(c) if grouped else None
         measures = (p.null_measures(c, n) | (p.distinct_measures(c) if grouped else {})
                     | (p.numeric_measures(c, n) if c in numbers else {}) | (p.date_measures(df, c, as_of, n) if c in dates else {})
                     | (p.text_measures(c, n) | p.format_measures(c, n) if c in words else {}))
-        rows = p.counted_values(df, c) if grouped else df
+        rows = df
+        if grouped:
+            rows = counted[c] = p.stored_values(df, c)
         return rows.selectExpr(*[f"{e} AS `{name}`" for name, e in measures.items()]).first().asDict()
 
     with ThreadPoolExecutor(at_once) as pool:       # a column's job reads that column only
         facts = dict(zip(df.columns, pool.map(facts_of, df.columns)))
+    if kept is not None:
+        kept.update({(table, c): values for c, values in counted.items()})
     distinct = {c: fact for c, fact in facts.items() if "distinct_count" in fact}
-    shape = _by_column(p.numeric_shape(df, table, numbers)) if numbers else {}
+    shape = _by_column(p.numeric_shape(df, table, numbers, counted=counted)) if numbers else {}
 
     sensitive = {c: bool(_SENSITIVE.search(c)) or facts[c].get("format") in vocab.SENSITIVE_FORMATS for c in df.columns}
     top: dict[str, list] = {}
     few = [c for c in df.columns if not sensitive[c] and c in distinct and distinct[c]["distinct_count"] <= vocab.TOP_VALUES]
     if few:
-        for r in p.top_values(df, table, few, known_few=True).orderBy("column", "rank").collect():
+        for r in p.top_values(df, table, few, known_few=True, counted=counted).orderBy("column", "rank").collect():
             top.setdefault(r["column"], []).append((r["value"], r["count"], r["share"]))
     seen: dict[str, list] = {}
     if words:
-        found = p.shapes(df, table, words, with_example=True)
+        found = p.shapes(df, table, words, with_example=True, counted=counted)
         for r in p.patterns(found).withColumn("masked", F.expr(text.mask("example"))).orderBy("column", "rank").collect():
             seen.setdefault(r["column"], []).append(r)
 
@@ -100,11 +107,12 @@ def profile_table(df: DataFrame, table: str, as_of: dt.date, constraints: Constr
 
 
 def profile_tables(tables: dict[str, DataFrame], as_of: dt.date, constraints: Constraints = Constraints(),
-                   text_dates: dict[str, tuple[str, ...]] | None = None, at_once: int = 4) -> DataFrame:
+                   text_dates: dict[str, tuple[str, ...]] | None = None, at_once: int = 4,
+                   kept: dict[tuple[str, str], DataFrame] | None = None) -> DataFrame:
     """One PROFILE row per column of every table. Tables are profiled side by side: their jobs fill the cluster."""
     spark = SparkSession.active()
     with ThreadPoolExecutor(at_once) as pool:
-        jobs = [pool.submit(profile_table, df, name, as_of, constraints, (text_dates or {}).get(name, ()))
+        jobs = [pool.submit(profile_table, df, name, as_of, constraints, (text_dates or {}).get(name, ()), kept=kept)
                 for name, df in sorted(tables.items())]
         rows = [r for j in jobs for r in j.result()]
     return spark.createDataFrame(rows, PROFILE)

@@ -149,7 +149,8 @@ def entity_types(attrs: DataFrame, rels: DataFrame, hierarchy_entities: list[str
 def build_model(tables, as_of: dt.date, constraints: Constraints) -> SemanticModel:
     """Profile the tables and infer the whole model."""
     spark = SparkSession.active()
-    profiles = profile_tables(tables, as_of, constraints)
+    counted: dict[tuple[str, str], DataFrame] = {}
+    profiles = profile_tables(tables, as_of, constraints, kept=counted)
     inferred = lk.accepted(lk.infer_links(tables, constraints))
     links = lk.declared_links(constraints) + inferred
     ids = F.create_map(*[F.lit(x) for t in tables for x in (t, entity_id(t))])
@@ -179,7 +180,7 @@ def build_model(tables, as_of: dt.date, constraints: Constraints) -> SemanticMod
         {entity_id(t): Entity(entity_id(t), t, constraints.pk(t), tuple(personal.get(t, ()))) for t in tables},
         {h[0]: Hierarchy(h[0], h[2], h[3], h[4], tuple(h[5]), tuple(Attachment(*a) for a in h[7])) for h in trees})
     known = Constraints(constraints.primary_keys, tuple(k for k in constraints.foreign_keys if k[0] in tables and k[2] in tables))
-    return SemanticModel(profiles, attrs, rels, hierarchies, entities, fk_orphans(tables, known), rules_model)
+    return SemanticModel(profiles, attrs, rels, hierarchies, entities, fk_orphans(tables, known, counted), rules_model)
 
 
 def needs_review(attrs: DataFrame) -> DataFrame:

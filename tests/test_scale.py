@@ -9,9 +9,12 @@ from pyspark.sql import Window, functions as F
 from plumbline.functions import quantiles
 from plumbline.functions.quantiles import exact_quantiles
 from plumbline.functions.skew import previous_in_key, rows_of_keys, running_sum
+from plumbline.model import Constraints
+from plumbline.operators import profiling
 from plumbline.operators.cycles import cycle_nodes
-from plumbline.operators.profiling import (counted_values, distinct_counts, format_measures, low_cardinality, null_measures,
-                                            numeric_measures, text_measures)
+from plumbline.operators.profiling import (counted_values, distinct_counts, fk_orphans, format_measures, low_cardinality, null_measures,
+                                            numeric_measures, shapes, text_measures, value_counts)
+from plumbline.plans.profile import profile_table
 from plumbline.plans.suite import execute_rules, violation_examples
 from queries import checks
 from queries.dirty import MODEL, Tables, pick
@@ -155,3 +158,35 @@ def test_ranks_are_searched_in_stored_values(spark, monkeypatch):
     df = spark.range(60_000).selectExpr("CASE WHEN id % 7 = 0 THEN NULL ELSE id * 37 % 60001 / 8 END AS v")
     quantiles.exact_quantiles(df, ["v"], (0.25, 0.5), direct_values=10)
     assert sizes[0] == 51_428 and all(n < 1000 for n in sizes[1:])
+
+
+@pytest.mark.parametrize("weights", ["n = v", "one heavy", "random"])
+def test_ranks_are_searched_in_counted_values(spark, weights):
+    """Ranks come from (value, n) alone, also where counts depend on values, so that the sketch of distinct values names the wrong ones."""
+    v = np.arange(3000) * 1.5 - 700
+    n = {"n = v": np.arange(1, 3001), "one heavy": np.where(np.arange(3000) == 11, 90_000, 1), "random": np.random.default_rng(3).integers(1, 9, 3000)}[weights]
+    stored = spark.createDataFrame([(float(a), int(b)) for a, b in zip(v, n)] + [(None, 5), (float("nan"), 7)], "v double, n bigint").repartition(4)
+    shares, rows = (0.0, 0.01, 0.25, 0.5, 0.95, 1.0), np.repeat(v, n)
+    for limit in (0, 10_000):
+        got = exact_quantiles(stored, ["v"], shares, direct_values=limit, counted={"v": stored})["v"]
+        assert np.allclose(got, np.quantile(rows, shares), atol=1e-9)
+
+
+def test_profile_reads_counted_values_after_the_first_scan(spark, monkeypatch):
+    """A column's rows are grouped once; quantiles, top values, patterns and orphans read the counted values. Results as from the rows."""
+    seen = []
+    monkeypatch.setattr(profiling, "counted_values", lambda df, c, real=counted_values: (seen.append(c), real(df, c))[1])
+    df = spark.range(900).selectExpr("id % 4 AS k", "id * 3 % 700 / 4 AS v", "CASE WHEN id % 9 > 0 THEN concat('A-', id % 60) END AS s", "CAST(NULL AS VOID) AS w")
+    kept = {}
+    rows = profile_table(df, "t", dt.date(2026, 1, 1), kept=kept)
+    assert sorted(seen) == ["k", "s", "v", "w"] and set(kept) == {("t", c) for c in "ksvw"}
+    by = {r[1]: r for r in rows}
+    assert [tuple(x) for x in by["k"][14]] == [(str(i), 225, 0.25) for i in range(4)]
+    assert np.isclose(by["v"][19][8], np.quantile([i * 3 % 700 / 4 for i in range(900)], 0.5), atol=1e-4)
+    shown = shapes(df, "t", ["s"], with_example=True)
+    assert {tuple(r) for r in shapes(df, "t", ["s"], True, {"s": kept["t", "s"]}).select(shown.columns).collect()} == {tuple(r) for r in shown.collect()}
+    assert {tuple(r) for r in value_counts(df, "t", ["k", "s"], {c: kept["t", c] for c in "ks"}).collect()} == {tuple(r) for r in value_counts(df, "t", ["k", "s"]).collect()}
+    parent = spark.range(3).selectExpr("id AS p")
+    links = Constraints(foreign_keys=(("t", ("k",), "u", ("p",)),))
+    for stored in (None, kept):
+        assert fk_orphans({"t": df, "u": parent}, links, stored).select("checked", "orphans").first() == (900, 225)
