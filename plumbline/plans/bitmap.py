@@ -24,6 +24,7 @@ from plumbline.rules import Rule
 KEYS_SENT = 200_000     # failing keys of a batch that are broadcast; each is a few values and flags
 BITS = 60               # rules in one number of a bit set
 KEY_COLUMNS = 60        # key columns counted in one scan (grouping_id is a long)
+EXAMPLE_GROUPS = 256    # groups of keys whose smallest keys bound the examples
 _ROWS = "rule_id string, entity string, key string, shown map<string,string>"
 
 
@@ -49,20 +50,47 @@ class RuleRun:
 
     def violations(self) -> DataFrame:
         """(rule_id, entity, key, shown) of every failing row of every rule but custom SQL."""
+        return self._unfolded({})
+
+    def _unfolded(self, last: dict[str, list[int | None]]) -> DataFrame:
+        """The violations; with ``last`` only those of a rule whose key's place is at most the rule's bound (None: all of them)."""
         parts = []
         for entity, rows in self.tables.items():
+            bounds = last.get(entity, [None] * len(self.order[entity]))
+            if entity in last:
+                rows = rows.withColumn("place", _place(F.col("key")))
+                rows = rows.where(_any([self._fails(i) if b is None else self._fails(i) & (F.col("place") <= b) for i, b in enumerate(bounds)]))
             facts = F.array(*[F.struct(F.lit(i // BITS).alias("word"), F.lit(i % BITS).alias("bit"), F.lit(self.own_id[r.rule_id]).alias("rule_id"),
-                                       F.array(*[F.lit(c) for c in columns]).cast("array<string>").alias("columns"))
+                                       F.array(*[F.lit(c) for c in columns]).cast("array<string>").alias("columns"), F.lit(bounds[i]).cast("bigint").alias("last"))
                               for i, (r, columns) in enumerate(self.order[entity])])
-            hits = F.filter(facts, lambda x: F.call_function("getbit", F.get("bits", x["word"]), x["bit"]) == 1)
+
+            def fails(x):
+                return F.call_function("getbit", F.get("bits", x["word"]), x["bit"]) == 1
+
+            hits = F.filter(facts, (lambda x: fails(x) & (x["last"].isNull() | (F.col("place") <= x["last"]))) if entity in last else fails)
             found = rows.select("key", "values", F.explode(hits).alias("hit"))
             shown = F.map_from_arrays("hit.columns", F.transform("hit.columns", lambda c: F.element_at("values", c)))
             parts.append(found.select("hit.rule_id", F.lit(entity).alias("entity"), "key", shown.alias("shown")))
         return suite.union_of(parts) if parts else self.spark.createDataFrame([], _ROWS)
 
     def examples(self, per_rule: int = 5) -> DataFrame:
-        """(rule_id, entity, example_no, key, shown): the first failing rows of each rule by key."""
-        return suite.examples_of(self.violations(), self.sources, self.rules, self.prepared.model, per_rule)
+        """(rule_id, entity, example_no, key, shown): the first failing rows of each rule by key.
+
+        Rows that cannot be among them are not unfolded: the ``per_rule``-th smallest of the groups' smallest places bounds the place of the last example.
+        """
+        last = {entity: self._bounds(entity, per_rule) for entity in self.tables if self.order[entity]}
+        return suite.examples_of(self._unfolded(last), self.sources, self.rules, self.prepared.model, per_rule)
+
+    def _bounds(self, entity: str, per_rule: int) -> list[int | None]:
+        """For each rule a place at or after that of its last example; None where fewer than ``per_rule`` groups have a failing row."""
+        rows = self.tables[entity].select("bits", _place(F.col("key")).alias("place"), F.pmod(F.hash("key"), F.lit(EXAMPLE_GROUPS)).alias("group"))
+        rules = range(len(self.order[entity]))
+        least = rows.groupBy("group").agg(*[F.min(F.when(self._fails(i), F.col("place"))).alias(f"p{i}") for i in rules])
+        found = least.agg(*[F.slice(F.array_sort(F.collect_list(f"p{i}")), 1, per_rule) for i in rules]).first()
+        return [places[-1] if len(places) == per_rule else None for places in found]
+
+    def _fails(self, i: int) -> Column:
+        return F.call_function("getbit", F.get("bits", F.lit(i // BITS)), F.lit(i % BITS)) == 1
 
     def _failing(self) -> set[str]:
         """Numbers of the rules that fail overall."""
@@ -101,6 +129,14 @@ class RuleRun:
         return -(-len(self.order[entity]) // BITS)
 
 
+def _place(key: Column) -> Column:
+    """A number that never falls as (length, key) rises: the length and the key's first five bytes. NULL, which comes first, has -1."""
+    longest = 1 << 22
+    head = F.conv(F.rpad(F.hex(F.substring(key.cast("binary"), 1, 5)), 10, "0"), 16, 10).cast("bigint")
+    size = F.length(key).cast("bigint")
+    return F.coalesce(F.when(size < longest, size * (1 << 40) + head).when(size >= longest, F.lit(longest << 40)), F.lit(-1).cast("bigint"))
+
+
 def _any(flags: list[Column]) -> Column:
     out = flags[0]
     for f in flags[1:]:

@@ -100,3 +100,19 @@ def test_heavy_keys_are_cut_by_weight(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before)
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_examples_unfold_few_rows(spark, monkeypatch):
+    """Rows that cannot be among the first of their rule are not unfolded; equal, NULL and non-ASCII keys keep the plain run's examples."""
+    names = spark.range(4000).selectExpr("CASE WHEN id % 500 = 3 THEN NULL WHEN id % 7 = 1 THEN concat('é', id % 90) WHEN id % 11 = 2 THEN repeat('long', 9) "
+                                         "ELSE concat('k', 100000 + id) END AS id", "id % 10 AS a", "id % 1000 AS b")
+    model = Model({"row": Entity("row", "row", ("id",))})
+    some = [Rule("a", "row", {"type": "range", "max": 4}, ("a",)), Rule("b", "row", {"type": "range", "max": 997}, ("b",)),
+            Rule("b", "row", {"type": "range", "min": 2}, ("b",)), Rule("u", "row", {"type": "unique"}, ("id",))]
+    unfolded = []
+    monkeypatch.setattr(suite, "examples_of", lambda rows, *more, real=suite.examples_of: (unfolded.append(rows.count()), real(rows, *more))[1])
+    run = bitmap.run_rules({"row": names}, some, model, AS_OF)
+    found = run.examples(4)
+    assert unfolded[0] < 300 < 2000 < run.violations().count()
+    monkeypatch.undo()
+    assert sorted(map(str, found.collect())) == sorted(map(str, suite.violation_examples({"row": names}, some, model, AS_OF, 4).collect()))
