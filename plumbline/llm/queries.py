@@ -46,8 +46,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    model = toxicity.fit(*toxicity.training_sample(docs.select("doc_id", "text"), labels.where(fold != 0), "doc_id", "text", "toxic"))
-    scored = toxicity.score(docs, model)
+    scored = toxicity.classify(docs.select("doc_id", "text"), labels.where(fold != 0), "doc_id", "text", "toxic")
     return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 

@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -235,6 +236,30 @@ def test_toxicity_of_awkward_rows(awkward):
     assert all(r["score"] < 0.5 for r in toxicity.score(awkward, flat).collect())
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 8)
+    fillers = [f"plain{i} words{i % 7} here{i % 5}" for i in range(40)]
+    rows = [(i, f"{fillers[i % 40]} {'slur' if i < 10 else 'insult'} and more{i % 11}" if i % 2 else f"{fillers[i % 40]} nice and more{i % 11}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2, "doc_id")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, toxic int")
+    texts, toxic, share = toxicity.training_sample(docs, labels, "doc_id", "text", "toxic")
+    start = toxicity.fit(texts, toxic, share)
+    seen = toxicity.learn(start, toxicity.labelled(docs, labels, "doc_id", "text", "toxic"), 600, 0.5)
+    words = np.unique(toxicity.features(*toxicity.texts_of(pa.array([t for _, t in rows])))[1])
+    fresh = np.setdiff1d(words, np.unique(toxicity.features(*toxicity.texts_of(pa.array(texts)))[1]))
+    assert len(texts) == 16 and len(fresh) and all((a.table[fresh] != b.table[fresh]).any(1).mean() > 0.5 for a, b in zip(start, seen))
+    found = {r["doc_id"]: r["predicted"] for r in toxicity.classify(docs, labels).collect()}
+    assert len(found) == 600 and np.mean([found[i] == i % 2 for i in range(600)]) > 0.98
+
+
+def test_toxicity_thresholds_from_counts():
+    rng = np.random.default_rng(3)
+    truth, group = rng.integers(0, 2, 400), rng.integers(0, 5, 400)
+    found = np.round(rng.normal(truth * 2, 1) * 4) / 4
+    rows, place, count = np.unique(np.stack([found, truth, group], 1), axis=0, return_inverse=True, return_counts=True)
+    assert toxicity._thresholds(*rows.T[:2], rows[:, 2].astype(int), 0.1, count) == toxicity._thresholds(found, truth, group, 0.1)
+
+
 def test_empty_tables(empty):
     assert quality.ledger(empty).count() == hyperminhash.near_duplicates(empty).count() == line_dedup.duplicate_lines(empty).count() == 0
     assert mixing.mix(empty).count() == mixing.mix_counts(empty).count() == fingerprint.edited_pairs(empty).count() == 0
