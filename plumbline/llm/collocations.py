@@ -193,8 +193,8 @@ class _Text:
     def hashes(self, ids: np.ndarray, lang: np.ndarray) -> np.ndarray:
         return mix(self.vocabulary.hashes[ids] ^ np.array([_lang_hash(x) for x in self.langs], np.uint64)[lang])
 
-    def written(self, run: list) -> pa.RecordBatch:
-        phrases = [b" ".join([self.vocabulary.words[i] for i in path[1:]]) for path, _ in run]
+    def written(self, run: list, words: list[bytes]) -> pa.RecordBatch:
+        phrases = [b" ".join([words[i] for i in path[1:]]) for path, _ in run]
         batch = pa.RecordBatch.from_arrays([pa.array([self.langs[path[0]] for path, _ in run], pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()),
                                             pa.array([len(path) - 1 for path, _ in run], pa.int32()), pa.array([n for _, n in run], pa.int64())], schema=_RUN)
         return batch.sort_by([("lang", "ascending"), ("phrase", "ascending")])
@@ -285,7 +285,7 @@ def _word_runs(batches):
     def spilled():
         for lang, n in sorted(counts.items()):
             used = np.flatnonzero(n)
-            yield text.written([((lang, i), c) for i, c in zip(used.tolist(), n[used].tolist())])
+            yield text.written([((lang, i), c) for i, c in zip(used.tolist(), n[used].tolist())], text.vocabulary.words)
 
     for ids, lang, _ in text.chunks(batches):
         size = len(text.vocabulary.words)
@@ -301,12 +301,14 @@ def _word_runs(batches):
 
 
 def _phrase_runs(words: bytes, bitmaps: dict[int, bytes], lengths, entries: int, burst: int):
-    """The counting pass: sorted runs of (lang, phrase, words, count)."""
+    """The counting pass: sorted runs of (lang, phrase, words, count). The trie numbers its own words, those of phrases that reach it: a text's
+    vocabulary is mostly rare words, and when it is full it begins anew without spilling a phrase."""
     def run(batches):
-        trie, text = HatTrie(burst), _Text()
+        trie, text, held = HatTrie(burst), _Text(), _Words()
         frequent, bits = _bits(words), {j: _bits(b) for j, b in bitmaps.items()}
         for ids, lang, pieces in text.chunks(batches):
             vocabulary, before = text.vocabulary, None
+            number_of = np.full(len(vocabulary.words), -1, np.int64)
             for length, at, h in _frequent(text, ids, lang, pieces, frequent, lengths):
                 slot = bits[length][((h >> np.uint64(20)) & np.uint64(SLOTS - 1)).astype(np.int64)]
                 at = at[slot[at] if before is None else slot[at] & before[at] & before[at + 1]]
@@ -317,17 +319,22 @@ def _phrase_runs(words: bytes, bitmaps: dict[int, bytes], lengths, entries: int,
                     number = _dense(number * np.int64(len(vocabulary.words)) + ids[at + j])
                 _, first, count = np.unique(number, return_index=True, return_counts=True)
                 first = at[first]
-                columns = [lang[first].tolist()] + [ids[first + j].tolist() for j in range(length)]
+                used = np.unique(ids[first[:, None] + np.arange(length)])
+                used = used[number_of[used] < 0]
+                number_of[used] = [held[vocabulary.words[i]] for i in used.tolist()]
+                columns = [lang[first].tolist()] + [number_of[ids[first + j]].tolist() for j in range(length)]
                 for path, n in zip(zip(*columns), count.tolist()):
                     trie.add(path, n)
-            full = len(vocabulary.words) > WORDS
+            full = len(held.words) > WORDS
             if full or trie.size > entries:
                 for spilled in trie.spill(0 if full else entries // 2):
-                    yield text.written(spilled)
+                    yield text.written(spilled, held.words)
             if full:
+                held = _Words()
+            if len(vocabulary.words) > WORDS:
                 text.vocabulary = _Words()
         for spilled in trie.spill(0):
-            yield text.written(spilled)
+            yield text.written(spilled, held.words)
     return run
 
 

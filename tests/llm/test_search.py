@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plumbline.llm import collocations, lexical, queries, vectorgraph
@@ -215,3 +216,16 @@ def test_bounds_are_never_below_the_score():
                     assert values[i, j] >= sum(q * weight[t] * ((10 ** 9 * c[t]) // (1000 * c[t] + 8 * m)) for t, q in item.items() if c[t])
                 seen.add(d)
     assert seen == set(range(80))
+
+
+def test_rare_words_spill_no_phrases(monkeypatch):
+    monkeypatch.setattr(collocations, "WORDS", 20)
+    monkeypatch.setattr(collocations, "CHUNK", 200)
+    texts = ["one two three. " + " ".join(f"rare{i}x{j}" for j in range(30)) for i in range(10)]
+    slots = np.concatenate(collocations._slots(collocations.mix(collocations._word_hash([b"one", b"two", b"three"]) ^ collocations._lang_hash("en"))))
+    words = np.zeros(collocations.BITMAP, bool)
+    words[slots] = True
+    every = {j: b"\xff" * (collocations.SLOTS // 8) for j in (2, 3)}
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 10, "text": texts})
+    found = [r for b in collocations._phrase_runs(np.packbits(words).tobytes(), every, (2, 3), 1000, 4)([batch]) for r in b.to_pylist()]
+    assert {r["phrase"]: r["n"] for r in found} == {"one two": 10, "two three": 10, "one two three": 10} and len(found) == 3
