@@ -7,7 +7,7 @@ written to the shared folder and merged by ranges of the sorted phrases, so a pa
 share is divided further down by itself; a phrase has one row per run, however often it occurs.
 
 Words are counted first (their container is the vocabulary itself), then phrases of all lengths together, and only those that can be frequent reach a trie: all their words are frequent,
-and so are the slots that the phrase and its parts are hashed to. For that a pass before sums SLOTS counters for each length over the corpus, held
+and so are the two slots that the phrase, and each of its parts, is hashed to. For that a pass before sums SLOTS counters for each length over the corpus, held
 at the support, 127 at most (a sum of held counts reaches it exactly if the sum of the counts does), a byte each. A slot that several phrases share lets
 them through, to be counted for nothing; it never hides one. The bitmaps have a fixed size, whatever the corpus. All counts are exact sums
 over all occurrences.
@@ -41,7 +41,8 @@ SLOTS, BLOCK = 1 << 23, 1 << 18
 FAN = 64
 #: Bytes of text counted at once.
 CHUNK = 1 << 20
-WORDS = 300_000
+#: Words a task holds counts of, and words it numbers where a new beginning costs no row.
+WORDS, VOCABULARY = 300_000, 100_000
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _AS_SPACE = bytes(32 if c in _BREAKS or c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -124,6 +125,11 @@ def _slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h & np.uint64(BITMAP - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(BITMAP - 1)).astype(np.int64)
 
 
+def _counter_slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two counters for each phrase; it can be frequent only if both reach the support."""
+    return (h & np.uint64(SLOTS - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
 class _Words(dict):
     """The ids of a task's words and their hashes; a new word gets the next id when it is asked for."""
 
@@ -201,14 +207,18 @@ class _Text:
 
 
 def _bits(bitmap: bytes) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(bitmap, np.uint8)).view(bool)
+    return np.frombuffer(bitmap, np.uint8)
+
+
+def _has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).view(bool)
 
 
 def _frequent(text: _Text, ids: np.ndarray, lang: np.ndarray, pieces: np.ndarray, words: np.ndarray, lengths):
     """For each length: places of the phrases within a piece and without a rare word, and the hashes at all places."""
     h = text.hashes(ids, lang)
     one, two = _slots(h)
-    good = words[one] & words[two]
+    good = _has(words, one) & _has(words, two)
     # the last place up to which words are frequent and in the same piece
     stop = np.flatnonzero(np.r_[~good[1:] | (pieces[1:] != pieces[:-1]), True])
     last = stop[np.searchsorted(stop, np.arange(len(ids)))]
@@ -227,9 +237,11 @@ def _counters(words: bytes, lengths, support: int):
         frequent, held, text = _bits(words), {j: np.zeros(SLOTS, np.uint8) for j in range(2, max(lengths) + 1)}, _Text()
         for ids, lang, pieces in text.chunks(batches):
             for length, at, h in _frequent(text, ids, lang, pieces, frequent, lengths):
-                slots, n = np.unique((h[at] >> np.uint64(20)) & np.uint64(SLOTS - 1), return_counts=True)
-                held[length][slots] = np.minimum(held[length][slots] + np.minimum(n, support), support)
-            if len(text.vocabulary.words) > WORDS:
+                phrases, n = np.unique(h[at], return_counts=True)
+                for place in _counter_slots(phrases):
+                    slots, where = np.unique(place, return_inverse=True)
+                    held[length][slots] = np.minimum(held[length][slots] + np.bincount(where, n), support)
+            if len(text.vocabulary.words) > VOCABULARY:
                 text.vocabulary = _Words()
         part = TaskContext.get().partitionId()
         for length, counts in held.items():
@@ -257,7 +269,7 @@ def _summed(support: int):
 
 def _phrase_bitmaps(own: DataFrame, words: bytes, lengths, support: int) -> dict[int, bytes]:
     """Bitmaps of the slots that hold ``support`` occurrences or more, by length; SLOTS / 8 bytes each reach the driver."""
-    rows = stored(own.mapInArrow(_counters(words, lengths, support), _COUNTERS_SQL), "phrase-counters")
+    rows = stored(_in_few_tasks(own).mapInArrow(_counters(words, lengths, support), _COUNTERS_SQL), "phrase-counters")
     parts = (rows.agg(F.max("part")).first()[0] or 0) + 1
     while True:
         # FAN blocks at a time, so that a task's share does not grow with the number of tasks before it
@@ -285,7 +297,9 @@ def _word_runs(batches):
     def spilled():
         for lang, n in sorted(counts.items()):
             used = np.flatnonzero(n)
-            yield text.written([((lang, i), c) for i, c in zip(used.tolist(), n[used].tolist())], text.vocabulary.words)
+            words = pa.array([text.vocabulary.words[i] for i in used.tolist()], pa.binary()).cast(pa.string())
+            batch = pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(text.langs[lang]), len(used)), words, pa.repeat(pa.scalar(1, pa.int32()), len(used)), pa.array(n[used])], schema=_RUN)
+            yield batch.sort_by("phrase")
 
     for ids, lang, _ in text.chunks(batches):
         size = len(text.vocabulary.words)
@@ -310,7 +324,8 @@ def _phrase_runs(words: bytes, bitmaps: dict[int, bytes], lengths, entries: int,
             vocabulary, before = text.vocabulary, None
             number_of = np.full(len(vocabulary.words), -1, np.int64)
             for length, at, h in _frequent(text, ids, lang, pieces, frequent, lengths):
-                slot = bits[length][((h >> np.uint64(20)) & np.uint64(SLOTS - 1)).astype(np.int64)]
+                one, two = _counter_slots(h)
+                slot = _has(bits[length], one) & _has(bits[length], two)
                 at = at[slot[at] if before is None else slot[at] & before[at] & before[at + 1]]
                 before = slot
                 # equal phrases of the chunk become one number, a word at a time
@@ -331,7 +346,7 @@ def _phrase_runs(words: bytes, bitmaps: dict[int, bytes], lengths, entries: int,
                     yield text.written(spilled, held.words)
             if full:
                 held = _Words()
-            if len(vocabulary.words) > WORDS:
+            if len(vocabulary.words) > VOCABULARY:
                 text.vocabulary = _Words()
         for spilled in trie.spill(0):
             yield text.written(spilled, held.words)
@@ -363,12 +378,18 @@ def _bitmap(frequent: DataFrame) -> bytes:
     return out.tobytes()
 
 
+def _in_few_tasks(own: DataFrame) -> DataFrame:
+    """Small partitions read together: a phrase has a row for each task that counts it, and a task's counters have a fixed size. Two tasks a core,
+    or a quarter of the partitions if these are more."""
+    return own.coalesce(max(2 * own.sparkSession.sparkContext.defaultParallelism, own.rdd.getNumPartitions() // 4))
+
+
 def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text", support: int = SUPPORT, lengths: tuple[int, ...] = LENGTHS,
                   entries: int = ENTRIES, burst: int = BURST) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f) of all words and phrases with f >= ``support``, and (lang, n) with all word occurrences."""
     own = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
 
-    def merged(counting, label):
+    def merged(counting, label, own=own):
         runs = stored(own.mapInArrow(counting, "lang string, phrase string, words int, n long"), f"{label}-runs")
         # a partition is a range of sorted phrases; a phrase has one row per run
         counted = runs.repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("f"), F.first("words").alias("words"))
@@ -378,7 +399,7 @@ def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text", suppo
     sizes = stored(runs.groupBy("lang").agg(F.sum("n").alias("n")), "word-sizes")
     words = _bitmap(single)
     bitmaps = _phrase_bitmaps(own, words, lengths, min(support, 127))
-    _, several = merged(_phrase_runs(words, bitmaps, lengths, entries, burst), "phrase")
+    _, several = merged(_phrase_runs(words, bitmaps, lengths, entries, burst), "phrase", _in_few_tasks(own))
     return single.unionByName(several), sizes
 
 

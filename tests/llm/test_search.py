@@ -220,6 +220,7 @@ def test_bounds_are_never_below_the_score():
 
 def test_rare_words_spill_no_phrases(monkeypatch):
     monkeypatch.setattr(collocations, "WORDS", 20)
+    monkeypatch.setattr(collocations, "VOCABULARY", 20, raising=False)
     monkeypatch.setattr(collocations, "CHUNK", 200)
     texts = ["one two three. " + " ".join(f"rare{i}x{j}" for j in range(30)) for i in range(10)]
     slots = np.concatenate(collocations._slots(collocations.mix(collocations._word_hash([b"one", b"two", b"three"]) ^ collocations._lang_hash("en"))))
