@@ -13,12 +13,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.expressions import rule_expression
 from plumbline.functions.skew import rows_of_keys
-from plumbline.functions.text import q
+from plumbline.functions.text import ident, q
 from plumbline.model import Model
+from plumbline.operators.profiling import count_name
 from plumbline.rules import Rule
 
 KEY_CHECKS = ("unique", "foreign_key", "has_children", "aggregate_compare", "hierarchy_parent_level",
               "hierarchy_attach_level")
+Counted = dict[tuple[str, str], DataFrame]           # (table, column) -> its values, each once, and how often each occurs
 
 
 @dataclass
@@ -29,6 +31,11 @@ class KeyBatch:
     rules: list[Rule]
     decide: Callable[[DataFrame], DataFrame]             # adds one boolean `bad_<i>` per rule
     one_row_per_key: bool = False                        # the key covers the declared primary key
+    column: str | None = None                            # the key is this column of the table, as it is
+
+
+def _only(columns: tuple[str, ...]) -> str | None:
+    return columns[0] if len(columns) == 1 else None
 
 
 def _all_present(names: list[str]) -> Column:
@@ -53,12 +60,17 @@ def _unique(rules: list[Rule], names: list[str]) -> Callable[[DataFrame], DataFr
     return decide
 
 
-def _reference(rule: Rule, names: list[str], model: Model, tables) -> Callable[[DataFrame], DataFrame]:
+def _reference(rule: Rule, names: list[str], model: Model, tables, counted: Counted) -> Callable[[DataFrame], DataFrame]:
     ref_cols = list(rule.check["ref_columns"])
-    ref = tables[model.entity(rule.check["ref_entity"]).table]
+    ref_table = model.entity(rule.check["ref_entity"]).table
+    ref = tables[ref_table]
+    known = counted.get((ref_table, ref_cols[0])) if len(ref_cols) == 1 else None
 
     def decide(groups: DataFrame) -> DataFrame:
-        parents = ref.select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(ref_cols)]).dropna().distinct()
+        if known is not None:
+            parents = known.select(F.col(ident(ref_cols[0])).alias("_p0")).dropna()
+        else:
+            parents = ref.select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(ref_cols)]).dropna().distinct()
         parents = parents.withColumn("_found", F.lit(True))
         cond = _join_on(groups, parents, [(n, f"_p{i}") for i, n in enumerate(names)])
         joined = groups.join(parents, cond, "left")
@@ -140,8 +152,9 @@ def _attach_level(rule: Rule, name: str, model: Model, tables) -> Callable[[Data
     return decide
 
 
-def key_batches(rules: list[Rule], model: Model, tables) -> list[KeyBatch]:
+def key_batches(rules: list[Rule], model: Model, tables, counted: Counted | None = None) -> list[KeyBatch]:
     """Group rules by entity and decision key. ``tables`` maps table name -> DataFrame."""
+    counted = counted or {}
     batches: dict[tuple, list[Rule]] = {}
     for r in rules:
         if r.type in ("has_children", "aggregate_compare"):
@@ -162,7 +175,7 @@ def key_batches(rules: list[Rule], model: Model, tables) -> list[KeyBatch]:
         if sig[1] == "unique":
             names = [f"k{i}" for i in range(len(rule.columns))]
             keys = {n: F.col(c) for n, c in zip(names, sorted(rule.columns))}
-            out.append(KeyBatch(rule.entity, keys, group, _unique(group, names)))
+            out.append(KeyBatch(rule.entity, keys, group, _unique(group, names), column=_only(rule.columns)))
         elif sig[1] == "children":
             cols = list(rule.check["parent_join_columns"])
             if len(cols) != len(rule.check["child_join_columns"]):
@@ -183,13 +196,14 @@ def key_batches(rules: list[Rule], model: Model, tables) -> list[KeyBatch]:
                 raise ValueError("foreign_key: ref_columns must pair 1:1 with target columns")
             names = [f"k{i}" for i in range(len(rule.columns))]
             keys = {n: F.col(c) for n, c in zip(names, rule.columns)}
-            out.append(KeyBatch(rule.entity, keys, group, _reference(rule, names, model, tables)))
+            out.append(KeyBatch(rule.entity, keys, group, _reference(rule, names, model, tables, counted), column=_only(rule.columns)))
         elif rule.type == "hierarchy_parent_level":
             h = model.hierarchy(rule.check["hierarchy"])
             keys = {"k0": F.col(h.parent), "k1": F.col(h.level)}
             out.append(KeyBatch(rule.entity, keys, group, _parent_level(rule, "k0", "k1", model, tables)))
         elif rule.type == "hierarchy_attach_level":
-            out.append(KeyBatch(rule.entity, {"k0": F.col(rule.columns[0])}, group, _attach_level(rule, "k0", model, tables)))
+            out.append(KeyBatch(rule.entity, {"k0": F.col(rule.columns[0])}, group, _attach_level(rule, "k0", model, tables),
+                                column=rule.columns[0]))
     return out
 
 
@@ -217,9 +231,11 @@ def keys_of_batch(counted: DataFrame, place: int, batch: KeyBatch, scopes: dict[
                                                          *[f"n_{r}" for r, s in scopes.items() if s is not None])
 
 
-def count_keys(batch: KeyBatch, target: DataFrame, scopes: dict[str, Column | None]) -> DataFrame:
-    """Decision keys with n_rows and, for rules with a scope, n_<rule>."""
+def count_keys(batch: KeyBatch, target: DataFrame, scopes: dict[str, Column | None], values: DataFrame | None = None) -> DataFrame:
+    """Decision keys with n_rows and, for rules with a scope, n_<rule>. ``values``: the counted values of the batch's column, if there are any."""
     scoped = {r: s for r, s in scopes.items() if s is not None}
+    if values is not None and not scoped:
+        return values.select(*[F.col(ident(batch.column)).alias(n) for n in batch.keys], F.col(ident(count_name(batch.column))).alias("n_rows"))
     picked = target.select(*[e.alias(n) for n, e in batch.keys.items()],
                            *[s.alias(f"in_{r}") for r, s in scoped.items()])
     if batch.one_row_per_key:

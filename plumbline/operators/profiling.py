@@ -47,8 +47,9 @@ def _count_if(test: str, n: str | None) -> str:
     return f"count_if({test})" if n is None else f"coalesce(sum(CASE WHEN {test} THEN {n} END), 0L)"
 
 
-def _mean(number: str, n: str | None) -> str:
-    return f"avg({number})" if n is None else f"try_divide(sum(CAST({number} AS BIGINT) * {n}), sum(CASE WHEN {number} IS NOT NULL THEN {n} END))"
+def _mean(number: str, c: str, n: str | None) -> str:
+    """``number`` is NULL where the column ``c`` is, and nowhere else."""
+    return f"avg({number})" if n is None else f"try_divide(sum(CAST({number} AS BIGINT) * {n}), sum(CASE WHEN {c} IS NOT NULL THEN {n} END))"
 
 
 def null_measures(name: str, n: str | None = None) -> dict[str, str]:
@@ -89,19 +90,28 @@ def iso_date(c: str) -> str:
 
 def text_measures(name: str, n: str | None = None) -> dict[str, str]:
     c = ident(name)
-    bare = text.strip(c)
+    bare = f"CASE WHEN {c} RLIKE {q(r'\s')} THEN {text.strip(c)} ELSE {c} END"      # most values hold no white space
     letters = f"{c} RLIKE '[A-Za-z]'"
     upper = f"{letters} AND NOT {c} RLIKE {q(r'[\p{IsLowercase}\p{Lt}]')}"
     lower = f"{letters} AND NOT {c} RLIKE {q(r'[\p{IsUppercase}\p{Lt}]')}"
-    return {"min_length": f"min(length({c}))", "avg_length": f"round({_mean(f'length({c})', n)}, 2)", "max_length": f"max(length({c}))",
+    return {"min_length": f"min(length({c}))", "avg_length": f"round({_mean(f'length({c})', c, n)}, 2)", "max_length": f"max(length({c}))",
             "blank_count": _count_if(f"{bare} = ''", n), "untrimmed_count": _count_if(f"{c} <> {bare}", n),
             "upper_count": _count_if(upper, n), "lower_count": _count_if(lower, n),
             "mixed_case_count": f"{_count_if(letters, n)} - {_count_if(upper, n)} - {_count_if(lower, n)}"}
 
 
+def _has_format(c: str, name: str, regex: str) -> str:
+    """The regex, tried only on values that have what it asks for at the least: a sign, a length or the first character."""
+    numeric = f"{c} >= '+' AND {c} < ':'"       # begins with a digit or one of + , - . /
+    least = {"email": f"contains({c}, '@')", "uuid": f"length({c}) BETWEEN 36 AND 38", "url": f"startswith({c}, 'http')"}
+    least |= dict.fromkeys(("iso_datetime", "iso_date", "phone", "decimal_text", "integer_text"), numeric)
+    return f"({least[name]} AND {c} RLIKE {q(regex)})" if name in least else f"({c} RLIKE {q(regex)})"
+
+
 def format_measures(name: str, n: str | None = None) -> dict[str, str]:
     """Best matching format at 80 % or more; an earlier format wins a tie."""
-    rates = ", ".join(f"struct({_mean(f'CAST({ident(name)} RLIKE {q(rx)} AS INT)', n)} AS rate, {-i} AS place, {q(f)} AS format)"
+    c = ident(name)
+    rates = ", ".join(f"struct({_mean(f'CAST({_has_format(c, f, rx)} AS INT)', c, n)} AS rate, {-i} AS place, {q(f)} AS format)"
                       for i, (f, rx) in enumerate(vocab.FORMATS))
     best = f"array_max(filter(array({rates}), r -> r.rate >= {vocab.FORMAT_MIN_RATE}))"
     return {"format": f"{best}.format", "match_rate": f"round({best}.rate, 6)"}

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline import vocab
 from plumbline.functions import text
+from plumbline.functions.skew import written
 from plumbline.model import Constraints
 from plumbline.operators import profiling as p
 from plumbline.sources.inventory import generic_type
@@ -79,7 +80,7 @@ def profile_table(df: DataFrame, table: str, as_of: dt.date, constraints: Constr
             top.setdefault(r["column"], []).append((r["value"], r["count"], r["share"]))
     seen: dict[str, list] = {}
     if words:
-        found = p.shapes(df, table, words, with_example=True, counted=counted)
+        found = written(p.shapes(df, table, words, with_example=True, counted=counted), "shapes")      # read four times below
         for r in p.patterns(found).withColumn("masked", F.expr(text.mask("example"))).orderBy("column", "rank").collect():
             seen.setdefault(r["column"], []).append(r)
 

@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -29,6 +29,7 @@ class SemanticModel:
     entities: DataFrame
     orphans: DataFrame
     rules_model: Model           # what rule execution needs
+    counted: dict[tuple[str, str], DataFrame] = field(default_factory=dict)     # (table, column) -> its counted values, stored by the profile
 
 
 def pinned(df: DataFrame) -> DataFrame:
@@ -180,7 +181,7 @@ def build_model(tables, as_of: dt.date, constraints: Constraints) -> SemanticMod
         {entity_id(t): Entity(entity_id(t), t, constraints.pk(t), tuple(personal.get(t, ()))) for t in tables},
         {h[0]: Hierarchy(h[0], h[2], h[3], h[4], tuple(h[5]), tuple(Attachment(*a) for a in h[7])) for h in trees})
     known = Constraints(constraints.primary_keys, tuple(k for k in constraints.foreign_keys if k[0] in tables and k[2] in tables))
-    return SemanticModel(profiles, attrs, rels, hierarchies, entities, fk_orphans(tables, known, counted), rules_model)
+    return SemanticModel(profiles, attrs, rels, hierarchies, entities, fk_orphans(tables, known, counted), rules_model, counted)
 
 
 def needs_review(attrs: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from plumbline.functions.expressions import ExpressionError, null_on_error
 from plumbline.functions.skew import rows_of_keys
 from plumbline.model import Model
 from plumbline.operators.cycles import cycle_nodes
-from plumbline.operators.key_checks import KEY_CHECKS, KeyBatch, batch_totals, count_keys, key_batches
+from plumbline.operators.key_checks import KEY_CHECKS, Counted, KeyBatch, batch_totals, count_keys, key_batches
 from plumbline.operators.row_checks import ROW_CHECKS, as_text, fails, scope_of
 from plumbline.rules import Rule
 
@@ -83,8 +83,8 @@ def custom_sql_rows(sql: str, tables, spark: SparkSession) -> DataFrame:
 class Prepared:
     """Rules checked and turned into expressions; a rule that cannot run is kept with its error."""
 
-    def __init__(self, tables, rules: list[Rule], model: Model, as_of: dt.date):
-        self.tables, self.model, self.rules = tables, model, rules
+    def __init__(self, tables, rules: list[Rule], model: Model, as_of: dt.date, counted: Counted | None = None):
+        self.tables, self.model, self.rules, self.counted = tables, model, rules, counted or {}
         self.errors: dict[str, str] = {}
         self.row: dict[str, list[tuple[Rule, Column | None, Column]]] = {}
         self.batches: list[tuple[KeyBatch, dict[str, Column | None], DataFrame]] = []
@@ -151,10 +151,11 @@ class Prepared:
     def _batches(self, keyed: list[Rule]) -> list[tuple[KeyBatch, dict[str, Column | None], DataFrame]]:
         """Batches with their scopes and the decided keys (planned, so that errors show here)."""
         out = []
-        for b in key_batches(keyed, self.model, self.tables):
+        for b in key_batches(keyed, self.model, self.tables, self.counted):
             target = self.table(b.entity)
             scopes = {r.rule_id: scope_of(r, target) for r in b.rules}
-            out.append((b, scopes, b.decide(count_keys(b, target, scopes))))
+            values = self.counted.get((self.model.entity(b.entity).table, b.column))
+            out.append((b, scopes, b.decide(count_keys(b, target, scopes, values))))
         return out
 
     def table(self, entity: str) -> DataFrame:
@@ -177,13 +178,17 @@ def custom_totals(p: Prepared) -> list[DataFrame]:
     return parts
 
 
-def execute_rules(tables, rules: list[Rule], model: Model, as_of: dt.date) -> DataFrame:
-    """(rule_id, name, entity, check_type, severity, total, failed, failure_rate, passed, error) per rule."""
+def execute_rules(tables, rules: list[Rule], model: Model, as_of: dt.date, counted: Counted | None = None) -> DataFrame:
+    """(rule_id, name, entity, check_type, severity, total, failed, failure_rate, passed, error) per rule.
+
+    ``counted``: (table, column) -> the column's counted values, where a profile of the same tables has stored them; rules whose decision key is
+    such a column read them instead of counting the table's rows again.
+    """
     spark = SparkSession.active()
     if not rules:
         return spark.createDataFrame([], RESULTS)
     with null_on_error(spark):
-        p = Prepared(tables, numbered(rules), model, as_of)
+        p = Prepared(tables, numbered(rules), model, as_of, counted)
         parts = []
         for entity, checks in p.row.items():
             for i in range(0, len(checks), RULES_PER_SCAN):

@@ -63,7 +63,7 @@ def baseline_results(spark, sf_dir):
     """Recommended rules, run: the whole loop from tables to results."""
     m = model(spark, sf_dir)
     names = ("orders_dirty", "customer_dirty", "lineitem_dirty", "geo_tree", "nation", "region")
-    out = execute_rules(pick(Tables(spark, sf_dir), *names), _baseline_objects(spark, sf_dir), m.rules_model, AS_OF)
+    out = execute_rules(pick(Tables(spark, sf_dir), *names), _baseline_objects(spark, sf_dir), m.rules_model, AS_OF, m.counted)
     return out.select("name", "entity", "check_type", "severity", "total", "failed", "failure_rate", "passed", "error")
 
 

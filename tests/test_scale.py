@@ -6,15 +6,18 @@ import numpy as np
 import pytest
 from pyspark.sql import Window, functions as F
 
+from plumbline import Entity, Hierarchy, Model, Rule, vocab
 from plumbline.functions import quantiles
 from plumbline.functions.quantiles import exact_quantiles
+from plumbline.functions.text import q
 from plumbline.functions.skew import previous_in_key, rows_of_keys, running_sum
 from plumbline.model import Constraints
 from plumbline.operators import profiling
 from plumbline.operators.cycles import cycle_nodes
 from plumbline.operators.profiling import (counted_values, distinct_counts, fk_orphans, format_measures, low_cardinality, null_measures,
                                             numeric_measures, shapes, text_measures, value_counts)
-from plumbline.plans.profile import profile_table
+from plumbline.plans import profile
+from plumbline.plans.profile import profile_table, profile_tables
 from plumbline.plans.suite import execute_rules, violation_examples
 from queries import checks
 from queries.dirty import MODEL, Tables, pick
@@ -190,3 +193,43 @@ def test_profile_reads_counted_values_after_the_first_scan(spark, monkeypatch):
     links = Constraints(foreign_keys=(("t", ("k",), "u", ("p",)),))
     for stored in (None, kept):
         assert fk_orphans({"t": df, "u": parent}, links, stored).select("checked", "orphans").first() == (900, 225)
+
+
+def test_key_rules_read_counted_values(spark):
+    """Rules whose key is a column that a profile has counted read those counts: same results, and the table's rows are not grouped again."""
+    shop = Model({"order": Entity("order", "o", ("id",)), "node": Entity("node", "g", ("node",))},
+                 {"geo": Hierarchy("geo", "node", "up", "level", ("TOP", "LOW"), ())})
+    tables = {"o": spark.range(400).selectExpr("id % 390 AS id", "CASE WHEN id % 9 > 0 THEN id % 37 END AS at", "concat('no ', id % 300) AS n"),
+              "g": spark.range(30).selectExpr("NULLIF(id % 25, 24) AS node", "CASE WHEN id > 4 THEN id % 5 END AS up", "IF(id % 25 < 5, 'TOP', 'LOW') AS level")}
+    kept = {}
+    profile_tables(tables, AS_OF, kept=kept)
+    keys = [Rule("u", "order", {"type": "unique"}, ("n",)), Rule("f", "order", {"type": "foreign_key", "ref_entity": "node", "ref_columns": ["node"]}, ("at",)),
+            Rule("a", "order", {"type": "hierarchy_attach_level", "hierarchy": "geo", "level": "LOW"}, ("at",))]
+    counted = execute_rules(tables, keys, shop, AS_OF, {k: v for k, v in kept.items() if k[0] == "o"})
+    physical = plan(counted)[1]
+    assert "Range (0, 400" not in physical and physical.count("FileScan parquet") == 3
+    others = [Rule("p", "order", {"type": "unique"}, ("n",), filter="at > 3"), Rule("c", "order", {"type": "unique"}, ("id", "n")),
+              Rule("x", "order", {"type": "unique"}, ("gone",)), Rule("l", "node", {"type": "hierarchy_parent_level", "hierarchy": "geo"})]
+    want = {r["rule_id"]: tuple(r) for r in execute_rules(tables, keys + others, shop, AS_OF).collect()}
+    assert {r["rule_id"]: tuple(r) for r in execute_rules(tables, keys + others, shop, AS_OF, kept).collect()} == want
+    assert want["u"][5:7] == (400, 200) and want["f"][5:7][0] == 400 and want["f"][6] > 0 and want["a"][6] > 0 and want["x"][-1]
+
+
+def test_formats_are_tried_where_they_can_match(spark):
+    """The cheap test before a regex lets every match through."""
+    day, uuid = "2024-02-03", "123e4567-e89b-12d3-a456-426614174000"
+    values = [None, "", " ", "a@b.co", "a@b", "@", "é@ü.com", uuid, uuid.upper() + "\n", uuid + "\r\n", uuid + "x", "http://a", "https://é", "http", "Http://a", day, day + "\n",
+              day + "T10:00", day + " 10:00:59Z", "+91 (0)40-1234567", "91234567", "0123456789", "-1.5", "1.", ".5", "+", "-", "-12", "12\n", "٣٤", "A-1", "AB_9-Z", "a-1", "\U0001d7d8"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    for name, regex in vocab.FORMATS:
+        rows = df.selectExpr("v", f"v RLIKE {q(regex)} AS plain", f"{profiling._has_format('v', name, regex)} AS quick").collect()
+        assert [r["quick"] for r in rows] == [r["plain"] for r in rows] and any(r["plain"] for r in rows), name
+
+
+def test_shapes_are_computed_once(spark, monkeypatch):
+    """A profile reads the shapes of a table's texts four times; they are stored, not found again each time."""
+    labels = []
+    monkeypatch.setattr(profile, "written", lambda df, label, real=profile.written: (labels.append(label), real(df, label))[1])
+    rows = profile_table(spark.range(90).selectExpr("concat('A-', id % 60) AS s", "concat('x', id, 'é') AS t"), "t", AS_OF)
+    assert labels == ["shapes"]
+    assert [tuple(x) for x in rows[0][15]] == [("A-99", 70, 0.777778), ("A-9", 20, 0.222222)] and rows[0][17] == ["A-10", "A-0"]
