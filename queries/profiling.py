@@ -350,30 +350,56 @@ def profile_documents(spark, sf_dir):
                                                  "sensitive_hint", F.col("detected_format.format").alias("format"), "pattern_mode")
 
 
+_NUMBERS_ALL = {"orders_dirty": ("o_orderkey", "o_custkey", "o_totalprice"), "customer_dirty": ("c_custkey", "c_nationkey", "c_acctbal", "home_node"),
+                "lineitem_dirty": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")}
+_TEXTS_ALL = {t: TEXTS[t] for t in ("orders_dirty", "customer_dirty")} | {"lineitem_dirty": ("l_returnflag", "l_linestatus")}
+_FK_DIRTY = tuple(k for k in CONSTRAINTS.foreign_keys if k[0] in DIRTY)
+_ORPHANS = "\n UNION ALL ".join(f"""SELECT '{t}' AS "table", '{c}' AS "column", count(*) AS k, '{rt}' AS ref FROM {t}
+  WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT {rc} FROM {rt})""" for t, (c,), rt, (rc,) in _FK_DIRTY)
+_SHAPES_ALL = _each(_TEXTS_ALL, f"""SELECT '{{t}}' AS "table", '{{c}}' AS "column", {_SIG} AS pattern, count(*) AS n, min({{c}}) AS example
+ FROM {{t}} WHERE {{c}} IS NOT NULL GROUP BY 3""")
+
 
-@register("profile_signals", with_views(*DIRTY) + ",\nstats AS (" + _each(COLUMNS, """SELECT '{t}' AS "table", '{c}' AS "column", count(*) AS n,
- count({c}) AS nn, count(DISTINCT {c}) AS d FROM {t}""") + "),\nnums AS (" + _each(
-    {"orders_dirty": ("o_orderkey", "o_custkey", "o_totalprice"), "customer_dirty": ("c_custkey", "c_nationkey", "c_acctbal", "home_node"),
-     "lineitem_dirty": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")},
-    """SELECT '{t}' AS "table", '{c}' AS "column", count(*) FILTER ({c} < 0) AS neg, count(*) FILTER ({c} = 0) AS zero FROM {t}""") + f"""),
+@register("profile_signals", with_views(*DIRTY, "geo_nodes") + ",\nstats AS (" + _each(COLUMNS, """SELECT '{t}' AS "table", '{c}' AS "column", count(*) AS n,
+ count({c}) AS nn, count(DISTINCT {c}) AS d FROM {t}""") + "),\nnums AS (" + _each(_NUMBERS_ALL, """SELECT '{t}' AS "table", '{c}' AS "column",
+ count(*) FILTER ({c} < 0) AS neg, count(*) FILTER ({c} = 0) AS zero,
+ count(*) FILTER (q3 > q1 AND ({c} < q1 - 3 * (q3 - q1) OR {c} > q3 + 3 * (q3 - q1))) AS outside
+ FROM {t}, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM {t})""") + f"""),
 dates AS ({_each(DATES, f'''SELECT '{{t}}' AS "table", '{{c}}' AS "column", count(*) FILTER ({{c}} > DATE '2026-01-01') AS future,
  count(*) FILTER (CAST({{c}} AS VARCHAR) IN ({_PLACEHOLDERS})) AS ph FROM {{t}}''')}),
-lost AS (SELECT 'orders_dirty' AS "table", 'o_custkey' AS "column", count(*) AS k, 'customer_dirty' AS ref FROM orders_dirty
-  WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer_dirty)
- UNION ALL SELECT 'customer_dirty', 'c_nationkey', count(*), 'nation' FROM customer_dirty WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation))
+lost AS ({_ORPHANS}),
+formats(place, format, rx) AS (VALUES {", ".join(f"({i}, '{n}', '{rx}')" for i, (n, rx) in enumerate(vocab.FORMATS))}),
+rates AS ({_each(_TEXTS_ALL, '''SELECT '{t}' AS "table", '{c}' AS "column", f.format, f.place, avg(CAST(regexp_matches({c}, f.rx) AS INT)) AS rate
+ FROM {t}, formats f GROUP BY 3, 4''')}),
+best AS (SELECT * FROM rates WHERE rate >= 0.8 QUALIFY row_number() OVER (PARTITION BY "table", "column" ORDER BY rate DESC, place) = 1),
+listed AS (SELECT *, round(m / sum(m) OVER w, 6) AS share, count(value) OVER w AS k, count(*) OVER w AS listed,
+  row_number() OVER (PARTITION BY "table", "column" ORDER BY m DESC, value ASC NULLS LAST) AS rank FROM (
+  {_each(COLUMNS, '''SELECT '{t}' AS "table", '{c}' AS "column", CAST({c} AS VARCHAR) AS value, count(*) AS m FROM {t} GROUP BY 3''')})
+  WINDOW w AS (PARTITION BY "table", "column")),
+rare AS (SELECT "table", "column", string_agg(value, ',' ORDER BY rank) FILTER (place <= 6) AS detail, coalesce(sum(share) FILTER (share >= 0.02), 0) AS dominant,
+  count(*) FILTER (value IS NOT NULL AND share < 0.02) AS rares, any_value(listed) AS listed FROM (
+  SELECT *, CASE WHEN value IS NOT NULL AND share < 0.02 THEN count(*) FILTER (value IS NOT NULL AND share < 0.02) OVER (
+    PARTITION BY "table", "column" ORDER BY rank ROWS UNBOUNDED PRECEDING) END AS place FROM listed
+  LEFT JOIN (SELECT "table", "column", format FROM best) b USING ("table", "column")
+  WHERE k <= 50 AND rank <= 50 AND NOT regexp_matches("column", '{vocab.SENSITIVE_NAME}', 'i') AND coalesce(format NOT IN ('email', 'phone'), true))
+  GROUP BY 1, 2),
+found AS ({_SHAPES_ALL}),
+minority AS (SELECT "table", "column", string_agg(pattern, ',' ORDER BY rank) AS detail FROM (
+  SELECT * FROM ({_PATTERNS}) WHERE rank > 1 AND share < 0.02 QUALIFY row_number() OVER (PARTITION BY "table", "column" ORDER BY rank) <= 4) GROUP BY 1, 2)
 SELECT "table", "column", 'nulls' AS signal, CAST(n - nn AS VARCHAR) AS detail FROM stats WHERE n > nn
 UNION ALL SELECT "table", "column", 'near_unique', CAST(round(d / nn, 6) AS VARCHAR) FROM stats WHERE d / nn >= 0.95 AND d < nn
+UNION ALL SELECT "table", "column", 'rare_values', detail FROM rare WHERE listed > 1 AND rares > 0 AND dominant >= 0.9
+UNION ALL SELECT "table", "column", 'minority_patterns', detail FROM minority
+UNION ALL SELECT "table", "column", 'format_mismatch', CAST(round(rate, 6) AS VARCHAR) FROM best WHERE round(rate, 6) < 1
 UNION ALL SELECT "table", "column", 'negatives', CAST(neg AS VARCHAR) FROM nums WHERE neg > 0
 UNION ALL SELECT "table", "column", 'zeros', CAST(zero AS VARCHAR) FROM nums WHERE zero > 0
+UNION ALL SELECT "table", "column", 'outliers', CAST(outside AS VARCHAR) FROM nums WHERE outside > 0
 UNION ALL SELECT "table", "column", 'placeholders', CAST(ph AS VARCHAR) FROM dates WHERE ph > 0
 UNION ALL SELECT "table", "column", 'future_dates', CAST(future AS VARCHAR) FROM dates WHERE future > 0
 UNION ALL SELECT "table", "column", 'orphans', concat(k, ' -> ', ref) FROM lost WHERE k > 0""")
 def profile_signals(spark, sf_dir):
-    """The countable signals; rare values, minority patterns, formats and outliers have queries of their own."""
-    tables = Tables(spark, sf_dir)
-    links = Constraints(foreign_keys=tuple(k for k in CONSTRAINTS.foreign_keys if k[2] in ("customer_dirty", "nation") and k[0] in DIRTY))
-    found = plan.signals(profiles(spark, sf_dir), p.fk_orphans(tables, links))
-    return found.where(~F.col("signal").isin("rare_values", "minority_patterns", "format_mismatch", "outliers"))
+    """All signals of all columns, and the orphans of every link that these tables declare."""
+    return plan.signals(profiles(spark, sf_dir), p.fk_orphans(Tables(spark, sf_dir), Constraints(foreign_keys=_FK_DIRTY)))
 
 
 @register("profile_rare_signals")
