@@ -7,10 +7,10 @@ written to the shared folder and merged by ranges of the sorted phrases, so a pa
 share is divided further down by itself; a phrase has one row per run, however often it occurs.
 
 Words are counted first (their container is the vocabulary itself), then phrases of all lengths together, and only those that can be frequent reach a trie: all their words are frequent,
-and so are the two slots that the phrase, and each of its parts, is hashed to. For that a pass before sums SLOTS counters for each length over the corpus, held
-at the support, 127 at most (a sum of held counts reaches it exactly if the sum of the counts does), a byte each. A slot that several phrases share lets
-them through, to be counted for nothing; it never hides one. The bitmaps have a fixed size, whatever the corpus. All counts are exact sums
-over all occurrences.
+and so are the two slots that the phrase, and each of its parts, is hashed to. For that two passes before sum counters over the corpus, the first for two
+words, the second for longer phrases whose pairs all pass, held at the support, 127 at most (a sum of held counts reaches it exactly if the sum of the
+counts does), a byte each. A slot that several phrases share lets them through, to be counted for nothing; it never hides one. The counters grow with the
+corpus (a fixed number would reach the support everywhere, and let all phrases through), up to SLOTS_MOST. All counts are exact sums over all occurrences.
 
 Rules: A-Z lower-cased; ``. , ; : ! ?`` and U+000A to U+000D end a piece; words are runs without space and tab inside a piece; occurrences may
 overlap. Score of the cut after k words: floor(1000 a n / (l r)) with a, l, r the counts of the phrase and its two parts and n all words of the
@@ -28,21 +28,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import stored
-from .text import mix, texts_of
+from .text import Spans, mix, texts_of
 
 LENGTHS = (2, 3, 4, 5)
 SUPPORT, TOP = 100, 2000
-BURST, DEPTH, ENTRIES = 2048, 2, 200_000
+#: A task holds ENTRIES phrases, or more where more can be frequent, so that they have one row a task; ENTRIES_MOST at most.
+BURST, DEPTH, ENTRIES, ENTRIES_MOST = 2048, 2, 200_000, 1_000_000
 #: Slots of the bitmap of frequent words (one MB), two for each word.
 BITMAP = 1 << 23
-#: Counters for each length, and how many of them make a row.
-SLOTS, BLOCK = 1 << 23, 1 << 18
+#: Least and most counters for pairs of words (longer phrases have a quarter), and how many of them make a row.
+SLOTS, SLOTS_MOST, BLOCK = 1 << 23, 1 << 27, 1 << 18
 #: Blocks summed up by one task at a time.
 FAN = 64
 #: Bytes of text counted at once.
-CHUNK = 1 << 20
-#: Words a task holds counts of, and words it numbers where a new beginning costs no row.
-WORDS, VOCABULARY = 300_000, 100_000
+CHUNK = 1 << 19
+#: Words a task holds counts or numbers of.
+WORDS = 300_000
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _AS_SPACE = bytes(32 if c in _BREAKS or c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -109,8 +110,8 @@ class HatTrie:
 
 
 def _word_hash(words: list[bytes]) -> np.ndarray:
-    import xxhash
-    return np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+    ends = np.cumsum([len(w) for w in words])
+    return Spans(np.frombuffer(b"".join(words), np.uint8), lower=False)(np.r_[0, ends[:-1]], ends)
 
 
 def _lang_hash(lang: str) -> np.uint64:
@@ -125,28 +126,29 @@ def _slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h & np.uint64(BITMAP - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(BITMAP - 1)).astype(np.int64)
 
 
-def _counter_slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _counter_slots(h: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
     """Two counters for each phrase; it can be frequent only if both reach the support."""
-    return (h & np.uint64(SLOTS - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(SLOTS - 1)).astype(np.int64)
+    return (h & np.uint64(slots - 1)).astype(np.int32), ((h >> np.uint64(32)) & np.uint64(slots - 1)).astype(np.int32)
+
+
+def _slots_for(words: int, support: int) -> int:
+    """Counters for pairs in a corpus of so many words: on average a counter stays well under the support."""
+    return min(max(SLOTS, 1 << (4 * words // support).bit_length()), SLOTS_MOST)
 
 
 class _Words(dict):
-    """The ids of a task's words and their hashes; a new word gets the next id when it is asked for."""
+    """Numbers of words; a new word gets the next number when it is asked for. ``numbers`` has each number as the one object that is in the dict."""
 
     def __init__(self):
         super().__init__()
-        self.words, self.hashes = [], np.zeros(0, np.uint64)
+        self.words, self.numbers = [], []
 
     def __missing__(self, word: bytes) -> int:
         self[word] = place = len(self.words)
         self.words.append(word)
+        self.numbers.append(place)
         return place
 
-    def numbered(self, words: list[bytes]) -> np.ndarray:
-        ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        self.hashes = np.concatenate([self.hashes, _word_hash(self.words[len(self.hashes):])])
-        return ids
-
 
 def _chunks(batches):
     """(languages, language number of each row, joined bytes, offsets) of about CHUNK bytes; rows are a newline apart."""
@@ -165,15 +167,15 @@ def _chunks(batches):
 
 
 def _found(data: bytes, starts: np.ndarray, lang_of_row: np.ndarray):
-    """Words, language and piece number of every word."""
-    words = data.translate(_AS_SPACE).split()
+    """Of every word: first byte, end byte, language and piece number."""
     kind = _KIND[np.frombuffer(data, np.uint8)]
     inside = kind == 0
-    begins = inside.copy()
+    begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
     at = np.flatnonzero(begins)
     pieces = np.cumsum(kind == 2, dtype=np.int32)[at]
-    return words, lang_of_row[np.searchsorted(starts, at, "right") - 1], pieces
+    return at, np.flatnonzero(ends) + 1, lang_of_row[np.searchsorted(starts, at, "right") - 1], pieces
 
 
 def _dense(key: np.ndarray) -> np.ndarray:
@@ -181,23 +183,26 @@ def _dense(key: np.ndarray) -> np.ndarray:
 
 
 class _Text:
-    """Walks a task's texts: languages and words numbered, pieces numbered within a chunk."""
+    """Walks a task's texts, a chunk of lower-cased words at a time: its bytes, the words' hashes (if asked), languages and pieces. Languages are numbered, pieces within a chunk."""
 
     def __init__(self):
-        self.vocabulary, self.langs, self.number = _Words(), [], {}
+        self.langs, self.number = [], {}
 
-    def chunks(self, batches):
+    def chunks(self, batches, hashed: bool = True):
         for names, lang_of_row, data, starts in _chunks(batches):
             for x in names:
                 if x not in self.number:
                     self.number[x] = len(self.langs)
                     self.langs.append(x)
-            words, lang, pieces = _found(data, starts, np.array([self.number[x] for x in names])[lang_of_row]) if data else ([], None, None)
-            if words:
-                yield self.vocabulary.numbered(words), lang, pieces
+            if not data:
+                continue
+            first, end, lang, pieces = _found(data, starts, np.array([self.number[x] for x in names])[lang_of_row])
+            if len(first):
+                data = data.translate(_AS_SPACE)
+                yield data, Spans(np.frombuffer(data, np.uint8), lower=False)(first, end) if hashed else None, lang, pieces
 
-    def hashes(self, ids: np.ndarray, lang: np.ndarray) -> np.ndarray:
-        return mix(self.vocabulary.hashes[ids] ^ np.array([_lang_hash(x) for x in self.langs], np.uint64)[lang])
+    def hashes(self, words: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        return mix(words ^ np.array([_lang_hash(x) for x in self.langs], np.uint64)[lang])
 
     def written(self, run: list, words: list[bytes]) -> pa.RecordBatch:
         phrases = [b" ".join([words[i] for i in path[1:]]) for path, _ in run]
@@ -214,38 +219,62 @@ def _has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).view(bool)
 
 
-def _frequent(text: _Text, ids: np.ndarray, lang: np.ndarray, pieces: np.ndarray, words: np.ndarray, lengths):
-    """For each length: places of the phrases within a piece and without a rare word, and the hashes at all places."""
-    h = text.hashes(ids, lang)
+def _frequent(text: _Text, word: np.ndarray, lang: np.ndarray, pieces: np.ndarray, words: np.ndarray, lengths):
+    """For each length: places of the phrases within a piece and without a rare word, and the hashes at all places. ``word`` has the words' hashes."""
+    h = text.hashes(word, lang)
     one, two = _slots(h)
     good = _has(words, one) & _has(words, two)
     # the last place up to which words are frequent and in the same piece
     stop = np.flatnonzero(np.r_[~good[1:] | (pieces[1:] != pieces[:-1]), True])
-    last = stop[np.searchsorted(stop, np.arange(len(ids)))]
+    last = np.repeat(stop, np.diff(stop, prepend=-1))
     for length in range(2, max(lengths) + 1):
-        if length > len(ids):
+        if length > len(word):
             return
-        h = _grow(h[:-1], text.vocabulary.hashes[ids[length - 1:]])
+        h = _grow(h[:-1], word[length - 1:])
         at = np.arange(len(h))
         yield length, at[good[:len(h)] & (last[:len(h)] >= at + length - 1)], h
 
 
-def _counters(words: bytes, lengths, support: int):
-    """The pass that sums held counters: (part, length, block, counts)."""
+def _passes(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether both counters of each hash reach the support; ``bitmap`` has a bit for each counter."""
+    one, two = _counter_slots(h, 8 * len(bitmap))
+    found = _has(bitmap, one)
+    at = np.flatnonzero(found)
+    found[at] = _has(bitmap, two[at])
+    return found
+
+
+def _with_pairs(found, pairs: np.ndarray):
+    """Of ``_frequent`` those phrases whose pairs of words all pass."""
+    good = None
+    for length, at, h in found:
+        if good is None:
+            pair = np.zeros(len(h), bool)
+            pair[at] = _passes(pairs, h[at])
+            good = pair
+        else:
+            good = good[:-1] & pair[length - 2:]
+        yield length, at[good[at]], h
+
+
+def _counters(words: bytes, lengths, support: int, slots: int, pairs: bytes | None = None):
+    """The pass that sums held counters of phrases of these lengths: (part, length, block, counts). With ``pairs`` their pairs of words have passed."""
     def run(batches):
         from pyspark import TaskContext
-        frequent, held, text = _bits(words), {j: np.zeros(SLOTS, np.uint8) for j in range(2, max(lengths) + 1)}, _Text()
-        for ids, lang, pieces in text.chunks(batches):
-            for length, at, h in _frequent(text, ids, lang, pieces, frequent, lengths):
-                phrases, n = np.unique(h[at], return_counts=True)
-                for place in _counter_slots(phrases):
-                    slots, where = np.unique(place, return_inverse=True)
-                    held[length][slots] = np.minimum(held[length][slots] + np.bincount(where, n), support)
-            if len(text.vocabulary.words) > VOCABULARY:
-                text.vocabulary = _Words()
+        frequent, held, text = _bits(words), {j: np.zeros(slots, np.uint8) for j in lengths}, _Text()
+        for _, word, lang, pieces in text.chunks(batches):
+            found = _frequent(text, word, lang, pieces, frequent, lengths)
+            for length, at, h in found if pairs is None else _with_pairs(found, _bits(pairs)):
+                if length not in held or not len(at):
+                    continue
+                for place in _counter_slots(h[at], slots):
+                    place.sort()
+                    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+                    place, n = place[first], np.diff(first, append=len(place))
+                    held[length][place] = np.minimum(held[length][place] + n, support)
         part = TaskContext.get().partitionId()
         for length, counts in held.items():
-            for block in range(SLOTS // BLOCK):
+            for block in range(slots // BLOCK):
                 some = counts[block * BLOCK:(block + 1) * BLOCK]
                 if some.any():
                     yield pa.RecordBatch.from_pylist([{"part": part, "length": length, "block": block, "counts": pa.compress(some.tobytes(), "zstd", asbytes=True)}], _COUNTERS)
@@ -267,9 +296,9 @@ def _summed(support: int):
     return run
 
 
-def _phrase_bitmaps(own: DataFrame, words: bytes, lengths, support: int) -> dict[int, bytes]:
-    """Bitmaps of the slots that hold ``support`` occurrences or more, by length; SLOTS / 8 bytes each reach the driver."""
-    rows = stored(_in_few_tasks(own).mapInArrow(_counters(words, lengths, support), _COUNTERS_SQL), "phrase-counters")
+def _reached(own: DataFrame, words: bytes, lengths, support: int, slots: int, pairs: bytes | None = None) -> dict[int, bytes]:
+    """Bitmaps of the counters that reach the support, by length; ``slots`` / 8 bytes each reach the driver."""
+    rows = stored(_in_few_tasks(own).mapInArrow(_counters(words, lengths, support, slots, pairs), _COUNTERS_SQL), "phrase-counters")
     parts = (rows.agg(F.max("part")).first()[0] or 0) + 1
     while True:
         # FAN blocks at a time, so that a task's share does not grow with the number of tasks before it
@@ -278,7 +307,7 @@ def _phrase_bitmaps(own: DataFrame, words: bytes, lengths, support: int) -> dict
         if parts <= 1:
             break
         rows = stored(rows, "phrase-counters")
-    out = {j: np.zeros(SLOTS, bool) for j in range(2, max(lengths) + 1)}
+    out = {j: np.zeros(slots // 8, np.uint8) for j in lengths}
 
     def packed(batches):
         for batch in batches:
@@ -286,23 +315,36 @@ def _phrase_bitmaps(own: DataFrame, words: bytes, lengths, support: int) -> dict
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(bits, pa.binary())], ["length", "block", "bits"])
 
     for r in rows.mapInArrow(packed, "length int, block int, bits binary").collect():
-        out[r["length"]][r["block"] * BLOCK:(r["block"] + 1) * BLOCK] = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8))
-    return {j: np.packbits(bits).tobytes() for j, bits in out.items()}
+        out[r["length"]][r["block"] * BLOCK // 8:(r["block"] + 1) * BLOCK // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return {j: bits.tobytes() for j, bits in out.items()}
+
+
+def _phrase_bitmaps(own: DataFrame, words: bytes, lengths, support: int, slots: int) -> dict[int, bytes]:
+    """Bitmaps of the counters that hold ``support`` occurrences or more, by length. Longer phrases are counted where their pairs pass: they need fewer counters."""
+    pairs = _reached(own, words, (2,), support, slots)
+    longer = tuple(range(3, max(lengths) + 1))
+    return pairs | (_reached(own, words, longer, support, max(BLOCK, slots // 4), pairs[2]) if longer else {})
+
+
+def _entries_for(bitmaps: dict[int, bytes]) -> int:
+    """Phrases that a task may have to hold: each that is frequent has set two bits, or shares them."""
+    return min(max(ENTRIES, sum(int(np.bitwise_count(_bits(b)).sum()) for b in bitmaps.values()) // 2), ENTRIES_MOST)
 
 
 def _word_runs(batches):
     """Counts of single words: the vocabulary is their container, spilled whole once it holds WORDS words."""
-    text, counts = _Text(), {}
+    text, vocabulary, counts = _Text(), _Words(), {}
 
     def spilled():
         for lang, n in sorted(counts.items()):
             used = np.flatnonzero(n)
-            words = pa.array([text.vocabulary.words[i] for i in used.tolist()], pa.binary()).cast(pa.string())
+            words = pa.array([vocabulary.words[i] for i in used.tolist()], pa.binary()).cast(pa.string())
             batch = pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(text.langs[lang]), len(used)), words, pa.repeat(pa.scalar(1, pa.int32()), len(used)), pa.array(n[used])], schema=_RUN)
             yield batch.sort_by("phrase")
 
-    for ids, lang, _ in text.chunks(batches):
-        size = len(text.vocabulary.words)
+    for data, _, lang, _ in text.chunks(batches, hashed=False):
+        ids = np.fromiter(map(vocabulary.__getitem__, data.split()), np.int64, len(lang))
+        size = len(vocabulary.words)
         for x in np.unique(lang).tolist():
             n = np.bincount(ids[lang == x], minlength=size)
             before = counts.get(x, np.zeros(0, np.int64))
@@ -310,34 +352,42 @@ def _word_runs(batches):
             counts[x] = n
         if size > WORDS:
             yield from spilled()
-            text.vocabulary, counts = _Words(), {}
+            vocabulary, counts = _Words(), {}
     yield from spilled()
 
 
 def _phrase_runs(words: bytes, bitmaps: dict[int, bytes], lengths, entries: int, burst: int):
-    """The counting pass: sorted runs of (lang, phrase, words, count). The trie numbers its own words, those of phrases that reach it: a text's
-    vocabulary is mostly rare words, and when it is full it begins anew without spilling a phrase."""
+    """The counting pass: sorted runs of (lang, phrase, words, count). Only words of phrases that reach the trie are numbered: a text's vocabulary is
+    mostly rare words."""
     def run(batches):
         trie, text, held = HatTrie(burst), _Text(), _Words()
         frequent, bits = _bits(words), {j: _bits(b) for j, b in bitmaps.items()}
-        for ids, lang, pieces in text.chunks(batches):
-            vocabulary, before = text.vocabulary, None
-            number_of = np.full(len(vocabulary.words), -1, np.int64)
-            for length, at, h in _frequent(text, ids, lang, pieces, frequent, lengths):
-                one, two = _counter_slots(h)
-                slot = _has(bits[length], one) & _has(bits[length], two)
-                at = at[slot[at] if before is None else slot[at] & before[at] & before[at + 1]]
-                before = slot
-                # equal phrases of the chunk become one number, a word at a time
-                number = lang[at]
+        for data, word, lang, pieces in text.chunks(batches):
+            found, before = [], None
+            for length, at, h in _frequent(text, word, lang, pieces, frequent, lengths):
+                if before is not None:
+                    at = at[before[at] & before[at + 1]]
+                at = at[_passes(bits[length], h[at])]
+                before = np.zeros(len(h), bool)
+                before[at] = True
+                found.append((length, at))
+            # all words of phrases are in pairs that pass
+            used = np.zeros(len(word), bool)
+            for _, at in found[:1]:
+                used[at] = used[at + 1] = True
+            used, in_text, ids = np.flatnonzero(used), data.split(), np.zeros(len(word), np.int64)
+            ids[used] = [held[in_text[i]] for i in used.tolist()]
+            for length, at in found:
+                # equal phrases of the chunk become one number, as many words at a time as 63 bits hold
+                number, most = lang[at], len(text.langs)
                 for j in range(length):
-                    number = _dense(number * np.int64(len(vocabulary.words)) + ids[at + j])
+                    if most * len(held.words) >= 1 << 63:
+                        number, most = _dense(number), len(number)
+                    number, most = number * np.int64(len(held.words)) + ids[at + j], most * len(held.words)
                 _, first, count = np.unique(number, return_index=True, return_counts=True)
                 first = at[first]
-                used = np.unique(ids[first[:, None] + np.arange(length)])
-                used = used[number_of[used] < 0]
-                number_of[used] = [held[vocabulary.words[i]] for i in used.tolist()]
-                columns = [lang[first].tolist()] + [number_of[ids[first + j]].tolist() for j in range(length)]
+                # each word's number is one object, in however many phrases it is
+                columns = [lang[first].tolist()] + [map(held.numbers.__getitem__, ids[first + j].tolist()) for j in range(length)]
                 for path, n in zip(zip(*columns), count.tolist()):
                     trie.add(path, n)
             full = len(held.words) > WORDS
@@ -346,8 +396,6 @@ def _phrase_runs(words: bytes, bitmaps: dict[int, bytes], lengths, entries: int,
                     yield text.written(spilled, held.words)
             if full:
                 held = _Words()
-            if len(vocabulary.words) > VOCABULARY:
-                text.vocabulary = _Words()
         for spilled in trie.spill(0):
             yield text.written(spilled, held.words)
     return run
@@ -385,7 +433,7 @@ def _in_few_tasks(own: DataFrame) -> DataFrame:
 
 
 def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text", support: int = SUPPORT, lengths: tuple[int, ...] = LENGTHS,
-                  entries: int = ENTRIES, burst: int = BURST) -> tuple[DataFrame, DataFrame]:
+                  entries: int | None = None, burst: int = BURST) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f) of all words and phrases with f >= ``support``, and (lang, n) with all word occurrences."""
     own = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
 
@@ -398,13 +446,14 @@ def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text", suppo
     runs, single = merged(_word_runs, "word")
     sizes = stored(runs.groupBy("lang").agg(F.sum("n").alias("n")), "word-sizes")
     words = _bitmap(single)
-    bitmaps = _phrase_bitmaps(own, words, lengths, min(support, 127))
-    _, several = merged(_phrase_runs(words, bitmaps, lengths, entries, burst), "phrase", _in_few_tasks(own))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    bitmaps = _phrase_bitmaps(own, words, lengths, min(support, 127), _slots_for(total, min(support, 127)))
+    _, several = merged(_phrase_runs(words, bitmaps, lengths, entries or _entries_for(bitmaps), burst), "phrase", _in_few_tasks(own))
     return single.unionByName(several), sizes
 
 
 def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", support: int = SUPPORT, top: int = TOP,
-                 lengths: tuple[int, ...] = LENGTHS, entries: int = ENTRIES, burst: int = BURST) -> DataFrame:
+                 lengths: tuple[int, ...] = LENGTHS, entries: int | None = None, burst: int = BURST) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the ``top`` phrases of every language."""
     every, sizes = phrase_counts(docs, lang, text, support, lengths, entries, burst)
     candidates = every.where(F.col("words") >= min(lengths)).withColumn("w", F.split("phrase", " "))

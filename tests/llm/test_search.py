@@ -230,3 +230,31 @@ def test_rare_words_spill_no_phrases(monkeypatch):
     batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 10, "text": texts})
     found = [r for b in collocations._phrase_runs(np.packbits(words).tobytes(), every, (2, 3), 1000, 4)([batch]) for r in b.to_pylist()]
     assert {r["phrase"]: r["n"] for r in found} == {"one two": 10, "two three": 10, "one two three": 10} and len(found) == 3
+
+
+def test_counters_grow_with_the_corpus():
+    """A fixed number of counters would reach the support everywhere in a large corpus, and every phrase would go through the trie."""
+    words = 1_600_000_000
+    assert collocations._slots_for(words, 100) >= words * 4 // 100 and collocations._slots_for(1000, 100) == collocations.SLOTS
+    assert collocations._slots_for(1 << 50, 100) == collocations.SLOTS_MOST
+
+
+def test_counters_let_few_rare_phrases_through(spark):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(400)}" for _ in range(200)) + ". over and over" for _ in range(400)]
+    docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")
+    every, _ = collocations.phrase_counts(docs, support=100, lengths=(2, 3))
+    assert {r["phrase"]: r["f"] for r in every.where("words > 1").collect()} == {"over and": 400, "and over": 400, "over and over": 400}
+    words = b"\xff" * (collocations.BITMAP // 8)
+    bitmaps = collocations._phrase_bitmaps(docs.select("lang", "text"), words, (2, 3), 100, collocations.BLOCK)
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 400, "text": texts})
+    found = {r["phrase"] for b in collocations._phrase_runs(words, bitmaps, (2, 3), 1000, 4)([batch]) for r in b.to_pylist()}
+    assert {"over and", "and over", "over and over"} <= found and len(found) < 200
+
+
+@pytest.mark.parametrize("n", [1, 300])
+def test_word_hashes_are_the_same_alone_and_in_a_text(n):
+    words = [f"é{i}x" * (i % 7 + 1) for i in range(n)]
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"], "text": ["  " + ",\t".join(words).upper().replace("É", "é") + " "]})
+    (_, found, _, pieces), = collocations._Text().chunks([batch])
+    assert found.tolist() == collocations._word_hash([w.encode() for w in words]).tolist() and pieces.tolist() == list(range(n))
