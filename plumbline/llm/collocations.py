@@ -109,9 +109,20 @@ class HatTrie:
             yield run
 
 
+def _hashes(data: bytes, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the words between these bytes, some CHUNK bytes at a time: a very long text is a chunk of its own."""
+    own, out, at = np.frombuffer(data, np.uint8), np.empty(len(first), np.uint64), 0
+    while at < len(first):
+        stop = int(np.searchsorted(first, first[at] + 2 * CHUNK))
+        begin = first[at]
+        out[at:stop] = Spans(own[begin:end[stop - 1]], lower=False)(first[at:stop] - begin, end[at:stop] - begin)
+        at = stop
+    return out
+
+
 def _word_hash(words: list[bytes]) -> np.ndarray:
     ends = np.cumsum([len(w) for w in words])
-    return Spans(np.frombuffer(b"".join(words), np.uint8), lower=False)(np.r_[0, ends[:-1]], ends)
+    return _hashes(b"".join(words), np.r_[0, ends[:-1]], ends)
 
 
 def _lang_hash(lang: str) -> np.uint64:
@@ -133,7 +144,7 @@ def _counter_slots(h: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _slots_for(words: int, support: int) -> int:
     """Counters for pairs in a corpus of so many words: on average a counter stays well under the support."""
-    return min(max(SLOTS, 1 << (4 * words // support).bit_length()), SLOTS_MOST)
+    return min(max(SLOTS, 1 << (4 * words // max(support, 1)).bit_length()), SLOTS_MOST)
 
 
 class _Words(dict):
@@ -199,7 +210,7 @@ class _Text:
             first, end, lang, pieces = _found(data, starts, np.array([self.number[x] for x in names])[lang_of_row])
             if len(first):
                 data = data.translate(_AS_SPACE)
-                yield data, Spans(np.frombuffer(data, np.uint8), lower=False)(first, end) if hashed else None, lang, pieces
+                yield data, _hashes(data, first, end) if hashed else None, lang, pieces
 
     def hashes(self, words: np.ndarray, lang: np.ndarray) -> np.ndarray:
         return mix(words ^ np.array([_lang_hash(x) for x in self.langs], np.uint64)[lang])
